@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a lazily determinised finite-state transducer.
 
 The merges (ranks of byte strings) are compiled into a trie of tokens and a test of which tokens may stand side by
-side in a result of the merges. The transducer reads bytes. Its state holds, for each place from which a token
-may still begin or run on, the tokens that lead there; a token is emitted as soon as all these places agree on it,
-which is after the longest token's length at most. States and moves are made when first met, and kept up to
+side in a result of the merges. The transducer reads bytes. Its state holds the places from which a token may still
+begin or run on, each with the token before it; every byte says which token would end the result there, and tokens
+are emitted once all places agree on them, by a bounded look back. States and moves are made when first met, and kept up to
 MAX_STATES; then they are dropped and made anew, so memory stays bounded.
 
 Decoding joins tokens' bytes through an incremental UTF-8 state machine whose state is the pending bytes of an
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 
 import numpy as np
@@ -24,11 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, small_batches, span_hashes
 
-MAX_STATES = 100_000
-MAX_PIECES = 200_000
+MAX_STATES = 150_000
+MAX_PIECES = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,6 +47,7 @@ class Merges:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -57,6 +60,7 @@ class Merges:
                     self.children[node][b] = nxt
                     self.children.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
 
@@ -91,7 +95,7 @@ class Merges:
         key = (left, right)
         if (known := self.pairs.get(key)) is not None:
             return known
-        if len(self.pairs) > 4 * MAX_PIECES:
+        if len(self.pairs) > MAX_PIECES:
             self.pairs.clear()
         a, b, limit, apart = left, right, 1 << 62, True
         while True:
@@ -112,48 +116,70 @@ class Merges:
 
 
 class Transducer:
-    """The lazily determinised transducer over one pre-token's bytes."""
+    """The lazily determinised transducer over one pre-token's bytes.
+
+    A place is (trie node, last token before the place); a state is a tuple of places, oldest first. Each move also
+    says which token ends the result up to here; the tokens themselves are read back along these ends, once all
+    places agree on them or the pre-token is over.
+    """
+
+    LOOK_BACK = 1024
 
     def __init__(self, merges: Merges):
         self.m = merges
+        self.step = {node << 8 | b: child for node, kids in enumerate(merges.children) for b, child in kids.items()}
+        self.inner = [bool(kids) for kids in merges.children]
+        self.length = {r: len(w) for r, w in merges.bytes_of.items()}
         self._clear()
 
     def _clear(self) -> None:
-        start = (-1, ((0, ()),))  # the last token emitted; (trie node, tokens not yet emitted) by place, oldest first
-        self.number = {start: 0}
-        self.states = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        m, (last, places) = self.m, self.states[state]
-        live, found = [], None
-        for node, chain in places:
-            child = m.children[node].get(byte)
-            if child is None:
-                continue
-            if m.children[child]:
-                live.append((child, chain))
-            token = m.token_at[child]
-            if token >= 0 and found is None:
-                before = chain[-1] if chain else last
-                if before < 0 or m.may_follow(before, token):
-                    found = (*chain, token)
-        if found is not None:
+        self.number: dict[tuple[tuple[int, int], ...], int] = {}
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.moves: dict[int, tuple[int, int]] = {}
+        self._state(((0, -1),))
+
+    def _state(self, places: tuple[tuple[int, int], ...]) -> int:
+        got = self.number.get(places)
+        if got is None:
+            got = self.number[places] = len(self.states)
+            self.states.append(places)
+        return got
+
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        live, found, step, m = [], -1, self.step, self.m
+        for node, last in self.states[state]:
+            child = step.get(node << 8 | byte)
+            if child is not None:
+                if self.inner[child]:
+                    live.append((child, last))
+                if found < 0:
+                    token = m.token_at[child]
+                    if token >= 0 and (last < 0 or m.may_follow(last, token)):
+                        found = token
+        if found >= 0:
             live.append((0, found))
-        chains = [chain for _, chain in live]
+        got = self.moves[state << 8 | byte] = self._state(tuple(live)), found
+        return got
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """Tokens of the result for the first `at` bytes."""
+        out = []
+        while at:
+            token = ends[at - 1]
+            if token < 0:
+                raise ValueError("the vocabulary lacks a byte of this text")
+            out.append(token)
+            at -= self.length[token]
+        out.reverse()
+        return out
+
+    def _agreed(self, ends: list[int], state: int) -> tuple[list[int], list[int]]:
+        """Tokens that all places of a state agree on, and the ends of the bytes after them."""
+        chains = [self._back(ends, len(ends) - self.m.depth[node]) for node, _ in self.states[state]]
         same = 0
-        while all(len(c) > same for c in chains) and len({c[same] for c in chains}) == 1:
+        while same < min(map(len, chains)) and len({c[same] for c in chains}) == 1:
             same += 1
-        out = chains[0][:same]
-        key = (out[-1] if out else last, tuple((node, chain[same:]) for node, chain in live))
-        nxt = self.number.get(key)
-        if nxt is None:
-            nxt = len(self.states)
-            self.number[key] = nxt
-            self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = (nxt, out)
-        return nxt, out
+        return chains[0][:same], ends[sum(self.length[t] for t in chains[0][:same]) :]
 
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one pre-token; one that is a token itself is that token."""
@@ -162,25 +188,21 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._clear()
-        state, out = 0, []
-        for i, b in enumerate(word):
-            move = self.moves[state].get(b)
-            if move is None:
+        state, out, moves, ends = 0, [], self.moves, []
+        for b in word:
+            got = moves.get(state << 8 | b)
+            if got is None:
                 if len(self.states) > 2 * MAX_STATES:  # in the midst of one very long pre-token
                     keep = self.states[state]
                     self._clear()
-                    state = self.number.setdefault(keep, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(keep)
-                        self.moves.append({})
-                move = self._move(state, b)
-            state, tokens = move
-            if tokens:
-                out += tokens
-        node, chain = self.states[state][1][-1]
-        if node:
-            raise ValueError("the vocabulary lacks a byte of this text")
-        return out + list(chain)
+                    moves, state = self.moves, self._state(keep)
+                got = self._move(state, b)
+            state, token = got
+            ends.append(token)
+            if len(ends) == self.LOOK_BACK:
+                agreed, ends = self._agreed(ends, state)
+                out += agreed
+        return out + self._back(ends, len(ends))
 
 
 class StreamDecoder:
@@ -217,16 +239,23 @@ class Coder:
         self.decoder = StreamDecoder(self.merges.bytes_of)
         self.known: dict[bytes, list[int]] = {}
 
+    def word_ids(self, word: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > MAX_PIECES:
+                self.known.clear()
+            got = self.known[word] = self.transducer.encode(word)
+        return got
+
     def ids(self, text: str) -> list[int]:
+        """Ids of a text, pre-token by pre-token."""
+        words = self.pattern.findall(text)
+        if len(words) == 1:
+            return self.word_ids(words[0].encode())
         out: list[int] = []
-        for word in self.pattern.findall(text):
-            word = word.encode()
-            got = self.known.get(word)
-            if got is None:
-                if len(self.known) > MAX_PIECES:
-                    self.known.clear()
-                got = self.known[word] = self.transducer.encode(word)
-            out += got
+        for word in words:
+            out += self.word_ids(word.encode())
         return out
 
     def text(self, ids: list[int]) -> str:
@@ -236,8 +265,18 @@ class Coder:
         """Ids of each distinct piece, for each piece the number of its distinct one, and the rows' places."""
         starts, ends, rows = chunk_spans(buf, offsets)
         first, inverse = distinct(span_hashes(buf, starts, ends))
-        data = buf.tobytes()
-        return [self.ids(data[s:e].decode()) for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], inverse, rows
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
+        data, known, out = buf.tobytes(), self.known, []
+        for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            piece = data[s:e]
+            got = known.get(piece)
+            if got is None:
+                got = self.ids(piece.decode())
+                if e - s < 64:
+                    known[piece] = got
+            out.append(got)
+        return out, inverse, rows
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -246,7 +285,9 @@ _CODERS: dict[tuple[str, str], Coder] = {}
 def coder(path: str, pattern: str) -> Coder:
     """The worker's own coder; the rank file must be on every machine, as the tokenizer package is."""
     if (path, pattern) not in _CODERS:
+        gc.set_threshold(200_000, 50, 1000)  # the tables below are large and free of cycles
         _CODERS[path, pattern] = Coder(read_ranks(path), pattern)
+        gc.freeze()
     return _CODERS[path, pattern]
 
 
@@ -265,10 +306,7 @@ def encode_column(df: DataFrame, text: str, path: str, pattern: str, out: str =
                 decoded.append(c.text(got))
             yield pd.DataFrame({"ids": ids, "back": decoded})
 
-    from pyspark.sql.functions import pandas_udf
-
-    udf = pandas_udf(run, "ids array<int>, back string")
-    run.__annotations__ = {}
+    udf = F.pandas_udf(run, "ids array<int>, back string", PandasUDFType.SCALAR_ITER)
     cols = df.withColumn("__bpe", udf(F.col(text)))
     cols = cols.withColumn(out, F.col("__bpe.ids"))
     return (cols.withColumn(back, F.col("__bpe.back")) if back else cols).drop("__bpe")

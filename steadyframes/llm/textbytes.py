@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 2 << 20
-ROWS_PER_BATCH = 256
+ROWS_PER_BATCH = 2000
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -30,9 +30,9 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 def small_batches(spark) -> None:
-    """Long texts: keep an Arrow batch at a few hundred rows, so a Python worker holds little at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) != ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Long texts: bound Arrow batches by bytes, so a Python worker holds little at a time."""
+    for key, value in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", 4 * BLOCK)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
