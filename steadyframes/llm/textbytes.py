@@ -89,7 +89,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = BLOCK) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
+    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand. Spans ascend."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -140,9 +140,12 @@ def chunk_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of each distinct value, and for each value the number of its distinct one."""
+    """Places of the first of each distinct value, ascending, and for each value the number of its distinct one."""
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return first, inverse
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return first[order], rank[inverse]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
