@@ -26,8 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, small_batches, span_hashes
+from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, ragged, small_batches, span_hashes
 
 MAX_STATES = 150_000
 MAX_PIECES = 600_000
@@ -312,6 +313,37 @@ def encode_column(df: DataFrame, text: str, path: str, pattern: str, out: str =
     return (cols.withColumn(back, F.col("__bpe.back")) if back else cols).drop("__bpe")
 
 
+def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source (those there are), n_tokens, token_ids array<int> and decoded_sha256 of each text."""
+    kept = [F.col(c) for c in ("doc_id", "lang", "source") if c in docs.columns]
+
+    def run(batches):
+        c = coder(path, pattern)
+        for batch in batches:
+            arrays, digests_ = [], []
+            for _, _, buf, offsets in blocks(batch.column(batch.num_columns - 1)):
+                ids, inverse, rows = c.pieces(buf, offsets)
+                counts = np.array([len(x) for x in ids], np.int64)
+                flat = np.array([i for x in ids for i in x], np.int32)
+                begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
+                out = flat[ragged(begin[inverse], counts[inverse])] if len(inverse) else np.zeros(0, np.int32)
+                ends = np.concatenate(([0], np.cumsum(counts[inverse]))).astype(np.int64)[rows] if len(inverse) else np.zeros(len(rows), np.int64)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32())))
+                decoded = [c.text(x).encode() for x in ids]
+                order = inverse.tolist()
+                digests_ += [hashlib.sha256(b"".join([decoded[i] for i in order[a:b]])).hexdigest() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+            tokens = pa.chunked_array(arrays, pa.list_(pa.int32())).combine_chunks()
+            if isinstance(tokens, pa.ChunkedArray):
+                tokens = pa.array([], pa.list_(pa.int32())) if not tokens.num_chunks else tokens.chunk(0)
+            n = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, tokens, pa.array(digests_, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "token_ids", "decoded_sha256"])
+
+    small_batches(docs.sparkSession)
+    base = docs.select(*kept, F.col("text").cast("string").alias("text"))
+    extra = StructType.fromDDL("n_tokens long, token_ids array<int>, decoded_sha256 string")
+    return base.mapInArrow(run, StructType(base.schema.fields[:-1] + extra.fields))
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
 
