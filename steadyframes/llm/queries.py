@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from steadyframes.llm import bpe, decontaminate, jaccard, pii, toxicity
+from steadyframes.llm import bpe, decontaminate, jaccard, lmscore, media, pii, tokencount, tokenfile, toolcalls, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.digest(table(spark, sf_dir, "conversations"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,13 +32,31 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_decontamination, op5_pii, op7_toxicity, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_tool_calls, op2_ngram_jaccard, op3_lm_scoring, op4_decontamination, op5_pii, op6_token_file, op7_toxicity, op8_media, op9_token_counts, op10_byte_bpe,
+    )
+}
+#: None of the ten has a form in SQL that keeps its method or its whole texts in reach; each is tested against brute force.
 SQL: dict[str, str] = {}
