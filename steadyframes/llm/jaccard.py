@@ -8,7 +8,7 @@ subset, and for the second kind also of the subset less each of its elements. Ho
 is chosen for each band by cost: rows of the index against pairs that would meet by chance, from counts over all sets.
 
 Equal sets are one class from the start. Classes that share signatures form clusters (through the smallest class
-of each signature, so no pairs are listed); in each cluster all pairs are verified on the whole sets, in blocks of
+of each signature, so no pairs are listed); large clusters are cut anew with other segments; in each cluster all pairs are verified on the whole sets, in blocks of
 bounded bytes, and only as many links leave a block as keep its components together. Components of these links are
 the result: no link between different texts is lost, and no group is ever listed as pairs.
 
@@ -33,6 +33,7 @@ from steadyframes.llm.textbytes import LOWER, WHITE, blocks, mix, small_batches,
 BAND_RATIO = 1.5
 BLOCK_SETS, BLOCK_BYTES = 256, 16 << 20
 SEEN_CLASSES = 200_000
+RECUTS = 3
 
 
 def sets_of(texts: pa.Array, words: int):
@@ -88,12 +89,14 @@ def allocate(difference: int, sets: int, mean: float, agree: float) -> tuple[int
     return best[1], best[2]
 
 
-def signatures(s: np.ndarray, plan: list[tuple[int, int, int, int, int]]) -> np.ndarray:
+def signatures(s: np.ndarray, plan: list[tuple[int, int, int, int, int]], seed: int = 0) -> np.ndarray:
     """Signatures of one set in its own band and, where a smaller partner may stand there, the band below.
 
     plan: for each band its lower end, the size of the largest partner of its sets, segments by kind, and its number.
+    seed: another seed cuts the universe in another way.
     """
     out = []
+    s = mix(s + np.uint64(seed))
     for low, top, loose, exact, number in plan:
         if not low <= len(s) <= top:
             continue
@@ -188,37 +191,53 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "d
             if d:
                 plan.append((low, (end - 1) * 100 // percent, *allocate(d, sets, mean, max(agree, 1e-9)), i))
 
-    def sign(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            ids, offsets, parts = [], [0], []
-            for s in sets_of(batch.column(0), words):
-                if not len(s) or (k := _cid(s)[0]) in seen:
-                    continue
-                if len(seen) < SEEN_CLASSES:
-                    seen.add(k)
-                sig = signatures(s, plan)
-                if len(sig):
-                    ids.append(k)
-                    parts.append(sig)
-                    offsets.append(offsets[-1] + len(sig))
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["k1", "sigs"])
-
-    index = cut_lineage(base.where("doc_id is not null").select("text").mapInArrow(sign, "k1 long, sigs array<long>"))
-    each = index.select("k1", F.explode("sigs").alias("sig"))
-    met = each.groupBy("sig").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first <> last").select("sig", "first")
-    near = each.join(met, "sig").where("k1 <> first").select(F.col("k1").alias("a"), F.col("first").alias("b"))
-    cluster = components(near)
-
-    # Every class of a cluster, once; then its set from the text, sent to each pair of blocks it takes part in.
-    member = cut_lineage(cluster.join(classes, cluster.node == classes.k1).select("component", "rep", "n"))
+    def clusters(rows_: DataFrame, seed: int) -> DataFrame:
+        """(node, component) of the classes that share signatures within one earlier cluster; rows_: text, cluster."""
+
+        def sign(batches):
+            seen: set[int] = set()
+            for batch in batches:
+                ids, offsets, parts = [], [0], []
+                for s, c in zip(sets_of(batch.column(0), words), batch.column(1).to_pylist(), strict=True):
+                    if not len(s) or (k := _cid(s)[0]) in seen:
+                        continue
+                    if len(seen) < SEEN_CLASSES:
+                        seen.add(k)
+                    sig = signatures(s, plan, seed)
+                    if len(sig):
+                        ids.append(k)
+                        parts.append(sig ^ mix(np.array([c], np.int64).view(np.uint64)) if c else sig)
+                        offsets.append(offsets[-1] + len(sig))
+                flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["k1", "sigs"])
+
+        index = cut_lineage(rows_.mapInArrow(sign, "k1 long, sigs array<long>"))
+        each = index.select("k1", F.explode("sigs").alias("sig"))
+        met = each.groupBy("sig").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first <> last").select("sig", "first")
+        return components(each.join(met, "sig").where("k1 <> first").select(F.col("k1").alias("a"), F.col("first").alias("b")))
+
+    def classes_of(found: DataFrame) -> DataFrame:
+        return found.join(classes, found.node == classes.k1).select("component", "rep", "n")
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= 2_000_000 else df  # rows of some 40 bytes
+
+    # A chance meeting in one cut of the universe seldom recurs in another. Clusters that take more than one block are
+    # cut anew, by themselves, as long as that makes them smaller: similar sets meet in every cut.
+    member = cut_lineage(classes_of(clusters(base.where("doc_id is not null").select("text", F.lit(0).cast("long")), 0)))
+    for seed in range(1, RECUTS + 1):
+        large = member.groupBy("component").count().where(f"count > {BLOCK_SETS}").select("component")
+        again = cut_lineage(member.join(large, "component", "left_semi"))
+        if again.isEmpty():
+            break
+        texts = base.join(small(again.select(F.col("rep").alias("doc_id"), "component")), "doc_id").select("text", "component")
+        anew = classes_of(clusters(texts, seed)).join(again.select("rep"), "rep", "left_semi").select("component", "rep", "n")
+        member = cut_lineage(member.join(large, "component", "left_anti").unionByName(anew))
+
+    # Every class of a cluster, once, with its set from the text, is sent to each pair of blocks it takes part in.
     size = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     member = member.join(size, "component").select(F.col("rep").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    count = member.count()
-    if count <= 2_000_000:  # 16 bytes of key and some more: within a broadcast
-        member = F.broadcast(member)
-    have = base.join(member, "doc_id").select("doc_id", "component", "blocks", "block", "text")
+    have = base.join(small(cut_lineage(member)), "doc_id").select("doc_id", "component", "blocks", "block", "text")
 
     def load(batches):
         for batch in batches:
