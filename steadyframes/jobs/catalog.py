@@ -1,7 +1,610 @@
-"""The registered queries over the given tables, and their DuckDB SQL."""
+"""The registered queries over the given tables, and their DuckDB SQL.
+
+Doubles are rounded on both sides; integers and booleans are exact.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from steadyframes.functions import transforms as T
+from steadyframes.functions.params import AlignParams, StabParams
+from steadyframes.jobs import align, jitter, search, stabilize
+from steadyframes.operators import dense, motion, pixels, scores
+from steadyframes.sources import fixtures, frames
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "c3_stabilize_motion"
+MOTION, PATCHES = fixtures.MOTION_SQL, fixtures.PATCHES_SQL
+SMALL = StabParams(lag=2, memory=1, iterations=3)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _flat(t, prefix: str = ""):
+    return [_r(t[c]).alias(f"{prefix}{c.lower()}") for c in motion.TRANSFORM]
+
+
+_WITH = f"WITH m AS ({MOTION})"
+_LAG = "(PARTITION BY video_id ORDER BY frame_idx)"
+
+
+# --- transforms -------------------------------------------------------------------------------------------------
+
+
+@query(f"""{_WITH} SELECT video_id, frame_idx, round((1+A)/d - 1, 6) AS a, round(-B/d, 6) AS b, round((-(1+A)*TX - B*TY)/d, 6) AS tx, round((B*TX - (1+A)*TY)/d, 6) AS ty
+FROM (SELECT *, (1+A)*(1+A) + B*B AS d FROM m)""")
+def t2_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir)
+    return m.select("video_id", "frame_idx", T.t_inverse(motion.as_struct()).alias("t")).select("video_id", "frame_idx", *_flat(F.col("t")))
+
+
+@query(f"""{_WITH}, p AS (SELECT *, lag(A) OVER {_LAG} AS a1, lag(B) OVER {_LAG} AS b1, lag(TX) OVER {_LAG} AS x1, lag(TY) OVER {_LAG} AS y1 FROM m)
+SELECT video_id, frame_idx, round((1+A)*(1+a1) - B*b1 - 1, 6) AS a, round((1+A)*b1 + B*(1+a1), 6) AS b, round((1+A)*x1 - B*y1 + TX, 6) AS tx, round(B*x1 + (1+A)*y1 + TY, 6) AS ty
+FROM p WHERE a1 IS NOT NULL""")
+def t3_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir).withColumn("before", F.lag(motion.as_struct()).over(motion.video_window()))
+    return m.where("before is not null").select("video_id", "frame_idx", T.t_compose("before", motion.as_struct()).alias("t")).select("video_id", "frame_idx", *_flat(F.col("t")))
+
+
+@query(f"""{_WITH} SELECT video_id, frame_idx, round((1+A)*x - B*y + TX, 6) AS wx, round(B*x + (1+A)*y + TY, 6) AS wy,
+ round((1+A)*(x-640.0::DOUBLE) - B*(y-360.0::DOUBLE) + 640.0::DOUBLE + TX, 6) AS cx, round(B*(x-640.0::DOUBLE) + (1+A)*(y-360.0::DOUBLE) + 360.0::DOUBLE + TY, 6) AS cy
+FROM (SELECT *, CAST(frame_idx AS DOUBLE) AS x, CAST(video_id AS DOUBLE) AS y FROM m)""")
+def t4_t5_warp_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir).withColumn("x", F.col("frame_idx").cast("double")).withColumn("y", F.col("video_id").cast("double"))
+    m = m.withColumn("p", T.t_warp(motion.as_struct(), "x", "y")).withColumn("q", T.t_warp_center(motion.as_struct(), "x", "y", 640.0, 360.0))
+    return m.select("video_id", "frame_idx", _r("p.x").alias("wx"), _r("p.y").alias("wy"), _r("q.x").alias("cx"), _r("q.y").alias("cy"))
+
+
+def _corner_sql(x: str, y: str) -> str:
+    return f"sqrt((A*({x}) - B*({y}) + TX)*(A*({x}) - B*({y}) + TX) + (B*({x}) + A*({y}) + TY)*(B*({x}) + A*({y}) + TY))"
+
+
+_DISPLACEMENT = "greatest(" + ", ".join(_corner_sql(f"{sx}width/2.0::DOUBLE", f"{sy}height/2.0::DOUBLE") for sx in ("-", "") for sy in ("-", "")) + ")"
+
+
+@query(f"{_WITH} SELECT video_id, frame_idx, round({_DISPLACEMENT}, 6) AS displacement FROM m")
+def t7_corner_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir)
+    return m.select("video_id", "frame_idx", _r(T.max_corner_displacement(motion.as_struct(), "width", "height")).alias("displacement"))
+
+
+def _step_sql(x: str, y: str) -> str:
+    dx, dy = f"((A-a1)*({x}) - (B-b1)*({y}) + TX-x1)", f"((B-b1)*({x}) + (A-a1)*({y}) + TY-y1)"
+    return f"sqrt({dx}*{dx} + {dy}*{dy})"
+
+
+@query(f"""{_WITH}, p AS (SELECT *, lag(A) OVER {_LAG} AS a1, lag(B) OVER {_LAG} AS b1, lag(TX) OVER {_LAG} AS x1, lag(TY) OVER {_LAG} AS y1 FROM m)
+SELECT video_id, frame_idx, round(greatest({", ".join(_step_sql(x, y) for x in ("-640.0::DOUBLE", "639.0::DOUBLE") for y in ("-360.0::DOUBLE", "359.0::DOUBLE"))}), 6) AS step FROM p WHERE a1 IS NOT NULL""")
+def t8_step_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir).withColumn("before", F.lag(motion.as_struct()).over(motion.video_window())).where("before is not null")
+    return m.select("video_id", "frame_idx", _r(T.step_displacement("before", motion.as_struct(), "width", "height")).alias("step"))
+
+
+@query(f"""{_WITH} SELECT video_id, frame_idx, round(TX - A*639.5::DOUBLE + B*359.5::DOUBLE, 6) AS px, round(TY - B*639.5::DOUBLE - A*359.5::DOUBLE, 6) AS py,
+ round(TX - A*640.0::DOUBLE + B*360.0::DOUBLE, 6) AS hx, round(TY - B*640.0::DOUBLE - A*360.0::DOUBLE, 6) AS hy, round(TX*2, 6) AS ux, round(A/width, 12) AS sa, round(TY, 6) AS sy FROM m""")
+def t9_t10_t15_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir)
+    t = motion.as_struct()
+    p, h = T.t_to_affine(t, "width", "height"), T.t_to_affine(t, "width", "height", "half")
+    step = T.t_from_step(F.array("A", "B", "TX", "TY"), "width")
+    return m.select("video_id", "frame_idx", _r(p[2]).alias("px"), _r(p[5]).alias("py"), _r(h[2]).alias("hx"), _r(h[5]).alias("hy"), _r(T.t_upscale(t)["TX"]).alias("ux"), _r(step["A"], 12).alias("sa"), _r(step["TY"]).alias("sy"))
+
+
+@query(f"""{_WITH} SELECT video_id, frame_idx, concat('A=', printf('%.6f', round(A,6)), ', B=', printf('%.6f', round(B,6)), ', TX=', printf('%.6f', round(TX,6)), ', TY=', printf('%.6f', round(TY,6))) AS said FROM m""")
+def t11_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.motion(spark, sf_dir).select("video_id", "frame_idx", T.t_to_string(motion.as_struct()).alias("said"))
+
+
+_HORNER = "0.000858519::DOUBLE"
+for _c in T.LANCZOS2[-2::-1]:
+    _HORNER = f"({_c}::DOUBLE + {{x}}*{{x}}*{_HORNER})"
+
+
+def _lanczos_sql(x: str) -> str:
+    return f"(CASE WHEN abs({x}) >= 2 THEN 0.0::DOUBLE ELSE {_HORNER.replace('{x}', f'({x})')} END)"
+
+
+@query(f"{_WITH} SELECT video_id, frame_idx, round({_lanczos_sql('TX / 4.0::DOUBLE')}, 9) AS w FROM m")
+def t12_lanczos2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.motion(spark, sf_dir).select("video_id", "frame_idx", _r(T.lanczos2(F.col("TX") / 4.0), 9).alias("w"))
+
+
+@query(f"""{_WITH}, d AS (SELECT *, {_DISPLACEMENT} AS d FROM m)
+SELECT video_id, frame_idx, round(CASE WHEN d > 64 THEN 0.7::DOUBLE WHEN d > 48 THEN 0.9::DOUBLE*(1 - (d-48)/16) + 0.7::DOUBLE*((d-48)/16) ELSE 0.9::DOUBLE END, 6) AS decay FROM d""")
+def t14_decay_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = T.max_corner_displacement(motion.as_struct(), "width", "height")
+    return fixtures.motion(spark, sf_dir).select("video_id", "frame_idx", _r(T.decay_factor(d, 48.0, 64.0, 0.9, 0.7)).alias("decay"))
+
+
+# --- windows and joins over motion ------------------------------------------------------------------------------
+
+_SIZED = f"WITH m0 AS ({MOTION}), m AS (SELECT * REPLACE (CASE WHEN (frame_idx // 20) % 2 = 1 THEN 640 ELSE 1280 END AS width, CASE WHEN (frame_idx // 20) % 2 = 1 THEN 360 ELSE 720 END AS height) FROM m0)"
+_SEGMENTS = f"""{_SIZED}, c AS (SELECT *, CASE WHEN lag(width) OVER {_LAG} <> width OR lag(height) OVER {_LAG} <> height THEN 1 ELSE 0 END AS changed FROM m),
+s AS (SELECT *, CAST(sum(changed) OVER {_LAG} AS BIGINT) AS segment FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY frame_idx) - 1 AS n FROM s)"""
+
+
+@query(f"{_SEGMENTS} SELECT video_id, frame_idx, segment, n FROM n")
+def w1_size_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.size_segments(fixtures.motion(spark, sf_dir, resize=True)).select("video_id", "frame_idx", "segment", "n")
+
+
+@query(f"""{_SEGMENTS}, p AS (SELECT *, lag(frame_idx) OVER (PARTITION BY video_id, segment ORDER BY n) AS prev FROM n)
+SELECT video_id, frame_idx, CASE WHEN n % 2 = 1 THEN frame_idx ELSE prev END AS key_idx, CASE WHEN n % 2 = 1 THEN prev ELSE frame_idx END AS tmpl_idx, n % 2 = 0 AS invert FROM p WHERE n >= 1""")
+def j1_pair_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.pair_frames(fixtures.motion(spark, sf_dir, resize=True)).select("video_id", "frame_idx", "key_idx", "tmpl_idx", "invert")
+
+
+@query(f"""{_WITH} SELECT video_id, frame_idx, len(w) AS n, least(frame_idx, 10)::INT AS middle, round(list_sum(list_transform(w, lambda x: x)), 6) AS total
+FROM (SELECT video_id, frame_idx, list(TX) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 10 PRECEDING AND 5 FOLLOWING) AS w, lead(frame_idx, 5) OVER {_LAG} AS later FROM m) WHERE later IS NOT NULL""")
+def w2_motion_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = motion.motion_windows(fixtures.motion(spark, sf_dir), 10, 5)
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x["TX"])
+    return w.select("video_id", "frame_idx", F.size("window").cast("long").alias("n"), "middle", _r(total).alias("total"))
+
+
+def _smooth_sql(lag: int, memory: int, lam: float, iterations: int) -> str:
+    """Smoothing spelled out place by place, for small windows: tables (video_id, frame_idx, a, b, tx, ty)."""
+    size = lag + memory + 1
+    ctes = [f"w AS (SELECT video_id, frame_idx, least(frame_idx, {lag}) AS middle, {', '.join(f'list({c}) OVER z AS l{c}' for c in motion.TRANSFORM)}, lead(frame_idx, {memory}) OVER {_LAG} AS later FROM m WINDOW z AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN {lag} PRECEDING AND {memory} FOLLOWING))"]
+    ctes.append("u AS (" + " UNION ALL ".join(f"SELECT video_id, frame_idx, middle, '{c}' AS c, {', '.join(f'l{c}[{k + 1}] AS d{k}' for k in range(size))} FROM w WHERE later IS NOT NULL" for c in motion.TRANSFORM) + ")")
+    ctes.append(f"s0 AS (SELECT *, {', '.join(f'd{k} AS x{k}' for k in range(size))} FROM u)")
+    at = 0
+    for _ in range(iterations):
+        ctes.append(f"s{at + 1} AS (SELECT * REPLACE ({', '.join(f'0.5::DOUBLE*x{k} + 0.5::DOUBLE*d{k} AS x{k}' for k in range(size))}) FROM s{at})")
+        at += 1
+        for k in range(size - 1):
+            a, b = f"x{k}", f"x{k + 1}"
+            gap = f"({b}-{a})"
+            move = f"({gap}*((abs({gap})-{lam}::DOUBLE)/abs({gap})*0.5::DOUBLE))"
+            mid = f"0.5::DOUBLE*({a}+{b})"
+            pick = lambda far, near, b=b, gap=gap: f"CASE WHEN {b} IS NULL THEN NULL WHEN abs({gap}) > {lam}::DOUBLE THEN {far} ELSE {near} END"
+            ctes.append(f"s{at + 1} AS (SELECT * REPLACE (coalesce({pick(f'{a}+{move}', mid)}, {a}) AS {a}, coalesce({pick(f'{b}-{move}', mid)}, {b}) AS {b}) FROM s{at})")
+            at += 1
+    pick = "CASE middle " + " ".join(f"WHEN {k} THEN x{k}" for k in range(size)) + " END"
+    ctes.append(f"sm AS (SELECT video_id, frame_idx, {', '.join(f'max(CASE WHEN c = {chr(39)}{c}{chr(39)} THEN {pick} END) AS {c}' for c in motion.TRANSFORM)} FROM s{at} GROUP BY ALL)")
+    return ", ".join(ctes)
+
+
+_SMOOTHED = f"{_WITH}, {_smooth_sql(SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)}"
+
+
+@query(f"{_SMOOTHED} SELECT video_id, frame_idx, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM sm")
+def w3_smooth_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = motion.smooth_motion(fixtures.motion(spark, sf_dir), SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)
+    return s.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query(f"{_WITH} SELECT video_id, frame_idx, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 10 FOLLOWING) AS BIGINT) AS reset FROM m")
+def w4_reset_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.reset_segments(fixtures.motion(spark, sf_dir), 10).select("video_id", "frame_idx", "reset")
+
+
+_RESIDUAL = f"""{_SMOOTHED}, k AS (SELECT *, lead(frame_idx, {SMALL.lag}) OVER {_LAG} AS later,
+ CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND {SMALL.lag} FOLLOWING) AS BIGINT) AS reset FROM m),
+j AS (SELECT k.video_id, k.frame_idx, k.width, k.height, reset, k.A, k.B, k.TX, k.TY, coalesce(sm.A,0) AS sa, coalesce(sm.B,0) AS sb, coalesce(sm.TX,0) AS sx, coalesce(sm.TY,0) AS sy
+ FROM k LEFT JOIN sm ON sm.video_id = k.video_id AND sm.frame_idx = k.frame_idx + {SMALL.lag - SMALL.memory} WHERE later IS NOT NULL),
+i AS (SELECT *, (1+sa)*(1+sa)+sb*sb AS d FROM j), v AS (SELECT *, (1+sa)/d - 1 AS ia, -sb/d AS ib, (-(1+sa)*sx - sb*sy)/d AS ix, (sb*sx - (1+sa)*sy)/d AS iy FROM i),
+res AS (SELECT video_id, frame_idx, width, height, reset, (1+ia)*(1+A) - ib*B - 1 AS A, (1+ia)*B + ib*(1+A) AS B, (1+ia)*TX - ib*TY + ix AS TX, ib*TX + (1+ia)*TY + iy AS TY FROM v)"""
+
+
+def _residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixtures.motion(spark, sf_dir)
+    smoothed = motion.smooth_motion(m, SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)
+    return motion.residual_motion(motion.attach_smoothed(motion.reset_segments(m, SMALL.lag), smoothed, SMALL.lag, SMALL.memory))
+
+
+@query(f"{_RESIDUAL} SELECT video_id, frame_idx, reset, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM res")
+def j6_w5_residual_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residual(spark, sf_dir).select("video_id", "frame_idx", "reset", *_flat(F.col("jitter")))
+
+
+_SCAN = f"""WITH RECURSIVE {_RESIDUAL.removeprefix("WITH ")}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, reset ORDER BY frame_idx) AS n FROM res),
+g AS (SELECT video_id, reset, n, frame_idx, width, height, 0.0::DOUBLE AS A0, 0.0::DOUBLE AS B0, 0.0::DOUBLE AS X0, 0.0::DOUBLE AS Y0, A, B, TX, TY FROM o WHERE n = 1
+ UNION ALL
+ SELECT o.video_id, o.reset, o.n, o.frame_idx, o.width, o.height, q.A*q.k, q.B*q.k, q.TX*q.k, q.TY*q.k,
+  (1+o.A)*(1+q.A*q.k) - o.B*(q.B*q.k) - 1, (1+o.A)*(q.B*q.k) + o.B*(1+q.A*q.k), (1+o.A)*(q.TX*q.k) - o.B*(q.TY*q.k) + o.TX, o.B*(q.TX*q.k) + (1+o.A)*(q.TY*q.k) + o.TY
+ FROM (SELECT *, CASE WHEN d > 64 THEN 0.7::DOUBLE WHEN d > 48 THEN 0.9::DOUBLE*(1-(d-48)/16) + 0.7::DOUBLE*((d-48)/16) ELSE 0.9::DOUBLE END AS k FROM (SELECT *, {_DISPLACEMENT} AS d FROM g)) q
+ JOIN o ON o.video_id = q.video_id AND o.reset = q.reset AND o.n = q.n + 1),
+acc AS (SELECT video_id, frame_idx, A*k AS A, B*k AS B, TX*k AS TX, TY*k AS TY FROM (SELECT *, CASE WHEN d > 64 THEN 0.7::DOUBLE WHEN d > 48 THEN 0.9::DOUBLE*(1-(d-48)/16) + 0.7::DOUBLE*((d-48)/16) ELSE 0.9::DOUBLE END AS k FROM (SELECT *, {_DISPLACEMENT} AS d FROM g)))"""
+
+
+@query(f"{_SCAN} SELECT video_id, frame_idx, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM acc")
+def w6_accumulate_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acc = motion.accumulate_motion(_residual(spark, sf_dir), SMALL)
+    return acc.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query(f"{_SCAN} SELECT video_id, frame_idx, round((1+A)/d - 1, 6) AS a, round(-B/d, 6) AS b, round((-(1+A)*TX - B*TY)/d, 6) AS tx, round((B*TX - (1+A)*TY)/d, 6) AS ty FROM (SELECT *, (1+A)*(1+A)+B*B AS d FROM acc)")
+def w7_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.stabilize_motion(fixtures.motion(spark, sf_dir), SMALL).select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query()
+def c3_stabilize_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.stabilize_motion(fixtures.motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query()
+def c3_stabilize_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.stabilize_motion(fixtures.large_motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+# --- scores -----------------------------------------------------------------------------------------------------
+
+_FLOW = "WITH f AS (SELECT video_id, frame_idx // 8 AS frame_idx, value AS mag FROM (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value FROM events))"
+
+
+def _flow_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = fixtures.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), (F.row_number().over(w) - 1).alias("k"), F.col("value").alias("mag"))
+    return e.select("video_id", F.floor(F.col("k") / 8).cast("long").alias("frame_idx"), "mag")
+
+
+@query(f"{_FLOW} SELECT video_id, frame_idx, list_sort(list(mag))[len(list(mag)) // 2 + 1] AS m FROM f WHERE mag IS NOT NULL GROUP BY ALL")
+def a4_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flow_sample(spark, sf_dir).where("mag is not null").groupBy("video_id", "frame_idx").agg(scores.upper_median("mag").alias("m"))
+
+
+@query(f"{_FLOW} SELECT video_id, round(coalesce(median(m), 0), 6) AS jitter FROM (SELECT video_id, frame_idx, list_sort(list(mag))[len(list(mag)) // 2 + 1] AS m FROM f WHERE mag IS NOT NULL GROUP BY ALL) GROUP BY ALL")
+def a5_video_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jitter.frame_medians(_flow_sample(spark, sf_dir).where("mag is not null")).select("video_id", _r("jitter").alias("jitter"))
+
+
+@query("SELECT event_type AS label, round(avg(value), 6) AS mean, round(sum(value), 4) AS total, count(value) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def a7_metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = scores.metrics_rollup(fixtures.table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), "value"))
+    return r.select("label", _r("mean").alias("mean"), _r("total", 4).alias("total"), "n", "least", "most")
+
+
+@query(f"{_WITH} SELECT video_id, count(*) AS frames, count(*) FILTER (WHERE NOT ok) AS failures, round(avg(CASE WHEN ok THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 9) AS failure_rate FROM m GROUP BY 1")
+def a8_failure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.failure_stats(fixtures.motion(spark, sf_dir)).withColumn("failure_rate", _r("failure_rate", 9))
+
+
+_GRID = """g AS (SELECT lag, memory, lam, min_disp, max_disp, min_decay, max_decay,
+ ((((((il*3 + im)*4 + ia)*3 + i1)*3 + i2)*3 + i3)*3 + i4)::BIGINT AS combo_id FROM
+ (VALUES (0,3),(1,5),(2,8),(3,10)) a(il,lag), (VALUES (0,5),(1,8),(2,10)) b(im,memory), (VALUES (0,4.0::DOUBLE),(1,6.0::DOUBLE),(2,8.0::DOUBLE),(3,10.0::DOUBLE)) c(ia,lam),
+ (VALUES (0,16.0::DOUBLE),(1,32.0::DOUBLE),(2,48.0::DOUBLE)) d(i1,min_disp), (VALUES (0,64.0::DOUBLE),(1,96.0::DOUBLE),(2,128.0::DOUBLE)) e(i2,max_disp),
+ (VALUES (0,0.99::DOUBLE),(1,0.95::DOUBLE),(2,0.9::DOUBLE)) f(i3,min_decay), (VALUES (0,0.7::DOUBLE),(1,0.5::DOUBLE),(2,0.3::DOUBLE)) h(i4,max_decay) WHERE min_disp < max_disp AND min_decay > max_decay)"""
+
+
+@query(f"WITH {_GRID} SELECT v.video_id, count(*) AS combos, sum(combo_id)::BIGINT AS ids, round(sum(lag*memory + lam + min_disp*max_disp + min_decay*max_decay), 4) AS mark FROM (SELECT DISTINCT user_id AS video_id FROM events) v, g GROUP BY 1")
+def j4_j5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = fixtures.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
+    g = scores.explode_grid(videos, search.smoother_grid(spark))
+    mark = F.sum(F.col("lag") * F.col("memory") + F.col("lam") + F.col("min_disp") * F.col("max_disp") + F.col("min_decay") * F.col("max_decay"))
+    return g.groupBy("video_id").agg(F.count("*").alias("combos"), F.sum("combo_id").alias("ids"), _r(mark, 4).alias("mark"))
+
+
+_SCORES = """WITH s AS (SELECT user_id AS video_id, c AS combo_id, (user_id*7 + c*13) % 11 AS frames, CAST((user_id*31) % 17 AS DOUBLE) AS in_jitter, CAST((user_id*5 + c*29) % 23 AS DOUBLE) / 4.0::DOUBLE AS out_jitter
+ FROM (SELECT DISTINCT user_id FROM events), range(54) t(c)), r AS (SELECT *, CASE WHEN in_jitter = 0 THEN NULL ELSE out_jitter / in_jitter END AS ratio FROM s WHERE frames >= 2)"""
+
+
+def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fixtures.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
+    out = scores.explode_grid(v, spark.range(54).withColumnRenamed("id", "combo_id")).withColumn("frames", (F.col("video_id") * 7 + F.col("combo_id") * 13) % 11)
+    out = out.withColumn("out_jitter", ((F.col("video_id") * 5 + F.col("combo_id") * 29) % 23).cast("double") / 4.0)
+    return scores.jitter_ratio(out, v.withColumn("in_jitter", ((F.col("video_id") * 31) % 17).cast("double")))
+
+
+@query(f"{_SCORES} SELECT video_id, combo_id, round(ratio, 6) AS ratio FROM r")
+def a6_jitter_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ratios(spark, sf_dir).select("video_id", "combo_id", _r("ratio").alias("ratio"))
+
+
+@query(f"{_SCORES} SELECT video_id, combo_id, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ratio, combo_id) AS k FROM r WHERE ratio IS NOT NULL) WHERE k = 1")
+def k2_best_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.best_combo(_ratios(spark, sf_dir), ("video_id",)).select("video_id", "combo_id", _r("ratio").alias("ratio"))
+
+
+@query(f"{_SCORES}, a AS (SELECT combo_id, sum(ratio) / count(ratio) AS ratio FROM r GROUP BY 1) SELECT combo_id, round(ratio, 6) AS ratio FROM a ORDER BY round(ratio, 9), combo_id LIMIT 10")
+def k3_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = _ratios(spark, sf_dir).groupBy("combo_id").agg(_r(F.avg("ratio"), 9).alias("ratio"))
+    return scores.leaderboard(mean, 10).select("combo_id", _r("ratio").alias("ratio"))
+
+
+# --- pixels, long form ------------------------------------------------------------------------------------------
+
+_P = f"WITH p AS ({PATCHES})"
+_TAPS = "(VALUES (-2,1),(-1,4),(0,6),(1,4),(2,1))"
+
+
+@query(f"""WITH b AS (SELECT event_id, event_id % 256 AS b, event_id * 7 % 256 AS g, event_id * 13 % 256 AS r FROM events)
+SELECT event_id, CAST((r*9798 + g*19235 + b*3735 + 16384) // 32768 AS INT) AS v FROM b""")
+def p1_to_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", (e % 256).alias("b"), (e * 7 % 256).alias("g"), (e * 13 % 256).alias("r"))
+    return pixels.to_gray(rows).select("event_id", "v")
+
+
+def _half_sql(source: str, size: int) -> str:
+    return f"""SELECT o.video_id, o.frame_idx, CAST(o.ox AS INT) AS x, CAST(o.oy AS INT) AS y, CAST(sum(q.v*tx.w*ty.w) // 256 AS INT) AS v
+ FROM (SELECT DISTINCT video_id, frame_idx, x AS ox, y AS oy FROM {source} WHERE x < {size // 2} AND y < {size // 2}) o, {_TAPS} tx(k,w), {_TAPS} ty(k,w)
+ JOIN {source} q ON q.video_id = o.video_id AND q.frame_idx = o.frame_idx AND q.x = greatest(0, least({size - 1}, 2*o.ox + tx.k)) AND q.y = greatest(0, least({size - 1}, 2*o.oy + ty.k)) GROUP BY ALL"""
+
+
+@query(f"{_P} {_half_sql('p', 8)}")
+def p2_pyr_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.pyr_down(fixtures.patches(spark, sf_dir), 8, 8)
+
+
+@query(f"{_P}, l1 AS ({_half_sql('p', 8)}), l2 AS ({_half_sql('l1', 4)}) SELECT video_id, frame_idx, 0 AS level, x, y, v FROM p UNION ALL SELECT video_id, frame_idx, 1, x, y, v FROM l1 UNION ALL SELECT video_id, frame_idx, 2, x, y, v FROM l2")
+def p3_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fixtures.patches(spark, sf_dir)
+    one = pixels.pyr_down(p, 8, 8)
+    two = pixels.pyr_down(one, 4, 4)
+    out = [x.select("video_id", "frame_idx", F.lit(k).alias("level"), "x", "y", "v") for k, x in enumerate((p, one, two))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _sizes_sql() -> str:
+    tiles = "CASE " + " ".join(f"WHEN {' AND '.join(f'(w//{i})*(h//{i}) >= 1000' for i in range(4, t + 1, 2))} THEN {t}" for t in range(20, 2, -2)) + " ELSE 2 END"
+    levels = " + ".join(f"CASE WHEN w // {2**k} >= 20 AND h // {2**k} >= 20 THEN 1 ELSE 0 END" for k in range(1, 16))
+    return f"WITH s AS (SELECT o_orderkey, o_orderkey % 1900 + 20 AS w, o_custkey % 1060 + 20 AS h FROM orders) SELECT o_orderkey, CAST(1 + {levels} AS INT) AS levels, {tiles} AS tile FROM s"
+
+
+@query(_sizes_sql())
+def p3_p5_levels_and_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fixtures.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1900 + 20).alias("w"), (F.col("o_custkey") % 1060 + 20).alias("h"))
+    return s.select("o_orderkey", pixels.pyramid_levels("w", "h").alias("levels"), pixels.tile_size("w", "h").alias("tile"))
+
+
+_ROW, _COL = "(PARTITION BY video_id, frame_idx, y ORDER BY x)", "(PARTITION BY video_id, frame_idx, x ORDER BY y)"
+_GRADS = f"{_P}, g AS (SELECT *, (coalesce(lead(v) OVER {_ROW}, v) - coalesce(lag(v) OVER {_ROW}, v)) * 0.5::DOUBLE AS gx, (coalesce(lead(v) OVER {_COL}, v) - coalesce(lag(v) OVER {_COL}, v)) * 0.5::DOUBLE AS gy FROM p)"
+
+
+@query(f"{_GRADS} SELECT video_id, frame_idx, x, y, gx, gy FROM g")
+def p4_grad_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.grad_xy(fixtures.patches(spark, sf_dir)).select("video_id", "frame_idx", "x", "y", "gx", "gy")
+
+
+_KEYS = f"""{_GRADS}, a AS (SELECT video_id, frame_idx, x, y, 'x' AS axis, gx AS g FROM g UNION ALL SELECT video_id, frame_idx, x, y, 'y', gy FROM g),
+k AS (SELECT video_id, frame_idx, axis, tile_x, tile_y, x AS px, y AS py, g FROM (SELECT *, CAST(x // 2 AS INT) AS tile_x, CAST(y // 2 AS INT) AS tile_y, row_number() OVER (PARTITION BY video_id, frame_idx, axis, x // 2, y // 2 ORDER BY abs(g) DESC, y, x) AS n FROM a) WHERE n = 1)"""
+_JAC = f"""{_KEYS}, jac AS (SELECT *, CASE WHEN axis = 'x' THEN 2*g*(px-4.0::DOUBLE)/8 ELSE 2*g*(py-4.0::DOUBLE)/8 END AS j0, CASE WHEN axis = 'x' THEN 2*g*(-(py-4.0::DOUBLE))/8 ELSE 2*g*(px-4.0::DOUBLE)/8 END AS j1,
+ CASE WHEN axis = 'x' THEN 2*g ELSE 0.0::DOUBLE END AS j2, CASE WHEN axis = 'x' THEN 0.0::DOUBLE ELSE 2*g END AS j3 FROM k)"""
+
+
+def _keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.sparse_jacobian(pixels.tile_argmax(pixels.grad_xy(fixtures.patches(spark, sf_dir)), 2, 8, 8), 8, 8)
+
+
+@query(f"{_KEYS} SELECT video_id, frame_idx, axis, tile_x, tile_y, px, py, g FROM k")
+def a1_tile_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.tile_argmax(pixels.grad_xy(fixtures.patches(spark, sf_dir)), 2, 8, 8)
+
+
+_J = [f"round(j{k}, 6) AS j{k}" for k in range(4)]
+
+
+@query(f"{_JAC} SELECT video_id, frame_idx, axis, tile_x, tile_y, {', '.join(_J)} FROM jac")
+def p6_sparse_jacobian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keypoints(spark, sf_dir).select("video_id", "frame_idx", "axis", "tile_x", "tile_y", *[(_r(f"j{k}") + 0.0).alias(f"j{k}") for k in range(4)])
+
+
+@query(f"{_JAC} SELECT video_id, frame_idx, {', '.join(f'round(sum(j{a}*j{b}), 4) AS h{a}{b}' for a in range(4) for b in range(a, 4))} FROM jac GROUP BY 1, 2")
+def a2_normal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = pixels.normal_matrix(_keypoints(spark, sf_dir))
+    return n.select("video_id", "frame_idx", *[_r(c, 4).alias(c) for c in n.columns[2:]])
+
+
+_SHIFT = (0.01, 0.02, 0.75, -0.5)
+_WX = "((1+0.01::DOUBLE)*px - 0.02::DOUBLE*py + 0.75::DOUBLE - 0.01::DOUBLE*4 + 0.02::DOUBLE*4)"
+_WY = "(0.02::DOUBLE*px + (1+0.01::DOUBLE)*py - 0.5::DOUBLE - 0.02::DOUBLE*4 - 0.01::DOUBLE*4)"
+_TAP5 = "(VALUES (-2),(-1),(0),(1),(2))"
+_DIFF = f"""{_JAC}, t AS (SELECT *, {_WX} AS wx, {_WY} AS wy FROM jac),
+d AS (SELECT t.*, CAST(floor(wx) AS INT) + u.d AS sx, CAST(floor(wy) AS INT) + v.d AS sy, {_lanczos_sql("u.d - (wx - floor(wx))")} * {_lanczos_sql("v.d - (wy - floor(wy))")} AS w FROM t, {_TAP5} u(d), {_TAP5} v(d)),
+smp AS (SELECT d.video_id, d.frame_idx, axis, tile_x, tile_y, px, py, j0, j1, j2, j3, sum(w*p.v)/sum(w) AS sample FROM d
+ JOIN p ON p.video_id = d.video_id AND p.frame_idx = d.frame_idx + 1 AND p.x = greatest(0, least(7, sx)) AND p.y = greatest(0, least(7, sy)) GROUP BY ALL),
+diff AS (SELECT s.*, q.v - sample AS residual, CAST(floor(round(abs(q.v - sample), 9)) AS INT) AS abs_delta FROM smp s JOIN p q ON q.video_id = s.video_id AND q.frame_idx = s.frame_idx AND q.x = px AND q.y = py)"""
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image as template against the next one of its video, by a fixed transform."""
+    p = fixtures.patches(spark, sf_dir)
+    later = p.withColumn("frame_idx", F.col("frame_idx") - 1)
+    found = pixels.sparse_warp_diff(_keypoints(spark, sf_dir), p, later, T.transform(*_SHIFT), 8, 8)
+    return found.withColumn("abs_delta", F.floor(_r(F.abs("residual"), 9)).cast("int"))
+
+
+_KP = "video_id, frame_idx, axis, tile_x, tile_y"
+
+
+@query(f"{_DIFF} SELECT {_KP}, round(sample, 6) AS sample, abs_delta FROM diff")
+def j2_t13_warp_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark, sf_dir).select(*_KP.split(", "), _r("sample").alias("sample"), "abs_delta")
+
+
+_SELECTED = f"""{_DIFF}, sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, axis ORDER BY abs_delta, tile_y, tile_x) AS k, count(*) OVER (PARTITION BY video_id, frame_idx, axis) AS n FROM diff) WHERE k <= floor(n * CAST(0.8 AS FLOAT)))"""
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _diff(spark, sf_dir)
+    x, y = (pixels.smallest_fraction(d.where(f"axis = '{a}'"), 0.8) for a in "xy")
+    return pixels.union_axes(x, y)
+
+
+@query(f"{_SELECTED} SELECT {_KP} FROM sel")
+def k1_u1_smallest_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(spark, sf_dir).select(*_KP.split(", "))
+
+
+@query(f"{_SELECTED} SELECT {', '.join(f'jac.{c}' for c in _KP.split(', '))}, {', '.join(f'round(jac.j{k}, 6) AS j{k}' for k in range(4))} FROM jac SEMI JOIN sel USING ({_KP})")
+def j3_gather_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pixels.gather_selected(_keypoints(spark, sf_dir), _selected(spark, sf_dir))
+    return got.select(*_KP.split(", "), *[(_r(f"j{k}") + 0.0).alias(f"j{k}") for k in range(4)])
+
+
+@query(f"{_SELECTED} SELECT video_id, frame_idx, {', '.join(f'round(0.5::DOUBLE*sum(j{k}*residual), 4) AS b{k}' for k in range(4))} FROM sel GROUP BY 1, 2")
+def a3_residual_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = pixels.residual_projection(_selected(spark, sf_dir))
+    return b.select("video_id", "frame_idx", *[_r(f"b{k}", 4).alias(f"b{k}") for k in range(4)])
+
+
+_WARP = f"""{_P}, t AS (SELECT video_id, frame_idx, x, y, (1+0.01::DOUBLE)*x - 0.02::DOUBLE*y + (0.75::DOUBLE - 0.01::DOUBLE*3.5::DOUBLE + 0.02::DOUBLE*3.5::DOUBLE) AS wx,
+ 0.02::DOUBLE*x + (1+0.01::DOUBLE)*y + (-0.5::DOUBLE - 0.02::DOUBLE*3.5::DOUBLE - 0.01::DOUBLE*3.5::DOUBLE) AS wy FROM p),
+d AS (SELECT t.*, greatest(0, least(7, CAST(floor(wx) AS INT) + u.d)) AS sx, greatest(0, least(7, CAST(floor(wy) AS INT) + v.d)) AS sy,
+ (CASE u.d WHEN 1 THEN wx - floor(wx) ELSE 1 - (wx - floor(wx)) END) * (CASE v.d WHEN 1 THEN wy - floor(wy) ELSE 1 - (wy - floor(wy)) END) AS share FROM t, (VALUES (0),(1)) u(d), (VALUES (0),(1)) v(d)),
+w AS (SELECT d.video_id, d.frame_idx, d.x, d.y, sum(share * q.v) AS w FROM d JOIN p q ON q.video_id = d.video_id AND q.frame_idx = d.frame_idx AND q.x = sx AND q.y = sy GROUP BY ALL)"""
+
+
+@query(f"{_WARP} SELECT video_id, frame_idx, x, y, round(w, 6) AS w FROM w")
+def p7_warp_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.warp_gray(fixtures.patches(spark, sf_dir), T.transform(*_SHIFT), 8, 8).select("video_id", "frame_idx", "x", "y", _r("w").alias("w"))
+
+
+@query(f"{_P} SELECT video_id, frame_idx, x - 2 AS x, y - 2 AS y, v FROM p WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5")
+def p9_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.crop_frames(fixtures.patches(spark, sf_dir), 2, 8, 8)
+
+
+@query(f"""{_GRADS}, e AS (SELECT video_id, frame_idx, min(gx) AS lo, max(gx) AS hi FROM g GROUP BY 1, 2)
+SELECT g.video_id, g.frame_idx, x, y, coalesce(CAST(floor((gx - lo) / nullif(hi - lo, 0) * 255 + 0.5::DOUBLE) AS INT), 0) AS u8 FROM g JOIN e ON g.video_id = e.video_id AND g.frame_idx = e.frame_idx""")
+def p10_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.normalize_minmax(pixels.grad_xy(fixtures.patches(spark, sf_dir)), "gx").select("video_id", "frame_idx", "x", "y", "u8")
+
+
+# --- frames -----------------------------------------------------------------------------------------------------
+
+_META = "WITH v AS (SELECT DISTINCT user_id AS video_id FROM events)"
+
+
+@query(f"{_META} SELECT video_id, CASE WHEN video_id % 7 > 0 THEN CAST(video_id % 7 AS DOUBLE) * 10 ELSE 30.0::DOUBLE END AS fps, 1280 - 64 AS out_width, 720 - 64 AS out_height FROM v")
+def s3_output_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = fixtures.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
+    v = v.select("video_id", ((F.col("video_id") % 7).cast("double") * 10).alias("fps"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    return frames.output_meta(v, 32).select("video_id", "fps", "out_width", "out_height")
+
+
+@query(f"{_FLOW} SELECT concat(video_id, chr(9), 'median_jitter_px=', printf('%.6f', round(coalesce(median(m), 0), 6))) AS value FROM (SELECT video_id, frame_idx, list_sort(list(mag))[len(list(mag)) // 2 + 1] AS m FROM f WHERE mag IS NOT NULL GROUP BY ALL) GROUP BY video_id")
+def s5_jitter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.report_line(jitter.frame_medians(_flow_sample(spark, sf_dir).where("mag is not null")))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of every motion of the events table."""
+    return fixtures.frames(fixtures.motion(spark, sf_dir))
+
+
+@query(f"{_WITH} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
+def c1_align_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the motion that the frames were made with is found again, to within a quarter of a pixel."""
+    f = _frames(spark, sf_dir)
+    found = align.align_frames(f).join(f.select("video_id", "frame_idx", "dx", "dy"), ["video_id", "frame_idx"])
+    near = F.col("ok") & (F.abs(F.col("TX") - F.col("dx")) < 0.25) & (F.abs(F.col("TY") - F.col("dy")) < 0.25)
+    return found.select("video_id", "frame_idx", near.alias("recovered"))
+
+
+@query()
+def c2_phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fixtures.frames(fixtures.motion(spark, sf_dir), 192, 128)
+    return align.phase_shifts(f).select("video_id", "frame_idx", _r("shift_x", 3).alias("shift_x"), _r("shift_y", 3).alias("shift_y"), _r("response", 3).alias("response"))
+
+
+_MOVES = f"""{_WITH}, d AS (SELECT video_id, frame_idx, CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TX) < 0 THEN -((-floor(TX)) % 4) ELSE floor(TX) % 4 END AS dx,
+ CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TY) < 0 THEN -((-floor(TY)) % 4) ELSE floor(TY) % 4 END AS dy FROM m)"""
+
+
+@query(f"{_MOVES} SELECT video_id, frame_idx, round(sqrt(dx*dx + dy*dy), 1) AS mag FROM d WHERE frame_idx > 0")
+def c6_flow_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jitter.flow_magnitude(_frames(spark, sf_dir)).select("video_id", "frame_idx", _r("mag", 1).alias("mag"))
+
+
+@query(f"{_MOVES} SELECT video_id, count(*) AS frames, round(coalesce(median(mag) FILTER (WHERE frame_idx > 0), 0), 1) AS jitter FROM (SELECT *, round(sqrt(dx*dx + dy*dy), 1) AS mag FROM d) GROUP BY 1")
+def c5_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    found = jitter.flow_magnitude(f).groupBy("video_id").agg(F.median(_r("mag", 1)).alias("m"))
+    return f.groupBy("video_id").agg(F.count("*").alias("frames")).join(found, "video_id", "left").select("video_id", "frames", _r(F.coalesce("m", F.lit(0.0)), 1).alias("jitter"))
+
+
+@query()
+def c4_stabilize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stabilize.stabilize_frames(_frames(spark, sf_dir), StabParams(crop=8))
+    return out.select("video_id", "frame_idx", "width", "height", F.crc32("pixels").alias("pixels_crc32"))
+
+
+@query(f"{_MOVES}, s AS (SELECT video_id, frame_idx, sum(dx) OVER {_LAG} AS sx, sum(dy) OVER {_LAG} AS sy FROM d) SELECT video_id, frame_idx, 48 AS width, 32 AS height, 1 AS channels FROM s")
+def p2_dense_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.pyr_down(_frames(spark, sf_dir)).select("video_id", "frame_idx", "width", "height", "channels")
+
+
+@query(f"{_WITH} SELECT video_id, frame_idx, 80 AS width, 48 AS height, true AS whole FROM m")
+def p8_j7_p9_warp_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames moved back by their own summed shift: the inside of each is the first frame's."""
+    f = _frames(spark, sf_dir)
+    back = f.select("video_id", "frame_idx", F.lit(0.0).alias("A"), F.lit(0.0).alias("B"), F.col("dx").cast("double").alias("TX"), F.col("dy").cast("double").alias("TY"))
+    out = dense.crop_frames(dense.warp_frames(f, back), 8)
+    return out.select("video_id", "frame_idx", "width", "height", (F.octet_length("pixels") == F.col("width") * F.col("height")).alias("whole"))
+
+
+@query()
+def c7_search_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = {"phase_correlate": [False], "threshold": [0.02, 0.05], "smallest_fraction": [0.8], "max_displacement": [10.0]}
+    found = search.search_align(_frames(spark, sf_dir), search.aligner_grid(spark, lists), crop=8)
+    return found.select("combo_id", "video_id", "frames", _r("ratio", 3).alias("ratio"))
+
+
+@query()
+def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = {"lag": [3], "memory": [2], "lam": [4.0, 8.0], "min_disp": [16.0], "max_disp": [64.0], "min_decay": [0.95], "max_decay": [0.7]}
+    found = search.search_smoother(_frames(spark, sf_dir), search.smoother_grid(spark, lists), AlignParams(), crop=8)
+    return found.select("combo_id", "video_id", "frames", _r("ratio", 3).alias("ratio"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, table_: DataFrame, job) -> DataFrame:
+    """A table as a stream of files in the shared checkpoint folder, run to its end; the sink's rows."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    table_.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    run = job(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query(f"{_SMOOTHED} SELECT video_id, frame_idx, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM sm")
+def r2_stream_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from steadyframes.streaming.online import stream_smooth_motion
+
+    out = _streamed(spark, fixtures.motion(spark, sf_dir), lambda s: stream_smooth_motion(s, SMALL))
+    return out.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query(SQL["w7_corrections"])
+def r1_stream_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from steadyframes.streaming.online import stream_stabilize_motion
+
+    out = _streamed(spark, fixtures.motion(spark, sf_dir), lambda s: stream_stabilize_motion(s, SMALL))
+    return out.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query(f"{_WITH} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
+def r3_stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from steadyframes.streaming.online import stream_align
+
+    f = _frames(spark, sf_dir)
+    out = _streamed(spark, f.drop("dx", "dy"), stream_align).join(f.select("video_id", "frame_idx", "dx", "dy"), ["video_id", "frame_idx"])
+    near = F.col("ok") & (F.abs(F.col("TX") - F.col("dx")) < 0.25) & (F.abs(F.col("TY") - F.col("dy")) < 0.25)
+    return out.select("video_id", "frame_idx", near.alias("recovered"))
