@@ -186,10 +186,10 @@ def _smooth_sql(lag: int, memory: int, lam: float, iterations: int) -> str:
 _SMOOTHED = f"{_WITH}, {_smooth_sql(SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)}"
 
 
-@query(f"{_SMOOTHED} SELECT video_id, frame_idx, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM sm")
+@query(f"{_SMOOTHED} SELECT video_id, frame_idx, A AS a, B AS b, TX AS tx, TY AS ty FROM sm")
 def w3_smooth_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = motion.smooth_motion(fixtures.motion(spark, sf_dir), SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)
-    return s.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+    return s.select("video_id", "frame_idx", *[F.col(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 @query(f"{_WITH} SELECT video_id, frame_idx, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 10 FOLLOWING) AS BIGINT) AS reset FROM m")
@@ -234,17 +234,17 @@ def w6_accumulate_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SCAN} SELECT video_id, frame_idx, round((1+A)/d - 1, 6) AS a, round(-B/d, 6) AS b, round((-(1+A)*TX - B*TY)/d, 6) AS tx, round((B*TX - (1+A)*TY)/d, 6) AS ty FROM (SELECT *, (1+A)*(1+A)+B*B AS d FROM acc)")
 def w7_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.stabilize_motion(fixtures.motion(spark, sf_dir), SMALL).select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+    return motion.stabilize_motion(fixtures.motion(spark, sf_dir), SMALL).select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 @query()
 def c3_stabilize_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.stabilize_motion(fixtures.motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+    return motion.stabilize_motion(fixtures.motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 @query()
 def c3_stabilize_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.stabilize_motion(fixtures.large_motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+    return motion.stabilize_motion(fixtures.large_motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 # --- scores -----------------------------------------------------------------------------------------------------
@@ -584,12 +584,12 @@ def _streamed(spark: SparkSession, table_: DataFrame, job) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
-@query(f"{_SMOOTHED} SELECT video_id, frame_idx, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM sm")
+@query(f"{_SMOOTHED} SELECT video_id, frame_idx, A AS a, B AS b, TX AS tx, TY AS ty FROM sm")
 def r2_stream_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from steadyframes.streaming.online import stream_smooth_motion
 
     out = _streamed(spark, fixtures.motion(spark, sf_dir), lambda s: stream_smooth_motion(s, SMALL))
-    return out.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+    return out.select("video_id", "frame_idx", *[F.col(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 @query(SQL["w7_corrections"])
@@ -597,7 +597,7 @@ def r1_stream_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from steadyframes.streaming.online import stream_stabilize_motion
 
     out = _streamed(spark, fixtures.motion(spark, sf_dir), lambda s: stream_stabilize_motion(s, SMALL))
-    return out.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
+    return out.select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 @query(f"{_WITH} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
