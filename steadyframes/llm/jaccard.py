@@ -232,7 +232,11 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "d
             break
         texts = base.join(small(again.select(F.col("rep").alias("doc_id"), "component")), "doc_id").select("text", "component")
         anew = classes_of(clusters(texts, seed)).join(again.select("rep"), "rep", "left_semi").select("component", "rep", "n")
+        anew = cut_lineage(anew)
+        still = anew.groupBy("component").count().where(f"count > {BLOCK_SETS}").agg(F.sum("count")).first()[0] or 0
         member = cut_lineage(member.join(large, "component", "left_anti").unionByName(anew))
+        if still > 0.7 * again.count():
+            break
 
     # Every class of a cluster, once, with its set from the text, is sent to each pair of blocks it takes part in.
     size = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
