@@ -501,11 +501,14 @@ def s5_jitter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of every motion of the events table."""
-    return fixtures.frames(fixtures.motion(spark, sf_dir))
+    """A frame for every vector of the embeddings table, of known motion."""
+    return fixtures.frames(fixtures.clip_motion(spark, sf_dir))
 
 
-@query(f"{_WITH} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
+_CLIP = f"WITH m AS ({fixtures.CLIP_SQL})"
+
+
+@query(f"{_CLIP} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
 def c1_align_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the motion that the frames were made with is found again, to within a quarter of a pixel."""
     f = _frames(spark, sf_dir)
@@ -516,11 +519,11 @@ def c1_align_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c2_phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixtures.frames(fixtures.motion(spark, sf_dir), 192, 128)
+    f = fixtures.frames(fixtures.clip_motion(spark, sf_dir), 192, 128)
     return align.phase_shifts(f).select("video_id", "frame_idx", _r("shift_x", 3).alias("shift_x"), _r("shift_y", 3).alias("shift_y"), _r("response", 3).alias("response"))
 
 
-_MOVES = f"""{_WITH}, d AS (SELECT video_id, frame_idx, CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TX) < 0 THEN -((-floor(TX)) % 4) ELSE floor(TX) % 4 END AS dx,
+_MOVES = f"""{_CLIP}, d AS (SELECT video_id, frame_idx, CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TX) < 0 THEN -((-floor(TX)) % 4) ELSE floor(TX) % 4 END AS dx,
  CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TY) < 0 THEN -((-floor(TY)) % 4) ELSE floor(TY) % 4 END AS dy FROM m)"""
 
 
@@ -538,7 +541,7 @@ def c5_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c4_stabilize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stabilize.stabilize_frames(_frames(spark, sf_dir), StabParams(crop=8))
+    out = stabilize.stabilize_frames(_frames(spark, sf_dir), StabParams(lag=3, memory=2, crop=8))
     return out.select("video_id", "frame_idx", "width", "height", F.crc32("pixels").alias("pixels_crc32"))
 
 
@@ -547,7 +550,7 @@ def p2_dense_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.pyr_down(_frames(spark, sf_dir)).select("video_id", "frame_idx", "width", "height", "channels")
 
 
-@query(f"{_WITH} SELECT video_id, frame_idx, 80 AS width, 48 AS height, true AS whole FROM m")
+@query(f"{_CLIP} SELECT video_id, frame_idx, 80 AS width, 48 AS height, true AS whole FROM m")
 def p8_j7_p9_warp_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames moved back by their own summed shift: the inside of each is the first frame's."""
     f = _frames(spark, sf_dir)
@@ -600,7 +603,7 @@ def r1_stream_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
-@query(f"{_WITH} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
+@query(f"{_CLIP} SELECT video_id, frame_idx, frame_idx > 0 AS recovered FROM m")
 def r3_stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from steadyframes.streaming.online import stream_align
 

@@ -38,6 +38,18 @@ FROM events
 """
 
 
+def clip_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From embeddings: videos of ten frames, a frame for each vector; the source of dense frames."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id")
+    return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("video_id"), (F.col("vec_id") % 10).cast("long").alias("frame_idx"), F.lit(1280).alias("width"), F.lit(720).alias("height"), *_motion_columns(F.col("vec_id")), (F.col("vec_id") % 10 > 0).alias("ok"))
+
+
+CLIP_SQL = """
+SELECT vec_id // 10 AS video_id, vec_id % 10 AS frame_idx, CAST((vec_id * 71) % 2001 - 1000 AS DOUBLE) / 100.0::DOUBLE AS TX, CAST((vec_id * 89) % 2001 - 1000 AS DOUBLE) / 100.0::DOUBLE AS TY
+FROM embeddings
+"""
+
+
 def large_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From lineitem, for timing: a video for each supplier."""
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
