@@ -58,5 +58,19 @@ QUERIES = {
         op1_tool_calls, op2_ngram_jaccard, op3_lm_scoring, op4_decontamination, op5_pii, op6_token_file, op7_toxicity, op8_media, op9_token_counts, op10_byte_bpe,
     )
 }
-#: None of the ten has a form in SQL that keeps its method or its whole texts in reach; each is tested against brute force.
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The others have no form in SQL that keeps whole texts in reach; each is tested against brute force or a library.
+SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+k AS (SELECT *, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM k)),
+dw AS (SELECT r, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k)),
+h AS (SELECT r, p, dw.k, item_id FROM dw JOIN iw ON iw.k = dw.k AND iw.win = dw.win),
+n AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS spot FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+""",
+}

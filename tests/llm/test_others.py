@@ -128,7 +128,6 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     def best(piece):
         f = [(0, 0)]
         for j in range(1, len(piece) + 1):
-            options = [(f[j - 1][0] + unknown, -(f[j - 1][1] - 1) * -1)]
             options = [(f[j - 1][0] + unknown, f[j - 1][1] - 1)]
             options += [(f[j - n][0] + scores[piece[j - n : j]], f[j - n][1] - 1) for n in range(1, min(j, tokencount.LONGEST) + 1) if piece[j - n : j] in scores]
             f.append(max(options))
