@@ -64,13 +64,11 @@ class Stabilizer:
             return None
         (t, w, h), self.held = self.held[0], self.held[1:]
         jitter = K.compose(tuple(t), K.inverse(tuple(smoothed or K.IDENTITY))) if self.p.smooth else t
-        both = np.array([self.acc, jitter], float)
-        start = np.array([[*self.acc]])
-        self.acc = _scan_on(start[0], both[1], w, h, self.p)
+        self.acc = _scan_on(self.acc, jitter, w, h, self.p)
         return K.inverse(tuple(self.acc))
 
 
-def _scan_on(acc: np.ndarray, jitter: np.ndarray, w: int, h: int, p: StabParams) -> list[float]:
+def _scan_on(acc, jitter, w: int, h: int, p: StabParams) -> list[float]:
     """One step of the decay scan from an accumulated motion."""
     joined = K.compose(tuple(acc), tuple(jitter))
     return decay_scan(np.array([joined]), np.array([float(w)]), np.array([float(h)]), p)[0].tolist()
