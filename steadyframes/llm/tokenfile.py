@@ -29,8 +29,9 @@ from pyspark.sql.window import Window
 from steadyframes.llm.components import cut_lineage
 from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct, ragged, small_batches, span_hashes, spans
 
-BLOCK_TOKENS = 1 << 20
-MAX_PIECES = 400_000
+BLOCK_TOKENS = 1 << 19
+TEXT_BYTES = 1 << 20
+MAX_PIECES = 300_000
 SCHEMA = "part int, block int, before long, n_docs int, doc_ids binary, has_id binary, lengths binary, ranks binary, count long, control binary, data binary"
 
 #: For each control byte, the lengths of its four values.
@@ -71,33 +72,67 @@ def decode_block(ranks: bytes, control: bytes, data: bytes, count: int) -> np.nd
 
 
 class WordEncoder:
-    """A tokenizers file whose pre-tokens lie between white space; each distinct word is encoded once and kept."""
+    """A tokenizers file whose pre-tokens lie between white space; each distinct word is encoded once and kept.
+
+    Words of a-z alone skip the file's normaliser and splitter where these leave such words as they are (that is tried
+    once): the model alone gives their ids, and the mark of a word's last token parts them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = "the quick brown fox abcdefghijklmnopqrstuvwxyz s t re ve m ll d zqxj"
+        self.fast = bool(suffix) and self.bare.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Each word's number; where its ids begin in the pool and how many they are.
+        self.number: dict[bytes, int] = {}
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        n = len(self.number)
+        while n + len(words) > len(self.begin):
+            self.begin, self.count = np.concatenate([self.begin, self.begin]), np.concatenate([self.count, self.count])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.begin[n : n + len(words)], self.count[n : n + len(words)] = begin + self.used, count
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode words in one call, a bar between them; a word with a bar in it by itself."""
-        plain = [w for w in words if b"|" not in w]
+        """Encode distinct words, many in one call."""
+        plain = [w for w in words if w.isalpha() and w.islower()] if self.fast else []
+        own = set(plain)
+        rest = [w for w in words if w not in own]
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            begin = np.append(0, ends[:-1])
+            self._keep(part, ids, begin, ends - begin)
+        barred = [w for w in rest if b"|" not in w]
         (bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            text = b" | ".join(part).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == bar), len(ids)).tolist()
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer file doesn't part words at white space")
-            begin = 0
-            for w, end in zip(part, ends, strict=True):
-                self.known[w] = ids[begin:end]
-                begin = end + 1
-        for w in words:
+        for at in range(0, len(barred), 5_000):
+            part = barred[at : at + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == bar), len(ids))
+            begin = np.append(0, ends[:-1] + 1)
+            self._keep(part, ids, begin, ends - begin)
+        for w in rest:
             if b"|" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+                self._keep([w], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and each row's place in them.
@@ -120,22 +155,18 @@ class WordEncoder:
         end = np.append(begin[1:], 0)
         end = np.where(np.append(owner[1:] == owner[:-1], False), end, ends[owner]) if len(begin) else end[:0]
         rows = np.searchsorted(begin, offsets)
-        first, inverse = distinct(span_hashes(low, begin, end))
-        data, known = low.tobytes(), self.known
+        first, inverse = distinct(span_hashes(low, begin, end, TEXT_BYTES))
+        data = low.tobytes()
         words = [data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        missing = [w for w in words if w not in known]
+        if len(self.number) > MAX_PIECES:
+            self._clear()
+        missing = [w for w in words if w not in self.number]
         if missing:
-            if len(known) > MAX_PIECES:
-                known.clear()
-                missing = words
             self._learn(missing)
-        parts = [known[w] for w in words]
-        counts = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        at = np.concatenate(([0], np.cumsum(counts)))[:-1].astype(np.int64) if len(parts) else np.zeros(0, np.int64)
-        sums = np.concatenate(([0], np.cumsum(counts[inverse]))).astype(np.int64) if len(parts) else np.zeros(1, np.int64)
-        ids = flat[ragged(at[inverse], counts[inverse])] if len(parts) else flat
-        return ids, sums[rows]
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[inverse]
+        counts = self.count[number]
+        sums = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        return self.pool[ragged(self.begin[number], counts)], sums[rows]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -175,7 +206,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1) -> N
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, buf, offsets in blocks(batch.column(1)):
+            for a, b, buf, offsets in blocks(batch.column(1), TEXT_BYTES):
                 ids, at = encoder.encode(buf, offsets)
                 counts = np.diff(at)
                 full = np.empty(len(ids) + len(counts), np.uint32)
@@ -208,7 +239,8 @@ def documents(spark: SparkSession, folder: str, *, with_ids: bool = True) -> Dat
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids = decode_block(row["ranks"], row["control"], row["data"], row["count"])
                 lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(lengths)
@@ -221,7 +253,7 @@ def documents(spark: SparkSession, folder: str, *, with_ids: bool = True) -> Dat
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a block row is a few megabytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a block row is a megabyte or more
     return read(spark, folder).mapInArrow(run, schema)
 
 
