@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from steadyframes.llm.components import cut_lineage
 from steadyframes.llm.textbytes import blocks, small_batches
 
 PAD = 64
@@ -144,8 +146,8 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(df: DataFrame, *, content: str = "content", size: int = 64, tile: int = TILE) -> DataFrame:
-    """All columns but the content, and a row for each tile of the image resized by area to size x size.
+def tiles(df: DataFrame, *, content: str = "content", size: int = 64, tile: int = TILE, keep: bool = False) -> DataFrame:
+    """All columns but the content (with keep, all), and a row for each tile of the image resized by area to size x size.
 
     width, height, dhash (hex), tile_y, tile_x, tile (NPY bytes, uint8), error; one row of nulls and the error where
     content can't be read.
@@ -154,7 +156,7 @@ def tiles(df: DataFrame, *, content: str = "content", size: int = 64, tile: int
     small_batches(df.sparkSession)
     base = df.drop(*[c for c in df.columns if c in names])
     place = base.columns.index(content)
-    kept = [i for i in range(len(base.columns)) if i != place]
+    kept = [i for i in range(len(base.columns)) if keep or i != place]
 
     def run(batches):
         for batch in batches:
@@ -202,18 +204,31 @@ def text_media(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def store(docs: DataFrame, folder: str) -> None:
+    """Write each whole text's media, its difference hash and the NPY tile of its 16 x 16 area means as Parquet."""
+    rows = tiles(text_media(docs), content="media", size=TILE, keep=True)
+    rows.select("doc_id", "n_bytes", "media", "dhash", "tile").write.option("compression", "zstd").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("doc_id long, n_bytes long, media binary, dhash string, tile binary").parquet(folder)
+
+
 def features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the digests of the stored bytes as read back; feature: difference hash, and the crc32 of the
-    NPY tile of the 16 x 16 area means."""
+    NPY tile. Media that can't be decoded, or whose tile or hash isn't the stored one, stop the query."""
+    small_batches(media.sparkSession)
 
     def run(batches):
         for batch in batches:
             out = []
-            for data in batch.column(2).to_pylist():
+            for data, hashed, tile in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 image = decode(data)
                 payload = image.tobytes()
                 small = np.clip(np.rint(area_resize(image, TILE, TILE)), 0, 255).astype(np.uint8)
-                feature = f"{difference_hash(image):016x}:{zlib.crc32(npy(small)):08x}"
+                if npy(small) != tile or f"{difference_hash(image):016x}" != hashed:
+                    raise ValueError("stored tile or hash is not its media's")
+                feature = f"{hashed}:{zlib.crc32(tile):08x}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -223,5 +238,9 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The texts as media and back. The two steps are one Spark stage: media go from one to the other as a column."""
-    return features(text_media(docs))
+    """The texts as media in files below the checkpoint folder, and the digests of what is read back from there."""
+    spark = docs.sparkSession
+    cut_lineage(spark.range(1))  # sets the folder where the session names none
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/media-{uuid.uuid4().hex}"
+    store(docs, folder)
+    return features(stored(spark, folder))

@@ -113,6 +113,28 @@ def test_media_digest_and_tiles(spark):
     assert (np.block([[own[0, 0], own[0, 1]], [own[1, 0], own[1, 1]]]) == np.arange(64).reshape(8, 8)).all()
 
 
+def test_media_digest_reads_stored_files(spark, monkeypatch, tmp_path):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    kept, read = [], media.stored
+    monkeypatch.setattr(media, "stored", lambda s, folder: kept.append(folder) or read(s, folder))
+    got = {r.doc_id: r for r in media.digest(df).collect()}
+    rows = spark.read.parquet(kept[0]).collect()
+    assert len(kept) == 1 and len(rows) == len(TEXTS)
+    for r in rows:
+        image = media.decode(bytes(r.media))
+        assert image.tobytes().rstrip(b"\0") == (TEXTS[r.doc_id] or "").encode() and got[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest()
+        assert (np.load(io.BytesIO(r.tile)) == np.clip(np.rint(media.area_resize(image, 16, 16)), 0, 255)).all()
+        assert got[r.doc_id].feature == f"{r.dhash}:{zlib.crc32(r.tile):08x}"
+    # Another text's media in the files, with its own tile, shows in the digests; without it, or cut short, it stops the query.
+    other = next(r for r in rows if r.doc_id == 4)
+    schema = media.stored(spark, kept[0]).schema
+    swapped = spark.createDataFrame([(0, 1, other.media, other.dhash, other.tile)], schema)
+    assert media.features(swapped).first().payload_sha256 == got[4].payload_sha256 != got[0].payload_sha256
+    for data, tile in ((other.media, rows[0].tile if rows[0].doc_id != 4 else rows[1].tile), (other.media[:-9], other.tile)):
+        with pytest.raises(Exception, match="stored tile|buffer"):
+            media.features(spark.createDataFrame([(0, 1, data, other.dhash, tile)], schema)).collect()
+
+
 # --- token counts
 
 
