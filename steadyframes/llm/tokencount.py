@@ -16,6 +16,7 @@ ignored by the query, and kept by ``count_column`` unless named like an output.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from steadyframes.llm.bpe import read_ranks
 from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, mix, small_batches, span_hashes
 
 UNIT = 1 << 20
-LONGEST = 16
+#: Entries of every length count.
+LONGEST = sys.maxsize
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

@@ -166,6 +166,17 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     assert tokencount.digest(df.where("false"), RANKS).count() == 0
 
 
+def test_long_entries_are_tokens(spark):
+    ranks = read_ranks(RANKS)
+    scores, _ = tokencount.entry_scores(ranks)
+    assert scores.keys() == ranks.keys()
+    long = [w.decode() for w in ranks if len(w) > 16 and w.isascii() and (w[:1] == b" " or not w[:1].isspace()) and not w[1:].strip(b"\n ") == b"" and b" " not in w[1:]]
+    assert max(map(len, long)) >= 64 and " responsibilities" in long and "-" * 64 in long
+    got = {r.doc_id: r for r in tokencount.digest(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), RANKS).collect()}
+    for i, w in enumerate(long):
+        assert (got[i].n_pretokens, got[i].n_tokens, got[i].score) == (1, 1, scores[w.encode()]), w
+
+
 # --- LM scoring
 
 
