@@ -5,10 +5,10 @@ CLASSES of about equal mass and the share of each bucket in its class. The netwo
 side through hashed embeddings, one layer of tanh, and a softmax over the classes; a word's conditional
 log-probability is its class's plus its share's. A document's score is the sum over all of its words.
 
-Training reads every document: in each of ROUNDS rounds each partition descends from the shared weights over one of
-every STRIDE words of each of its documents (one at least), and Spark averages the partitions' weights by their
-number of words. So what is gathered grows with the input, and nothing but counts and weights of fixed number reaches
-the driver.
+Every word of every document is a training target once: in each of ROUNDS rounds each partition descends from the
+shared weights over every ROUNDS-th word of its documents, a place further on than in the round before, and Spark
+averages the partitions' weights by their number of words. Nothing but counts and weights of fixed number reaches the
+driver.
 
 Defined cases: null and empty texts have no words and the score 0; without any words in the corpus all weights stay
 as they start; repeated rows score alike; columns named like an output are replaced.
@@ -28,8 +28,8 @@ from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, small_batches, span
 
 BUCKETS, CLASSES, INPUTS = 1 << 15, 128, 1 << 12
 DIM, HIDDEN, WINDOW = 16, 32, 2
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.1
-STEP = 1 << 15
+ROUNDS, BATCH, RATE = 2, 512, 0.1
+STEP = 1 << 10
 
 
 @dataclasses.dataclass
@@ -119,32 +119,32 @@ def descend(m: Model, context: np.ndarray, target: np.ndarray) -> None:
         c, t = context[a : a + BATCH], target[a : a + BATCH]
         inputs = [m.embed[c[:, k]] for k in range(2 * WINDOW)]
         h = np.tanh(sum(x @ m.mix[k] for k, x in enumerate(inputs)) + m.hidden)
-        z = h @ m.out + m.bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
+        p = h @ m.out
+        p += m.bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p *= 1 / p.sum(1, keepdims=True)
         p[np.arange(len(t)), t] -= 1
         p *= RATE / len(t) * min(8.0, len(t) ** 0.5)
         back = (p @ m.out.T) * (1 - h * h)
         m.out -= h.T @ p
         m.bias -= p.sum(0)
         m.hidden -= back.sum(0)
+        grad = np.concatenate([back @ m.mix[k].T for k in range(2 * WINDOW)])
         for k, x in enumerate(inputs):
-            grad = back @ m.mix[k].T
             m.mix[k] -= x.T @ back
-            order = np.argsort(c[:, k], kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(c[order, k]) != 0)))
-            m.embed[c[order[first], k]] -= np.add.reduceat(grad[order], first, axis=0)
+        place = c.T.reshape(-1)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        m.embed[place[first]] -= np.add.reduceat(grad[order], first, axis=0)
 
 
-def chosen(rows: np.ndarray) -> np.ndarray:
-    """Places of one of every STRIDE words of each row, one at least; where it begins depends on the row's length."""
-    counts = np.diff(rows)
-    step = np.minimum(STRIDE, np.maximum(counts, 1))
-    first = counts * 7 % step
-    many = np.where(counts > 0, (counts - 1 - first) // STRIDE + 1, 0)
-    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return np.repeat(rows[:-1] + first, many) + inside * STRIDE
+def chosen(rows: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places of the words that train in a round: every rounds-th of each row from the turn-th on. All rounds together
+    have each word once."""
+    inside = np.arange(rows[-1]) - np.repeat(rows[:-1], np.diff(rows))
+    return np.flatnonzero(inside % rounds == turn)
 
 
 def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
@@ -164,10 +164,10 @@ def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
     found = base.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     m = start(counts)
-    for _ in range(rounds):
+    for turn in range(rounds):
         shared = spark.sparkContext.broadcast(m)
 
-        def learn(batches, shared=shared):
+        def learn(batches, shared=shared, turn=turn):
             base_ = shared.value
             own = Model(base_.class_of, base_.share, *[w.copy() for w in base_.weights()])
             seen, held, size = 0, [], 0
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
 
             for batch in batches:
                 for h, rows in words_of(batch.column(0)):
-                    at = chosen(rows)
+                    at = chosen(rows, turn, rounds)
                     if len(at):
                         bucket = (h[at] >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
                         held.append((contexts(h, rows)[at], own.class_of[bucket]))

@@ -211,6 +211,32 @@ def test_lm_equals_a_loop_over_words(spark):
     assert lmscore.digest(df.where("false")).count() == 0
 
 
+def test_every_word_trains_once():
+    rows = np.array([0, 5, 5, 6, 38, 41])
+    for rounds in (1, lmscore.ROUNDS, 3):
+        parts = [lmscore.chosen(rows, turn, rounds) for turn in range(rounds)]
+        assert sorted(np.concatenate(parts)) == list(range(41))
+
+
+def test_lm_trains_on_words_at_any_place(spark, monkeypatch):
+    seen, descend = [], lmscore.descend
+    monkeypatch.setattr(lmscore, "descend", lambda m, c, t: seen.append(len(t)) or descend(m, c, t))
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", _local(spark))
+    lmscore.fit(spark.createDataFrame([(i, "a b c d e f g " * 5) for i in range(30)], "doc_id long, text string"))
+    assert sum(seen) == 30 * 35
+
+
+def _local(spark):
+    """mapInArrow in this process, so that a patched module counts what it does."""
+
+    def run(df, f, schema):
+        import pyarrow as pa
+
+        return spark.createDataFrame(pa.Table.from_batches(list(f(iter(df.toArrow().to_batches())))))
+
+    return run
+
+
 # --- tool calls
 
 
