@@ -1,9 +1,12 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from both sides.
 
-Words are letters and digits, lower-cased in A-Z, in BUCKETS hashed buckets. Their counts over all documents give
-CLASSES of about equal mass and the share of each bucket in its class. The network sees the WINDOW words on either
-side through hashed embeddings, one layer of tanh, and a softmax over the classes; a word's conditional
-log-probability is its class's plus its share's. A document's score is the sum over all of its words.
+Words are letters and digits, lower-cased in A-Z, in BUCKETS hashed buckets. Spark counts each distinct word; the table
+of these counts grows with the corpus and stays on Spark. The buckets' sums give CLASSES of about equal mass and the
+share of each bucket in its class. The network sees the WINDOW words on either side through hashed embeddings, one layer
+of tanh, and a softmax over the classes; a word's conditional log-probability is its class's plus its bucket's share's
+plus that of the word's own share of its bucket. The counts of the FREQUENT most frequent words go to all workers; each
+other word is joined with the table. Shares don't depend on the context, nor do words of one class differ by it. A
+document's score is the sum over all of its words.
 
 Every word of every document is a training target once: in each of ROUNDS rounds each partition descends from the
 shared weights over every ROUNDS-th word of its documents, a place further on than in the round before, and Spark
@@ -11,30 +14,38 @@ averages the partitions' weights by their number of words. Nothing but counts an
 driver.
 
 Defined cases: null and empty texts have no words and the score 0; without any words in the corpus all weights stay
-as they start; repeated rows score alike; columns named like an output are replaced.
+as they start; repeated rows score alike; columns named like an output are replaced; a word that training never met
+counts as half a one of its bucket.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from steadyframes.llm.components import cut_lineage
 from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, small_batches, span_hashes, spans
 
 BUCKETS, CLASSES, INPUTS = 1 << 15, 128, 1 << 12
 DIM, HIDDEN, WINDOW = 16, 32, 2
 ROUNDS, BATCH, RATE = 2, 512, 0.1
 STEP = 1 << 10
+FREQUENT = 1 << 15
+WEIGHTS = ("embed", "mix", "hidden", "out", "bias")
+#: Logarithms of counts are integers in units of 2^-30, so that sums are exact in any order.
+UNIT = 1 << 30
 
 
 @dataclasses.dataclass
 class Model:
-    """Class and log-share of each bucket; the network's weights."""
+    """Class and log-share of each bucket; the network's weights; each bucket's count, hashes (ascending) and counts of
+    the most frequent words, and the folder of the table (word, n) of all words."""
 
     class_of: np.ndarray
     share: np.ndarray
@@ -43,9 +54,13 @@ class Model:
     hidden: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    counts: np.ndarray
+    frequent: np.ndarray
+    often: np.ndarray
+    words: str
 
     def weights(self) -> list[np.ndarray]:
-        return [self.embed, self.mix, self.hidden, self.out, self.bias]
+        return [getattr(self, k) for k in WEIGHTS]
 
 
 def words_of(texts: pa.Array):
@@ -67,7 +82,7 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return class_of, np.log(mass / total[class_of])
 
 
-def start(counts: np.ndarray, seed: int = 11) -> Model:
+def start(counts: np.ndarray, frequent: np.ndarray, often: np.ndarray, words: str, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     class_of, share = classes(counts)
     mass = np.bincount(class_of, weights=counts + 0.5, minlength=CLASSES)
@@ -75,6 +90,7 @@ def start(counts: np.ndarray, seed: int = 11) -> Model:
     return Model(
         class_of, share, rng.normal(0, 0.3, (INPUTS + 1, DIM)).astype(f), rng.normal(0, 0.2, (2 * WINDOW, DIM, HIDDEN)).astype(f),
         np.zeros(HIDDEN, f), np.zeros((HIDDEN, CLASSES), f), np.log(np.maximum(mass, 1e-3) / mass.sum()).astype(f),
+        counts, frequent, often, words,
     )
 
 
@@ -100,7 +116,7 @@ def _hidden(m: Model, tables: list[np.ndarray], context: np.ndarray) -> np.ndarr
 
 
 def log_probabilities(m: Model, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of each word given its neighbours."""
+    """Of each word's bucket given the word's neighbours."""
     tables = [m.embed @ m.mix[k] for k in range(2 * WINDOW)]
     bucket = (hashes >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
     context, target = contexts(hashes, rows), m.class_of[bucket]
@@ -113,6 +129,23 @@ def log_probabilities(m: Model, hashes: np.ndarray, rows: np.ndarray) -> np.ndar
     return out + m.share[bucket]
 
 
+def own_shares(m: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm, in units, of each word's share of its bucket, without the word's count where it isn't frequent; and
+    whether it isn't."""
+    bucket = (hashes >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    out = -units(m.counts)[bucket]
+    if not len(m.frequent):
+        return out, np.ones(len(hashes), bool)
+    at = np.minimum(np.searchsorted(m.frequent, hashes), len(m.frequent) - 1)
+    known = m.frequent[at] == hashes
+    out[known] += units(m.often)[at[known]]
+    return out, ~known
+
+
+def units(counts: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(np.maximum(counts, 0.5)) * UNIT).astype(np.int64)
+
+
 def descend(m: Model, context: np.ndarray, target: np.ndarray) -> None:
     """One pass of gradient descent in place."""
     for a in range(0, len(target), BATCH):
@@ -147,29 +180,55 @@ def chosen(rows: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(inside % rounds == turn)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new one below the checkpoint folder."""
+    cut_lineage(spark.range(1))  # sets the folder where the session names none
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(text).cast("string").alias("text"))
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
+
+        def flush():
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            word, at = np.unique(h, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["word", "n"])
+
         for batch in batches:
             for h, _ in words_of(batch.column(0)):
-                total += np.bincount((h >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
+                if len(h):
+                    held.append(np.unique(h, return_counts=True))
+                    size += len(held[-1][0])
+                if size > 1 << 20:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    folder = _folder(spark, "words")
+    base.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(folder)
+    table = spark.read.schema("word long, n long").parquet(folder)
+    bucket = F.shiftrightunsigned("word", 40).bitwiseAND(BUCKETS - 1).alias("bucket")
     counts = np.zeros(BUCKETS, np.int64)
-    found = base.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    found = table.groupBy(bucket).agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    m = start(counts)
+    top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    frequent, often = (top.column(c).to_numpy() for c in ("word", "n"))
+    frequent = frequent.astype(np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    m = start(counts, frequent[order], often[order], folder)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(m)
 
         def learn(batches, shared=shared, turn=turn):
             base_ = shared.value
-            own = Model(base_.class_of, base_.share, *[w.copy() for w in base_.weights()])
+            own = dataclasses.replace(base_, **{k: getattr(base_, k).copy() for k in WEIGHTS})
             seen, held, size = 0, [], 0
 
             def step():
@@ -201,33 +260,48 @@ def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
         for w in m.weights():
             parts.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
             at += w.size
-        m = Model(m.class_of, m.share, *parts)
+        m = dataclasses.replace(m, **dict(zip(WEIGHTS, parts, strict=True)))
     return m
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """All columns and n_words, log_likelihood (sum over words), per_word (its mean, null without words)."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns (without keep_text, all but the text) and n_words, log_likelihood (sum over words), per_word (its mean,
+    null without words). The rows lie in files below the checkpoint folder till the counts of rare words are joined."""
     names = ["n_words", "log_likelihood", "per_word"]
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.drop(*[c for c in docs.columns if c in names])
     place = base.columns.index(text)
+    kept = [i for i in range(len(base.columns)) if keep_text or i != place]
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            n, total = [], []
+            n, total, known, rare, many = [], [], [], [], []
             for h, rows in words_of(batch.column(place)):
-                sums = np.concatenate(([0], np.cumsum(log_probabilities(shared.value, h, rows))))
+                own, absent = own_shares(shared.value, h)
+                for out, x in ((total, log_probabilities(shared.value, h, rows)), (known, own), (many, absent.astype(np.int64))):
+                    out.append(np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))[rows]))
                 n.append(np.diff(rows))
-                total.append(np.diff(sums[rows]))
-            n, total = (np.concatenate(x) if x else np.zeros(0) for x in (n, total))
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), pa.array(total), mean], names=[*batch.schema.names, *names])
-
-    return base.mapInArrow(run, StructType(base.schema.fields + StructType.fromDDL("n_words long, log_likelihood double, per_word double").fields))
+                rare.append(h[absent].view(np.int64))
+            n, total, known, rare, many = (np.concatenate(x) if x else np.zeros(0) for x in (n, total, known, rare, many))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(rare, pa.int64()))
+            more = [pa.array(n.astype(np.int64)), pa.array(total, pa.float64()), pa.array(known.astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *more], names=[*[batch.schema.names[i] for i in kept], "n_words", "sum_", "known_", "rare_"])
+
+    extra = StructType.fromDDL("n_words long, sum_ double, known_ long, rare_ array<long>").fields
+    folder = _folder(spark, "scores")
+    base.mapInArrow(run, StructType([base.schema.fields[i] for i in kept] + extra)).withColumn("row_", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.parquet(folder)
+    table = spark.read.schema("word long, n long").parquet(model.words)
+    log = F.coalesce(F.round(F.log("n") * UNIT).cast("long"), F.lit(int(units(np.zeros(1))[0])))
+    rare = rows.select("row_", F.explode("rare_").alias("word")).join(table, "word", "left").groupBy("row_").agg(F.sum(log).alias("joined_"))
+    total = F.col("sum_") + (F.col("known_") + F.coalesce("joined_", F.lit(0))) / UNIT
+    out = rows.drop("rare_").join(rare, "row_", "left").withColumn("log_likelihood", total)
+    out = out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    return out.select(*[base.columns[i] for i in kept], *names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_likelihood, per_word of every whole text, by a network trained on all of them."""
-    return score(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs)).select("doc_id", "n_words", "log_likelihood", "per_word")
+    return score(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs), keep_text=False)

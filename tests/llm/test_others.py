@@ -211,6 +211,25 @@ def test_lm_equals_a_loop_over_words(spark):
     assert lmscore.digest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [lmscore.FREQUENT, 1])
+def test_words_of_one_bucket_have_own_probabilities(spark, monkeypatch, frequent):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    (h, _), by = next(lmscore.words_of(pa.array([" ".join(f"w{i}" for i in range(3000))]))), {}
+    for i, x in enumerate(h.tolist()):
+        by.setdefault(x >> 40 & lmscore.BUCKETS - 1, []).append(f"w{i}")
+    often, junk = next(x for x in by.values() if len(x) == 2)
+    df = spark.createDataFrame([(i, often) for i in range(30)] + [(99, junk)], "doc_id long, text string")
+    m = lmscore.fit(df)
+    ask = spark.createDataFrame([(0, often), (1, junk), (2, f"{often} {junk}"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.score(ask, m).collect()}
+    assert abs(got[0].log_likelihood - got[1].log_likelihood - math.log(30)) < 1e-6
+    assert got[2].n_words == 2 and got[3].log_likelihood == 0 and got[0].text == often
+    alone = lmscore.log_probabilities(m, *next(lmscore.words_of(pa.array([often]))))[0]
+    assert abs(np.exp(got[0].log_likelihood) + np.exp(got[1].log_likelihood) - np.exp(alone)) < 1e-6
+
+
 def test_every_word_trains_once():
     rows = np.array([0, 5, 5, 6, 38, 41])
     for rounds in (1, lmscore.ROUNDS, 3):
