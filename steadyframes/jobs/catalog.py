@@ -561,15 +561,13 @@ def p8_j7_p9_warp_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c7_search_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = {"phase_correlate": [False], "threshold": [0.02, 0.05], "smallest_fraction": [0.8], "max_displacement": [10.0]}
-    found = search.search_align(_frames(spark, sf_dir), search.aligner_grid(spark, lists), crop=8)
+    found = search.search_align(_frames(spark, sf_dir), search.aligner_grid(spark), crop=8)
     return found.select("combo_id", "video_id", "frames", _r("ratio", 3).alias("ratio"))
 
 
 @query()
 def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = {"lag": [3], "memory": [2], "lam": [4.0, 8.0], "min_disp": [16.0], "max_disp": [64.0], "min_decay": [0.95], "max_decay": [0.7]}
-    found = search.search_smoother(_frames(spark, sf_dir), search.smoother_grid(spark, lists), AlignParams(), crop=8)
+    found = search.search_smoother(_frames(spark, sf_dir), search.smoother_grid(spark), AlignParams(), crop=8)
     return found.select("combo_id", "video_id", "frames", _r("ratio", 3).alias("ratio"))
 
 
