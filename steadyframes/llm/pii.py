@@ -266,14 +266,15 @@ class Field:
 
     def scores(self, word: str) -> np.ndarray:
         """What a word adds to the labels of itself, of the word after it and of the word before it: 3 x labels."""
-        s = shape(word) if len(word) < 64 else "long"
-        key = (s, _bare(word) if len(word) < 8 else "", len(_digits(word)))
+        s, b = shape(word), _bare(word)
+        key = (s, shape(b), b if b in self.lexicon else "", min(len(_digits(word)), 20))
         got = self.known.get(key)
         if got is None:
-            ids = self.ids(word[:256])
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[key] = np.stack([self.weights[side][ids].sum(0) for side in range(3)])
+            got = np.stack([self.weights[side][self.ids(word)].sum(0) for side in range(3)])
+            if len(s) <= 256:  # longer shapes are worked out each time, to bound memory
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[key] = got
         return got
 
 

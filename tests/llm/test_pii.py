@@ -76,3 +76,16 @@ def test_redact_and_clashing_names(spark):
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == [(1, "to [EMAIL], bye", "x"), (2, None, "y")]
     assert pii.digest(df.where("false")).count() == 0
+
+
+def test_long_words_have_scores_of_their_own_in_any_order():
+    import numpy as np
+
+    from steadyframes.llm import pii
+
+    f = pii.field()
+    words = ["https://example.org/" + "path/" * 20, "a" * 70 + "@host", "x" * 300 + "@mail.example.org", "(" * 80 + "AbC", "..........(at).........."]
+    for order in (words, words[::-1]):
+        f.known.clear()
+        for w in order:
+            assert (f.scores(w) == np.stack([f.weights[side][f.ids(w)].sum(0) for side in range(3)])).all(), w
