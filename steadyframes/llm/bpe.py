@@ -4,7 +4,8 @@ The merges (ranks of byte strings) are compiled into a trie of tokens and a test
 side in a result of the merges. The transducer reads bytes. Its state holds the places from which a token may still
 begin or run on, each with the token before it; every byte says which token would end the result there, and tokens
 are emitted once all places agree on them, by a bounded look back. States and moves are made when first met, and kept up to
-MAX_STATES; then they are dropped and made anew, so memory stays bounded.
+MAX_STATES; then they are dropped and made anew, so memory stays bounded. All pre-tokens that a block has anew go
+through the transducer side by side, a byte of each at a time; one longer than the look back goes alone.
 
 Decoding joins tokens' bytes through an incremental UTF-8 state machine whose state is the pending bytes of an
 unfinished character; malformed bytes become U+FFFD.
@@ -28,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, ragged, small_batches, span_hashes
+from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, ragged, small_batches
 
-MAX_STATES = 150_000
-MAX_PIECES = 600_000
+MAX_STATES = 300_000
+MAX_PAIRS = 600_000
+#: Pieces and pre-tokens that a worker remembers; the longer ones are encoded anew.
+MAX_PIECES, MAX_WORDS, REMEMBERED = 400_000, 300_000, 64
+DECODE_BYTES = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,7 +100,7 @@ class Merges:
         key = (left, right)
         if (known := self.pairs.get(key)) is not None:
             return known
-        if len(self.pairs) > MAX_PIECES:
+        if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
         a, b, limit, apart = left, right, 1 << 62, True
         while True:
@@ -116,6 +120,43 @@ class Merges:
         return apart
 
 
+class Moves:
+    """(state, byte) -> (next state, token), in open addressing, so that many are looked up in one step."""
+
+    def __init__(self, room: int = 1 << 16):
+        self.keys, self.to, self.said, self.used = np.full(room, -1, np.int64), np.zeros(room, np.int32), np.zeros(room, np.int32), 0
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        return (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, -1 where it is not there."""
+        at = self._place(keys)
+        got = self.keys[at]
+        left = np.flatnonzero(got != keys)
+        while len(left):
+            left = left[got[left] >= 0]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            got[left] = self.keys[at[left]]
+            left = left[got[left] != keys[left]]
+        at[got != keys] = -1
+        return at
+
+    def put(self, key: int, to: int, said: int) -> None:
+        if 2 * self.used > len(self.keys):
+            old = [x[self.keys >= 0].tolist() for x in (self.keys, self.to, self.said)]
+            self.__init__(4 * len(self.keys))
+            for k, t, x in zip(*old, strict=True):
+                self.put(k, t, x)
+        room = len(self.keys) - 1
+        at = (key * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) & room
+        while self.keys[at] >= 0:
+            at = (at + 1) & room
+        self.keys[at], self.to[at], self.said[at] = key, to, said
+        self.used += 1
+
+
 class Transducer:
     """The lazily determinised transducer over one pre-token's bytes.
 
@@ -131,12 +172,14 @@ class Transducer:
         self.step = {node << 8 | b: child for node, kids in enumerate(merges.children) for b, child in kids.items()}
         self.inner = [bool(kids) for kids in merges.children]
         self.length = {r: len(w) for r, w in merges.bytes_of.items()}
+        self.lengths = np.ones(max(self.length) + 1, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[tuple[tuple[int, int], ...], int] = {}
         self.states: list[tuple[tuple[int, int], ...]] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves = Moves()
         self._state(((0, -1),))
 
     def _state(self, places: tuple[tuple[int, int], ...]) -> int:
@@ -159,9 +202,67 @@ class Transducer:
                         found = token
         if found >= 0:
             live.append((0, found))
-        got = self.moves[state << 8 | byte] = self._state(tuple(live)), found
+        got = self._state(tuple(live)), found
+        self.moves.put(state << 8 | byte, *got)
         return got
 
+    def moved(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and the tokens that end there; moves that are not known yet are made."""
+        keys = state << 8 | byte
+        at = self.moves.find(keys)
+        if (at < 0).any():
+            for k in dict.fromkeys(keys[at < 0].tolist()):
+                self._move(k >> 8, k & 255)
+            at = self.moves.find(keys)
+        return self.moves.to[at].astype(np.int64), self.moves.said[at]
+
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of distinct pre-tokens, one pre-token's after another's, and how many each has."""
+        alone = {}
+        for i, w in enumerate(words):
+            whole = self.m.ranks.get(w)
+            if whole is not None or len(w) >= self.LOOK_BACK or not w:
+                alone[i] = [whole] if whole is not None else self.encode(w)
+        rest = [i for i in range(len(words)) if i not in alone]
+        rest.sort(key=lambda i: -len(words[i]))
+        size = np.array([len(words[i]) for i in rest], np.int64)
+        begin = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8).astype(np.int64)
+        if len(self.states) > MAX_STATES:
+            self._clear()
+        ends, state = np.zeros(len(buf), np.int32), np.zeros(len(rest), np.int64)
+        for depth in range(int(size[0]) if len(rest) else 0):
+            live = int(np.searchsorted(-size, -depth, "left"))  # the longer ones stand first
+            state = state[:live]
+            if len(self.states) > 2 * MAX_STATES:
+                own, state = np.unique(state, return_inverse=True)
+                keep = [self.states[k] for k in own.tolist()]
+                self._clear()
+                state = np.array([self._state(k) for k in keep], np.int64)[state]
+            state, ends[begin[:live] + depth] = self.moved(state, buf[begin[:live] + depth])
+        count, steps = np.zeros(len(rest), np.int64), []
+        at, live = size.copy(), np.arange(len(rest))
+        while len(live):
+            token = ends[begin[live] + at[live] - 1]
+            if (token < 0).any():
+                raise ValueError("the vocabulary lacks a byte of this text")
+            steps.append((live, token))
+            count[live] += 1
+            at[live] -= self.lengths[token]
+            live = live[at[live] > 0]
+        counts = np.zeros(len(words), np.int64)
+        counts[rest] = count
+        for i, ids in alone.items():
+            counts[i] = len(ids)
+        first = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint32)
+        last = first[rest] + count - 1
+        for k, (live, token) in enumerate(steps):
+            out[last[live] - k] = token
+        for i, ids in alone.items():
+            out[first[i] : first[i] + len(ids)] = ids
+        return out, counts
+
     def _back(self, ends: list[int], at: int) -> list[int]:
         """Tokens of the result for the first `at` bytes."""
         out = []
@@ -189,15 +290,16 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._clear()
-        state, out, moves, ends = 0, [], self.moves, []
+        state, out, moves, ends = 0, [], {}, []
         for b in word:
             got = moves.get(state << 8 | b)
             if got is None:
                 if len(self.states) > 2 * MAX_STATES:  # in the midst of one very long pre-token
                     keep = self.states[state]
                     self._clear()
-                    moves, state = self.moves, self._state(keep)
-                got = self._move(state, b)
+                    moves, state = {}, self._state(keep)
+                at = int(self.moves.find(np.array([state << 8 | b]))[0])
+                got = moves[state << 8 | b] = self._move(state, b) if at < 0 else (int(self.moves.to[at]), int(self.moves.said[at]))
             state, token = got
             ends.append(token)
             if len(ends) == self.LOOK_BACK:
@@ -207,26 +309,24 @@ class Transducer:
 
 
 class StreamDecoder:
-    """Token ids in, text out: whole characters leave at once, an unfinished one waits in the state."""
+    """Token ids in, text out: whole characters leave at once, an unfinished one waits in the machine's state."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.memo, self.pending = bytes_of, {}, b""
+        strings = [b""] * (max(bytes_of) + 1)
+        for i, w in bytes_of.items():
+            strings[i] = w
+        self.bytes_of = Strings(strings)
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: int) -> str:
-        key = (self.pending, token)
-        got = self.memo.get(key)
-        if got is None:
-            machine = codecs.getincrementaldecoder("utf-8")("replace")
-            text = machine.decode(self.pending + self.bytes_of[token])
-            got = (text, machine.getstate()[0])
-            if len(self.memo) > MAX_PIECES:
-                self.memo.clear()
-            self.memo[key] = got
-        self.pending = got[1]
-        return got[0]
+    def feed(self, *tokens: int) -> str:
+        return self.machine.decode(self.bytes_of.gather(np.array(tokens, np.int64))[0].tobytes())
+
+    def feed_bytes(self, data: bytes | memoryview) -> str:
+        return self.machine.decode(data)
 
     def finish(self) -> str:
-        rest, self.pending = self.pending.decode("utf-8", "replace"), b""
+        rest = self.machine.decode(b"", True)
+        self.machine.reset()
         return rest
 
 
@@ -238,46 +338,84 @@ class Coder:
         self.transducer = Transducer(self.merges)
         self.pattern = regex.compile(pattern)
         self.decoder = StreamDecoder(self.merges.bytes_of)
-        self.known: dict[bytes, list[int]] = {}
+        self.said = Strings([b"%d " % i for i in range(max(ranks.values()) + 1)])
+        self.pieces, self.words = Pool(MAX_PIECES), Pool(MAX_WORDS)
 
-    def word_ids(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > MAX_PIECES:
-                self.known.clear()
-            got = self.known[word] = self.transducer.encode(word)
-        return got
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after another, and how many each has."""
+        number = self.words.numbers(words, self.transducer.encode_many)
+        return self.words.gather(number), self.words.count[number]
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of ``chunk_spans``, one after another, and how many each has.
+
+        Pieces that begin with white space and end without are split together, as no match crosses from one to
+        the next; the others by themselves.
+        """
+        joined = [i for i, p in enumerate(pieces) if p and WHITE[p[0]] and 32 < p[-1] < 127]
+        taken = set(joined)
+        order = joined + [i for i in range(len(pieces)) if i not in taken]
+        find = self.pattern.findall
+        words = [w.encode() for w in find(b"".join([pieces[i] for i in joined]).decode())]
+        for i in order[len(joined) :]:
+            words += [w.encode() for w in find(pieces[i].decode())]
+        flat, counts = self._words(words)
+        # Where each piece's words end, by bytes, and their ids with them.
+        past = np.cumsum([len(w) for w in words])
+        over = np.cumsum([len(pieces[i]) for i in order])
+        last = np.searchsorted(past, over, "right") if len(words) else np.zeros(len(order), np.int64)
+        ids = np.concatenate(([0], np.cumsum(counts)))[last]
+        own = np.zeros(len(pieces), np.int64)
+        own[order] = np.diff(ids, prepend=0)
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = ids - own[order]
+        return flat[ragged(begin, own)], own
+
+    def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block of rows, and each row's place in them."""
+        starts, ends, rows = chunk_spans(buf, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), rows
+        first, inverse = distinct_spans(buf, starts, ends)
+        data = buf.tobytes()
+        short = ends[first] - starts[first] < REMEMBERED
+        pieces = [data[a:b] for a, b in zip(starts[first[short]].tolist(), ends[first[short]].tolist(), strict=True)]
+        number = self.pieces.numbers(pieces, self.encode_pieces)
+        flat, counts = self.pieces.pool, np.zeros(len(first), np.int64)
+        begin = np.zeros(len(first), np.int64)
+        begin[short], counts[short] = self.pieces.begin[number], self.pieces.count[number]
+        if not short.all():
+            long = first[~short]
+            more, own = self.encode_pieces([data[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+            flat = np.concatenate([flat[: self.pieces.used], more])
+            begin[~short], counts[~short] = self.pieces.used + np.cumsum(own) - own, own
+        each = counts[inverse]
+        return flat[ragged(begin[inverse], each)], np.concatenate(([0], np.cumsum(each)))[rows]
 
     def ids(self, text: str) -> list[int]:
-        """Ids of a text, pre-token by pre-token."""
-        words = self.pattern.findall(text)
-        if len(words) == 1:
-            return self.word_ids(words[0].encode())
-        out: list[int] = []
-        for word in words:
-            out += self.word_ids(word.encode())
-        return out
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.block(raw, np.array([0, len(raw)]))[0].tolist()
 
     def text(self, ids: list[int]) -> str:
-        return "".join([*map(self.decoder.feed, ids), self.decoder.finish()])
-
-    def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Ids of each distinct piece, for each piece the number of its distinct one, and the rows' places."""
-        starts, ends, rows = chunk_spans(buf, offsets)
-        first, inverse = distinct(span_hashes(buf, starts, ends))
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
-        data, known, out = buf.tobytes(), self.known, []
-        for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
-            piece = data[s:e]
-            got = known.get(piece)
-            if got is None:
-                got = self.ids(piece.decode())
-                if e - s < 64:
-                    known[piece] = got
-            out.append(got)
-        return out, inverse, rows
+        return self.decoder.feed(*ids) + self.decoder.finish()
+
+    def said_digests(self, ids: np.ndarray, rows: np.ndarray) -> list[str]:
+        """Of each row's ids as decimal numbers with one space between."""
+        data, at = self.said.gather(ids)
+        view, at = memoryview(data), at[rows].tolist()
+        return [hashlib.sha256(view[a : b - 1] if b > a else b"").hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def decoded_digests(self, ids: np.ndarray, rows: np.ndarray) -> list[str]:
+        """Of the UTF-8 bytes of the text that each row's ids decode to."""
+        data, at = self.decoder.bytes_of.gather(ids)
+        view, at, out = memoryview(data), at[rows].tolist(), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            sha = hashlib.sha256()
+            for k in range(a, b, DECODE_BYTES):
+                sha.update(self.decoder.feed_bytes(view[k : min(b, k + DECODE_BYTES)]).encode())
+            sha.update(self.decoder.finish().encode())
+            out.append(sha.hexdigest())
+        return out
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -292,6 +430,13 @@ def coder(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
+def _lists(arrays: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """Rows of ids from blocks of (ids, places of rows)."""
+    ids = np.concatenate([x for x, _ in arrays]) if arrays else np.zeros(0, np.uint32)
+    counts = np.concatenate([np.diff(rows) for _, rows in arrays]) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.astype(np.int32)))
+
+
 def encode_column(df: DataFrame, text: str, path: str, pattern: str, out: str = "token_ids", back: str | None = None) -> DataFrame:
     """Add the token ids of a text column as array<int>; back: also the text decoded from them. Null: no tokens."""
 
@@ -300,12 +445,8 @@ def encode_column(df: DataFrame, text: str, path: str, pattern: str, out: str =
 
         c = coder(path, pattern)
         for series in texts:
-            ids, decoded = [], []
-            for t in series:
-                got = c.ids(t) if t else []
-                ids.append(got)
-                decoded.append(c.text(got))
-            yield pd.DataFrame({"ids": ids, "back": decoded})
+            ids = [x for _, _, buf, offsets in blocks(pa.array(series, pa.large_string(), from_pandas=True)) for x in _lists([c.block(buf, offsets)]).to_pylist()]
+            yield pd.DataFrame({"ids": ids, "back": [c.text(x) for x in ids]})
 
     udf = F.pandas_udf(run, "ids array<int>, back string", PandasUDFType.SCALAR_ITER)
     cols = df.withColumn("__bpe", udf(F.col(text)))
@@ -322,19 +463,9 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             arrays, digests_ = [], []
             for _, _, buf, offsets in blocks(batch.column(batch.num_columns - 1)):
-                ids, inverse, rows = c.pieces(buf, offsets)
-                counts = np.array([len(x) for x in ids], np.int64)
-                flat = np.array([i for x in ids for i in x], np.int32)
-                begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-                out = flat[ragged(begin[inverse], counts[inverse])] if len(inverse) else np.zeros(0, np.int32)
-                ends = np.concatenate(([0], np.cumsum(counts[inverse]))).astype(np.int64)[rows] if len(inverse) else np.zeros(len(rows), np.int64)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32())))
-                decoded = [c.text(x).encode() for x in ids]
-                order = inverse.tolist()
-                digests_ += [hashlib.sha256(b"".join([decoded[i] for i in order[a:b]])).hexdigest() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
-            tokens = pa.chunked_array(arrays, pa.list_(pa.int32())).combine_chunks()
-            if isinstance(tokens, pa.ChunkedArray):
-                tokens = pa.array([], pa.list_(pa.int32())) if not tokens.num_chunks else tokens.chunk(0)
+                arrays.append(c.block(buf, offsets))
+                digests_ += c.decoded_digests(*arrays[-1])
+            tokens = _lists(arrays)
             n = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, tokens, pa.array(digests_, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "token_ids", "decoded_sha256"])
 
@@ -350,19 +481,13 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:
-            out = []
+            n, said, decoded = [np.zeros(0, np.int64)], [], []
             for _, _, buf, offsets in blocks(batch.column(1)):
-                ids, inverse, rows = c.pieces(buf, offsets)
-                counts = np.array([len(x) for x in ids], np.int64)
-                sums = np.concatenate(([0], np.cumsum(counts[inverse]))) if len(inverse) else np.zeros(1, np.int64)
-                said = [" ".join(map(str, x)).encode() for x in ids]
-                decoded = [c.text(x).encode() for x in ids]
-                order = inverse.tolist()
-                for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-                    part = order[a:b]
-                    out.append((int(sums[b] - sums[a]), hashlib.sha256(b" ".join([said[i] for i in part])).hexdigest(), hashlib.sha256(b"".join([decoded[i] for i in part])).hexdigest()))
-            n, h, d = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, rows = c.block(buf, offsets)
+                n.append(np.diff(rows))
+                said += c.said_digests(ids, rows)
+                decoded += c.decoded_digests(ids, rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

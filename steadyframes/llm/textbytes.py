@@ -10,14 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 2 << 20
 ROWS_PER_BATCH = 2000
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
+_TWEAK, _LENGTHS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: For 0 to 8 bytes, a mask of that many low ones.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -79,39 +82,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def _words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 8,), "<u8", padded, strides=(1,))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = BLOCK) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand. Spans ascend."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(ends, starts[at] + window, "right")))
-        a, b = int(starts[at]), int(ends[end - 1])
-        if b - a > window:  # one very long span: hash by pieces, to bound memory
-            total, shift = 0, 1
-            for p in range(a, b, window):
-                up, _ = _powers(window)
-                part = buf[p : min(b, p + window)]
-                total = (total + shift * int(((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
-                shift = shift * pow(_MULTIPLIER, len(part), 1 << 64) % (1 << 64)
-            out[at] = total
-        else:
-            up, down = _powers(window)
-            sums = np.empty(b - a + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1:])
-            s = starts[at:end] - a
-            out[at:end] = (sums[ends[at:end] - a] - sums[s]) * down[s]
-        at = end
-    return mix(out ^ (ends - starts).astype(np.uint64))
+def _long_hash(at: np.ndarray, start: int, end: int, window: int) -> int:
+    """Of one span, by windows, so that memory stays bounded."""
+    total = 0
+    for p in range(start, end, 8 * window):
+        place = np.arange(p, min(end, p + 8 * window), 8)
+        word = at[place] & _LOW_BYTES[np.minimum(end - place, 8)]
+        total += int(mix(word + ((place - start) // 8 + 1).astype(np.uint64) * _TWEAK).sum(dtype=np.uint64))
+    return total % (1 << 64)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = BLOCK // 8) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand.
+
+    Every eight bytes are mixed with their place before they are summed, so no arrangement of bytes cancels out as it
+    can in a polynomial modulo a power of two. Hashes of unlike spans are equal by chance only.
+    """
+    lengths = ends - starts
+    at = _words_at(buf)
+    out = mix((at[starts] & _LOW_BYTES[np.minimum(lengths, 8)]) + _TWEAK)
+    left = np.flatnonzero((lengths > 8) & (lengths <= LONG_SPAN))
+    done = 8
+    while len(left):
+        place = starts[left] + done
+        done += 8
+        out[left] += mix((at[place] & _LOW_BYTES[np.minimum(ends[left] - place, 8)]) + np.uint64(done // 8 * int(_TWEAK) % (1 << 64)))
+        left = left[lengths[left] > done]
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        out[i] = _long_hash(at, int(starts[i]), int(ends[i]), window)
+    return mix(out ^ lengths.astype(np.uint64) * _LENGTHS)
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each distinct span, ascending, and for each span the number of its distinct one.
+
+    Spans of equal hashes are compared byte by byte with the first of them; where they differ, all spans are told
+    apart by their bytes.
+    """
+    first, inverse = distinct(span_hashes(buf, starts, ends))
+    lengths, like = ends - starts, starts[first][inverse]
+    same = np.array_equal(lengths, lengths[first][inverse])
+    if same:
+        at = _words_at(buf)
+        left, done = np.flatnonzero((like != starts) & (lengths <= LONG_SPAN)), 0
+        while same and len(left):
+            low = _LOW_BYTES[np.minimum(lengths[left] - done, 8)]
+            same = not (((at[starts[left] + done] ^ at[like[left] + done]) & low) != 0).any()
+            done += 8
+            left = left[lengths[left] > done]
+        for i in np.flatnonzero((like != starts) & (lengths > LONG_SPAN)).tolist():
+            same = same and np.array_equal(buf[starts[i] : ends[i]], buf[like[i] : like[i] + lengths[i]])
+    if same:
+        return first, inverse
+    number: dict[bytes, int] = {}
+    data = buf.tobytes()
+    inverse = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return distinct(inverse.astype(np.uint64))
 
 
 def chunk_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,11 +174,10 @@ def chunk_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of each distinct value, ascending, and for each value the number of its distinct one."""
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    order = np.argsort(first)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return first[order], rank[inverse]
+    inverse, values = pd.factorize(hashes)
+    first = np.empty(len(values), np.int64)
+    first[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)
+    return first, inverse.astype(np.int64)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -155,3 +187,71 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return shift + np.arange(total)
+
+
+class Pool:
+    """Number sequences by byte string, as a worker's memory of what it has encoded.
+
+    Beyond `most` entries the half that was not used for longest goes, so frequent ones are not learnt again.
+    """
+
+    def __init__(self, most: int, dtype: type = np.uint32):
+        self.most, self.clock = most, 0
+        self.number: dict[bytes, int] = {}
+        self.begin, self.count, self.stamp = (np.zeros(1 << 10, np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 12, dtype), 0
+
+    def add(self, words: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
+        """New words; flat has their sequences one after another."""
+        n = len(self.number)
+        while n + len(words) > len(self.begin):
+            self.begin, self.count, self.stamp = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.stamp))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.begin[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + len(words)] = counts
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def numbers(self, words: list[bytes], learn) -> np.ndarray:
+        """The words' numbers, good until the next call; learn(missing) gives sequences, one after another, and counts."""
+        self.clock += 1
+        if len(self.number) > self.most:
+            self._drop()
+        missing = [w for w in dict.fromkeys(words) if w not in self.number]
+        if missing:
+            self.add(missing, *learn(missing))
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.stamp[out] = self.clock
+        return out
+
+    def _drop(self) -> None:
+        n = len(self.number)
+        order = np.argsort(-self.stamp[:n], kind="stable")[: self.most // 2]
+        order.sort()
+        kept = np.zeros(n, bool)
+        kept[order] = True
+        words = [w for w, k in zip(self.number, kept.tolist(), strict=True) if k]
+        flat, counts, stamps = self.gather(order), self.count[order], self.stamp[order]  # copies
+        self.number, self.used = {}, 0
+        self.add(words, flat, counts)
+        self.stamp[: len(words)] = stamps
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The sequences one after another."""
+        return self.pool[ragged(self.begin[numbers], self.count[numbers])]
+
+
+class Strings:
+    """Byte strings by number, for gathering many at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.count = np.array([len(x) for x in strings], np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings one after another, and where each begins, with the end of the last."""
+        counts = self.count[numbers]
+        return self.data[ragged(self.begin[numbers], counts)], np.concatenate(([0], np.cumsum(counts)))
