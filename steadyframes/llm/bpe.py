@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, ragged, small_batches
+from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, ragged
 
 MAX_STATES = 300_000
 MAX_PAIRS = 600_000
@@ -469,7 +469,6 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, tokens, pa.array(digests_, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "token_ids", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
     base = docs.select(*kept, F.col("text").cast("string").alias("text"))
     extra = StructType.fromDDL("n_tokens long, token_ids array<int>, decoded_sha256 string")
     return base.mapInArrow(run, StructType(base.schema.fields[:-1] + extra.fields))
@@ -489,5 +488,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 decoded += c.decoded_digests(ids, rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

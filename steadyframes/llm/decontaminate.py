@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, small_batches, span_hashes, spans
+from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, span_hashes, spans
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -255,7 +255,6 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id: st
     names = ["n_words", "n_hit", "hit_words", "hit_items", "hit_bytes"]
     pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     spark = docs.sparkSession
-    small_batches(spark)
     out = docs.drop(*[c for c in docs.columns if c in names])
     kept = out.columns
     schema = StructType(out.schema.fields + StructType.fromDDL(extra).fields)

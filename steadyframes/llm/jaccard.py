@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadyframes.llm.components import components, cut_lineage
-from steadyframes.llm.textbytes import LOWER, WHITE, blocks, mix, small_batches, span_hashes, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, blocks, mix, span_hashes, spans
 
 BAND_RATIO = 1.5
 BLOCK_SETS, BLOCK_BYTES = 256, 16 << 20
@@ -161,7 +161,6 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent:
 def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; rows link when 100 |a & b| >= percent |a | b|."""
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def describe(batches):

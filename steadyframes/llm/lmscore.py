@@ -21,16 +21,15 @@ counts as half a one of its bucket.
 from __future__ import annotations
 
 import dataclasses
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.components import cut_lineage
-from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, small_batches, span_hashes, spans
+from steadyframes.llm.components import new_folder
+from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, span_hashes, spans
 
 BUCKETS, CLASSES, INPUTS = 1 << 15, 128, 1 << 12
 DIM, HIDDEN, WINDOW = 16, 32, 2
@@ -180,15 +179,8 @@ def chosen(rows: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(inside % rounds == turn)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new one below the checkpoint folder."""
-    cut_lineage(spark.range(1))  # sets the folder where the session names none
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(text).cast("string").alias("text"))
 
     def count(batches):
@@ -211,7 +203,7 @@ def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
         if held:
             yield flush()
 
-    folder = _folder(spark, "words")
+    folder = new_folder(spark, "words")
     base.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(folder)
     table = spark.read.schema("word long, n long").parquet(folder)
     bucket = F.shiftrightunsigned("word", 40).bitwiseAND(BUCKETS - 1).alias("bucket")
@@ -269,7 +261,6 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool
     null without words). The rows lie in files below the checkpoint folder till the counts of rare words are joined."""
     names = ["n_words", "log_likelihood", "per_word"]
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.drop(*[c for c in docs.columns if c in names])
     place = base.columns.index(text)
     kept = [i for i in range(len(base.columns)) if keep_text or i != place]
@@ -290,7 +281,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *more], names=[*[batch.schema.names[i] for i in kept], "n_words", "sum_", "known_", "rare_"])
 
     extra = StructType.fromDDL("n_words long, sum_ double, known_ long, rare_ array<long>").fields
-    folder = _folder(spark, "scores")
+    folder = new_folder(spark, "scores")
     base.mapInArrow(run, StructType([base.schema.fields[i] for i in kept] + extra)).withColumn("row_", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     rows = spark.read.parquet(folder)
     table = spark.read.schema("word long, n long").parquet(model.words)

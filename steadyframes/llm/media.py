@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -21,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.components import cut_lineage
-from steadyframes.llm.textbytes import blocks, small_batches
+from steadyframes.llm.components import new_folder
+from steadyframes.llm.textbytes import blocks
 
 PAD = 64
 TILE = 16
@@ -153,7 +152,6 @@ def tiles(df: DataFrame, *, content: str = "content", size: int = 64, tile: int
     content can't be read.
     """
     names = ["width", "height", "dhash", "tile_y", "tile_x", "tile", "error"]
-    small_batches(df.sparkSession)
     base = df.drop(*[c for c in df.columns if c in names])
     place = base.columns.index(content)
     kept = [i for i in range(len(base.columns)) if keep or i != place]
@@ -188,7 +186,6 @@ def tiles(df: DataFrame, *, content: str = "content", size: int = 64, tile: int
 def text_media(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: each whole text's UTF-8 bytes, padded by 0 to a positive multiple of 64, as a raw gray
     Netpbm image of 64 pixels a row."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -217,7 +214,6 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
 def features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the digests of the stored bytes as read back; feature: difference hash, and the crc32 of the
     NPY tile. Media that can't be decoded, or whose tile or hash isn't the stored one, stop the query."""
-    small_batches(media.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -240,7 +236,6 @@ def features(media: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """The texts as media in files below the checkpoint folder, and the digests of what is read back from there."""
     spark = docs.sparkSession
-    cut_lineage(spark.range(1))  # sets the folder where the session names none
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/media-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "media")
     store(docs, folder)
     return features(stored(spark, folder))

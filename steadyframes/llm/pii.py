@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct, small_batches, span_hashes, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct, span_hashes, spans
 
 KINDS = ("email", "ip", "card", "phone")
 MARGIN = 2.0
@@ -458,7 +458,6 @@ def annotate(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """All columns and pii: array of (kind, start, end, base), and redacted: the text with each span as [KIND]."""
     names = ["pii", "redacted"]
     kept = docs.drop(*[c for c in docs.columns if c in names])
-    small_batches(docs.sparkSession)
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches):
@@ -493,7 +492,6 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256 and spans."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

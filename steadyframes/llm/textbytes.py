@@ -2,7 +2,7 @@
 
 All operators that read whole texts use these helpers inside Spark tasks: rows come in blocks of a few
 megabytes, words are runs of bytes found by masks, and equal words are found by 64-bit hashes. Memory is
-bounded by the block, or by one text where that is longer.
+bounded by the block, or by one text where that is longer; Spark bounds the Arrow batch around it by bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 2 << 20
-ROWS_PER_BATCH = 2000
 #: Spans of more bytes are hashed one by one.
 LONG_SPAN = 256
 _TWEAK, _LENGTHS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -32,12 +31,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def small_batches(spark) -> None:
-    """Long texts: bound Arrow batches by bytes, so a Python worker holds little at a time."""
-    for key, value in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", 4 * BLOCK)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
-
-
 def blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from steadyframes.llm.bpe import read_ranks
-from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, mix, small_batches, span_hashes
+from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, mix, span_hashes
 
 UNIT = 1 << 20
 #: Entries of every length count.
@@ -114,7 +114,6 @@ def vocabulary(path: str) -> Vocabulary:
 def count_column(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """All columns and n_pretokens, n_tokens, score (sum of log-probabilities in units of 2^-20)."""
     names = ["n_pretokens", "n_tokens", "score"]
-    small_batches(docs.sparkSession)
     base = docs.drop(*[c for c in docs.columns if c in names])
     place = base.columns.index(text)
 

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from steadyframes.llm.components import cut_lineage
-from steadyframes.llm.textbytes import small_batches
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -101,7 +100,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls: conv_id, call_id, position, name, arguments (JSON), needs (array of call_id). results: conv_id, call_id,
     position, content. status: ok, invalid, unanswered, repeated or cycle, the last that holds of these.
     """
-    small_batches(calls.sparkSession)
     calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), F.col("position").cast("long").alias("position"), "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
     # The first row of each identifier, by an aggregate that combines before the shuffle.
     first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("position", "name", "arguments", "needs")).alias("f"))
