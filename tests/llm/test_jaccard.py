@@ -48,40 +48,82 @@ def corpus(seed, n=120):
 @pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 256), (5, 80, 256), (3, 90, 4), (3, 60, 8)])
 def test_components_equal_brute_force(spark, monkeypatch, words, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "GROUP", 2 if block < 10 else 32)
     rows = corpus(words * percent + block)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y")
     got = jaccard.link(df, words=words, percent=percent).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows, words, percent)
 
 
-def test_every_allocation_catches_every_similar_pair():
-    rng = np.random.default_rng(4)
+def similar_pairs(seed=4, n=300):
+    rng = np.random.default_rng(seed)
     for percent in (80, 90):
-        for _ in range(300):
-            n = int(rng.integers(2, 90))
-            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for _ in range(n):
+            size = int(rng.integers(2, 90))
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
             b = a[rng.random(len(a)) > rng.random() * 0.2]
             b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 6))).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
-                continue
-            lows = jaccard.bands(percent, 200)
-            for k in (0, 1, 99):
-                plan = []
-                for i, (low, end) in enumerate(zip(lows, lows[1:], strict=False)):
-                    d = jaccard.largest_difference(end - 1, percent)
-                    loose = min(k, (d + 1) // 2)
-                    if d:
-                        plan.append((low, (end - 1) * 100 // percent, loose, max(0, d + 1 - 2 * loose), i))
-                if (a.tolist() != b.tolist()):
-                    for seed in (0, 1):
-                        assert len(np.intersect1d(jaccard.signatures(a, plan, seed), jaccard.signatures(b, plan, seed)))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                yield percent, a, b
+
+
+def test_every_allocation_catches_every_similar_pair():
+    rng = np.random.default_rng(5)
+    levels = [np.zeros(1 << jaccard.COUNTER_BITS, np.uint8), rng.integers(0, 9, 1 << jaccard.COUNTER_BITS).astype(np.uint8)]
+    for percent, a, b in similar_pairs():
+        if a.tolist() == b.tolist():
+            continue
+        lows = jaccard.bands(percent, 200)
+        for k in (0, 1, 99):
+            plan = []
+            for i, (low, end) in enumerate(zip(lows, lows[1:], strict=False)):
+                d = jaccard.largest_difference(end - 1, percent)
+                loose = min(k, (d + 1) // 2)
+                emit = max(0, d + 1 - 2 * loose)
+                if d:
+                    plan.append((low, (end - 1) * 100 // percent, loose, emit, emit * 3 // 2, i))
+            for level in levels:
+                assert len(np.intersect1d(jaccard.signatures(a, plan, level), jaccard.signatures(b, plan, level)))
+
+
+def test_parities_never_overstate_a_difference():
+    for _, a, b in similar_pairs(6):
+        assert jaccard.least_difference(jaccard.parities(a), jaccard.parities(b)) <= len(np.setxor1d(a, b))
+        assert jaccard.least_difference(jaccard.parities(a), jaccard.parities(a[: len(a) // 3])) <= len(a) - len(a) // 3
+
+
+def test_groups_of_any_size_stay_together(monkeypatch):
+    """Whatever tasks the classes of a signature are dealt to, candidates connect all of them."""
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    rng = np.random.default_rng(7)
+    for n in (2, 3, 4, 7, 12, 40):
+        for tasks in (1, 2, 5):
+            owner = rng.integers(0, tasks, n)
+            got = [jaccard.combined(np.full(int((owner == t).sum()), 9, np.uint64), np.flatnonzero(owner == t) + 100) for t in range(tasks)]
+            sig, a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+            link = (b != -1) & (b != a)
+            assert (sig[~link] == 9).all()
+            x, y, sure = jaccard.met(sig[~link], a[~link], (b != -1)[~link])
+            root = {i: i for i in range(100, 100 + n)}
+
+            def find(i, root=root):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for p, q in [*zip(a[link].tolist(), b[link].tolist(), strict=True), *zip(x.tolist(), y.tolist(), strict=True)]:
+                root[find(p)] = find(q)
+            assert len({find(i) for i in root}) == 1
+            if n <= 3:
+                assert len(x) == n * (n - 1) // 2 and not sure.any()
 
 
 def test_allocation_follows_the_costs():
-    assert jaccard.allocate(5, 1000, 60.0, 1e-6) == (0, 6)
-    k, exact = jaccard.allocate(3, 10**9, 20.0, 0.3)
-    assert k > 0 and 2 * k + exact >= 4
+    k, emit, exact = jaccard.allocate(5, 1000, 60.0, 1e-6)
+    assert k == 0 and emit == 6 and exact > 6
+    k, emit, exact = jaccard.allocate(3, 10**9, 60.0, 0.3)
+    assert k > 0 and 2 * k + emit >= 4 and exact >= emit
 
 
 def test_components_of_a_star_a_path_and_none(spark):
