@@ -6,8 +6,9 @@ item. Where that length reaches the window, the words are hit; an item shorter t
 A filter drops stretches in which no window can lie (a word or a pair of neighbours that no item has), so the
 automaton steps only through the rest; the filter can let through too much, never too little.
 
-The items go to every worker. Their size is checked first: items are cut into shards of SHARD_WORDS words, and
-each shard is a pass of its own over the documents, so no worker holds more than one shard's automaton.
+The items go to every worker. Their size is checked first: items are dealt by a hash to shards of about SHARD_WORDS
+words, one shard at a time comes to the driver and is broadcast, and each is a pass of its own over the documents, so no
+worker holds more than one shard's automaton.
 
 Defined cases: null or empty texts have no words and no hits; items without words never match; items with the
 same id count once; no items: nothing is hit; repeated documents give repeated rows; columns named like an output
@@ -22,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StructType
 
 from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, span_hashes, spans
@@ -235,42 +235,41 @@ def _matcher(name: str, shared, window: int) -> Matcher:
     return _MATCHERS[name]
 
 
-def shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> list[list[tuple[str, str]]]:
-    """The items in lists of at most shard_words words (or one longer item); read one partition at a time."""
-    out, size = [[]], 0
+def _pieces(items: DataFrame, item_id: str, text: str, shard_words: int):
+    """The items in lists of about shard_words words, one list at a time on the driver."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
-    for r in rows.toLocalIterator():
-        n = len(r.t) // 2 + 1
-        if out[-1] and size + n > shard_words:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, r.t))
-        size += n
-    return out
+    size = rows.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0
+    many = int(size // shard_words) + 1
+    for k in range(many):
+        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(many)) == k).collect()], k == many - 1
 
 
-def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """All columns of docs and n_words, n_hit, hit_words (ranges of word numbers), hit_items, hit_bytes (ranges of UTF-8 bytes)."""
-    extra = "n_words long, n_hit long, hit_words array<struct<a:long,b:long>>, hit_items array<string>, hit_bytes array<struct<a:long,b:long>>"
-    names = ["n_words", "n_hit", "hit_words", "hit_items", "hit_bytes"]
-    pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    spark = docs.sparkSession
-    out = docs.drop(*[c for c in docs.columns if c in names])
-    kept = out.columns
-    schema = StructType(out.schema.fields + StructType.fromDDL(extra).fields)
-    lists = shards(items, item_id, text, shard_words)
-    for turn, part in enumerate(lists):
+HITS = "n_words long, n_hit long, hit_words array<struct<a:long,b:long>>, hit_items array<string>, hit_bytes array<struct<a:long,b:long>>"
+_PAIR = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _hit_columns(found: list[tuple]) -> list[pa.Array]:
+    five = list(zip(*found, strict=True)) if found else [()] * 5
+    ranges = [[[{"a": a, "b": b} for a, b in one] for one in five[k]] for k in (2, 4)]
+    return [pa.array(v, t) for v, t in zip((five[0], five[1], ranges[0], five[3], ranges[1]), (pa.int64(), pa.int64(), _PAIR, pa.list_(pa.string()), _PAIR), strict=True)]
+
+
+def _passes(docs: DataFrame, items: DataFrame, window: int, item_id: str, text: str, shard_words: int, finish, schema: StructType) -> DataFrame:
+    """finish(columns of docs, (n_words, n_hit, word ranges, item ids, byte ranges) of each row) gives the columns of schema.
+
+    What earlier shards hit is carried from pass to pass in two columns after those of docs; the last pass finishes.
+    """
+    spark, out, width, place = docs.sparkSession, docs, len(docs.columns), docs.columns.index(text)
+    carried = StructType(docs.schema.fields + StructType.fromDDL("hit_words__ array<struct<a:long,b:long>>, hit_items__ array<string>").fields)
+    for turn, (part, last) in enumerate(_pieces(items, item_id, text, shard_words)):
         shared = spark.sparkContext.broadcast(part)
 
-        def run(batches, name=uuid.uuid4().hex, shared=shared, turn=turn):
+        def run(batches, name=uuid.uuid4().hex, shared=shared, turn=turn, last=last):
             m = _matcher(name, shared, window)
             for batch in batches:
-                cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                before = list(zip(*[cols.pop(n).to_pylist() for n in ("hit_words", "hit_items")], strict=True)) if turn else None
-                for n in names:
-                    cols.pop(n, None)
+                before = list(zip(*[batch.column(width + k).to_pylist() for k in (0, 1)], strict=True)) if turn else None
                 rows_out = []
-                for first, _, buf, offsets in blocks(cols[text]):
+                for first, _, buf, offsets in blocks(batch.column(place)):
                     counts, found, starts, ends, rows = m.scan(buf, offsets)
                     for r, n in enumerate(counts.tolist()):
                         ranges, hit = found.get(r, ((), ()))
@@ -280,36 +279,42 @@ def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id: st
                             ids |= set(before[first + r][1])
                         ranges = union(ranges) if ranges else []
                         z, o = int(rows[r]), int(offsets[r])
-                        rows_out.append((n, sum(b - a for a, b in ranges), [{"a": a, "b": b} for a, b in ranges], sorted(ids), [{"a": int(starts[z + a]) - o, "b": int(ends[z + b - 1]) - o} for a, b in ranges]))
-                five = list(zip(*rows_out, strict=True)) if rows_out else [()] * 5
-                arrays = [pa.array(v, t) for v, t in zip(five, (pa.int64(), pa.int64(), pair, pa.list_(pa.string()), pair), strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols.values(), *arrays], names=[*cols, *names])
+                        rows_out.append((n, sum(b - a for a, b in ranges), ranges, sorted(ids), [(int(starts[z + a]) - o, int(ends[z + b - 1]) - o) for a, b in ranges]))
+                own = batch.columns[:width]
+                arrays = finish(own, rows_out) if last else [*own, *_hit_columns(rows_out)[2:4]]
+                yield pa.RecordBatch.from_arrays(arrays, names=(schema if last else carried).names)
+
+        out = out.mapInArrow(run, schema if last else carried)
+    return out
 
-        out = out.mapInArrow(run, schema)
-    return out.select(*kept, *names)
+
+def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """All columns of docs and n_words, n_hit, hit_words (ranges of word numbers), hit_items, hit_bytes (ranges of UTF-8 bytes)."""
+    extra = StructType.fromDDL(HITS)
+    kept = docs.drop(*[c for c in docs.columns if c in extra.names])
+    return _passes(kept, items, window, item_id, text, shard_words, lambda own, found: [*own, *_hit_columns(found)], StructType(kept.schema.fields + extra.fields))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, text: str = "text", **more) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, item_id: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents with hit spans cut out, each leaving one space; a document whose hit words are over max_coverage of all goes."""
-    found = scan(docs, items, window=window, text=text, **more).where(F.expr(f"n_hit <= {max_coverage} * n_words"))
-
-    def cut(texts, ranges):
-        import pandas as pd
-
-        out = []
-        for t, rs in zip(texts, ranges, strict=True):
-            if t is not None and rs is not None and len(rs):
-                data, at, parts = t.encode(), 0, []
-                for r in rs:
-                    parts.append(data[at : r["a"]].rstrip(b" "))
-                    at = r["b"]
-                t = b" ".join([*parts, data[at:].lstrip(b" ")]).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    cutter = F.pandas_udf(cut, "string", PandasUDFType.SCALAR)
-    hit = F.col("n_hit") > 0
-    return found.withColumn(text, F.when(hit, cutter(F.col(text), F.when(hit, F.col("hit_bytes")))).otherwise(F.col(text))).select(*docs.columns)
+    place = docs.columns.index(text)
+
+    def finish(own, found):
+        texts = own[place]
+        if any(n_hit for _, n_hit, *_ in found):
+            texts = texts.to_pylist()
+            for i, (*_, ranges) in enumerate(found):
+                if ranges:
+                    data, at, parts = texts[i].encode(), 0, []
+                    for a, b in ranges:
+                        parts.append(data[at:a].rstrip(b" "))
+                        at = b
+                    texts[i] = b" ".join([*parts, data[at:].lstrip(b" ")]).decode()
+            texts = pa.array(texts, own[place].type)
+        keep = pa.array([n_hit <= max_coverage * n for n, n_hit, *_ in found], pa.bool_())
+        return [(texts if i == place else c).filter(keep) for i, c in enumerate(own)]
+
+    return _passes(docs, items, window, item_id, text, shard_words, finish, docs.schema)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from steadyframes.llm import decontaminate as d
 
@@ -52,10 +53,15 @@ def test_one_word_items_no_items_and_clashing_names(spark):
     assert d.digest(df.where("false"), it).count() == 0
 
 
-def test_decontaminate_cuts_spans_and_drops_covered(spark):
+@pytest.mark.parametrize("shard_words", [400_000, 3])
+def test_decontaminate_cuts_spans_and_drops_covered(spark, shard_words):
     item = "one two three four five six seven eight nine ten"
     docs = [(1, f"Keep é this, {item}; and these words here stay too because they are many"), (2, item), (3, "clean"), (4, None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    it = spark.createDataFrame([(7, item)], "item_id long, text string")
-    got = {x.doc_id: x.text for x in d.decontaminate(df, it).collect()}
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n_words": F.lit("mine"), "hit_words": F.col("doc_id")})
+    it = spark.createDataFrame([(7, item), (8, "x y z"), (9, "u v w")], "item_id long, text string")
+    found = d.decontaminate(df, it, shard_words=shard_words)
+    assert found.schema == df.schema
+    found = found.collect()
+    assert all(x.n_words == "mine" and x.hit_words == x.doc_id for x in found)
+    got = {x.doc_id: x.text for x in found}
     assert got == {1: "Keep é this, ; and these words here stay too because they are many", 3: "clean", 4: None}
