@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, ragged
+from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, held, ragged
 
 MAX_STATES = 150_000
 MAX_PAIRS = 300_000
@@ -418,16 +418,10 @@ class Coder:
         return out
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
     """The worker's own coder; the rank file must be on every machine, as the tokenizer package is."""
-    if (path, pattern) not in _CODERS:
-        gc.set_threshold(200_000, 50, 1000)  # the tables below are large and free of cycles
-        _CODERS[path, pattern] = Coder(read_ranks(path), pattern)
-        gc.freeze()
-    return _CODERS[path, pattern]
+    gc.set_threshold(200_000, 50, 1000)  # the tables are large and free of cycles
+    return held(("bpe", path, pattern), lambda: Coder(read_ranks(path), pattern))
 
 
 def _lists(arrays: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, span_hashes, spans
+from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, held, span_hashes, spans
 
 WINDOW = 10
 SHARD_WORDS = 400_000
@@ -224,15 +224,9 @@ def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(name: str, shared, window: int) -> Matcher:
     """The worker's automaton of one shard; name tells shards apart."""
-    if name not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[name] = Matcher(shared.value, window)
-    return _MATCHERS[name]
+    return held(("items", name), lambda: Matcher(shared.value, window))
 
 
 def _pieces(items: DataFrame, item_id: str, text: str, shard_words: int):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from steadyframes.llm import counters
 from steadyframes.llm.components import components, cut_lineage
-from steadyframes.llm.textbytes import LOWER, WHITE, blocks, mix, span_hashes, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, blocks, free, mix, span_hashes, spans
 
 BAND_RATIO = 1.25
 #: Exact segments for each one that is emitted.
@@ -239,6 +239,7 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "d
     def describe(batches):
         names = [c.split()[0] for c in described.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
+        free()
         total = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in batches:
             out, held = [], []

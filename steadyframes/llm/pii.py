@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct, span_hashes, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct, held, span_hashes, spans
 
 KINDS = ("email", "ip", "card", "phone")
 MARGIN = 2.0
@@ -303,13 +303,8 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, field: Field) -> np.ndarray:
     return out
 
 
-_FIELD: list[Field] = []
-
-
 def field() -> Field:
-    if not _FIELD:
-        _FIELD.append(Field())
-    return _FIELD[0]
+    return held(("field",), Field)
 
 
 #: Bytes that keep a word plain: letters of all kinds and the punctuation of prose.

@@ -182,6 +182,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """A worker's one large table. Workers outlive stages, so asking for another key frees the table before it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def free() -> None:
+    """Drop the large table that an earlier stage has left in this worker."""
+    _HELD.clear()
+
+
 class Pool:
     """Number sequences by byte string, as a worker's memory of what it has encoded.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from steadyframes.llm.bpe import read_ranks
-from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, mix, span_hashes
+from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, held, mix, span_hashes
 
 UNIT = 1 << 20
 #: Entries of every length count.
@@ -102,13 +102,8 @@ def forward(v: Vocabulary, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray
     return score_out, tokens_out
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(*entry_scores(read_ranks(path)))
-    return _VOCABULARIES[path]
+    return held(("entries", path), lambda: Vocabulary(*entry_scores(read_ranks(path))))
 
 
 def count_column(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:

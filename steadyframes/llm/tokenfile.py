@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from steadyframes.llm.components import drop_folder, new_folder
-from steadyframes.llm.textbytes import LOWER, WHITE, Pool, blocks, distinct_spans, ragged, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, Pool, blocks, distinct_spans, held, ragged, spans
 
 BLOCK_TOKENS = 1 << 19
 #: Words that a worker remembers; longer ones are encoded anew.
@@ -159,13 +159,8 @@ class WordEncoder:
         return flat[ragged(where[inverse], each)], np.concatenate(([0], np.cumsum(each))).astype(np.int64)[rows]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def _encode(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> np.ndarray:
