@@ -455,13 +455,11 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:
-            arrays, digests_ = [], []
-            for _, _, buf, offsets in blocks(batch.column(batch.num_columns - 1)):
-                arrays.append(c.block(buf, offsets))
-                digests_ += c.decoded_digests(*arrays[-1])
-            tokens = _lists(arrays)
-            n = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, tokens, pa.array(digests_, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "token_ids", "decoded_sha256"])
+            for a, b, buf, offsets in blocks(batch.column(batch.num_columns - 1)):
+                ids, rows = c.block(buf, offsets)
+                own = [x.slice(a, b - a) for x in batch.columns[:-1]]
+                more = [pa.array(np.diff(rows).astype(np.int64)), _lists([(ids, rows)]), pa.array(c.decoded_digests(ids, rows), pa.string())]
+                yield pa.RecordBatch.from_arrays([*own, *more], names=[*batch.schema.names[:-1], "n_tokens", "token_ids", "decoded_sha256"])
 
     base = docs.select(*kept, F.col("text").cast("string").alias("text"))
     extra = StructType.fromDDL("n_tokens long, token_ids array<int>, decoded_sha256 string")
@@ -474,12 +472,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = coder(path, pattern)
         for batch in batches:
-            n, said, decoded = [np.zeros(0, np.int64)], [], []
-            for _, _, buf, offsets in blocks(batch.column(1)):
+            for a, b, buf, offsets in blocks(batch.column(1)):
                 ids, rows = c.block(buf, offsets)
-                n.append(np.diff(rows))
-                said += c.said_digests(ids, rows)
-                decoded += c.decoded_digests(ids, rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols = [pa.array(np.diff(rows).astype(np.int64)), pa.array(c.said_digests(ids, rows), pa.string()), pa.array(c.decoded_digests(ids, rows), pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

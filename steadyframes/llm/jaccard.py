@@ -42,7 +42,7 @@ COUNTER_BITS = 22
 GROUP = 32
 BLOCK_SETS, BLOCK_BYTES = 256, 16 << 20
 SEEN_CLASSES = 200_000
-SIGN_ROWS = 1 << 20
+SIGN_ROWS, COUNT_AT_ONCE, LOAD_BYTES = 1 << 19, 1 << 18, 8 << 20
 
 
 def sets_of(texts: pa.Array, words: int):
@@ -242,12 +242,16 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "d
         free()
         total = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in batches:
-            out, held = [], []
+            out, held, size = [], [], 0
             for s in sets_of(batch.column(1), words):
                 out.append((len(s), *_cid(s), int(s[0].astype(np.int64)) if len(s) else None, parities(s), None, None))
-                held.append(s)
+                held.append(s >> np.uint64(64 - COUNTER_BITS))
+                size += len(s)
+                if size > COUNT_AT_ONCE:
+                    counters.add(total, np.concatenate(held))
+                    held, size = [], 0
             if held:
-                counters.add(total, np.concatenate(held) >> np.uint64(64 - COUNTER_BITS))
+                counters.add(total, np.concatenate(held))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
         chunk, counts = zip(*counters.packed(total), strict=True) if total.any() else ((), ())
@@ -353,17 +357,28 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "d
 
     def load(batches):
         seen: set[int] = set()
+        ids, keys, items, size = [], [], [], 0
+
+        def rows_of():
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(items, pa.binary())], names=["rep", "k1", "items"])
+            for x in (ids, keys, items):
+                x.clear()
+            return out
+
         for batch in batches:
-            ids, keys, items = [], [], []
             batch = batch.filter(counters.there(needed.value, np.array(batch.column(0))))
             for i, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), words), strict=True):
                 if len(s) and (k := _cid(s)[0]) not in seen:
                     ids.append(i)
                     keys.append(k)
                     items.append(s.tobytes())
+                    size += 8 * len(s)
                     if len(seen) < SEEN_CLASSES:
                         seen.add(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(items, pa.binary())], names=["rep", "k1", "items"])
+                    if size > LOAD_BYTES:
+                        yield rows_of()
+                        size = 0
+        yield rows_of()
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")

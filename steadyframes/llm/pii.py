@@ -458,8 +458,8 @@ def annotate(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            pii, red = [], []
-            for at, _, buf, offsets in blocks(texts):
+            for at, end, buf, offsets in blocks(texts):
+                pii, red = [], []
                 for r, (base, more) in enumerate(find(buf, offsets)):
                     all_ = sorted([(*s, True) for s in base] + [(*s, False) for s in more], key=lambda x: (x[1], -x[2]))
                     pii.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in all_])
@@ -472,7 +472,8 @@ def annotate(docs: DataFrame, *, text: str = "text") -> DataFrame:
                             last = max(last, e)
                         t = "".join([*parts, t[last:]])
                     red.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pii, item), pa.array(red, pa.string())], names=[*batch.schema.names, *names])
+                own = [c.slice(at, end - at) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pii, item), pa.array(red, pa.string())], names=[*batch.schema.names, *names])
 
     extra = StructType.fromDDL("pii array<struct<kind:string,start:long,end:long,base:boolean>>, redacted string")
     return kept.mapInArrow(run, StructType(kept.schema.fields + extra.fields))

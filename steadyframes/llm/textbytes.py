@@ -188,14 +188,15 @@ _HELD: dict[tuple, object] = {}
 def held(key: tuple, make):
     """A worker's one large table. Workers outlive stages, so asking for another key frees the table before it."""
     if key not in _HELD:
-        _HELD.clear()
+        free()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def free() -> None:
-    """Drop the large table that an earlier stage has left in this worker."""
+    """Drop the large table that an earlier stage has left in this worker, and the memory that Arrow keeps for reuse."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class Pool:
