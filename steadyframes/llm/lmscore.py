@@ -1,12 +1,12 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from both sides.
 
 Words are letters and digits, lower-cased in A-Z, in BUCKETS hashed buckets. Spark counts each distinct word; the table
-of these counts grows with the corpus and stays on Spark. The buckets' sums give CLASSES of about equal mass and the
-share of each bucket in its class. The network sees the WINDOW words on either side through hashed embeddings, one layer
-of tanh, and a softmax over the classes; a word's conditional log-probability is its class's plus its bucket's share's
-plus that of the word's own share of its bucket. The counts of the FREQUENT most frequent words go to all workers; each
-other word is joined with the table. Shares don't depend on the context, nor do words of one class differ by it. A
-document's score is the sum over all of its words.
+of these counts grows with the corpus and stays on Spark. The buckets' sums cut them into CLASSES x LEAVES leaves of
+about equal mass. The network sees the WINDOW words on either side through hashed embeddings, one layer of tanh, a
+softmax over the classes, and one over the leaves of the word's class; a word's conditional log-probability is its
+class's plus its leaf's plus its bucket's share of the leaf plus the word's own share of its bucket. The counts of the
+FREQUENT most frequent words go to all workers; each other word is joined with the table. The two shares don't depend
+on the context.
 
 Every word of every document is a training target once: in each of ROUNDS rounds each partition descends from the
 shared weights over every ROUNDS-th word of its documents, a place further on than in the round before, and Spark
@@ -14,7 +14,7 @@ averages the partitions' weights by their number of words. Nothing but counts an
 driver.
 
 Defined cases: null and empty texts have no words and the score 0; without any words in the corpus all weights stay
-as they start; repeated rows score alike; columns named like an output are replaced; a word that training never met
+as they start; repeated rows score alike, as log-probabilities are summed in units of 2^-20; columns named like an output are replaced; a word that training never met
 counts as half a one of its bucket.
 """
 
@@ -31,28 +31,35 @@ from pyspark.sql.types import StructType
 from steadyframes.llm.components import new_folder
 from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, span_hashes, spans
 
-BUCKETS, CLASSES, INPUTS = 1 << 15, 128, 1 << 12
+BUCKETS, CLASSES, LEAVES, INPUTS = 1 << 15, 32, 32, 1 << 12
 DIM, HIDDEN, WINDOW = 16, 32, 2
-ROUNDS, BATCH, RATE = 2, 512, 0.1
-STEP = 1 << 10
+#: RATE is for the sum over a batch's words.
+ROUNDS, BATCH, RATE = 2, 1024, 0.0016
+STEP = 1 << 11
+#: Bound of what goes into an exponential.
+MOST = 40
 FREQUENT = 1 << 15
-WEIGHTS = ("embed", "mix", "hidden", "out", "bias")
+WEIGHTS = ("embed", "mix", "hidden", "out", "bias", "low", "low_bias")
 #: Logarithms of counts are integers in units of 2^-30, so that sums are exact in any order.
 UNIT = 1 << 30
+#: Sums of a network's log-probabilities, whose last bits are noise, are in coarser ones.
+SUM_UNIT = 1 << 20
 
 
 @dataclasses.dataclass
 class Model:
-    """Class and log-share of each bucket; the network's weights; each bucket's count, hashes (ascending) and counts of
+    """Leaf and log-share of each bucket; the network's weights; each bucket's count, hashes (ascending) and counts of
     the most frequent words, and the folder of the table (word, n) of all words."""
 
-    class_of: np.ndarray
+    leaf_of: np.ndarray
     share: np.ndarray
     embed: np.ndarray
     mix: np.ndarray
     hidden: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    low: np.ndarray
+    low_bias: np.ndarray
     counts: np.ndarray
     frequent: np.ndarray
     often: np.ndarray
@@ -70,62 +77,75 @@ def words_of(texts: pa.Array):
         yield span_hashes(low, starts, ends), rows
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent buckets first, cut into CLASSES runs of about equal mass; each bucket's log-share of its class."""
+def leaves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent buckets first, cut into runs of about equal mass; each bucket's log-share of its leaf."""
     mass = counts.astype(np.float64) + 0.5
     order = np.argsort(-mass, kind="stable")
     before = np.concatenate(([0], np.cumsum(mass[order])[:-1])) / mass.sum()
-    class_of = np.empty(len(counts), np.int64)
-    class_of[order] = np.minimum((before * CLASSES).astype(np.int64), CLASSES - 1)
-    total = np.bincount(class_of, weights=mass, minlength=CLASSES)
-    return class_of, np.log(mass / total[class_of])
+    leaf_of = np.empty(len(counts), np.int64)
+    leaf_of[order] = np.minimum((before * CLASSES * LEAVES).astype(np.int64), CLASSES * LEAVES - 1)
+    total = np.bincount(leaf_of, weights=mass, minlength=CLASSES * LEAVES)
+    return leaf_of, np.log(mass / total[leaf_of])
 
 
 def start(counts: np.ndarray, frequent: np.ndarray, often: np.ndarray, words: str, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
-    class_of, share = classes(counts)
-    mass = np.bincount(class_of, weights=counts + 0.5, minlength=CLASSES)
+    leaf_of, share = leaves(counts)
+    mass = np.maximum(np.bincount(leaf_of, weights=counts + 0.5, minlength=CLASSES * LEAVES), 1e-9).reshape(CLASSES, LEAVES)
     f = np.float32
     return Model(
-        class_of, share, rng.normal(0, 0.3, (INPUTS + 1, DIM)).astype(f), rng.normal(0, 0.2, (2 * WINDOW, DIM, HIDDEN)).astype(f),
-        np.zeros(HIDDEN, f), np.zeros((HIDDEN, CLASSES), f), np.log(np.maximum(mass, 1e-3) / mass.sum()).astype(f),
-        counts, frequent, often, words,
+        leaf_of, share, rng.normal(0, 0.3, (INPUTS + 1, DIM)).astype(f), rng.normal(0, 0.2, (2 * WINDOW, DIM, HIDDEN)).astype(f),
+        np.zeros(HIDDEN, f), np.zeros((HIDDEN, CLASSES), f), np.log(mass.sum(1) / mass.sum()).astype(f),
+        np.zeros((CLASSES, HIDDEN, LEAVES), f), np.log(mass / mass.sum(1, keepdims=True)).astype(f), counts, frequent, often, words,
     )
 
 
 def contexts(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Input numbers of the words around each word (words x 2 WINDOW); INPUTS stands for what is beyond the text."""
     n = len(hashes)
-    number = (hashes & np.uint64(INPUTS - 1)).astype(np.int64)
+    number = (hashes & np.uint64(INPUTS - 1)).astype(np.int16)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    out = np.full((n, 2 * WINDOW), INPUTS, np.int64)
+    out = np.full((n, 2 * WINDOW), INPUTS, np.int16)
     for k, shift in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        at = np.arange(n) + shift
-        ok = (at >= 0) & (at < n)
-        ok[ok] &= row[at[ok]] == row[ok]
-        out[ok, k] = number[at[ok]]
+        to, of = (slice(-shift, None), slice(None, shift)) if shift < 0 else (slice(None, -shift), slice(shift, None))
+        out[to, k] = np.where(row[to] == row[of], number[of], INPUTS)
     return out
 
 
-def _hidden(m: Model, tables: list[np.ndarray], context: np.ndarray) -> np.ndarray:
-    h = tables[0][context[:, 0]]
-    for k in range(1, 2 * WINDOW):
-        h = h + tables[k][context[:, k]]
-    return np.tanh(h + m.hidden)
+def dealt(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table, a row for each class, of the places of its words (len(group) where there is none); and each word's
+    place in that table, rows one after another. Rows are padded to a multiple of 16, so that a word's product doesn't
+    depend on how many others there are."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    counts = np.bincount(group, minlength=CLASSES)
+    width = max(16, -(-int(counts.max(initial=0)) // 16) * 16)
+    place = np.empty(len(group), np.int64)
+    place[order] = group[order] * width + np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+    table = np.full(CLASSES * width, len(group), np.int64)
+    table[place] = np.arange(len(group))
+    return table.reshape(CLASSES, width), place
 
 
 def log_probabilities(m: Model, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of each word's bucket given the word's neighbours."""
-    tables = [m.embed @ m.mix[k] for k in range(2 * WINDOW)]
+    mix = m.mix.reshape(-1, HIDDEN)
     bucket = (hashes >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    context, target = contexts(hashes, rows), m.class_of[bucket]
-    out = np.empty(len(hashes), np.float64)
-    for a in range(0, len(hashes), STEP):
-        z = _hidden(m, tables, context[a : a + STEP]) @ m.out + m.bias
-        z -= z.max(1, keepdims=True)
-        chosen = z[np.arange(len(z)), target[a : a + STEP]]
-        out[a : a + STEP] = chosen - np.log(np.exp(z).sum(1))
-    return out + m.share[bucket]
+    n = len(hashes)
+    # The last step is filled up, so that all products have one shape.
+    room = -(-n // STEP) * STEP
+    context, leaf = np.zeros((room, 2 * WINDOW), np.int16), np.zeros(room, np.int64)
+    context[:n], leaf[:n] = contexts(hashes, rows), m.leaf_of[bucket]
+    out = np.empty(room, np.float64)
+    h = np.zeros((STEP + 1, HIDDEN), np.float32)
+    for a in range(0, room, STEP):
+        c, (group, inner) = context[a : a + STEP], np.divmod(leaf[a : a + STEP], LEAVES)
+        np.tanh(m.embed[c].reshape(STEP, -1) @ mix + m.hidden, out=h[:STEP])
+        z = np.clip(h[:STEP] @ m.out + m.bias, -MOST, MOST)
+        table, place = dealt(group)
+        y = np.clip((h[table] @ m.low).reshape(-1, LEAVES)[place] + m.low_bias[group], -MOST, MOST)
+        at = np.arange(STEP)
+        out[a : a + STEP] = z[at, group] - np.log(np.exp(z) @ ones(CLASSES)) + y[at, inner] - np.log(np.exp(y) @ ones(LEAVES))
+    return out[:n] + m.share[bucket]
 
 
 def own_shares(m: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,31 +165,44 @@ def units(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.log(np.maximum(counts, 0.5)) * UNIT).astype(np.int64)
 
 
-def descend(m: Model, context: np.ndarray, target: np.ndarray) -> None:
+def ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def _error(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Softmax of the rows, less 1 at the targets."""
+    z = np.exp(np.clip(z, -MOST, MOST))
+    z *= (1 / (z @ ones(z.shape[1])))[:, None]
+    z[np.arange(len(z)), target] -= 1
+    return z
+
+
+def descend(m: Model, context: np.ndarray, leaf: np.ndarray) -> None:
     """One pass of gradient descent in place."""
-    for a in range(0, len(target), BATCH):
-        c, t = context[a : a + BATCH], target[a : a + BATCH]
-        inputs = [m.embed[c[:, k]] for k in range(2 * WINDOW)]
-        h = np.tanh(sum(x @ m.mix[k] for k, x in enumerate(inputs)) + m.hidden)
-        p = h @ m.out
-        p += m.bias
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p *= 1 / p.sum(1, keepdims=True)
-        p[np.arange(len(t)), t] -= 1
-        p *= RATE / len(t) * min(8.0, len(t) ** 0.5)
-        back = (p @ m.out.T) * (1 - h * h)
-        m.out -= h.T @ p
-        m.bias -= p.sum(0)
-        m.hidden -= back.sum(0)
-        grad = np.concatenate([back @ m.mix[k].T for k in range(2 * WINDOW)])
-        for k, x in enumerate(inputs):
-            m.mix[k] -= x.T @ back
-        place = c.T.reshape(-1)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        m.embed[place[first]] -= np.add.reduceat(grad[order], first, axis=0)
+    for a in range(0, len(leaf), BATCH):
+        c, (group, inner) = context[a : a + BATCH], np.divmod(leaf[a : a + BATCH], LEAVES)
+        n = len(c)
+        x = m.embed[c].reshape(n, -1)
+        mix = m.mix.reshape(-1, HIDDEN)
+        h = np.zeros((n + 1, HIDDEN), m.out.dtype)
+        np.tanh(x @ mix + m.hidden, out=h[:n])
+        p = _error(h[:n] @ m.out + m.bias, group)
+        table, place = dealt(group)
+        own = h[table]
+        q = np.zeros((table.size, LEAVES), m.low.dtype)
+        q[place] = _error((own @ m.low).reshape(-1, LEAVES)[place] + m.low_bias[group], inner)
+        q = q.reshape(CLASSES, -1, LEAVES)
+        back = (p @ m.out.T + (q @ m.low.transpose(0, 2, 1)).reshape(-1, HIDDEN)[place]) * (1 - h[:n] * h[:n])
+        grad = (mix @ back.T).reshape(2 * WINDOW, DIM, n)
+        m.out -= RATE * (h[:n].T @ p)
+        m.bias -= RATE * (ones(n) @ p)
+        m.low -= RATE * (own.transpose(0, 2, 1) @ q)
+        m.low_bias -= RATE * q.sum(1)
+        m.hidden -= RATE * (ones(n) @ back)
+        mix -= RATE * (x.T @ back)
+        flat = c.T.reshape(-1).astype(np.int64)
+        for k in range(DIM):
+            m.embed[:, k] -= RATE * np.bincount(flat, weights=grad[:, k].reshape(-1), minlength=len(m.embed))
 
 
 def chosen(rows: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -235,7 +268,7 @@ def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
                     at = chosen(rows, turn, rounds)
                     if len(at):
                         bucket = (h[at] >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                        held.append((contexts(h, rows)[at], own.class_of[bucket]))
+                        held.append((contexts(h, rows)[at], own.leaf_of[bucket]))
                         size += len(at)
                     if size > 1 << 18:
                         step()
@@ -271,13 +304,14 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool
             n, total, known, rare, many = [], [], [], [], []
             for h, rows in words_of(batch.column(place)):
                 own, absent = own_shares(shared.value, h)
-                for out, x in ((total, log_probabilities(shared.value, h, rows)), (known, own), (many, absent.astype(np.int64))):
+                said = np.rint(log_probabilities(shared.value, h, rows) * SUM_UNIT).astype(np.int64)
+                for out, x in ((total, said), (known, own), (many, absent.astype(np.int64))):
                     out.append(np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))[rows]))
                 n.append(np.diff(rows))
                 rare.append(h[absent].view(np.int64))
             n, total, known, rare, many = (np.concatenate(x) if x else np.zeros(0) for x in (n, total, known, rare, many))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(rare, pa.int64()))
-            more = [pa.array(n.astype(np.int64)), pa.array(total, pa.float64()), pa.array(known.astype(np.int64)), lists]
+            more = [pa.array(n.astype(np.int64)), pa.array(total / SUM_UNIT, pa.float64()), pa.array(known.astype(np.int64)), lists]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *more], names=[*[batch.schema.names[i] for i in kept], "n_words", "sum_", "known_", "rare_"])
 
     extra = StructType.fromDDL("n_words long, sum_ double, known_ long, rare_ array<long>").fields

@@ -198,7 +198,7 @@ def test_lm_beats_the_counts_on_unseen_texts_and_sums_to_one(spark):
     mean = lambda model: lmscore.score(unseen, model).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
     assert mean(m) > mean(plain) + 0.1
     share = np.exp(m.share)
-    assert np.allclose(np.bincount(m.class_of, weights=share, minlength=lmscore.CLASSES)[np.unique(m.class_of)], 1)
+    assert np.allclose(np.bincount(m.leaf_of, weights=share)[np.unique(m.leaf_of)], 1)
 
 
 def test_lm_equals_a_loop_over_words(spark):
@@ -214,7 +214,9 @@ def test_lm_equals_a_loop_over_words(spark):
         near = [number[t + s] if 0 <= t + s < len(h) else lmscore.INPUTS for s in (-2, -1, 1, 2)]
         z = np.tanh(sum(m.embed[n] @ m.mix[k] for k, n in enumerate(near)) + m.hidden) @ m.out + m.bias
         bucket = int(h[t]) >> 40 & lmscore.BUCKETS - 1
-        total += z[m.class_of[bucket]] - math.log(np.exp(z).sum()) + m.share[bucket]
+        c, leaf = divmod(int(m.leaf_of[bucket]), lmscore.LEAVES)
+        y = np.tanh(sum(m.embed[n] @ m.mix[k] for k, n in enumerate(near)) + m.hidden) @ m.low[c] + m.low_bias[c]
+        total += z[c] - math.log(np.exp(z).sum()) + y[leaf] - math.log(np.exp(y).sum()) + m.share[bucket]
     assert got[0].n_words == 6 and abs(got[0].log_likelihood - total) < 1e-3
     assert lmscore.digest(df.where("false")).count() == 0
 
@@ -238,6 +240,46 @@ def test_words_of_one_bucket_have_own_probabilities(spark, monkeypatch, frequent
     assert abs(np.exp(got[0].log_likelihood) + np.exp(got[1].log_likelihood) - np.exp(alone)) < 1e-6
 
 
+def test_lm_descends_along_the_gradient(monkeypatch):
+    """Against differences of the loss in every kind of weight."""
+    monkeypatch.setattr(lmscore, "RATE", 1e-3)
+    rng = np.random.default_rng(2)
+    m = lmscore.start(rng.integers(0, 9, lmscore.BUCKETS), np.zeros(0, np.uint64), np.zeros(0, np.int64), "")
+    for k in lmscore.WEIGHTS:
+        setattr(m, k, (getattr(m, k) + rng.normal(0, 0.1, getattr(m, k).shape)).astype(np.float64))
+    context, leaf = rng.integers(0, 9, (50, 4)).astype(np.int16), rng.integers(0, 100, 50)
+
+    def loss():
+        total = 0.0
+        for c, t in zip(context, leaf, strict=True):
+            h = np.tanh(sum(m.embed[n] @ m.mix[k] for k, n in enumerate(c)) + m.hidden)
+            z, y = h @ m.out + m.bias, h @ m.low[t // lmscore.LEAVES] + m.low_bias[t // lmscore.LEAVES]
+            total -= z[t // lmscore.LEAVES] - np.log(np.exp(z).sum()) + y[t % lmscore.LEAVES] - np.log(np.exp(y).sum())
+        return total
+
+    before = {k: getattr(m, k).copy() for k in lmscore.WEIGHTS}
+    places = {k: [tuple(rng.integers(0, min(9, n)) if k == "embed" and i == 0 else rng.integers(0, n if k != "low" and k != "low_bias" or i else 4) for i, n in enumerate(before[k].shape)) for _ in range(4)] for k in before}
+    want = {}
+    for k, at in places.items():
+        for x in at:
+            getattr(m, k)[x] += 1e-5
+            up = loss()
+            getattr(m, k)[x] -= 2e-5
+            want[k, x] = (up - loss()) / 2e-5
+            getattr(m, k)[x] += 1e-5
+    lmscore.descend(m, context, leaf)
+    for (k, x), g in want.items():
+        assert abs((before[k][x] - getattr(m, k)[x]) / 1e-3 - g) < 1e-3 * max(1, abs(g)), (k, x)
+
+
+def test_equal_texts_score_alike_wherever_they_stand(spark):
+    r = np.random.default_rng(3)
+    one = " ".join(f"w{k}" for k in r.integers(0, 50, 300))
+    rows = [(i, one if i % 3 == 0 else " ".join(f"w{k}" for k in r.integers(0, 50, int(r.integers(1, 400))))) for i in range(300)]
+    got = lmscore.digest(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 3 = 0")
+    assert got.select("log_likelihood").distinct().count() == 1
+
+
 def test_every_word_trains_once():
     rows = np.array([0, 5, 5, 6, 38, 41])
     for rounds in (1, lmscore.ROUNDS, 3):
