@@ -1,12 +1,15 @@
 """Operators on motion tables: (video_id, frame_idx, width, height, A, B, TX, TY, ok), no pixels.
 
-A video may be long, so nothing gathers a whole video but the decay scan, which runs by reset segments on numbers.
+A video may be long, so nothing gathers a whole video; the decay scan streams through a reset segment's numbers in order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,41 +56,63 @@ def motion_windows(motion: DataFrame, lag: int, memory: int) -> DataFrame:
     return out.where("final").drop("final")
 
 
+#: Windows that are smoothed together: as many as fit a core's cache.
+WINDOWS_TOGETHER = 1024
+
+
 def tv_smooth(x: np.ndarray, lam: float, iterations: int) -> np.ndarray:
     """Total-variation smoothing of rows of numbers: relax towards the data, then draw neighbours together in order.
 
     x: rows x places x numbers. The sweep over places carries each place's result into the next, so it is the rows
-    that are handled together.
+    that are handled together. Rows that an iteration leaves as they are stay so, and the rest of it is left out.
     """
-    data, x = x, x.copy()
-    for _ in range(iterations):
-        x = 0.5 * x + 0.5 * data
-        for i in range(x.shape[1] - 1):
-            left, right = x[:, i], x[:, i + 1]
-            gap = right - left
-            size = np.abs(gap)
-            far = size > lam
-            move = gap * ((size - lam) / np.where(far, size, 1.0) * 0.5)
-            middle = 0.5 * (left + right)
-            x[:, i], x[:, i + 1] = np.where(far, left + move, middle), np.where(far, right - move, middle)
-    return x
+    out = np.empty_like(x)
+    for at in range(0, len(x), WINDOWS_TOGETHER):
+        data = np.ascontiguousarray(x[at : at + WINDOWS_TOGETHER].swapaxes(0, 1))
+        now = data.copy()
+        gap, size, move, far = (np.empty_like(data[0]) for _ in range(4))
+        near = np.empty(gap.shape, bool)
+        for _ in range(iterations):
+            before = now.copy()
+            now *= 0.5
+            now += 0.5 * data
+            for left, right in zip(now, now[1:], strict=False):
+                np.subtract(right, left, out=gap)
+                np.abs(gap, out=size)
+                np.less_equal(size, lam, out=near)
+                np.subtract(size, lam, out=move)
+                np.maximum(size, lam, out=far)  # the divisor; where it isn't the size, the move isn't used
+                move /= far
+                move *= 0.5
+                move *= gap
+                np.add(left, right, out=gap)
+                gap *= 0.5
+                left += move
+                right -= move
+                np.copyto(left, gap, where=near)
+                np.copyto(right, gap, where=near)
+            if np.array_equal(before, now):
+                break
+        out[at : at + WINDOWS_TOGETHER] = now.swapaxes(0, 1)
+    return out
 
 
 def smooth_windows(windows: DataFrame, lam: float, iterations: int = 100) -> DataFrame:
     """Each window smoothed; the frame's own place in it is the result."""
 
     def run(batches):
-        for pdf in batches:
-            out = np.zeros((len(pdf), 4))
-            sizes = pdf["window"].map(len).to_numpy()
+        for batch in batches:
+            cols = {n: batch.column(n) for n in ("video_id", "frame_idx", "window", "middle")}
+            flat, sizes = cols["window"].flatten(), np.array(cols["window"].value_lengths()).astype(np.int64)
+            values = np.stack([np.array(flat.field(c)) for c in TRANSFORM], 1) if len(flat) else np.zeros((0, 4))
+            begin, middle, out = np.cumsum(sizes) - sizes, np.array(cols["middle"]), np.zeros((len(sizes), 4))
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
-                x = np.array([[[p[c] for c in TRANSFORM] for p in pdf["window"].iloc[i]] for i in at], np.float64)
-                out[at] = tv_smooth(x, lam, iterations)[np.arange(len(at)), pdf["middle"].to_numpy()[at]]
-            yield pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], **{c: out[:, k] for k, c in enumerate(TRANSFORM)}})
+                out[at] = tv_smooth(values[begin[at][:, None] + np.arange(n)], lam, iterations)[np.arange(len(at)), middle[at]]
+            yield pa.RecordBatch.from_arrays([cols["video_id"], cols["frame_idx"].cast(pa.int64()), *map(pa.array, out.T.copy())], names=["video_id", "frame_idx", *TRANSFORM])
 
     kind = windows.schema["video_id"].dataType.simpleString()
-    return windows.mapInPandas(run, f"video_id {kind}, frame_idx long, A double, B double, TX double, TY double")
+    return windows.mapInArrow(run, f"video_id {kind}, frame_idx long, A double, B double, TX double, TY double")
 
 
 def smooth_motion(motion: DataFrame, lag: int, memory: int, lam: float, iterations: int = 100) -> DataFrame:
@@ -118,42 +143,94 @@ def residual_motion(attached: DataFrame, smooth: bool = True) -> DataFrame:
     return attached.withColumn("jitter", T.t_compose(as_struct(), T.t_inverse("smoothed")) if smooth else as_struct())
 
 
-def decay_scan(a: np.ndarray, w: np.ndarray, h: np.ndarray, p: StabParams) -> np.ndarray:
-    """Accumulate rows of one segment in order, each sum shrunk by its displacement's decay."""
+#: From so many segments on, a step of all of them together costs less than one of each.
+TOGETHER = 8
+LIMITS = ("min_disp", "max_disp", "min_decay", "max_decay")
+
+
+def decay_scan(a: np.ndarray, w: np.ndarray, h: np.ndarray, p: StabParams | np.ndarray, state: tuple = (0.0, 0.0, 0.0, 0.0)) -> np.ndarray:
+    """Accumulate rows of one segment in order, each sum shrunk by its displacement's decay. p: the same for all, or LIMITS of each row."""
     out = np.empty_like(a)
-    A = B = X = Y = 0.0
-    for i in range(len(a)):
-        a2, b2, x2, y2 = a[i]
+    limits = np.tile([float(getattr(p, c)) for c in LIMITS], (len(a), 1)) if isinstance(p, StabParams) else p
+    A, B, X, Y = state
+    rows = zip(a.tolist(), (0.5 * w).tolist(), (0.5 * h).tolist(), limits.tolist(), strict=True)
+    for i, ((a2, b2, x2, y2), cx, cy, (near, far, little, much)) in enumerate(rows):
         p1, p2 = 1.0 + A, 1.0 + a2
         A, B, X, Y = p2 * p1 - b2 * B - 1.0, p2 * B + b2 * p1, p2 * X - b2 * Y + x2, b2 * X + p2 * Y + y2
-        cx, cy = w[i] * 0.5, h[i] * 0.5
         most = 0.0
         for px, py in ((-cx, -cy), (cx, -cy), (-cx, cy), (cx, cy)):
             dx, dy = A * px - B * py + X, B * px + A * py + Y
-            most = max(most, (dx * dx + dy * dy) ** 0.5)
-        if most > p.max_disp:
-            d = p.max_decay
-        elif most > p.min_disp:
-            f = (most - p.min_disp) / (p.max_disp - p.min_disp)
-            d = p.min_decay * (1.0 - f) + p.max_decay * f
+            most = max(most, math.sqrt(dx * dx + dy * dy))
+        if most > far:
+            d = much
+        elif most > near:
+            f = (most - near) / (far - near)
+            d = little * (1.0 - f) + much * f
         else:
-            d = p.min_decay
+            d = little
         A, B, X, Y = A * d, B * d, X * d, Y * d
         out[i] = A, B, X, Y
     return out
 
 
-def accumulate_motion(residual: DataFrame, p: StabParams, by: tuple[str, ...] = ("video_id", "reset")) -> DataFrame:
-    """The decayed sum of jitter, from identity at each segment's start. A segment's rows stay in one task: numbers only."""
+def scan_segments(a: np.ndarray, w: np.ndarray, h: np.ndarray, limits: np.ndarray, begin: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """decay_scan of many segments, rows one segment after another from each of begin on; state: what each starts from.
+
+    A step takes the next row of every segment that has one, longest first; what is left of the few longest goes alone.
+    """
+    out, size = np.empty_like(a), np.diff(np.append(begin, len(a)))
+    order = np.argsort(-size, kind="stable")
+    begin, size, now = begin[order], size[order], state[order].copy()
+    cx, cy = 0.5 * w, 0.5 * h
+    t = 0
+    while (live := int(np.searchsorted(-size, -t, "left"))) >= TOGETHER:
+        at = begin[:live] + t
+        A, B, X, Y = now[:live].T
+        a2, b2, x2, y2 = a[at].T
+        p1, p2 = 1.0 + A, 1.0 + a2
+        A, B, X, Y = p2 * p1 - b2 * B - 1.0, p2 * B + b2 * p1, p2 * X - b2 * Y + x2, b2 * X + p2 * Y + y2
+        most = np.zeros(live)
+        for sx, sy in ((-1, -1), (1, -1), (-1, 1), (1, 1)):
+            px, py = sx * cx[at], sy * cy[at]
+            dx, dy = A * px - B * py + X, B * px + A * py + Y
+            most = np.maximum(most, np.sqrt(dx * dx + dy * dy))
+        near, far, little, much = limits[at].T
+        f = np.clip((most - near) / np.where(far > near, far - near, 1.0), 0.0, 1.0)
+        d = np.where(most > far, much, np.where(most > near, little * (1.0 - f) + much * f, little))
+        now[:live] = out[at] = np.stack([A, B, X, Y], 1) * d[:, None]
+        t += 1
+    for k in range(live):
+        rows = slice(begin[k] + t, begin[k] + size[k])
+        out[rows] = decay_scan(a[rows], w[rows], h[rows], limits[rows], tuple(now[k]))
+    return out
+
+
+def accumulate_motion(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset")) -> DataFrame:
+    """The decayed sum of jitter, from identity at each segment's start. Without p the rows have their own LIMITS.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx", kind="stable")
-        out = decay_scan(pdf[["A", "B", "TX", "TY"]].to_numpy(float), pdf["width"].to_numpy(float), pdf["height"].to_numpy(float), p)
-        return pd.DataFrame({**{c: pdf[c] for c in (*by, "frame_idx")}, **{c: out[:, k] for k, c in enumerate(TRANSFORM)}})
+    Segments are dealt by a hash and stream through a task in order, all of a batch together; a segment that goes on in
+    the next batch takes its sum along, so no segment is held in memory.
+    """
+    limits = [F.lit(float(getattr(p, c))).alias(c) if p else F.col(c).cast("double").alias(c) for c in LIMITS]
+    names = [*by, "frame_idx"]
 
-    flat = residual.select(*by, "frame_idx", "width", "height", *[F.col(f"jitter.{c}").alias(c) for c in TRANSFORM])
-    kinds = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in (*by, "frame_idx"))
-    return flat.groupBy(*by).applyInPandas(run, f"{kinds}, A double, B double, TX double, TY double")
+    def run(batches):
+        last, state = None, np.zeros(4)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[list(by)]
+            begin = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
+            starts = np.zeros((len(begin), 4))
+            if last is not None and tuple(keys.iloc[0]) == last:
+                starts[0] = state
+            out = scan_segments(pdf[list(TRANSFORM)].to_numpy(float), pdf["width"].to_numpy(float), pdf["height"].to_numpy(float), pdf[list(LIMITS)].to_numpy(float), begin, starts)
+            last, state = tuple(keys.iloc[-1]), out[-1]
+            yield pd.DataFrame({**{c: pdf[c] for c in names}, **dict(zip(TRANSFORM, out.T, strict=True))})
+
+    flat = residual.select(*names, "width", "height", *[F.col(f"jitter.{c}").alias(c) for c in TRANSFORM], *limits)
+    kinds = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in names)
+    return flat.repartition(*by).sortWithinPartitions(*names).mapInPandas(run, f"{kinds}, A double, B double, TX double, TY double")
 
 
 def corrections(accumulated: DataFrame) -> DataFrame:

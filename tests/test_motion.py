@@ -130,3 +130,30 @@ def test_grid_smooths_once_for_each_setting(spark):
         p = StabParams(lag=c.lag, memory=c.memory, lam=c.lam, min_disp=c.min_disp, max_disp=c.max_disp, min_decay=c.min_decay, max_decay=c.max_decay)
         a, b = ({(r.video_id, r.frame_idx): (r.A, r.B, r.TX, r.TY) for r in x.collect()} for x in (got.where(F.col("combo_id") == c.combo_id), M.stabilize_motion(df, p)))
         assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_segments_together_equal_segments_alone(spark):
+    rng = np.random.default_rng(1)
+    sizes = [*rng.integers(1, 40, 60).tolist(), 300]
+    begin = np.cumsum(sizes) - sizes
+    n = int(sum(sizes))
+    a, w, h = rng.normal(0, [0.01, 0.01, 9, 9], (n, 4)), np.full(n, 96.0), np.full(n, 64.0)
+    limits, state = np.tile([16.0, 64.0, 0.95, 0.5], (n, 1)), rng.normal(0, 0.1, (len(sizes), 4))
+    want = np.concatenate([M.decay_scan(a[b : b + s], w[b : b + s], h[b : b + s], limits[b : b + s], tuple(x)) for b, s, x in zip(begin, sizes, state, strict=True)])
+    assert np.array_equal(M.scan_segments(a, w, h, limits, begin, state), want)
+
+
+def test_a_segment_goes_on_in_the_next_batch(spark):
+    rng = np.random.default_rng(2)
+    rows = [(v, 0, i, 96, 64, tuple(rng.normal(0, [0.01, 0.01, 9, 9]).tolist())) for v in range(3) for i in range(50)]
+    df = spark.createDataFrame(rows, "video_id long, reset long, frame_idx long, width int, height int, jitter struct<A:double,B:double,TX:double,TY:double>")
+    p = StabParams()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.video_id, r.frame_idx): (r.A, r.B, r.TX, r.TY) for r in M.accumulate_motion(df, p).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for v in range(3):
+        want = M.decay_scan(np.array([r[5] for r in rows if r[0] == v]), np.full(50, 96.0), np.full(50, 64.0), p)
+        assert np.array_equal(np.array([got[v, i] for i in range(50)]), want)
