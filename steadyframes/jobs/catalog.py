@@ -545,18 +545,43 @@ def c4_stabilize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "frame_idx", "width", "height", F.crc32("pixels").alias("pixels_crc32"))
 
 
-@query(f"{_MOVES}, s AS (SELECT video_id, frame_idx, sum(dx) OVER {_LAG} AS sx, sum(dy) OVER {_LAG} AS sy FROM d) SELECT video_id, frame_idx, 48 AS width, 32 AS height, 1 AS channels FROM s")
+def _texture(u: str, v: str) -> str:
+    """The frames' pixel as SQL; u, v: its place less the frame's shift."""
+    tri = lambda x, p: f"abs(({x} + 1000 * {2 * p}) % {2 * p} - {p})"
+    return f"least(255, 20 + {tri(u, 23)} * {tri(v, 19)} // 3 + {tri(f'(2 * ({u}) + ({v}))', 61)})"
+
+
+_SHIFTS = f"{_MOVES}, s AS (SELECT *, CAST(sum(dx) OVER {_LAG} AS BIGINT) AS sx, CAST(sum(dy) OVER {_LAG} AS BIGINT) AS sy FROM d)"
+#: Of pixels by place, two sums that tell images apart.
+_SUMS = "CAST(sum(v) AS BIGINT) AS pixel_sum, CAST(sum(v * (i * 7919 % 10007)) AS BIGINT) AS placed_sum"
+
+
+def _pixel_sums(frames_: DataFrame) -> list:
+    """The same sums of a frame's bytes."""
+    value = "cast(conv(hex(substring(pixels, i + 1, 1)), 16, 10) as long)"
+    each = "aggregate(sequence(0, octet_length(pixels) - 1), 0L, (t, i) -> t + {})"
+    return [F.expr(each.format(value)).alias("pixel_sum"), F.expr(each.format(value + " * (i * 7919L % 10007)")).alias("placed_sum")]
+
+
+@query(f"""{_SHIFTS}, o AS (SELECT video_id, frame_idx, sx, sy, unnest(range(48 * 32)) AS i FROM s),
+k AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) AS t(o, c)),
+p AS (SELECT video_id, frame_idx, i, sum(kx.c * ky.c * ({_texture("greatest(0, least(95, 2 * (i % 48) + kx.o)) - sx + 1000", "greatest(0, least(63, 2 * (i // 48) + ky.o)) - sy + 1000")})) // 256 AS v
+  FROM o, k AS kx, k AS ky GROUP BY 1, 2, 3)
+SELECT video_id, frame_idx, 48 AS width, 32 AS height, 1 AS channels, {_SUMS} FROM p GROUP BY 1, 2""")
 def p2_dense_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.pyr_down(_frames(spark, sf_dir)).select("video_id", "frame_idx", "width", "height", "channels")
+    out = dense.pyr_down(_frames(spark, sf_dir))
+    return out.select("video_id", "frame_idx", "width", "height", "channels", *_pixel_sums(out))
 
 
-@query(f"{_CLIP} SELECT video_id, frame_idx, 80 AS width, 48 AS height, true AS whole FROM m")
+@query(f"""{_SHIFTS}, o AS (SELECT *, unnest(range(80 * 48)) AS i FROM s),
+p AS (SELECT video_id, frame_idx, i, {_texture("i % 80 + 8 - sx - CAST(dx AS BIGINT) + 1000", "i // 80 + 8 - sy - CAST(dy AS BIGINT) + 1000")} AS v FROM o)
+SELECT video_id, frame_idx, 80 AS width, 48 AS height, {_SUMS} FROM p GROUP BY 1, 2""")
 def p8_j7_p9_warp_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames moved back by their own summed shift: the inside of each is the first frame's."""
+    """Frames moved on by their own last shift and cropped: all pixels are known."""
     f = _frames(spark, sf_dir)
-    back = f.select("video_id", "frame_idx", F.lit(0.0).alias("A"), F.lit(0.0).alias("B"), F.col("dx").cast("double").alias("TX"), F.col("dy").cast("double").alias("TY"))
-    out = dense.crop_frames(dense.warp_frames(f, back), 8)
-    return out.select("video_id", "frame_idx", "width", "height", (F.octet_length("pixels") == F.col("width") * F.col("height")).alias("whole"))
+    moved = f.select("video_id", "frame_idx", F.lit(0.0).alias("A"), F.lit(0.0).alias("B"), F.col("dx").cast("double").alias("TX"), F.col("dy").cast("double").alias("TY"))
+    out = dense.crop_frames(dense.warp_frames(f, moved), 8)
+    return out.select("video_id", "frame_idx", "width", "height", *_pixel_sums(out))
 
 
 @query()
