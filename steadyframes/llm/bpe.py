@@ -31,10 +31,10 @@ from pyspark.sql.types import StructType
 
 from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, held, ragged
 
-MAX_STATES = 100_000
-MAX_PAIRS = 150_000
+MAX_STATES = 150_000
+MAX_PAIRS = 300_000
 #: Pieces and pre-tokens that a worker remembers; the longer ones are encoded anew.
-MAX_PIECES, MAX_WORDS, REMEMBERED = 120_000, 100_000, 64
+MAX_PIECES, MAX_WORDS, REMEMBERED = 250_000, 200_000, 64
 DECODE_BYTES = 1 << 16
 
 
@@ -336,6 +336,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges = Merges(ranks)
         self.transducer = Transducer(self.merges)
+        self.merges.children = []  # the transducer has them as its steps
         self.pattern = regex.compile(pattern)
         self.decoder = StreamDecoder(self.merges.bytes_of)
         self.said = Strings([b"%d " % i for i in range(max(ranks.values()) + 1)])
