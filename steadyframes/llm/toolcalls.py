@@ -7,10 +7,11 @@ topological order. Arguments are held against the schema of the call's name: typ
 additionalProperties, items, enum, minimum, maximum, minLength, maxLength and pattern of JSON Schema.
 
 Defined cases: of calls that repeat an identifier in a conversation the first by position counts, the others get
-status "repeated"; of results for one identifier the first by position counts; a need that is no call of the conversation is
-ignored and listed; calls on a cycle, or that need one, get no level and status "cycle"; null or malformed
-arguments, and names without a schema, are errors; a call with a null identifier joins nothing; no calls give no
-rows.
+status "repeated"; of results for one identifier the first by position counts; results for no call of the conversation, or
+with a null identifier, give no rows; a need that is no call of the conversation is ignored and listed; calls on a cycle, or
+that need one, get no level and status "cycle"; null or malformed arguments, and names without a schema, are errors
+(malformed: not JSON, NaN or infinities, lone surrogates, integers of over 4,300 digits, nesting beyond the parser's
+depth); a call with a null identifier joins nothing; no calls give no rows.
 """
 
 from __future__ import annotations
@@ -41,12 +42,23 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def parse(text: str):
+    """A JSON value; ValueError for what isn't one, for NaN and infinities, surrogates without a partner and nesting beyond
+    what Python's parser takes."""
+    try:
+        value = json.loads(text)
+        canonical(value).encode()
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What of a value breaks a schema, as "place: rule"."""
     out = []
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and float(value).is_integer()}.get(kind, isinstance(value, _TYPES.get(kind, object)))
+    fits = {"number": number, "integer": number and (isinstance(value, int) or value.is_integer())}.get(kind, isinstance(value, _TYPES.get(kind, object)))
     if not fits:
         return [f"{at}: type {kind}"]
     if "enum" in schema and value not in schema["enum"]:
@@ -119,7 +131,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             status, errors, out = [], [], []
             for r in batch.to_pylist():
                 try:
-                    arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
+                    arguments = parse(r["arguments"]) if r["arguments"] is not None else None
                     wrong = ["$: null arguments"] if r["arguments"] is None else [f"no schema for {r['name']}"] if r["name"] not in schemas else violations(arguments, schemas[r["name"]])
                     body = canonical(arguments)
                 except ValueError:

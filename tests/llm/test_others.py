@@ -329,6 +329,41 @@ def test_tool_calls_linked_ordered_and_validated(spark):
     assert json.loads(by[1, "c", 2].json)["missing"] == ["gone"]
 
 
+def test_hostile_arguments_are_malformed_and_end_no_job(spark):
+    deep, huge = "[" * 100_000 + "]" * 100_000, '{"query": "x", "limit": ' + "9" * 400 + "}"
+    texts = {"deep": deep, "huge": huge, "longer": "9" * 5_000, "lone": r'{"query": "\ud800"}', "key": r'{"\udfff": 1}', "nan": "NaN", "inf": "[1e999]", "pair": r'{"query": "\ud83d\ude00"}'}
+    calls = [(1, i, k, "search" if i == "huge" else "note", t, []) for k, (i, t) in enumerate(texts.items())]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([(1, "nobody", 0, "x")], "conv_id long, call_id string, position long, content string")
+    got = {r.call_id: r for r in toolcalls.link(df, results, toolcalls.SCHEMAS).collect()}
+    assert got.keys() == texts.keys()
+    assert all(got[i].errors == ["$: malformed"] for i in ("deep", "longer", "lone", "key", "nan", "inf"))
+    assert got["huge"].errors == ["$.limit: maximum"] and got["pair"].errors == []
+
+
+def test_levels_of_random_graphs_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(7)
+    calls = []
+    for conv in range(40):
+        n = int(rng.integers(1, 12))
+        for k in range(n):
+            # Mostly earlier calls, some later or the call itself (cycles), some that aren't there, some twice.
+            needs = [f"c{int(x)}" for x in rng.integers(0, n + 2 if rng.random() < 0.15 else max(k, 1), int(rng.integers(0, 3)))] if k or rng.random() < 0.2 else []
+            calls.append((conv, f"c{k}", k, "note", '{"query": "x"}', needs))
+    want = {}
+    for conv in range(40):
+        own = {c[1]: {x for x in c[5]} for c in calls if c[0] == conv}
+        level: dict = {}
+        while more := [i for i, needs in own.items() if i not in level and all(x in level for x in needs if x in own)]:
+            level |= {i: 1 + max((level[x] for x in own[i] if x in own), default=-1) for i in more}
+        want |= {(conv, i): (level.get(i), sorted(x for x in needs if x not in own)) for i, needs in own.items()}
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, needs array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, position long, content string")
+    got = {(r.conv_id, r.call_id): (r.level, json.loads(r.json)["missing"], r.status) for r in toolcalls.link(df, none, toolcalls.SCHEMAS).collect()}
+    assert {k: v[:2] for k, v in got.items()} == want
+    assert any(v[0] is None for v in want.values()) and all((s == "cycle") == (level is None) for level, _, s in got.values())
+
+
 def test_tool_call_digest_orders_topologically(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(3) for t in range(40)] + [(7, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
