@@ -1,4 +1,7 @@
-"""Operators on dense frames: one row a frame, pixels as row-major bytes (BGR where channels = 3)."""
+"""Operators on dense frames: one row a frame, pixels as row-major bytes (BGR where channels = 3).
+
+Spark bounds an Arrow batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch), however many frames that makes.
+"""
 
 from __future__ import annotations
 
@@ -13,15 +16,9 @@ from steadyframes.operators import kernels as K
 from steadyframes.operators.motion import size_segments
 
 CHUNK = 32
-FRAMES_PER_BATCH = 16
 META_ROWS = 2_000_000
 
 
-def frame_batches(spark) -> None:
-    """A frame is megabytes: a few to an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FRAMES_PER_BATCH))
-
-
 def image_of(pixels: bytes, width: int, height: int, channels: int) -> np.ndarray:
     a = np.frombuffer(pixels, np.uint8)
     return a.reshape((height, width) if channels == 1 else (height, width, channels))
@@ -29,7 +26,6 @@ def image_of(pixels: bytes, width: int, height: int, channels: int) -> np.ndarra
 
 def _map(frames: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], channels: int | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Replace each frame by fn(image, row); sizes follow the result, columns in `drop` go."""
-    frame_batches(frames.sparkSession)
     kept = [c for c in frames.columns if c not in drop]
 
     def run(batches):
@@ -52,7 +48,6 @@ def pyr_down(frames: DataFrame) -> DataFrame:
 
 def build_pyramid(frames: DataFrame, min_w: int = 20, min_h: int = 20) -> DataFrame:
     """A row for each level of each gray frame, with `level`."""
-    frame_batches(frames.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -103,11 +98,19 @@ def chunks(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.withColumn("chunk", F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(own, after)))))
 
 
+def by_chunk(rows: DataFrame):
+    """Rows of `chunks` grouped by chunk, in as many tasks as the session has shuffle partitions.
+
+    A chunk costs seconds for megabytes, so tasks must not be merged by their bytes as adaptive execution does.
+    """
+    keys = ["video_id", "segment", "chunk"]
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def in_chunks(frames: DataFrame, fn: Callable[[pd.DataFrame, int], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
     """fn(rows in order of n, chunk number) for each chunk; fn returns rows of the chunk's own frames."""
-    frame_batches(frames.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values("n", kind="stable"), int(pdf["chunk"].iloc[0]))
 
-    return chunks(frames, chunk).groupBy("video_id", "segment", "chunk").applyInPandas(run, schema)
+    return by_chunk(chunks(frames, chunk)).applyInPandas(run, schema)

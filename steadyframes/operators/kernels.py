@@ -234,14 +234,21 @@ def align(key: Keyframe, template: list[np.ndarray], p: AlignParams, current_is_
 
 def _smooth_rows(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Correlate columns' neighbours: along the first axis, clamped."""
-    r = len(k) // 2
-    p = np.pad(x, [(r, r)] + [(0, 0)] * (x.ndim - 1), "edge")
-    return sum(c * p[i : i + x.shape[0]] for i, c in enumerate(k))
+    r, n = len(k) // 2, x.shape[0]
+    p = x[np.clip(np.arange(-r, n + r), 0, n - 1)]
+    out = k[0] * p[:n]
+    for i, c in enumerate(k[1:], 1):
+        out += c * p[i : i + n]
+    return out
+
+
+def _smooth_columns(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The same along the second axis."""
+    return np.swapaxes(_smooth_rows(np.swapaxes(x, 0, 1), k), 0, 1)
 
 
 def _both(x: np.ndarray, ky: np.ndarray, kx: np.ndarray) -> np.ndarray:
-    y = _smooth_rows(x, ky)
-    return np.swapaxes(_smooth_rows(np.swapaxes(y, 0, 1), kx), 0, 1)
+    return _smooth_columns(_smooth_rows(x, ky), kx)
 
 
 def expansion(image: np.ndarray, n: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +258,9 @@ def expansion(image: np.ndarray, n: int, sigma: float) -> tuple[np.ndarray, np.n
     g /= g.sum()
     m2, m4 = (g * r**2).sum(), (g * r**4).sum()
     f = image.astype(np.float64)
-    one, sx, sy = _both(f, g, g), _both(f, g, g * r), _both(f, g * r, g)
-    sxx, syy, sxy = _both(f, g, g * r * r), _both(f, g * r * r, g), _both(f, g * r, g * r)
+    level, slope, bend = (_smooth_rows(f, k) for k in (g, g * r, g * r * r))
+    one, sx, sxx = (_smooth_columns(level, k) for k in (g, g * r, g * r * r))
+    sy, sxy, syy = _smooth_columns(slope, g), _smooth_columns(slope, g * r), _smooth_columns(bend, g)
     solve = np.linalg.inv(np.array([[1, m2, m2], [m2, m4, m2 * m2], [m2, m2 * m2, m4]]))
     xx = solve[1, 0] * one + solve[1, 1] * sxx + solve[1, 2] * syy
     yy = solve[2, 0] * one + solve[2, 1] * sxx + solve[2, 2] * syy
