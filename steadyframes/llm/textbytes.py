@@ -8,6 +8,7 @@ bounded by the block, or by one text where that is longer; Spark bounds the Arro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -229,10 +230,14 @@ class Pool:
         self.clock += 1
         if len(self.number) > self.most:
             self._drop()
-        missing = [w for w in dict.fromkeys(words) if w not in self.number]
-        if missing:
+        out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            missing, before = list(dict.fromkeys([words[i] for i in at.tolist()])), len(self.number)
             self.add(missing, *learn(missing))
-        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            # The words are mostly distinct: then the new numbers follow the old ones.
+            new = range(before, before + len(at)) if len(missing) == len(at) else [self.number[words[i]] for i in at.tolist()]
+            out[at] = np.asarray(new, np.int64)
         self.stamp[out] = self.clock
         return out
 

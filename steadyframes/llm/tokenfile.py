@@ -101,9 +101,9 @@ class WordEncoder:
         """Ids of distinct words, one word's after another's, and how many each has; many in one call."""
         at: list[int] = []
         flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        kind = [2 if b"|" in w else 0 if self.fast and w.isalpha() and w.islower() else 1 for w in words]
+        kind = np.array([2 if b"|" in w else 0 if self.fast and w.isalpha() and w.islower() else 1 for w in words])
         (bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
-        plain, barred, rest = ([i for i, k in enumerate(kind) if k == which] for which in range(3))
+        plain, barred, rest = (np.flatnonzero(kind == which).tolist() for which in range(3))
         for a in range(0, len(plain), 5_000):
             part = plain[a : a + 5_000]
             ids = np.array(self.bare.encode_batch_fast([b" ".join([words[i] for i in part]).decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -127,12 +127,17 @@ class WordEncoder:
         """All ids of a block, and each row's place in them.
 
         White space of one byte always parts two words. So does a place between a small Latin letter and a
-        punctuation mark that follows it. A-Z are lowered here as the file's own normaliser does, except in angle
-        brackets, where its special tokens stand.
+        punctuation mark that follows it. A-Z are lowered here as the file's own normaliser does, except in words with a
+        bar, since its special tokens have bars.
         """
         word = ~WHITE[buf]
-        low = LOWER[buf] if not (buf == 124).any() else buf
+        low = LOWER[buf]
         starts, ends, rows = spans(word, offsets)
+        bars = np.flatnonzero(buf == 124)
+        if len(bars):
+            own = np.unique(np.searchsorted(starts, bars, "right") - 1)
+            kept = ragged(starts[own], ends[own] - starts[own])
+            low[kept] = buf[kept]
         letter = (low >= 97) & (low < 123)
         cut = np.zeros(len(buf), bool)
         cut[1:] = letter[:-1] & ((buf[1:] == 44) | (buf[1:] == 46) | (buf[1:] == 59) | (buf[1:] == 58) | (buf[1:] == 33) | (buf[1:] == 63))
