@@ -584,6 +584,18 @@ def p8_j7_p9_warp_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "frame_idx", "width", "height", *_pixel_sums(out))
 
 
+@query(f"""{_SHIFTS}, p AS (SELECT *, unnest(range(96 * 64)) AS i FROM s WHERE frame_idx <> 3),
+v AS (SELECT video_id, frame_idx, i, {_texture("i % 96 - sx + 1000", "i // 96 - sy + 1000")} AS v FROM p)
+SELECT video_id, frame_idx, 96 AS width, 64 AS height, {_SUMS} FROM v GROUP BY 1, 2""")
+def s2_s4_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written by video and read back; those whose pixels are cut short go."""
+    f = _frames(spark, sf_dir).drop("dx", "dy")
+    cut = f.withColumn("pixels", F.expr("if(frame_idx = 3, substring(pixels, 2), pixels)"))
+    frames.write_frames(cut, folder := _shared_folder(spark, "frames"))
+    out = frames.read_frames(spark, folder)
+    return out.select(F.col("video_id").cast("long").alias("video_id"), "frame_idx", "width", "height", *_pixel_sums(out))
+
+
 @query()
 def c7_search_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_align(_frames(spark, sf_dir), search.aligner_grid(spark), crop=8)
@@ -599,10 +611,17 @@ def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session names for checkpoints; a local one only on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(spark: SparkSession, table_: DataFrame, job) -> DataFrame:
     """A table as a stream of files in the shared checkpoint folder, run to its end; the sink's rows."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    folder = _shared_folder(spark, "stream")
     table_.write.parquet(f"{folder}/in")
     source = spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     run = job(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")

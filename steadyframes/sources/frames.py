@@ -35,8 +35,11 @@ def output_meta(videos: DataFrame, crop: int) -> DataFrame:
 
 
 def write_frames(df: DataFrame, path: str) -> None:
-    """A folder for each video, its frames in order within each file."""
-    df.sortWithinPartitions("video_id", "frame_idx").write.partitionBy("video_id").parquet(path)
+    """A folder for each video, its frames in order within and across files.
+
+    Rows are dealt by ranges of (video, frame), so a video is in one file, or in a few where it is long.
+    """
+    df.repartitionByRange("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx").write.partitionBy("video_id").parquet(path)
 
 
 def report_line(df: DataFrame) -> DataFrame:
