@@ -1,12 +1,14 @@
 """Dense frames: equal to the long form, known motion found again, chunks without effect."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from steadyframes.functions import transforms as T
 from steadyframes.functions.params import AlignParams, StabParams
-from steadyframes.jobs import align, jitter, stabilize
+from steadyframes.jobs import align, jitter, search, stabilize
 from steadyframes.operators import dense, pixels
 from steadyframes.operators import kernels as K
 from steadyframes.sources import fixtures, frames
@@ -156,3 +158,42 @@ def test_streamed_alignment_equals_batch(spark, tmp_path, clip):
     online.stream_align(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     got, want = ({(r.video_id, r.frame_idx): (r.A, r.B, r.TX, r.TY, r.ok) for r in x.collect()} for x in (spark.read.parquet(str(tmp_path / "out")), align.align_frames(clip)))
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+def test_shared_alignment_equals_one_by_one():
+    y, x = np.mgrid[0:128, 0:192]
+    big = lambda dx, dy: (127 + 60 * np.sin((x - dx) / 9.0) * np.cos((y - dy) / 11.0) + 40 * np.sin((x - dx + 2 * (y - dy)) / 17.0)).astype(np.uint8)
+    lists, outcomes = {**search.ALIGN_GRID, "max_displacement": [0.3, 1.0, 6.0]}, set()
+    for move in ((2, 1), (9, -5), (25, 17)):
+        pair, shared = (K.Keyframe.of(K.pyramid(big(*move))), K.pyramid(big(0, 0)), True), {}
+        for values in itertools.product(*lists.values()):
+            p = AlignParams(**dict(zip(lists, values, strict=True)))
+            got, want = search.aligned_once(pair, p, shared), align.align_pair(pair, p)
+            assert tuple(map(float, got[0])) == tuple(map(float, want[0])) and got[1:] == want[1:]
+            outcomes.add(got[1])
+        assert len(shared) == 18
+    assert outcomes == {True, False}
+
+
+def test_warped_jitter_of_combos_equals_a_plain_loop(spark, clip):
+    moves = {0: (0.0, 0.0, 0.0, 0.0), 1: (0.0, 0.0, 1.5, 0.0), 2: (0.001, 0.0, 0.0, -1.0), 3: (0.0, 0.0, 1.5, 0.0)}
+    rows = clip.select("video_id", "frame_idx", "pixels").orderBy("video_id", "frame_idx").collect()
+    # Combo 2 has no correction of frame 4, and combo 3 leaves combo 1 from frame 3 on.
+    fix = lambda combo, k: None if combo == 2 and k == 4 else moves[0] if combo == 3 and k > 2 else tuple(v * (k % 3) for v in moves[combo])
+    table = [(c, r.video_id, r.frame_idx, *fix(c, r.frame_idx)) for r in rows for c in moves if fix(c, r.frame_idx)]
+    corrected = spark.createDataFrame(table, "combo_id long, video_id long, frame_idx long, A double, B double, TX double, TY double")
+    want, counts = {}, {}
+    for c in moves:
+        last = None
+        for r in rows:
+            t = fix(c, r.frame_idx)
+            now = K.warp_frame(np.frombuffer(r.pixels, np.uint8).reshape(64, 96), t)[4:-4, 4:-4] if t else None
+            if now is not None:
+                counts[c, r.video_id] = counts.get((c, r.video_id), 0) + 1
+                if last is not None and r.frame_idx:
+                    want.setdefault((c, r.video_id), []).append(K.flow_median(last, now))
+            last = now
+    for chunk in (2, 32):
+        got = {(r.combo_id, r.video_id): (r.frames, r.out_jitter) for r in search.warped_jitter(clip.drop("dx", "dy"), corrected, 4, chunk).collect()}
+        assert got.keys() == want.keys() == counts.keys()
+        assert all(got[k][0] == counts[k] and abs(got[k][1] - np.median(want[k])) < 1e-9 for k in want)
