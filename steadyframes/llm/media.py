@@ -65,6 +65,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return v.reshape((h, w, 3) if channels == 3 else (h, w))
 
 
+def brightest(data: bytes) -> int:
+    """The value of white in what decode gives: a Netpbm header's third number, else 255."""
+    if data[:2] not in (b"P2", b"P3", b"P5", b"P6"):
+        return 255
+    at = 2
+    for _ in range(3):
+        m = _TOKEN.match(data, at)
+        at = m.end()
+    return int(m[1])
+
+
 def encode_pgm(image: np.ndarray) -> bytes:
     """Raw gray Netpbm of 8 bits."""
     h, w = image.shape
@@ -163,7 +174,8 @@ def tiles(df: DataFrame, *, content: str = "content", size: int = 64, tile: int
                 try:
                     if data is None:
                         raise ValueError("null")
-                    image = gray(decode(data))
+                    image, top = gray(decode(data)), brightest(data)
+                    image = image if top == 255 else image * (255 / top)
                     h, w = image.shape
                     hashed = f"{difference_hash(image):016x}"
                     small = np.clip(np.rint(area_resize(image, size, size)), 0, 255).astype(np.uint8)

@@ -374,3 +374,15 @@ def test_tool_call_digest_orders_topologically(spark):
         if t:
             assert n == 1 + level[c, t // 4 * 2]
     assert toolcalls.digest(df.where("false")).count() == 0
+
+
+def test_tiles_scale_by_the_largest_value(spark):
+    ramp = (np.arange(64 * 64).reshape(64, 64) % 16).astype(np.uint8)
+    raw = b"P5 64 64 %d\n"
+    content = [raw % 65535 + (ramp.astype(">u2") * 4369).tobytes(), raw % 15 + ramp.tobytes(), raw % 255 + (ramp * 17).tobytes(), b"P2 64 64 15 " + b" ".join(b"%d" % v for v in ramp.reshape(-1).tolist())]
+    df = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(content)], "k long, content binary")
+    got: dict = {}
+    for r in media.tiles(df).collect():
+        assert r.error is None
+        got.setdefault(r.k, {})[r.tile_y, r.tile_x] = (bytes(r.tile), r.dhash)
+    assert len(got) == 4 and all(got[k] == got[2] for k in got)
