@@ -58,6 +58,7 @@ class Space:
         self.sample = self.dense([np.array(x) for x in sample])
         y, e = self.rotated(self.sample)
         self.centroids = _fitted(np.column_stack([y, e]), lists)
+        self.sample_lists = self.nearest(y, e, 1)[:, 0]
 
     def dense(self, rows: list[np.ndarray]) -> np.ndarray:
         """Vectors as rows of doubles, with zeros after the shorter."""
@@ -129,8 +130,11 @@ def survivors(q: np.ndarray, y: np.ndarray, rest: np.ndarray, limit: np.ndarray)
     return pairs
 
 
-def scan(space: Space, query_ids, queries, worst, ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, candidate's place, score) of the k best of each query among the vectors. worst: scores that a candidate must reach."""
+def scan(space: Space, query_ids, queries, worst, ids, vectors, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, candidate's place, score) of the k best of each query among the vectors.
+
+    worst: scores that a candidate must reach. allowed(i, j): which pairs count, where not all do.
+    """
     q, _ = space.rotated(queries)
     y, e = space.rotated(vectors)
     norms, worst = (q * q).sum(1), worst.copy()
@@ -140,6 +144,8 @@ def scan(space: Space, query_ids, queries, worst, ids, vectors, k: int) -> tuple
         i, j = survivors(q, y[a : a + TILE], e[a : a + TILE] ** 2, limit + ROUNDING * (norms + space.lift))
         j = j + a
         other = query_ids[i] != ids[j]
+        if allowed is not None:
+            other &= allowed(i, j)
         i, j = i[other], j[other]
         s = scores(queries[i], vectors[j])
         reach = s >= worst[i]
@@ -171,7 +177,8 @@ def fit(base: DataFrame, lists: int, seed: int) -> Space | None:
 def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS, probes: int = PROBES, seed: int = 7, vec_id: str = "vec_id", col: str = "embedding", part: int = PART) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each vector whose id is divisible by `every`.
 
-    Of `lists` lists a query probes the `probes` nearest; all of them make the search exact but for the tests' errors.
+    Of `lists` lists a query probes the `probes` nearest, and more where those hold fewer than k candidates; all of them make
+    the search exact but for the tests' errors.
     """
     spark = vectors.sparkSession
     base = usable(vectors, vec_id, col)
@@ -195,25 +202,33 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS,
             own = shared.value.nearest(*shared.value.rotated(rows_of(batch)), 1)[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(own.astype(np.int32))], names=["vec_id", "x", "list"])
 
+    folder = new_folder(spark, "lists")
+    base.mapInArrow(assign, f"vec_id long, x {kind}, list int").write.parquet(folder)
+    index = spark.read.parquet(folder)
+    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
     def probe(batches):
         for batch in batches:
             s, x = shared.value, rows_of(batch)
             y, _ = s.rotated(x)
-            near = s.nearest(y, np.zeros(len(y)), probes)
+            near = s.nearest(y, np.zeros(len(y)), len(s.centroids))
+            enough = (np.cumsum(filled[near], 1) < k + np.array(batch.column("own"))[:, None]).sum(1) + 1
+            probed = np.maximum(enough, probes)
+            taken = np.zeros((len(x), len(s.centroids)), bool)
+            np.put_along_axis(taken, near, np.arange(near.shape[1]) < probed[:, None], 1)
             ids, worst = np.array(batch.column("vec_id")), np.full(len(x), -np.inf)
             for a in range(0, len(x), QUERIES):
-                row, _, score = scan(s, ids[a : a + QUERIES], x[a : a + QUERIES], worst[a : a + QUERIES], s.sample_ids, s.sample, k)
-                full = np.flatnonzero(np.bincount(row, minlength=len(x[a : a + QUERIES])) == k)
+                # Only candidates in lists that the query probes make a threshold, so what reaches it will be found.
+                mine = taken[a : a + QUERIES]
+                row, _, score = scan(s, ids[a : a + QUERIES], x[a : a + QUERIES], worst[a : a + QUERIES], s.sample_ids, s.sample, k, lambda i, j, mine=mine: mine[i, s.sample_lists[j]])
+                full = np.flatnonzero(np.bincount(row, minlength=len(mine)) == k)
                 worst[a + full] = score[np.searchsorted(row, full, "right") - 1]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(worst)], names=["vec_id", "x", "lists", "worst"])
+            lists_ = [n[:m] for n, m in zip(near.astype(np.int32), probed.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(lists_, pa.list_(pa.int32())), pa.array(worst)], names=["vec_id", "x", "lists", "worst"])
 
-    folder = new_folder(spark, "lists")
-    base.mapInArrow(assign, f"vec_id long, x {kind}, list int").write.parquet(folder)
-    index = spark.read.parquet(folder)
-    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
+    filled = np.array([sizes.get(j, 0) for j in range(len(space.centroids))], np.int64)
     parts = F.element_at(F.create_map(*[F.lit(v) for j in range(len(space.centroids)) for v in (j, max(1, -(-sizes.get(j, 0) // part)))]), F.col("list"))
     held = index.select("list", F.pmod(F.xxhash64("vec_id", "x"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "x", F.lit(None).cast("double").alias("worst"))
-    asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"), F.count("*").alias("own"))
     asked = asked.mapInArrow(probe, f"vec_id long, x {kind}, lists array<int>, worst double")
     asked = asked.select("vec_id", "x", "worst", F.explode("lists").alias("list"))
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "x", "worst")
