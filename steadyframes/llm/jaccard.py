@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from steadyframes.llm import counters
 from steadyframes.llm.components import components, cut_lineage
-from steadyframes.llm.textbytes import LOWER, WHITE, blocks, free, mix, span_hashes, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, blocks, chained, free, mix, span_hashes, spans
 
 BAND_RATIO = 1.25
 #: Exact segments for each one that is emitted.
@@ -47,21 +47,17 @@ SIGN_ROWS, COUNT_AT_ONCE, LOAD_BYTES = 1 << 19, 1 << 18, 8 << 20
 
 def sets_of(texts: pa.Array, words: int):
     """For each text: its set as sorted distinct 64-bit hashes."""
-    odd = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(words)]
     for _, _, buf, offsets in blocks(texts):
         low = LOWER[buf]
         starts, ends, rows = spans(~WHITE[low], offsets)
         h = span_hashes(low, starts, ends)
-        grams = np.zeros(max(0, len(h) - words + 1), np.uint64)
-        for k in range(words):
-            grams += h[k : k + len(grams)] * odd[k]
-        grams = mix(grams)
+        n = max(0, len(h) - words + 1)
+        grams = chained(h[k : k + n] for k in range(words))
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
             if b - a >= words:
                 yield np.unique(grams[a : b - words + 1])
             elif b > a:
-                short = np.uint64(b - a) + (h[a:b] * np.array(odd[: b - a], np.uint64)).sum(dtype=np.uint64)
-                yield mix(np.array([short], np.uint64))
+                yield chained([np.array([b - a], np.uint64), *(h[k : k + 1] for k in range(a, b))])
             else:
                 yield np.zeros(0, np.uint64)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct, held, span_hashes, spans
+from steadyframes.llm.textbytes import LOWER, WHITE, blocks, distinct_spans, held, spans
 
 KINDS = ("email", "ip", "card", "phone")
 MARGIN = 2.0
@@ -322,7 +322,7 @@ def _word_table(f: Field, data: bytes, buf: np.ndarray, starts: np.ndarray, ends
     tables, index = [], np.zeros(len(starts), np.int64)
     at = np.flatnonzero(odd)
     if len(at):
-        first, inverse = distinct(span_hashes(buf, starts[at], ends[at]))
+        first, inverse = distinct_spans(buf, starts[at], ends[at])
         tables += [f.scores(data[s:e].decode()) for s, e in zip(starts[at][first].tolist(), ends[at][first].tolist(), strict=True)]
         index[at] = inverse
     at = np.flatnonzero(~odd)
@@ -339,7 +339,7 @@ def _word_table(f: Field, data: bytes, buf: np.ndarray, starts: np.ndarray, ends
         change[starts] = True
         kept = np.flatnonzero(change)
         low, high = np.searchsorted(kept, starts[at]), np.searchsorted(kept, ends[at])
-        first, inverse = distinct(span_hashes(cls[kept], low, high))
+        first, inverse = distinct_spans(cls[kept], low, high)
         tables_at = len(tables)
         tables += [f.scores(data[s:e].decode()) for s, e in zip(starts[at][first].tolist(), ends[at][first].tolist(), strict=True)]
         index[at] = inverse + tables_at

@@ -7,6 +7,7 @@ bounded by the block, or by one text where that is longer; Spark bounds the Arro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 2 << 20
-#: Spans of more bytes are hashed one by one.
+#: Spans of more bytes are hashed one by one, by a library's hash.
 LONG_SPAN = 256
 _TWEAK, _LENGTHS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: For 0 to 8 bytes, a mask of that many low ones.
@@ -83,34 +84,47 @@ def _words_at(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 8,), "<u8", padded, strides=(1,))
 
 
-def _long_hash(at: np.ndarray, start: int, end: int, window: int) -> int:
-    """Of one span, by windows, so that memory stays bounded."""
-    total = 0
-    for p in range(start, end, 8 * window):
-        place = np.arange(p, min(end, p + 8 * window), 8)
-        word = at[place] & _LOW_BYTES[np.minimum(end - place, 8)]
-        total += int(mix(word + ((place - start) // 8 + 1).astype(np.uint64) * _TWEAK).sum(dtype=np.uint64))
-    return total % (1 << 64)
+def chained(columns) -> np.ndarray:
+    """A 64-bit hash of each row of columns of 64-bit numbers, which may be written over.
 
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = BLOCK // 8) -> np.ndarray:
+    Two states take every number in unlike ways and end in one, so no number can be chosen to cancel another's change, as it can
+    in sums of hashes or where a single state is handed on.
+    """
+    one = two = None
+    for x in columns:
+        if one is None:
+            one = mix(x + _TWEAK)
+            two = one * _LENGTHS
+        else:
+            one = mix(one ^ x)
+            two = (two ^ (two >> np.uint64(29))) * _LENGTHS + x
+    return mix(one ^ (two ^ (two >> np.uint64(31))))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand.
 
-    Every eight bytes are mixed with their place before they are summed, so no arrangement of bytes cancels out as it
-    can in a polynomial modulo a power of two. Hashes of unlike spans are equal by chance only.
+    Up to eight bytes are mixed with their number; more go eight by eight through the two states of `chained`; long spans
+    through BLAKE2. Unlike spans are equal by chance only, but 64 bits are no proof: who needs one compares bytes.
     """
     lengths = ends - starts
     at = _words_at(buf)
     out = mix((at[starts] & _LOW_BYTES[np.minimum(lengths, 8)]) + _TWEAK)
     left = np.flatnonzero((lengths > 8) & (lengths <= LONG_SPAN))
-    done = 8
+    one = out[left]
+    two, done = one * _LENGTHS, 8
     while len(left):
-        place = starts[left] + done
+        x = at[starts[left] + done] & _LOW_BYTES[np.minimum(ends[left] - starts[left] - done, 8)]
+        one = mix(one ^ x)
+        two = (two ^ (two >> np.uint64(29))) * _LENGTHS + x
         done += 8
-        out[left] += mix((at[place] & _LOW_BYTES[np.minimum(ends[left] - place, 8)]) + np.uint64(done // 8 * int(_TWEAK) % (1 << 64)))
-        left = left[lengths[left] > done]
+        over = lengths[left] <= done
+        if over.any():
+            out[left[over]] = one[over] ^ (two[over] ^ (two[over] >> np.uint64(31)))
+            more = ~over
+            left, one, two = left[more], one[more], two[more]
     for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
-        out[i] = _long_hash(at, int(starts[i]), int(ends[i]), window)
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return mix(out ^ lengths.astype(np.uint64) * _LENGTHS)
 
 

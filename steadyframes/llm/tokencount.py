@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from steadyframes.llm.bpe import read_ranks
-from steadyframes.llm.textbytes import blocks, chunk_spans, distinct, held, mix, span_hashes
+from steadyframes.llm.textbytes import blocks, chunk_spans, distinct_spans, held, mix
 
 UNIT = 1 << 20
 #: Entries of every length count.
@@ -118,7 +118,7 @@ def count_column(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame
             out = []
             for _, _, buf, offsets in blocks(batch.column(place)):
                 starts, ends, rows = chunk_spans(buf, offsets)
-                first, inverse = distinct(span_hashes(buf, starts, ends))
+                first, inverse = distinct_spans(buf, starts, ends)
                 score, tokens = forward(v, buf, starts[first], ends[first])
                 sums = [np.concatenate(([0], np.cumsum(x[inverse]))) if len(inverse) else np.zeros(1, np.int64) for x in (tokens, score)]
                 out.append((np.diff(rows), *[np.diff(s[rows]) for s in sums]))
