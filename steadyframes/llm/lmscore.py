@@ -35,7 +35,7 @@ BUCKETS, CLASSES, LEAVES, INPUTS = 1 << 15, 32, 32, 1 << 12
 DIM, HIDDEN, WINDOW = 16, 32, 2
 #: RATE is for the sum over a batch's words.
 ROUNDS, BATCH, RATE = 2, 1024, 0.0016
-STEP = 1 << 11
+STEP = 1 << 12
 #: Bound of what goes into an exponential.
 MOST = 40
 FREQUENT = 1 << 15
@@ -44,6 +44,8 @@ WEIGHTS = ("embed", "mix", "hidden", "out", "bias", "low", "low_bias")
 UNIT = 1 << 30
 #: Sums of a network's log-probabilities, whose last bits are noise, are in coarser ones.
 SUM_UNIT = 1 << 20
+#: Steps of a unit to which weights and hidden values are rounded for scoring.
+STEPS = float(1 << 20)
 
 
 @dataclasses.dataclass
@@ -114,8 +116,7 @@ def contexts(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def dealt(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A table, a row for each class, of the places of its words (len(group) where there is none); and each word's
-    place in that table, rows one after another. Rows are padded to a multiple of 16, so that a word's product doesn't
-    depend on how many others there are."""
+    place in that table, rows one after another."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
     counts = np.bincount(group, minlength=CLASSES)
     width = max(16, -(-int(counts.max(initial=0)) // 16) * 16)
@@ -126,25 +127,44 @@ def dealt(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table.reshape(CLASSES, width), place
 
 
-def log_probabilities(m: Model, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of each word's bucket given the word's neighbours."""
-    mix = m.mix.reshape(-1, HIDDEN)
+def stepped(x: np.ndarray) -> np.ndarray:
+    """Doubles rounded to multiples of 2^-20 within +-8. Sums of up to 64 products of such numbers are exact, in whatever order
+    a library adds them up."""
+    return np.rint(np.clip(x, -8, 8).astype(np.float64) * STEPS) / STEPS
+
+
+def scoring_weights(m: Model) -> tuple[np.ndarray, ...]:
+    """embed, mix, out and low as they are used for scoring."""
+    return stepped(m.embed), stepped(m.mix.reshape(-1, HIDDEN)), stepped(m.out), stepped(m.low)
+
+
+def log_probabilities(m: Model, hashes: np.ndarray, rows: np.ndarray, weights: tuple | None = None) -> np.ndarray:
+    """Of each word's bucket given the word's neighbours; the same for equal words among equal neighbours, wherever they stand."""
+    embed, mix, out_, low = weights or scoring_weights(m)
     bucket = (hashes >> np.uint64(40) & np.uint64(BUCKETS - 1)).astype(np.int64)
     n = len(hashes)
-    # The last step is filled up, so that all products have one shape.
+    # The last step is filled up, so that what is done number by number has one shape.
     room = -(-n // STEP) * STEP
     context, leaf = np.zeros((room, 2 * WINDOW), np.int16), np.zeros(room, np.int64)
     context[:n], leaf[:n] = contexts(hashes, rows), m.leaf_of[bucket]
-    out = np.empty(room, np.float64)
-    h = np.zeros((STEP + 1, HIDDEN), np.float32)
+    out, at, f = np.empty(room, np.float64), np.arange(STEP), np.float32
+    y = np.empty((STEP, LEAVES), f)
     for a in range(0, room, STEP):
-        c, (group, inner) = context[a : a + STEP], np.divmod(leaf[a : a + STEP], LEAVES)
-        np.tanh(m.embed[c].reshape(STEP, -1) @ mix + m.hidden, out=h[:STEP])
-        z = np.clip(h[:STEP] @ m.out + m.bias, -MOST, MOST)
-        table, place = dealt(group)
-        y = np.clip((h[table] @ m.low).reshape(-1, LEAVES)[place] + m.low_bias[group], -MOST, MOST)
-        at = np.arange(STEP)
-        out[a : a + STEP] = z[at, group] - np.log(np.exp(z) @ ones(CLASSES)) + y[at, inner] - np.log(np.exp(y) @ ones(LEAVES))
+        group, inner = np.divmod(leaf[a : a + STEP], LEAVES)
+        h = np.tanh((embed[context[a : a + STEP]].reshape(STEP, -1) @ mix).astype(f) + m.hidden).astype(np.float64)
+        h *= STEPS
+        np.rint(h, out=h)
+        h *= 1 / STEPS
+        z = np.clip((h @ out_).astype(f) + m.bias, -MOST, MOST)
+        out[a : a + STEP] = z[at, group] - np.log(np.exp(z).sum(1))
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        h, sorted_ = h[order], group[order]
+        cuts = np.searchsorted(sorted_, np.arange(CLASSES + 1)).tolist()
+        for g, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            y[lo:hi] = h[lo:hi] @ low[g]
+        y += m.low_bias[sorted_]
+        np.clip(y, -MOST, MOST, out=y)
+        out[a + order] += y[at, inner[order]] - np.log(np.exp(y).sum(1))
     return out[:n] + m.share[bucket]
 
 
@@ -300,11 +320,12 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        weights = scoring_weights(shared.value)
         for batch in batches:
             n, total, known, rare, many = [], [], [], [], []
             for h, rows in words_of(batch.column(place)):
                 own, absent = own_shares(shared.value, h)
-                said = np.rint(log_probabilities(shared.value, h, rows) * SUM_UNIT).astype(np.int64)
+                said = np.rint(log_probabilities(shared.value, h, rows, weights) * SUM_UNIT).astype(np.int64)
                 for out, x in ((total, said), (known, own), (many, absent.astype(np.int64))):
                     out.append(np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))[rows]))
                 n.append(np.diff(rows))
