@@ -26,7 +26,8 @@ from steadyframes.llm.textbytes import blocks
 PAD = 64
 TILE = 16
 _TOKEN = re.compile(rb"(?:[ \t\r\n\v\f]|#[^\n]*\n)*([^ \t\r\n\v\f#]+)")
-MAX_PIXELS = 1 << 28
+#: Rows of an image that are summed at a time.
+STRIP = 4096
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -39,7 +40,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     w, h, top = head[0], head[1], head[2] if len(head) > 2 else 1
-    if not 0 < w * h <= MAX_PIXELS or not 0 < top < 65536:
+    # No header makes more pixels than the data have bits.
+    if not 0 < w * h <= 8 * len(data) or not 0 < top < 65536:
         raise ValueError("bad Netpbm size")
     channels = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P1":
@@ -50,7 +52,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("short Netpbm")
         return ((49 - v) * 255).astype(np.uint8).reshape(h, w)
     if kind in (b"P2", b"P3"):
-        v = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[: w * h * channels], np.int64)
+        try:
+            v = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[: w * h * channels], np.int64)
+        except OverflowError:
+            raise ValueError("bad Netpbm values") from None
         if len(v) < w * h * channels or v.min() < 0 or v.max() > top:
             raise ValueError("bad Netpbm values")
         v = v.astype(np.uint8 if top < 256 else np.uint16)
@@ -89,13 +94,15 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, head = int.from_bytes(data[10:14], "little"), int.from_bytes(data[14:18], "little")
     w, h = int.from_bytes(data[18:22], "little", signed=True), int.from_bytes(data[22:26], "little", signed=True)
     bits, packed = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or (packed == 3 and bits != 32):
+    if packed not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)):
         raise ValueError("BMP of another kind")
-    if w <= 0 or h == 0 or w * abs(h) > MAX_PIXELS:
+    if w <= 0 or h == 0 or w * abs(h) > 8 * len(data):
         raise ValueError("bad BMP size")
     row = (w * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, row * abs(h), start).reshape(abs(h), row)
     raw = raw[::-1] if h > 0 else raw
+    if bits == 16 or packed == 3:
+        return _masked(raw[:, : w * bits // 8].copy().view(f"<u{bits // 8}"), data, bits, packed)
     if bits >= 24:
         return raw[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1].copy()
     used = int.from_bytes(data[46:50], "little") or 1 << bits
@@ -112,6 +119,22 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return colour[:, :, 0].copy() if (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all() else colour.copy()
 
 
+def _masked(pixels: np.ndarray, data: bytes, bits: int, packed: int) -> np.ndarray:
+    """Red, green and blue by their bit masks, stretched to 255; without masks a pixel of 16 bits has five for each."""
+    if packed == 3 and len(data) < 66:
+        raise ValueError("short BMP")
+    masks = [int.from_bytes(data[k : k + 4], "little") for k in (54, 58, 62)] if packed == 3 else [0x7C00, 0x3E0, 0x1F]
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        if mask >> bits:
+            raise ValueError("bad BMP masks")
+        if mask:
+            low = (mask & -mask).bit_length() - 1
+            v = (pixels.astype(np.uint64) & np.uint64(mask)) >> np.uint64(low)
+            out[:, :, k] = np.minimum(np.rint(v * (255 / (mask >> low))), 255)
+    return out
+
+
 def decode(data: bytes) -> np.ndarray:
     if data[:1] == b"P" and data[1:2] in b"123456":
         return decode_netpbm(data)
@@ -119,26 +142,38 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def gray(image: np.ndarray) -> np.ndarray:
-    """Float64 luma of an image of any kind."""
-    return image.astype(np.float64) if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
+    """Luma of an image of any kind, a gray one as it is."""
+    return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
+
+
+def _between(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of running sums at places between rows."""
+    low = np.minimum(at.astype(np.int64), len(a) - 2)
+    part = (at - low)[:, None]
+    return a[low] * (1 - part) + a[low + 1] * part
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The mean of each output pixel's source rectangle, by an integral image read between its corners."""
-    image = image.astype(np.float64)
+    """The mean of each output pixel's source rectangle, by an integral image read between its corners.
+
+    Of the integral image only the rows about the rectangles' edges are kept; it is summed a strip at a time, so the memory
+    of a long image is a strip's.
+    """
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, 0), 1, out=total[1:, 1:])
-
-    def between(a: np.ndarray, n_out: int, n: int) -> np.ndarray:
-        at = np.arange(n_out + 1) * n / n_out
-        low = np.minimum(at.astype(np.int64), n - 1)
-        part = (at - low).reshape(-1, *[1] * (a.ndim - 1))
-        return a[low] * (1 - part) + a[low + 1] * part
-
-    edge = between(total, height, h)
-    edge = between(edge.T, width, w).T
-    return np.diff(np.diff(edge, axis=0), axis=1) * (height * width / (h * w))
+    at = np.arange(height + 1) * h / height
+    low = np.minimum(at.astype(np.int64), h - 1)
+    need = np.unique(np.concatenate([low, low + 1]))
+    rows, total = np.zeros((len(need), w)), np.zeros(w)
+    for a in range(0, h, STRIP):
+        sums = np.cumsum(image[a : a + STRIP], 0, dtype=np.float64)
+        here = np.flatnonzero((need > a) & (need <= a + len(sums)))
+        rows[here] = total + sums[need[here] - a - 1]
+        total = total + sums[-1]
+    part = (at - low)[:, None]
+    edge = rows[np.searchsorted(need, low)] * (1 - part) + rows[np.searchsorted(need, low + 1)] * part
+    whole = np.zeros((w + 1, height + 1))
+    np.cumsum(edge.T, 0, out=whole[1:])
+    return np.diff(np.diff(_between(whole, np.arange(width + 1) * w / width).T, axis=0), axis=1) * (height * width / (h * w))
 
 
 def difference_hash(image: np.ndarray) -> int:

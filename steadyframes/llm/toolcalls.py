@@ -53,29 +53,41 @@ def parse(text: str):
     return value
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of a value breaks a schema, as "place: rule"."""
-    out = []
-    kind = schema.get("type")
+def of_type(value, kind: str) -> bool:
+    """Whether a JSON value has a type that a schema names; unknown names hold for every value."""
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and (isinstance(value, int) or value.is_integer())}.get(kind, isinstance(value, _TYPES.get(kind, object)))
-    if not fits:
-        return [f"{at}: type {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if kind in ("number", "integer"):
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES.get(kind, object))
+
+
+def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """What of a value breaks a schema, as "place: rule". A schema may be true (all values fit) or false (none does)."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: false"]
+    out = []
+    if "type" in schema:
+        kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        if not any(of_type(value, k) for k in kinds):
+            return [f"{at}: type {' or '.join(kinds)}"]
+    # JSON tells 1 from true, and not 1 from 1.0.
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: enum")
-    if number:
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}: minimum"] * (value < schema.get("minimum", value)) + [f"{at}: maximum"] * (value > schema.get("maximum", value))
     if isinstance(value, str):
         out += [f"{at}: minLength"] * (len(value) < schema.get("minLength", 0)) + [f"{at}: maxLength"] * (len(value) > schema.get("maxLength", len(value)))
         out += [f"{at}: pattern"] * ("pattern" in schema and not re.search(schema["pattern"], value))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, rest = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{at}: required {k}" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
                 out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            elif rest is False:
                 out.append(f"{at}: additional {k}")
+            else:
+                out += violations(value[k], rest, f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         for i, x in enumerate(value):
             out += violations(x, schema["items"], f"{at}[{i}]")
@@ -107,7 +119,8 @@ def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """A row for each call: conv_id, call_id, position, level, status, errors, json.
+    """A row for each call, in the order of (conv_id, level, position), those without a level last of their conversation:
+    conv_id, call_id, position, level, status, errors, json.
 
     calls: conv_id, call_id, position, name, arguments (JSON), needs (array of call_id). results: conv_id, call_id,
     position, content. status: ok, invalid, unanswered, repeated or cycle, the last that holds of these.
@@ -125,6 +138,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     level, missing = levels(own)
     joined = every.join(answered, ["conv_id", "call_id"], "left").join(level, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left")
     joined = joined.select("conv_id", "call_id", "position", "name", "arguments", "needs", "repeated", F.coalesce("answered", F.lit(False)).alias("answered"), "result", "level", "missing")
+    joined = joined.orderBy("conv_id", F.col("level").asc_nulls_last(), "position", "call_id")
 
     def run(batches):
         for batch in batches:

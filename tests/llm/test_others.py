@@ -386,3 +386,62 @@ def test_tiles_scale_by_the_largest_value(spark):
         assert r.error is None
         got.setdefault(r.k, {})[r.tile_y, r.tile_x] = (bytes(r.tile), r.dhash)
     assert len(got) == 4 and all(got[k] == got[2] for k in got)
+
+
+# --- schemas and decoders that ended jobs
+
+
+def test_schemas_of_several_types_and_booleans():
+    v = toolcalls.violations
+    assert v(None, {"type": ["string", "null"]}) == [] and v(1, {"type": ["string", "null"]}) == ["$: type string or null"]
+    assert v({"a": 1, "b": 2}, {"properties": {"a": True, "b": False}}) == ["$.b: false"]
+    assert v(True, {"enum": [1]}) == ["$: enum"] and v(1.0, {"enum": [1]}) == [] and v([1, {"a": 2}], {"enum": [[1, {"a": 2.0}]]}) == []
+    assert v({"x": "y"}, {"additionalProperties": {"type": "integer"}}) == ["$.x: type integer"]
+    assert v([1, "a"], {"items": True}) == [] and v([1], {"items": False}) == ["$[0]: false"] and v(3, True) == []
+
+
+def test_calls_come_out_in_topological_order(spark):
+    rows = [(c, f"c{i}", 10 - i, "f", "{}", [f"c{j}" for j in range(i)]) for c in (2, 1) for i in range(5)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, position long, name string, arguments string, needs array<string>")
+    got = toolcalls.link(calls, spark.createDataFrame([], "conv_id long, call_id string, position long, content string"), {"f": {"type": ["object", "null"]}}).collect()
+    assert [(r.conv_id, r.call_id, r.level) for r in got] == [(c, f"c{i}", i) for c in (1, 2) for i in range(5)]
+
+
+def bmp(width, height, bits, pixels, masks=None):
+    body = (b"".join(m.to_bytes(4, "little") for m in masks) if masks else b"") + pixels
+    head = (40).to_bytes(4, "little") + width.to_bytes(4, "little") + height.to_bytes(4, "little") + (1).to_bytes(2, "little") + bits.to_bytes(2, "little") + (3 if masks else 0).to_bytes(4, "little") + bytes(20)
+    start = 14 + 40 + (12 if masks else 0)
+    return b"BM" + (14 + len(head) + len(body)).to_bytes(4, "little") + bytes(4) + start.to_bytes(4, "little") + head + body
+
+
+def test_bmp_bit_masks():
+    image = media.decode_bmp(bmp(1, 1, 32, bytes([10, 20, 30, 0]), (0xFF, 0xFF00, 0xFF0000)))
+    assert image.tolist() == [[[10, 20, 30]]]
+    five_six_five = (31 << 11 | 21 << 5 | 0).to_bytes(2, "little") + bytes(2)
+    assert media.decode_bmp(bmp(1, 1, 16, five_six_five, (0xF800, 0x7E0, 0x1F))).tolist() == [[[255, 85, 0]]]
+    assert media.decode_bmp(bmp(1, 1, 16, (0x7C00).to_bytes(2, "little") + bytes(2))).tolist() == [[[255, 0, 0]]]
+    with pytest.raises(ValueError):
+        media.decode_bmp(bmp(1, 1, 32, b"", (1, 2, 4))[:60])
+
+
+def test_media_that_can_t_be_read_end_no_job(spark):
+    huge = b"P5\n%d %d\n255\n" % (10**9, 10**9)
+    rows = [(0, b"P2\n1 1\n255\n" + b"1" * 23), (1, huge + b"x"), (2, b"P1\n99999999 99999999\n1"), (3, None), (4, b""), (5, bmp(1 << 20, 1 << 10, 24, b"x"))]
+    got = media.tiles(spark.createDataFrame(rows, "k int, content binary")).collect()
+    assert sorted(r.k for r in got) == list(range(6)) and all(r.error for r in got)
+
+
+def test_long_images_are_summed_by_strips(monkeypatch):
+    image = np.random.default_rng(0).integers(0, 256, (1003, 64)).astype(np.uint8)
+    whole = media.area_resize(image, 16, 16)
+    for strip in (1, 7, 64):
+        monkeypatch.setattr(media, "STRIP", strip)
+        assert (media.area_resize(image, 16, 16) == whole).all()
+
+
+def test_the_difference_hash_by_hand():
+    row = [0, 9, 3, 3, 8, 1, 2, 7, 5]  # rises, falls, level, rises, falls, rises, rises, falls
+    image = np.tile(np.array(row, np.uint8), (8, 1))
+    assert media.difference_hash(image) == int("10010110" * 8, 2)
+    image[0] = row[::-1]
+    assert f"{media.difference_hash(image):064b}"[:8] == "10010010"
