@@ -5,9 +5,6 @@ Doubles are rounded on both sides; integers and booleans are exact.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from steadyframes.functions.params import AlignParams, StabParams
 from steadyframes.jobs import align, jitter, search, stabilize
 from steadyframes.operators import dense, motion, pixels, scores
 from steadyframes.sources import fixtures, frames
+from steadyframes.sources.folders import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -591,7 +589,7 @@ def s2_s4_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames written by video and read back; those whose pixels are cut short go."""
     f = _frames(spark, sf_dir).drop("dx", "dy")
     cut = f.withColumn("pixels", F.expr("if(frame_idx = 3, substring(pixels, 2), pixels)"))
-    frames.write_frames(cut, folder := _shared_folder(spark, "frames"))
+    frames.write_frames(cut, folder := new_folder(spark, "frames"))
     out = frames.read_frames(spark, folder)
     return out.select(F.col("video_id").cast("long").alias("video_id"), "frame_idx", "width", "height", *_pixel_sums(out))
 
@@ -611,17 +609,9 @@ def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the session names for checkpoints; a local one only on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, table_: DataFrame, job) -> DataFrame:
     """A table as a stream of files in the shared checkpoint folder, run to its end; the sink's rows."""
-    folder = _shared_folder(spark, "stream")
+    folder = new_folder(spark, "stream")
     table_.write.parquet(f"{folder}/in")
     source = spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     run = job(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")

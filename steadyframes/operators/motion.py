@@ -1,14 +1,15 @@
 """Operators on motion tables: (video_id, frame_idx, width, height, A, B, TX, TY, ok), no pixels.
 
-A video may be long, so nothing gathers a whole video; the decay scan streams through a reset segment's numbers in order.
+A video may be long, so nothing gathers or orders a whole video in one task: rows are numbered on two levels, windows are taken in
+chunks with a halo, and the decay scan runs along pieces of a segment at once.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 
 from steadyframes.functions import transforms as T
 from steadyframes.functions.params import StabParams
+from steadyframes.operators.sequence import PART_ROWS, begins, number_rows, part_of, size_runs, whole_groups, with_halo
+from steadyframes.sources.folders import new_folder
 
 TRANSFORM = ("A", "B", "TX", "TY")
 
@@ -30,29 +33,26 @@ def as_struct(prefix: str = "") -> Column:
     return T.transform(*[F.col(prefix + c) for c in TRANSFORM])
 
 
-def size_segments(frames: DataFrame) -> DataFrame:
+def size_segments(frames: DataFrame, part: int = PART_ROWS) -> DataFrame:
     """Number the runs of equal frame size within a video; `n` counts from 0 in each."""
-    changed = (F.lag("width").over(video_window()) != F.col("width")) | (F.lag("height").over(video_window()) != F.col("height"))
-    out = frames.withColumn("segment", F.sum(F.coalesce(changed, F.lit(False)).cast("long")).over(video_window().rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("n", (F.row_number().over(Window.partitionBy("video_id", "segment").orderBy("frame_idx")) - 1).cast("long"))
+    return size_runs(frames, part).drop("prev_idx")
 
 
-def pair_frames(frames: DataFrame) -> DataFrame:
+def pair_frames(frames: DataFrame, part: int = PART_ROWS) -> DataFrame:
     """For each frame but a segment's first: keyframe, template, and whether the result is to be inverted."""
-    s = size_segments(frames)
-    prev = F.lag("frame_idx").over(Window.partitionBy("video_id", "segment").orderBy("n"))
     odd = F.col("n") % 2 == 1
-    return s.withColumn("prev_idx", prev).where("n >= 1").withColumns({
+    return size_runs(frames, part).where("n >= 1").withColumns({
         "key_idx": F.when(odd, F.col("frame_idx")).otherwise(F.col("prev_idx")),
         "tmpl_idx": F.when(odd, F.col("prev_idx")).otherwise(F.col("frame_idx")),
         "invert": ~odd,
     })
 
 
-def motion_windows(motion: DataFrame, lag: int, memory: int) -> DataFrame:
+def motion_windows(motion: DataFrame, lag: int, memory: int, part: int = PART_ROWS) -> DataFrame:
     """The transforms of frames i - lag to i + memory around each frame i whose last one is there; `middle` is i's place."""
-    w = video_window().rowsBetween(-lag, memory)
-    out = motion.select("video_id", "frame_idx", F.collect_list(as_struct()).over(w).alias("window"), F.lead("frame_idx", memory).over(video_window()).isNotNull().alias("final"), F.least(F.row_number().over(video_window()) - 1, F.lit(lag)).cast("int").alias("middle"))
+    rows = with_halo(number_rows(motion, part=part), lag, memory, part)
+    w = Window.partitionBy("video_id", "chunk").orderBy("k").rowsBetween(-lag, memory)
+    out = rows.select("video_id", "frame_idx", F.collect_list(as_struct()).over(w).alias("window"), F.least("k", F.lit(lag)).cast("int").alias("middle"), (F.col("own") & (F.col("k") + memory < F.col("rows_"))).alias("final"))
     return out.where("final").drop("final")
 
 
@@ -115,27 +115,93 @@ def smooth_windows(windows: DataFrame, lam: float, iterations: int = 100) -> Dat
     return windows.mapInArrow(run, f"video_id {kind}, frame_idx long, A double, B double, TX double, TY double")
 
 
-def smooth_motion(motion: DataFrame, lag: int, memory: int, lam: float, iterations: int = 100) -> DataFrame:
-    """Smoothed motion of all frames that have `memory` frames after them."""
-    return smooth_windows(motion_windows(motion, lag, memory), lam, iterations)
+def _smoothed(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, middle: np.ndarray, lam: float, iterations: int) -> np.ndarray:
+    """Of runs of rows, all in one flat array, the smoothed row in the middle of each; windows of one size go together."""
+    out = np.zeros((len(begin), values.shape[1]))
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        for a in range(0, len(at), WINDOWS_TOGETHER):
+            some = at[a : a + WINDOWS_TOGETHER]
+            out[some] = tv_smooth(values[begin[some][:, None] + np.arange(n)], lam, iterations)[np.arange(len(some)), middle[some]]
+    return out
+
+
+def _by_chunk(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of with_halo, a task's chunks one after another in order. Smoothing costs far more than its bytes tell, so tasks
+    are as many as shuffle partitions."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("video_id", "chunk", "k", "rows_", "own", *columns).repartition(tasks, "video_id", "chunk").sortWithinPartitions("video_id", "chunk", "k")
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy() for n in names]
+
 
+def smooth_motion(motion: DataFrame, lag: int, memory: int, lam: float, iterations: int = 100, part: int = PART_ROWS) -> DataFrame:
+    """W3 over W2's windows without building them: smoothed motion of all frames that have `memory` frames after them."""
+    rows = _by_chunk(with_halo(number_rows(motion, part=part), lag, memory, part), ("frame_idx", *TRANSFORM))
 
-def attach_smoothed(motion: DataFrame, smoothed: DataFrame, lag: int, memory: int, align: bool = False) -> DataFrame:
+    def run(batches):
+        for table, _ in whole_groups(batches, ("video_id", "chunk")):
+            k, count, own = _columns(table, "k", "rows_", "own")
+            at = np.flatnonzero(own & (k + memory < count))
+            before = np.minimum(k[at], lag)
+            values = np.stack(_columns(table, *TRANSFORM), 1)
+            out = _smoothed(values, at - before, before + memory + 1, before, lam, iterations)
+            taken = table.select(["video_id", "frame_idx"]).take(pa.array(at)).combine_chunks()
+            for batch in taken.to_batches():
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *map(pa.array, np.ascontiguousarray(out.T))], names=["video_id", "frame_idx", *TRANSFORM])
+
+    kind = motion.schema["video_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"video_id {kind}, frame_idx long, A double, B double, TX double, TY double")
+
+
+def attach_smoothed(motion: DataFrame, smoothed: DataFrame, lag: int, memory: int, align: bool = False, part: int = PART_ROWS) -> DataFrame:
     """Frame k with the smoothed motion of frame k + lag - memory (of k itself if align), identity where that is before the start.
 
     Only frames that come out: those with `lag` frames after them. Row order in the video counts, not frame_idx.
     """
-    m = motion.withColumn("k", (F.row_number().over(video_window()) - 1).cast("long")).withColumn("out", F.lead("frame_idx", lag).over(video_window()).isNotNull() if lag else F.lit(True))
-    s = smoothed.withColumn("k", (F.row_number().over(video_window()) - 1).cast("long")).select("video_id", F.col("k").alias("j"), as_struct().alias("smoothed"))
+    m = number_rows(motion, part=part).where(F.col("k") + lag < F.col("rows_"))
+    s = number_rows(smoothed, part=part).select("video_id", F.col("k").alias("j"), as_struct().alias("smoothed"))
     shift = 0 if align else lag - memory
-    joined = m.where("out").withColumn("j", F.col("k") + shift).join(s, ["video_id", "j"], "left")
-    return joined.withColumn("smoothed", F.coalesce("smoothed", T.t_identity())).drop("j", "out")
+    joined = m.withColumn("j", F.col("k") + shift).join(s, ["video_id", "j"], "left")
+    return joined.withColumn("smoothed", F.coalesce("smoothed", T.t_identity())).drop("j", "rows_")
 
 
-def reset_segments(motion: DataFrame, lag: int) -> DataFrame:
+def reset_segments(motion: DataFrame, lag: int, part: int = PART_ROWS) -> DataFrame:
     """Number of failures among the arrivals up to frame k + lag (or the last there is), as `reset`."""
-    total = F.sum((~F.col("ok")).cast("long"))
-    return motion.withColumn("reset", total.over(video_window().rowsBetween(Window.unboundedPreceding, lag)))
+    rows = with_halo(number_rows(motion, {"failed": (~F.col("ok")).cast("long")}, part), 0, lag, part)
+    later = Window.partitionBy("video_id", "chunk").orderBy("k").rowsBetween(0, lag)
+    return rows.withColumn("reset", F.max("failed").over(later)).where("own").drop("failed", "k", "rows_", "chunk", "own")
+
+
+def with_smoothed(motion: DataFrame, p: StabParams, part: int = PART_ROWS) -> DataFrame:
+    """W2 to W4 and J6 in one pass over chunks: each frame that comes out, with `reset` and `smoothed` (identity if not p.smooth)."""
+    ahead = p.memory if p.align_smoothed else p.lag
+    back = p.lag if p.align_smoothed else p.memory
+    shift = 0 if p.align_smoothed else p.lag - p.memory
+    numbered = number_rows(motion, {"failed": (~F.col("ok")).cast("long")}, part)
+    rows = _by_chunk(with_halo(numbered, max(back, 0) if p.smooth else 0, max(ahead, p.lag), part), ("frame_idx", "width", "height", "failed", *TRANSFORM))
+    kept = ["video_id", "frame_idx", "width", "height", *TRANSFORM]
+
+    def run(batches):
+        for table, begin in whole_groups(batches, ("video_id", "chunk")):
+            k, count, own, failed = _columns(table, "k", "rows_", "own", "failed")
+            at = np.flatnonzero(own & (k + p.lag < count))
+            smoothed = np.zeros((len(at), 4))
+            j = k[at] + shift
+            there = np.flatnonzero((j >= 0) & (j + p.memory < count[at]))
+            if p.smooth and len(there):
+                middle = np.minimum(j[there], p.lag)
+                values = np.stack(_columns(table, *TRANSFORM), 1)
+                smoothed[there] = _smoothed(values, at[there] + shift - middle, middle + p.memory + 1, middle, p.lam, p.iterations)
+            taken = table.select(kept).take(pa.array(at)).combine_chunks()
+            for batch in taken.to_batches():
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed[at + p.lag]), *map(pa.array, np.ascontiguousarray(smoothed.T))], names=[*kept, "reset", *[f"s{c}" for c in TRANSFORM]])
+
+    kinds = ", ".join(f"{c} {motion.schema[c].dataType.simpleString()}" for c in kept)
+    found = rows.mapInArrow(run, f"{kinds}, reset long, sA double, sB double, sTX double, sTY double")
+    return found.withColumn("smoothed", as_struct("s")).drop(*[f"s{c}" for c in TRANSFORM])
 
 
 def residual_motion(attached: DataFrame, smooth: bool = True) -> DataFrame:
@@ -205,32 +271,110 @@ def scan_segments(a: np.ndarray, w: np.ndarray, h: np.ndarray, limits: np.ndarra
     return out
 
 
-def accumulate_motion(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset")) -> DataFrame:
-    """The decayed sum of jitter, from identity at each segment's start. Without p the rows have their own LIMITS.
+#: Rows of a segment that are scanned one after another; longer segments are cut.
+SCAN_ROWS = 8192
+
 
-    Segments are dealt by a hash and stream through a task in order, all of a batch together; a segment that goes on in
-    the next batch takes its sum along, so no segment is held in memory.
+def _scan_pieces(rows: DataFrame, starts: DataFrame | None, by: tuple[str, ...], ends_only: bool) -> DataFrame:
+    """The decay scan of pieces of segments. starts: (by, piece, A, B, TX, TY), what pieces start from where not from identity.
+
+    Pieces are dealt by a hash and stream through a task in order, all of a batch together; a start comes as a row before its
+    piece's. ends_only: a row for each piece with what it ends in, else a row for each frame.
     """
-    limits = [F.lit(float(getattr(p, c))).alias(c) if p else F.col(c).cast("double").alias(c) for c in LIMITS]
-    names = [*by, "frame_idx"]
+    keys = (*by, "piece")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if starts is not None:
+        rows = rows.unionByName(starts.select(*keys, *TRANSFORM), allowMissingColumns=True)
+    names = list(keys) if ends_only else [*by, "frame_idx"]
 
     def run(batches):
         last, state = None, np.zeros(4)
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = pdf[list(by)]
-            begin = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
-            starts = np.zeros((len(begin), 4))
-            if last is not None and tuple(keys.iloc[0]) == last:
-                starts[0] = state
-            out = scan_segments(pdf[list(TRANSFORM)].to_numpy(float), pdf["width"].to_numpy(float), pdf["height"].to_numpy(float), pdf[list(LIMITS)].to_numpy(float), begin, starts)
-            last, state = tuple(keys.iloc[-1]), out[-1]
-            yield pd.DataFrame({**{c: pdf[c] for c in names}, **dict(zip(TRANSFORM, out.T, strict=True))})
+            begin, n = begins(batch, keys), batch.num_rows
+            flat = np.stack(_columns(batch, *TRANSFORM), 1)
+            own, start = np.array(batch.column("frame_idx").is_valid()), np.zeros((len(begin), 4))
+            key = tuple(batch.column(k)[0].as_py() for k in keys)
+            if key == last:
+                start[0] = state
+            given = np.flatnonzero(~own)
+            start[np.searchsorted(begin, given)] = flat[given]
+            # A given start stands first of its piece; without those rows pieces begin as many rows earlier.
+            at = np.flatnonzero(own)
+            first = begin - np.searchsorted(given, begin)
+            size = np.diff(np.append(first, len(at)))
+            filled = size > 0
+            out = np.zeros((len(at), 4))
+            w, h, *limits = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("width", "height", *LIMITS)]
+            if len(at):
+                out = scan_segments(flat[at], w[at], h[at], np.stack(limits, 1)[at], first[filled], start[filled])
+            end = start.copy()
+            end[filled] = out[(first + size)[filled] - 1]
+            last, state = tuple(batch.column(k)[n - 1].as_py() for k in keys), end[-1]
+            if ends_only:
+                # A piece that goes on in the next batch gives one more row there; the last one counts.
+                cols = [batch.column(c).take(pa.array(begin)) for c in names]
+                reached = batch.column("order_").take(pa.array(np.append(begin[1:], n) - 1))
+                yield pa.RecordBatch.from_arrays([*cols, reached, *map(pa.array, np.ascontiguousarray(end.T))], names=[*names, "order_", *TRANSFORM])
+            elif len(at):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in names], *map(pa.array, np.ascontiguousarray(out.T))], names=[*names, *TRANSFORM])
+
+    rows = rows.withColumn("order_", F.coalesce(F.col("frame_idx").cast("long"), F.lit(-(1 << 62))))
+    dealt = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "order_")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    found = dealt.mapInArrow(run, f"{kinds}, {'order_ long, ' if ends_only else ''}A double, B double, TX double, TY double")
+    if ends_only:
+        found = found.groupBy(*keys).agg(F.max_by(F.struct(*TRANSFORM), "order_").alias("e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in TRANSFORM])
+    return found
+
+
+def scan_in_rounds(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset"), piece: int = SCAN_ROWS) -> tuple[DataFrame, int]:
+    """W6 in parallel along a segment, and the number of rounds that it took (0 where no segment is longer than a piece).
+
+    A segment is cut into pieces by frame_idx. All pieces of long segments are scanned from a guessed start, identity; then
+    each from the end of the piece before it, until no end differs from the round before in any bit: then each piece has
+    started from where the one before it ended, which is the sum in one go. As sums decay, a guess is forgotten within some
+    hundred rows and two rounds do; without decay rounds may be as many as pieces.
+    """
+    limits = [F.lit(float(getattr(p, c))).alias(c) if p else F.col(c).cast("double").alias(c) for c in LIMITS]
+    kept = residual.select(*by, part_of("frame_idx", piece).alias("piece"), "frame_idx", "width", "height", *[F.col(f"jitter.{c}").alias(c) for c in TRANSFORM], *limits)
+    spark = residual.sparkSession
+    folder = new_folder(spark, "scan")
+    kept.write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(kept.schema).parquet(f"{folder}/rows")
+    order = Window.partitionBy(*by).orderBy("piece")
+    pieces = rows.groupBy(*by, "piece").agg(F.count("*").alias("n"))
+    pieces = pieces.select(*by, "piece", F.count("*").over(Window.partitionBy(*by)).alias("of"), F.lead("piece").over(order).alias("next_piece")).where("of > 1")
+    pieces.write.parquet(f"{folder}/pieces")
+    pieces = spark.read.schema(pieces.schema).parquet(f"{folder}/pieces")
+    if pieces.isEmpty():
+        return _scan_pieces(rows, None, by, False), 0
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*by, "piece")]
+    long_rows = rows.alias("r").join(pieces.select(*by, "piece").alias("q"), _all(same("r", "q")), "left_semi")
+    bits = lambda side: F.concat_ws(",", *[F.col(f"{side}.{c}").cast("string") for c in TRANSFORM])
+    starts, turn, before = None, 0, None
+    while True:
+        _scan_pieces(long_rows, starts, by, True).write.parquet(f"{folder}/ends{turn}")
+        ends = spark.read.schema(", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*by, "piece", *TRANSFORM))).parquet(f"{folder}/ends{turn}")
+        turn += 1
+        if before is not None:
+            differ = ends.alias("a").join(before.alias("b"), _all(same("a", "b"))).where(bits("a") != bits("b"))
+            if differ.isEmpty():
+                break
+        followed = ends.alias("e").join(pieces.where("next_piece is not null").alias("q"), _all(same("e", "q")))
+        starts = followed.select(*[F.col(f"e.{c}").alias(c) for c in by], F.col("q.next_piece").alias("piece"), *[F.col(f"e.{c}").alias(c) for c in TRANSFORM])
+        before = ends
+    return _scan_pieces(rows, starts, by, False), turn
+
+
+def _all(conditions: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, conditions)
+
 
-    flat = residual.select(*names, "width", "height", *[F.col(f"jitter.{c}").alias(c) for c in TRANSFORM], *limits)
-    kinds = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in names)
-    return flat.repartition(*by).sortWithinPartitions(*names).mapInPandas(run, f"{kinds}, A double, B double, TX double, TY double")
+def accumulate_motion(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset"), piece: int = SCAN_ROWS) -> DataFrame:
+    """The decayed sum of jitter, from identity at each segment's start. Without p the rows have their own LIMITS."""
+    return scan_in_rounds(residual, p, by, piece)[0]
 
 
 def corrections(accumulated: DataFrame) -> DataFrame:
@@ -238,14 +382,9 @@ def corrections(accumulated: DataFrame) -> DataFrame:
     return accumulated.select("video_id", "frame_idx", T.t_inverse(as_struct()).alias("c")).select("video_id", "frame_idx", *[F.col(f"c.{c}").alias(c) for c in TRANSFORM])
 
 
-def stabilize_motion(motion: DataFrame, p: StabParams = StabParams()) -> DataFrame:
+def stabilize_motion(motion: DataFrame, p: StabParams = StabParams(), part: int = PART_ROWS, piece: int = SCAN_ROWS) -> DataFrame:
     """The correction of every frame that comes out: (video_id, frame_idx, A, B, TX, TY)."""
-    resets = reset_segments(motion, p.lag)
-    if p.smooth:
-        attached = attach_smoothed(resets, smooth_motion(motion, p.lag, p.memory, p.lam, p.iterations), p.lag, p.memory, p.align_smoothed)
-    else:
-        attached = resets.withColumn("later", F.lead("frame_idx", p.lag).over(video_window()).isNotNull() if p.lag else F.lit(True)).where("later").drop("later")
-    return corrections(accumulate_motion(residual_motion(attached, p.smooth), p))
+    return corrections(accumulate_motion(residual_motion(with_smoothed(motion, p, part), p.smooth), p, piece=piece))
 
 
 def failure_stats(motion: DataFrame) -> DataFrame:

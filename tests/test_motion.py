@@ -157,3 +157,81 @@ def test_a_segment_goes_on_in_the_next_batch(spark):
     for v in range(3):
         want = M.decay_scan(np.array([r[5] for r in rows if r[0] == v]), np.full(50, 96.0), np.full(50, 64.0), p)
         assert np.array_equal(np.array([got[v, i] for i in range(50)]), want)
+
+
+@pytest.mark.parametrize("part", [1, 3, 7, 4096])
+def test_numbers_on_two_levels_equal_those_of_one(spark, part):
+    """Frame numbers with gaps, also before 0; sizes that change at and off the parts' borders."""
+    r = random.Random(part)
+    data = []
+    for v in (0, 1, 2, None):
+        at, w = -5, 7
+        for _ in range(40 if v != 1 else 1):
+            at, w = at + r.choice([1, 1, 1, 2, 9]), r.choice([w, w, w, 5, 7])
+            data.append((v, at, w, 10, 0.0, 0.0, 0.0, 0.0, r.random() > 0.3))
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = {(x.video_id, x.frame_idx): (x.segment, x.n) for x in M.size_segments(df, part).collect()}
+    pairs = {(x.video_id, x.frame_idx): (x.key_idx, x.tmpl_idx, x.invert) for x in M.pair_frames(df, part).collect()}
+    resets = {(x.video_id, x.frame_idx): x.reset for x in M.reset_segments(df, 4, part).collect()}
+    numbers = {(x.video_id, x.frame_idx): (x.k, x.rows_) for x in M.number_rows(df, part=part).collect()}
+    for v in (0, 1, 2, None):
+        video = sorted((x for x in data if x[0] == v), key=lambda x: x[1])
+        segment, n = 0, -1
+        for k, x in enumerate(video):
+            segment, n = (segment + 1, 0) if k and x[2] != video[k - 1][2] else (segment, n + 1)
+            key = v, x[1]
+            assert got[key] == (segment, n) and numbers[key] == (k, len(video))
+            assert pairs.get(key) == (None if not n else (x[1], video[k - 1][1], False) if n % 2 else (video[k - 1][1], x[1], True))
+            assert resets[key] == sum(not y[8] for y in video[: k + 5])
+
+
+@pytest.mark.parametrize("part", [2, 5, 4096])
+def test_chunks_smooth_as_whole_videos_do(spark, part):
+    df = spark.createDataFrame([(x[0], x[1] * 2 + (x[1] > 9), *x[2:]) for x in rows(11, (45, 6, 1))], SCHEMA)
+    key = lambda x: (x.video_id, x.frame_idx)
+    for lag, memory in ((3, 2), (1, 5), (0, 0), (10, 5)):
+        windows = M.motion_windows(df, lag, memory, part)
+        whole = {key(x): x for x in M.smooth_windows(M.motion_windows(df, lag, memory), 2.0, 30).collect()}
+        assert {key(x): x for x in M.smooth_windows(windows, 2.0, 30).collect()} == whole
+        assert {key(x): x for x in M.smooth_motion(df, lag, memory, 2.0, 30, part).collect()} == whole
+        for align in (False, True):
+            p = StabParams(lag=lag, memory=memory, lam=2.0, iterations=30, align_smoothed=align)
+            parts = M.attach_smoothed(M.reset_segments(df, lag, part), M.smooth_motion(df, lag, memory, 2.0, 30, part), lag, memory, align, part)
+            fields = ("video_id", "frame_idx", "width", "height", *M.TRANSFORM, "reset", "smoothed")
+            assert sorted(parts.select(*fields).collect()) == sorted(M.with_smoothed(df, p, part).select(*fields).collect())
+
+
+def jitters(n, seed=0, videos=1):
+    rng = np.random.default_rng(seed)
+    return [(v, 0, i, 96, 64, *x) for v in range(videos) for i, x in enumerate(rng.normal(0, [0.01, 0.01, 9, 9], (n, 4)).tolist())]
+
+
+def jitter_table(spark, data):
+    df = spark.createDataFrame(data, "video_id long, reset long, frame_idx long, width int, height int, A double, B double, TX double, TY double")
+    return df.select("video_id", "reset", "frame_idx", "width", "height", M.as_struct().alias("jitter"))
+
+
+@pytest.mark.parametrize("batch", [10_000, 37])
+def test_a_long_segment_scans_in_pieces_to_the_same_bits(spark, batch):
+    data = jitters(5000, videos=2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        out, rounds = M.scan_in_rounds(jitter_table(spark, data), StabParams(), piece=512)
+        got = {(r.video_id, r.frame_idx): (r.A, r.B, r.TX, r.TY) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(data) and rounds == 2
+    for v in range(2):
+        want = M.decay_scan(np.array([r[5:] for r in data if r[0] == v]), np.full(5000, 96.0), np.full(5000, 64.0), StabParams())
+        assert np.array_equal(np.array([got[v, i] for i in range(5000)]), want)
+
+
+def test_without_decay_rounds_go_on_until_no_bit_changes(spark):
+    data = jitters(60)
+    p = StabParams(min_decay=1.0, max_decay=1.0)
+    out, rounds = M.scan_in_rounds(jitter_table(spark, data), p, piece=10)
+    got = {r.frame_idx: (r.A, r.B, r.TX, r.TY) for r in out.collect()}
+    want = M.decay_scan(np.array([r[5:] for r in data]), np.full(60, 96.0), np.full(60, 64.0), p)
+    assert rounds == 7 and np.array_equal(np.array([got[i] for i in range(60)]), want)
+    assert M.scan_in_rounds(jitter_table(spark, data), p)[1] == 0
