@@ -19,7 +19,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "c3_stabilize_motion"
 MOTION, PATCHES = fixtures.MOTION_SQL, fixtures.PATCHES_SQL
-SMALL = StabParams(lag=2, memory=1, iterations=3)
+SMALL, FULL = StabParams(lag=2, memory=1, iterations=3), StabParams()
 
 
 def query(sql: str | None = None):
@@ -181,6 +181,23 @@ def _smooth_sql(lag: int, memory: int, lam: float, iterations: int) -> str:
     return ", ".join(ctes)
 
 
+def _smooth_rounds_sql(lag: int, memory: int, lam: float, iterations: int) -> str:
+    """The same for any number of iterations: a recursive table keeps each window's last one."""
+    size = lag + memory + 1
+    xs, ds = [f"x{k}" for k in range(size)], [f"d{k}" for k in range(size)]
+    w = f"w AS (SELECT video_id, frame_idx, least(frame_idx, {lag}) AS middle, {', '.join(f'list({c}) OVER z AS l{c}' for c in motion.TRANSFORM)}, lead(frame_idx, {memory}) OVER {_LAG} AS later FROM m WINDOW z AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN {lag} PRECEDING AND {memory} FOLLOWING))"
+    u = "u AS (" + " UNION ALL ".join(f"SELECT video_id, frame_idx, middle, '{c}' AS c, {', '.join(f'l{c}[{k + 1}] AS {d}' for k, d in enumerate(ds))} FROM w WHERE later IS NOT NULL" for c in motion.TRANSFORM) + ")"
+    step = f"SELECT video_id, frame_idx, middle, c, t + 1 AS t, {', '.join(ds)}, {', '.join(f'0.5::DOUBLE*{x} + 0.5::DOUBLE*{d} AS {x}' for x, d in zip(xs, ds, strict=True))} FROM it WHERE t < {iterations}"
+    for a, b in zip(xs, xs[1:], strict=False):
+        move = f"(g*((abs(g)-{lam}::DOUBLE)/abs(g)*0.5::DOUBLE))"
+        new_a, new_b = (f"CASE WHEN g IS NULL THEN {x} WHEN abs(g) > {lam}::DOUBLE THEN {x}{sign}{move} ELSE 0.5::DOUBLE*({a}+{b}) END" for x, sign in ((a, "+"), (b, "-")))
+        step = f"SELECT * EXCLUDE g REPLACE ({new_a} AS {a}, {new_b} AS {b}) FROM (SELECT *, {b}-{a} AS g FROM ({step}))"
+    it = f"it AS (SELECT video_id, frame_idx, middle, c, 0 AS t, {', '.join(ds)}, {', '.join(f'{d} AS {x}' for x, d in zip(xs, ds, strict=True))} FROM u UNION ALL {step})"
+    pick = "CASE middle " + " ".join(f"WHEN {k} THEN x{k}" for k in range(size)) + " END"
+    sm = f"sm AS (SELECT video_id, frame_idx, {', '.join(f'max(CASE WHEN c = {chr(39)}{c}{chr(39)} THEN {pick} END) AS {c}' for c in motion.TRANSFORM)} FROM it WHERE t = {iterations} GROUP BY ALL)"
+    return ", ".join((w, u, it, sm))
+
+
 _SMOOTHED = f"{_WITH}, {_smooth_sql(SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)}"
 
 
@@ -195,14 +212,19 @@ def w4_reset_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.reset_segments(fixtures.motion(spark, sf_dir), 10).select("video_id", "frame_idx", "reset")
 
 
-_RESIDUAL = f"""{_SMOOTHED}, k AS (SELECT *, lead(frame_idx, {SMALL.lag}) OVER {_LAG} AS later,
- CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND {SMALL.lag} FOLLOWING) AS BIGINT) AS reset FROM m),
+def _residual_sql(smoothed: str, p: StabParams) -> str:
+    """Jitter after the tables of a smoothing, as `res`."""
+    return f"""{smoothed}, k AS (SELECT *, lead(frame_idx, {p.lag}) OVER {_LAG} AS later,
+ CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND {p.lag} FOLLOWING) AS BIGINT) AS reset FROM m),
 j AS (SELECT k.video_id, k.frame_idx, k.width, k.height, reset, k.A, k.B, k.TX, k.TY, coalesce(sm.A,0) AS sa, coalesce(sm.B,0) AS sb, coalesce(sm.TX,0) AS sx, coalesce(sm.TY,0) AS sy
- FROM k LEFT JOIN sm ON sm.video_id = k.video_id AND sm.frame_idx = k.frame_idx + {SMALL.lag - SMALL.memory} WHERE later IS NOT NULL),
+ FROM k LEFT JOIN sm ON sm.video_id = k.video_id AND sm.frame_idx = k.frame_idx + {p.lag - p.memory} WHERE later IS NOT NULL),
 i AS (SELECT *, (1+sa)*(1+sa)+sb*sb AS d FROM j), v AS (SELECT *, (1+sa)/d - 1 AS ia, -sb/d AS ib, (-(1+sa)*sx - sb*sy)/d AS ix, (sb*sx - (1+sa)*sy)/d AS iy FROM i),
 res AS (SELECT video_id, frame_idx, width, height, reset, (1+ia)*(1+A) - ib*B - 1 AS A, (1+ia)*B + ib*(1+A) AS B, (1+ia)*TX - ib*TY + ix AS TX, ib*TX + (1+ia)*TY + iy AS TY FROM v)"""
 
 
+_RESIDUAL = _residual_sql(_SMOOTHED, SMALL)
+
+
 def _residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fixtures.motion(spark, sf_dir)
     smoothed = motion.smooth_motion(m, SMALL.lag, SMALL.memory, SMALL.lam, SMALL.iterations)
@@ -214,7 +236,9 @@ def j6_w5_residual_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _residual(spark, sf_dir).select("video_id", "frame_idx", "reset", *_flat(F.col("jitter")))
 
 
-_SCAN = f"""WITH RECURSIVE {_RESIDUAL.removeprefix("WITH ")}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, reset ORDER BY frame_idx) AS n FROM res),
+def _scan_sql(residual: str) -> str:
+    """The decayed sum of `res`, row after row of a segment, as `acc`."""
+    return f"""WITH RECURSIVE {residual.removeprefix("WITH ")}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, reset ORDER BY frame_idx) AS n FROM res),
 g AS (SELECT video_id, reset, n, frame_idx, width, height, 0.0::DOUBLE AS A0, 0.0::DOUBLE AS B0, 0.0::DOUBLE AS X0, 0.0::DOUBLE AS Y0, A, B, TX, TY FROM o WHERE n = 1
  UNION ALL
  SELECT o.video_id, o.reset, o.n, o.frame_idx, o.width, o.height, q.A*q.k, q.B*q.k, q.TX*q.k, q.TY*q.k,
@@ -224,20 +248,28 @@ g AS (SELECT video_id, reset, n, frame_idx, width, height, 0.0::DOUBLE AS A0, 0.
 acc AS (SELECT video_id, frame_idx, A*k AS A, B*k AS B, TX*k AS TX, TY*k AS TY FROM (SELECT *, CASE WHEN d > 64 THEN 0.7::DOUBLE WHEN d > 48 THEN 0.9::DOUBLE*(1-(d-48)/16) + 0.7::DOUBLE*((d-48)/16) ELSE 0.9::DOUBLE END AS k FROM (SELECT *, {_DISPLACEMENT} AS d FROM g)))"""
 
 
+_SCAN = _scan_sql(_RESIDUAL)
+_CORRECTED = "SELECT video_id, frame_idx, round((1+A)/d - 1, 6) AS a, round(-B/d, 6) AS b, round((-(1+A)*TX - B*TY)/d, 6) AS tx, round((B*TX - (1+A)*TY)/d, 6) AS ty FROM (SELECT *, (1+A)*(1+A)+B*B AS d FROM acc)"
+#: With the default parameters: lag 10, memory 5, 100 iterations.
+_SMOOTHED_FULL = f"{_WITH}, {_smooth_rounds_sql(FULL.lag, FULL.memory, FULL.lam, FULL.iterations)}"
+_SCAN_FULL = _scan_sql(_residual_sql(_SMOOTHED_FULL, FULL))
+_CORRECTED_FULL = _CORRECTED.replace(", 6) AS", ", 6) + 0.0::DOUBLE AS")  # no negative zeros
+
+
 @query(f"{_SCAN} SELECT video_id, frame_idx, round(A, 10) AS a, round(B, 10) AS b, round(TX, 10) AS tx, round(TY, 10) AS ty FROM acc")
 def w6_accumulate_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = motion.accumulate_motion(_residual(spark, sf_dir), SMALL)
     return acc.select("video_id", "frame_idx", *[_r(c, 10).alias(c.lower()) for c in motion.TRANSFORM])
 
 
-@query(f"{_SCAN} SELECT video_id, frame_idx, round((1+A)/d - 1, 6) AS a, round(-B/d, 6) AS b, round((-(1+A)*TX - B*TY)/d, 6) AS tx, round((B*TX - (1+A)*TY)/d, 6) AS ty FROM (SELECT *, (1+A)*(1+A)+B*B AS d FROM acc)")
+@query(f"{_SCAN} {_CORRECTED}")
 def w7_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.stabilize_motion(fixtures.motion(spark, sf_dir), SMALL).select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
-@query()
+@query(f"{_SCAN_FULL} {_CORRECTED_FULL}")
 def c3_stabilize_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.stabilize_motion(fixtures.motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
+    return motion.stabilize_motion(fixtures.motion(spark, sf_dir)).select("video_id", "frame_idx", *[(_r(c) + 0.0).alias(c.lower()) for c in motion.TRANSFORM])
 
 
 @query()
@@ -245,6 +277,12 @@ def c3_stabilize_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.stabilize_motion(fixtures.large_motion(spark, sf_dir)).select("video_id", "frame_idx", *[_r(c).alias(c.lower()) for c in motion.TRANSFORM])
 
 
+@query(f"WITH RECURSIVE {_SMOOTHED_FULL.removeprefix('WITH ')} SELECT video_id, frame_idx, A AS a, B AS b, TX AS tx, TY AS ty FROM sm")
+def w3_smooth_production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = motion.smooth_motion(fixtures.motion(spark, sf_dir), FULL.lag, FULL.memory, FULL.lam, FULL.iterations)
+    return s.select("video_id", "frame_idx", *[F.col(c).alias(c.lower()) for c in motion.TRANSFORM])
+
+
 # --- scores -----------------------------------------------------------------------------------------------------
 
 _FLOW = "WITH f AS (SELECT video_id, frame_idx // 8 AS frame_idx, value AS mag FROM (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value FROM events))"
@@ -609,12 +647,19 @@ def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, table_: DataFrame, job) -> DataFrame:
-    """A table as a stream of files in the shared checkpoint folder, run to its end; the sink's rows."""
-    folder = new_folder(spark, "stream")
+def _stream_of(spark: SparkSession, table_: DataFrame, folder: str) -> DataFrame:
+    """A table as a stream of files in the shared folder."""
     table_.write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
-    run = job(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    return spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+
+
+def _streamed(spark: SparkSession, table_: DataFrame, job) -> DataFrame:
+    """A table as a stream, run to its end; the sink's rows."""
+    from steadyframes.streaming.online import state_store
+
+    source = _stream_of(spark, table_, folder := new_folder(spark, "stream"))
+    with state_store(spark):
+        run = job(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
@@ -643,3 +688,35 @@ def r3_stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _streamed(spark, f.drop("dx", "dy"), stream_align).join(f.select("video_id", "frame_idx", "dx", "dy"), ["video_id", "frame_idx"])
     near = F.col("ok") & (F.abs(F.col("TX") - F.col("dx")) < 0.25) & (F.abs(F.col("TY") - F.col("dy")) < 0.25)
     return out.select("video_id", "frame_idx", near.alias("recovered"))
+
+
+@query(SQL["w3_smooth_production"])
+def r2_stream_production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from steadyframes.streaming.online import stream_smooth_motion
+
+    out = _streamed(spark, fixtures.motion(spark, sf_dir), stream_smooth_motion)
+    return out.select("video_id", "frame_idx", *[F.col(c).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query(SQL["c3_stabilize_motion"])
+def r1_stream_production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from steadyframes.streaming.online import stream_stabilize_motion
+
+    out = _streamed(spark, fixtures.motion(spark, sf_dir), stream_stabilize_motion)
+    return out.select("video_id", "frame_idx", *[(_r(c) + 0.0).alias(c.lower()) for c in motion.TRANSFORM])
+
+
+@query()
+def c4_stream_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 online: alignment feeds stabilization, and the sink joins corrections to frames."""
+    from steadyframes.streaming.online import fixed_frames, state_store, stream_stabilize_frames
+
+    p = StabParams(lag=3, memory=2, crop=8)
+    f = _frames(spark, sf_dir).drop("dx", "dy")
+    source = _stream_of(spark, f, folder := new_folder(spark, "stream"))
+    sink = fixed_frames(lambda: spark.read.schema(f.schema).parquet(f"{folder}/in"), p, f"{folder}/out")
+    with state_store(spark):
+        run = stream_stabilize_frames(source, p).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(f.schema).parquet(f"{folder}/out")
+    return out.select("video_id", "frame_idx", "width", "height", F.crc32("pixels").alias("pixels_crc32"))

@@ -67,7 +67,7 @@ def warp_frames(frames: DataFrame, transforms: DataFrame) -> DataFrame:
     J7: transforms of up to META_ROWS rows go to the frames; more, and both are shuffled by frame.
     """
     t = transforms.select("video_id", "frame_idx", "A", "B", "TX", "TY")
-    joined = frames.join(F.broadcast(t) if t.count() <= META_ROWS else t, ["video_id", "frame_idx"])
+    joined = frames.join(if_small(t), ["video_id", "frame_idx"])
     return _map(joined, lambda a, r: K.warp_frame(a, (r["A"], r["B"], r["TX"], r["TY"])), drop=("A", "B", "TX", "TY"))
 
 
@@ -86,16 +86,26 @@ def normalize_minmax(frames: DataFrame) -> DataFrame:
     return _map(frames, fn)
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast where it has no more than META_ROWS rows."""
+    return F.broadcast(df) if df.count() <= META_ROWS else df
+
+
+def chunk_numbers(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(video_id, frame_idx, segment, n, chunk) by the frames' metadata; a frame where a chunk ends belongs to the next one too."""
+    meta = size_segments(frames.select("video_id", "frame_idx", "width", "height")).select("video_id", "frame_idx", "segment", "n")
+    own, after = F.floor((F.col("n") - 1) / chunk), F.floor(F.col("n") / chunk)
+    return meta.withColumn("chunk", F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(own, after)))))
+
+
 def chunks(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """J1's co-location: gray frames with `segment`, n and `chunk`; a chunk holds its own frames and the one before.
 
     Numbers are found on the metadata alone; pixels are shuffled once, by the grouping that follows. The frame where
     a chunk ends is sent to the next one too, so pixel traffic grows by one part in `chunk`.
     """
-    meta = size_segments(frames.select("video_id", "frame_idx", "width", "height")).select("video_id", "frame_idx", "segment", "n")
-    rows = to_gray(frames.select("video_id", "frame_idx", "width", "height", "channels", "pixels")).join(F.broadcast(meta) if meta.count() <= META_ROWS else meta, ["video_id", "frame_idx"])
-    own, after = F.floor((F.col("n") - 1) / chunk), F.floor(F.col("n") / chunk)
-    return rows.withColumn("chunk", F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(own, after)))))
+    gray = to_gray(frames.select("video_id", "frame_idx", "width", "height", "channels", "pixels"))
+    return gray.join(if_small(chunk_numbers(frames, chunk)), ["video_id", "frame_idx"])
 
 
 def by_chunk(rows: DataFrame):

@@ -126,11 +126,11 @@ def _smoothed(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray, middle:
     return out
 
 
-def _by_chunk(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def _by_chunk(rows: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ("video_id", "chunk")) -> DataFrame:
     """Rows of with_halo, a task's chunks one after another in order. Smoothing costs far more than its bytes tell, so tasks
     are as many as shuffle partitions."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("video_id", "chunk", "k", "rows_", "own", *columns).repartition(tasks, "video_id", "chunk").sortWithinPartitions("video_id", "chunk", "k")
+    return rows.select(*keys, "k", "rows_", "own", *columns).repartition(tasks, *keys).sortWithinPartitions(*keys, "k")
 
 
 def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -175,31 +175,47 @@ def reset_segments(motion: DataFrame, lag: int, part: int = PART_ROWS) -> DataFr
     return rows.withColumn("reset", F.max("failed").over(later)).where("own").drop("failed", "k", "rows_", "chunk", "own")
 
 
+def _ahead(p: StabParams) -> int:
+    """How far after a frame the row stands that its smoothed motion is found for."""
+    return 0 if p.align_smoothed else p.lag - p.memory
+
+
 def with_smoothed(motion: DataFrame, p: StabParams, part: int = PART_ROWS) -> DataFrame:
     """W2 to W4 and J6 in one pass over chunks: each frame that comes out, with `reset` and `smoothed` (identity if not p.smooth)."""
-    ahead = p.memory if p.align_smoothed else p.lag
-    back = p.lag if p.align_smoothed else p.memory
-    shift = 0 if p.align_smoothed else p.lag - p.memory
-    numbered = number_rows(motion, {"failed": (~F.col("ok")).cast("long")}, part)
-    rows = _by_chunk(with_halo(numbered, max(back, 0) if p.smooth else 0, max(ahead, p.lag), part), ("frame_idx", "width", "height", "failed", *TRANSFORM))
-    kept = ["video_id", "frame_idx", "width", "height", *TRANSFORM]
+    return smoothed_by_settings(motion, [p], part).drop("setting")
+
+
+def smoothed_by_settings(motion: DataFrame, settings: list[StabParams], part: int = PART_ROWS) -> DataFrame:
+    """with_smoothed for several parameters at once, each in tasks of its own; `setting` is the place in the list."""
+    before = max(max(0, p.lag - _ahead(p)) if p.smooth else 0 for p in settings)
+    after = max(max(p.lag, p.memory + _ahead(p)) for p in settings)
+    rows = with_halo(number_rows(motion, {"failed": (~F.col("ok")).cast("long")}, part), before, after, part)
+    rows = rows.withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
+    keys, kept = ("setting", "video_id", "chunk"), ["setting", "video_id", "frame_idx", "width", "height", *TRANSFORM]
+    rows = _by_chunk(rows, ("frame_idx", "width", "height", "failed", *TRANSFORM), keys)
+
+    def one(table: pa.Table, p: StabParams):
+        k, count, own, failed = _columns(table, "k", "rows_", "own", "failed")
+        at = np.flatnonzero(own & (k + p.lag < count))
+        smoothed, shift = np.zeros((len(at), 4)), _ahead(p)
+        j = k[at] + shift
+        there = np.flatnonzero((j >= 0) & (j + p.memory < count[at]))
+        if p.smooth and len(there):
+            middle = np.minimum(j[there], p.lag)
+            values = np.stack(_columns(table, *TRANSFORM), 1)
+            smoothed[there] = _smoothed(values, at[there] + shift - middle, middle + p.memory + 1, middle, p.lam, p.iterations)
+        taken = table.select(kept).take(pa.array(at)).combine_chunks()
+        for batch in taken.to_batches():
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed[at + p.lag]), *map(pa.array, np.ascontiguousarray(smoothed.T))], names=[*kept, "reset", *[f"s{c}" for c in TRANSFORM]])
 
     def run(batches):
-        for table, begin in whole_groups(batches, ("video_id", "chunk")):
-            k, count, own, failed = _columns(table, "k", "rows_", "own", "failed")
-            at = np.flatnonzero(own & (k + p.lag < count))
-            smoothed = np.zeros((len(at), 4))
-            j = k[at] + shift
-            there = np.flatnonzero((j >= 0) & (j + p.memory < count[at]))
-            if p.smooth and len(there):
-                middle = np.minimum(j[there], p.lag)
-                values = np.stack(_columns(table, *TRANSFORM), 1)
-                smoothed[there] = _smoothed(values, at[there] + shift - middle, middle + p.memory + 1, middle, p.lam, p.iterations)
-            taken = table.select(kept).take(pa.array(at)).combine_chunks()
-            for batch in taken.to_batches():
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed[at + p.lag]), *map(pa.array, np.ascontiguousarray(smoothed.T))], names=[*kept, "reset", *[f"s{c}" for c in TRANSFORM]])
+        for table, _ in whole_groups(batches, keys):
+            setting = table.column("setting").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(setting)) + 1).tolist(), len(setting)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from one(table.slice(a, b - a), settings[setting[a]])
 
-    kinds = ", ".join(f"{c} {motion.schema[c].dataType.simpleString()}" for c in kept)
+    kinds = ", ".join(f"{c} {'int' if c == 'setting' else motion.schema[c].dataType.simpleString()}" for c in kept)
     found = rows.mapInArrow(run, f"{kinds}, reset long, sA double, sB double, sTX double, sTY double")
     return found.withColumn("smoothed", as_struct("s")).drop(*[f"s{c}" for c in TRANSFORM])
 
@@ -329,20 +345,23 @@ def _scan_pieces(rows: DataFrame, starts: DataFrame | None, by: tuple[str, ...],
     return found
 
 
-def scan_in_rounds(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset"), piece: int = SCAN_ROWS) -> tuple[DataFrame, int]:
+def scan_in_rounds(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset"), piece: int = SCAN_ROWS, store: bool = True) -> tuple[DataFrame, int]:
     """W6 in parallel along a segment, and the number of rounds that it took (0 where no segment is longer than a piece).
 
     A segment is cut into pieces by frame_idx. All pieces of long segments are scanned from a guessed start, identity; then
     each from the end of the piece before it, until no end differs from the round before in any bit: then each piece has
     started from where the one before it ended, which is the sum in one go. As sums decay, a guess is forgotten within some
-    hundred rows and two rounds do; without decay rounds may be as many as pieces.
+    hundred rows and two rounds do; without decay rounds may be as many as pieces. The rows are written first, as they are read
+    several times; store=False is for rows that a written table gives anew at little cost.
     """
     limits = [F.lit(float(getattr(p, c))).alias(c) if p else F.col(c).cast("double").alias(c) for c in LIMITS]
     kept = residual.select(*by, part_of("frame_idx", piece).alias("piece"), "frame_idx", "width", "height", *[F.col(f"jitter.{c}").alias(c) for c in TRANSFORM], *limits)
     spark = residual.sparkSession
     folder = new_folder(spark, "scan")
-    kept.write.parquet(f"{folder}/rows")
-    rows = spark.read.schema(kept.schema).parquet(f"{folder}/rows")
+    rows = kept
+    if store:
+        kept.write.parquet(f"{folder}/rows")
+        rows = spark.read.schema(kept.schema).parquet(f"{folder}/rows")
     order = Window.partitionBy(*by).orderBy("piece")
     pieces = rows.groupBy(*by, "piece").agg(F.count("*").alias("n"))
     pieces = pieces.select(*by, "piece", F.count("*").over(Window.partitionBy(*by)).alias("of"), F.lead("piece").over(order).alias("next_piece")).where("of > 1")
@@ -372,9 +391,9 @@ def _all(conditions: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, conditions)
 
 
-def accumulate_motion(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset"), piece: int = SCAN_ROWS) -> DataFrame:
+def accumulate_motion(residual: DataFrame, p: StabParams | None, by: tuple[str, ...] = ("video_id", "reset"), piece: int = SCAN_ROWS, store: bool = True) -> DataFrame:
     """The decayed sum of jitter, from identity at each segment's start. Without p the rows have their own LIMITS."""
-    return scan_in_rounds(residual, p, by, piece)[0]
+    return scan_in_rounds(residual, p, by, piece, store)[0]
 
 
 def corrections(accumulated: DataFrame) -> DataFrame:

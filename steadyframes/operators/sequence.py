@@ -83,9 +83,13 @@ def begins(table: pa.Table | pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarra
     """Where each run of rows with equal keys begins."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
-    for k in keys:
-        col = table.column(k)
+    columns = [table.column(k) for k in keys]
+    while columns:
+        col = columns.pop()
         col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+        if pa.types.is_struct(col.type):
+            columns += col.flatten()
+            continue
         code = np.array(pc.dictionary_encode(col, null_encoding="encode").indices)
         new[1:] |= code[1:] != code[:-1]
     return np.flatnonzero(new)

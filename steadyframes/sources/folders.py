@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +27,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder below the shared one, when nothing reads it any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once in the shared folder and read from there: what several steps read is computed once, and a lost executor
+    takes none of it along."""
+    spark = df.sparkSession
+    df.write.parquet(folder := new_folder(spark, name))
+    return spark.read.schema(df.schema).parquet(folder)

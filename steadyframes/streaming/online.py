@@ -1,47 +1,80 @@
 """Online forms of smoothing, stabilization and alignment: keyed state, one small state a video.
 
-Frames of a video count from 0 without gaps. In a micro-batch a video's rows come in any order: they are sorted, a
-frame past a gap waits in the state until the gap is filled, and one that has been handled is dropped.
+Frames of a video count up from 0. In a micro-batch a video's rows come in any order: they are sorted, and a frame past a gap waits
+in the state until the gap is filled. A gap is closed, and the frames that it lacks are lost, when more than `ahead` frames wait, or,
+where `wait_ms` is given, when it has been open that long; a frame that comes after its gap was closed is late and is dropped, as one
+is that has been handled. What comes out equals the batch operators over the frames that were handled, whose order counts
+there and not their numbers. So the state of a video is bounded by lag + memory + ahead rows.
+
+Streams with wait_ms use processing-time timers; Spark then runs batches without data too, so they don't end by themselves.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from steadyframes.functions.params import AlignParams, StabParams
 from steadyframes.operators import kernels as K
-from steadyframes.operators.dense import image_of
+from steadyframes.operators.dense import crop_frames, image_of, warp_frames
 from steadyframes.operators.motion import TRANSFORM, decay_scan, tv_smooth
 
 MOTION = "frame_idx long, A double, B double, TX double, TY double"
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@dataclass(frozen=True)
+class GapParams:
+    #: Frames that may wait for a missing one.
+    ahead: int = 4096
+    #: Milliseconds that a gap may stay open; without, it is closed by `ahead` alone.
+    wait_ms: int | None = None
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession):
+    """Start streams of this module inside: a query takes the session's state store when it starts, and the setting is put back after."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
 class Smoother:
-    """The last lag + memory + 1 motions; each arrival past the first `memory` gives one smoothed motion."""
+    """The last lag + memory + 1 motions and their frames' numbers; each arrival past the first `memory` gives one smoothed motion."""
 
     def __init__(self, p: StabParams, state: dict | None = None):
-        self.p, s = p, state or {"next": 0, "last": []}
-        self.next, self.last = s["next"], s["last"]
+        self.p, s = p, state or {"next": 0, "last": [], "frames": []}
+        self.next, self.last, self.frames = s["next"], s["last"], s["frames"]
 
     def state(self) -> dict:
-        return {"next": self.next, "last": self.last}
-
-    def push(self, t: list[float]) -> list[float] | None:
-        """The smoothed motion of frame next - memory, once that is there."""
-        self.last = [*self.last, t][-(self.p.lag + self.p.memory + 1) :]
-        at = self.next - self.p.memory
-        self.next += 1
-        if at < 0:
-            return None
-        place = min(at, self.p.lag)
-        window = np.array(self.last[-(place + self.p.memory + 1) :])[None]
-        return tv_smooth(window, self.p.lam, self.p.iterations)[0, place].tolist()
+        return {"next": self.next, "last": self.last, "frames": self.frames}
+
+    def push(self, frames: list[int], motions: list[list[float]]) -> list[tuple[int, list[float]] | None]:
+        """For each arrival the (number, smoothed motion) of the frame `memory` before it, once that is there. Windows are smoothed together."""
+        before, size = len(self.last), self.p.lag + self.p.memory + 1
+        every, numbers = np.array([*self.last, *motions], float).reshape(-1, 4), [*self.frames, *frames]
+        out: list[tuple[int, list[float]] | None] = [None] * len(motions)
+        places = np.minimum(self.next + np.arange(len(motions)) - self.p.memory, self.p.lag)
+        for place in np.unique(places[places >= 0]).tolist():
+            at = np.flatnonzero(places == place)
+            end = before + at
+            windows = every[end[:, None] + np.arange(-place - self.p.memory, 1)]
+            for i, x in zip(at.tolist(), tv_smooth(windows, self.p.lam, self.p.iterations)[:, place].tolist(), strict=True):
+                out[i] = numbers[before + i - self.p.memory], x
+        self.next += len(motions)
+        self.last, self.frames = every[-size:].tolist(), numbers[-size:]
+        return out
 
 
 class Stabilizer:
@@ -54,18 +87,20 @@ class Stabilizer:
     def state(self) -> dict:
         return {"smooth": self.smoother.state(), "held": self.held, "acc": self.acc}
 
-    def push(self, t: list[float], ok: bool, w: int, h: int) -> tuple[float, ...] | None:
-        """The correction of the frame `lag` before this one, once that is there."""
-        smoothed = self.smoother.push(t) if self.p.smooth else None
-        if not ok:
-            self.acc = list(K.IDENTITY)
-        self.held = [*self.held, [t, w, h]]
-        if len(self.held) <= self.p.lag:
-            return None
-        (t, w, h), self.held = self.held[0], self.held[1:]
-        jitter = K.compose(tuple(t), K.inverse(tuple(smoothed or K.IDENTITY))) if self.p.smooth else t
-        self.acc = _scan_on(self.acc, jitter, w, h, self.p)
-        return K.inverse(tuple(self.acc))
+    def push(self, rows: list[dict]) -> list[tuple[int, tuple[float, ...]]]:
+        """For each arrival the (number, correction) of the frame `lag` before it, where that is there."""
+        motions, out = [[r[c] for c in TRANSFORM] for r in rows], []
+        smoothed = self.smoother.push([r["frame_idx"] for r in rows], motions) if self.p.smooth else [None] * len(rows)
+        for r, t, s in zip(rows, motions, smoothed, strict=True):
+            if not r["ok"]:
+                self.acc = list(K.IDENTITY)
+            self.held.append([r["frame_idx"], t, r["width"], r["height"]])
+            if len(self.held) > self.p.lag:
+                frame, own, w, h = self.held.pop(0)
+                jitter = K.compose(tuple(own), K.inverse(tuple(s[1] if s else K.IDENTITY))) if self.p.smooth else own
+                self.acc = _scan_on(self.acc, jitter, w, h, self.p)
+                out.append((frame, K.inverse(tuple(self.acc))))
+        return out
 
 
 def _scan_on(acc, jitter, w: int, h: int, p: StabParams) -> list[float]:
@@ -74,87 +109,127 @@ def _scan_on(acc, jitter, w: int, h: int, p: StabParams) -> list[float]:
     return decay_scan(np.array([joined]), np.array([float(w)]), np.array([float(h)]), p)[0].tolist()
 
 
-def in_order(rows: list[dict], state: dict) -> list[dict]:
-    """Rows whose turn has come; the others wait in state["waiting"]."""
+def in_order(rows: list[dict], state: dict, ahead: int | None = None, close: bool = False) -> list[dict]:
+    """Rows whose turn has come; the others wait in state["waiting"]. A gap with more than `ahead` rows past it is closed, with
+    `close` the first one is in any case; state["lost"] counts the frames that were given up."""
     waiting = {int(k): v for k, v in state.get("waiting", {}).items()}
     for r in rows:
         if r["frame_idx"] >= state["turn"]:
             waiting.setdefault(int(r["frame_idx"]), r)
     out = []
-    while state["turn"] in waiting:
+    while waiting:
+        if state["turn"] not in waiting:
+            if not (close or (ahead is not None and len(waiting) > ahead)):
+                break
+            first, close = min(waiting), False
+            state["lost"] = state.get("lost", 0) + first - state["turn"]
+            state["turn"] = first
         out.append(waiting.pop(state["turn"]))
         state["turn"] += 1
     state["waiting"] = {str(k): v for k, v in waiting.items()}
     return out
 
 
-class _Keyed(StatefulProcessor):
-    """State as JSON for each video."""
+class _Timed(StatefulProcessor):
+    """A timer for the gap that is open: (turn, expiry) of it as `gap`."""
 
-    def __init__(self, p):
-        self.p = p
+    gaps: GapParams
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("state", "json string")
+        self.handle = handle
 
     def close(self) -> None:
         pass
 
-    def load(self) -> dict:
+    def timed(self, gap: tuple[int, int] | None, turn: int, waits: bool, now: int) -> tuple[int, int] | None:
+        """The timer that holds from now on: that of the open gap, a new one where another gap is open."""
+        if self.gaps.wait_ms is None or (gap and waits and gap[0] == turn):
+            return gap
+        if gap:
+            self.handle.deleteTimer(gap[1])
+        if not waits:
+            return None
+        self.handle.registerTimer(now + self.gaps.wait_ms)
+        return turn, now + self.gaps.wait_ms
+
+
+class _Keyed(_Timed):
+    """State as JSON for each video; `step` gives a batch's rows in order to the operator."""
+
+    columns = ("video_id", "frame_idx", *TRANSFORM)
+
+    def __init__(self, p: StabParams, gaps: GapParams):
+        self.p, self.gaps = p, gaps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.value = handle.getValueState("state", "json string")
+
+    def step(self, own: dict | None, rows: list[dict]) -> tuple[dict, list[tuple]]:
+        raise NotImplementedError
+
+    def handled(self, key, rows: list[dict], timerValues, close: bool) -> pd.DataFrame:
         got = self.value.get() if self.value.exists() else None
-        return json.loads(got[0]) if got else {"turn": 0, "own": None}
+        state = json.loads(got[0]) if got else {"turn": 0, "own": None}
+        ready = in_order(rows, state, self.gaps.ahead, close)
+        state["own"], out = self.step(state["own"], ready)
+        if self.gaps.wait_ms is not None:
+            gap = None if close else state.get("gap")
+            state["gap"] = self.timed(gap and tuple(gap), state["turn"], bool(state["waiting"]), timerValues.getCurrentProcessingTimeInMs())
+        self.value.update((json.dumps(state),))
+        return pd.DataFrame([(key[0], *r) for r in out], columns=list(self.columns))
 
-    def rows(self, batches: Iterator[pd.DataFrame], state: dict) -> list[dict]:
-        return in_order([r for pdf in batches for r in json.loads(pdf.to_json(orient="records", double_precision=15))], state)
+    def handleInputRows(self, key, rows, timerValues):
+        yield self.handled(key, [r for pdf in rows for r in json.loads(pdf.to_json(orient="records", double_precision=15))], timerValues, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self.handled(key, [], timerValues, True)
 
 
 class _Smooth(_Keyed):
-    def handleInputRows(self, key, rows, timerValues):
-        state, out = self.load(), []
-        s = Smoother(self.p, state["own"])
-        for r in self.rows(rows, state):
-            got = s.push([r[c] for c in TRANSFORM])
-            if got:
-                out.append((key[0], r["frame_idx"] - self.p.memory, *got))
-        state["own"] = s.state()
-        self.value.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=["video_id", "frame_idx", *TRANSFORM])
+    def step(self, own, rows):
+        s = Smoother(self.p, own)
+        found = s.push([r["frame_idx"] for r in rows], [[r[c] for c in TRANSFORM] for r in rows])
+        return s.state(), [(frame, *t) for frame, t in filter(None, found)]
 
 
 class _Stabilize(_Keyed):
-    def handleInputRows(self, key, rows, timerValues):
-        state, out = self.load(), []
-        s = Stabilizer(self.p, state["own"])
-        for r in self.rows(rows, state):
-            got = s.push([r[c] for c in TRANSFORM], r["ok"], r["width"], r["height"])
-            if got:
-                out.append((key[0], r["frame_idx"] - self.p.lag, *got))
-        state["own"] = s.state()
-        self.value.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=["video_id", "frame_idx", *TRANSFORM])
+    def step(self, own, rows):
+        s = Stabilizer(self.p, own)
+        found = s.push(rows)
+        return s.state(), [(frame, *t) for frame, t in found]
 
 
-class _Align(StatefulProcessor):
+class _Align(_Timed):
     """State: the last gray frame, its size, its place in its run of equal sizes; frames past a gap wait beside it."""
 
-    def __init__(self, p: AlignParams):
-        self.p = p
+    def __init__(self, p: AlignParams, gaps: GapParams):
+        self.p, self.gaps = p, gaps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "turn long, n long, width int, height int, pixels binary")
+        super().init(handle)
+        self.last = handle.getValueState("last", "turn long, n long, width int, height int, pixels binary, gap long, expiry long")
         self.waiting = handle.getMapState("waiting", "frame_idx long", "width int, height int, channels int, pixels binary")
 
-    def close(self) -> None:
-        pass
-
     def handleInputRows(self, key, rows, timerValues):
-        turn, n, w, h, pixels = self.last.get() if self.last.exists() else (0, -1, 0, 0, b"")
+        yield self.handled(key, rows, timerValues, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self.handled(key, (), timerValues, True)
+
+    def handled(self, key, rows, timerValues, close: bool) -> pd.DataFrame:
+        turn, n, w, h, pixels, gap, expiry = self.last.get() if self.last.exists() else (0, -1, 0, 0, b"", None, None)
         for pdf in rows:
             for r in pdf.itertuples():
                 if r.frame_idx >= turn:
                     self.waiting.updateValue((int(r.frame_idx),), (int(r.width), int(r.height), int(r.channels), r.pixels))
-        out = []
-        while self.waiting.containsKey((turn,)):
+        left, out = sorted(k[0] for k in self.waiting.keys()), []
+        while left:
+            if left[0] != turn:
+                if not (close or len(left) > self.gaps.ahead):
+                    break
+                turn, close = left[0], False
+            left.pop(0)
             w1, h1, channels, raw = self.waiting.getValue((turn,))
             self.waiting.removeKey((turn,))
             now = K.gray(image_of(raw, w1, h1, channels))
@@ -166,26 +241,55 @@ class _Align(StatefulProcessor):
                 t = K.inverse(t) if ok and not n % 2 else t
             out.append((key[0], turn, w1, h1, *map(float, t), ok))
             turn, w, h, pixels = turn + 1, w1, h1, now.tobytes()
-        self.last.update((turn, n, w, h, pixels))
-        yield pd.DataFrame(out, columns=["video_id", "frame_idx", "width", "height", *TRANSFORM, "ok"])
+        if self.gaps.wait_ms is not None:
+            timer = self.timed(None if close or gap is None else (gap, expiry), turn, bool(left), timerValues.getCurrentProcessingTimeInMs())
+            gap, expiry = timer or (None, None)
+        self.last.update((turn, n, w, h, pixels, gap, expiry))
+        return pd.DataFrame(out, columns=["video_id", "frame_idx", "width", "height", *TRANSFORM, "ok"])
 
 
-def _run(sdf: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _run(sdf: DataFrame, processor: _Timed, schema: str) -> DataFrame:
     kind = sdf.schema["video_id"].dataType.simpleString()
-    return sdf.groupBy("video_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"video_id {kind}, {schema}", outputMode="Append", timeMode="None")
+    mode = "None" if processor.gaps.wait_ms is None else "ProcessingTime"
+    return sdf.groupBy("video_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"video_id {kind}, {schema}", outputMode="Append", timeMode=mode)
+
+
+def stream_smooth_motion(sdf: DataFrame, p: StabParams = StabParams(), gaps: GapParams = GapParams()) -> DataFrame:
+    """R2: smoothed motion, `memory` frames after it arrives. Start it inside state_store."""
+    return _run(sdf, _Smooth(p, gaps), MOTION)
+
+
+def stream_stabilize_motion(sdf: DataFrame, p: StabParams = StabParams(), gaps: GapParams = GapParams()) -> DataFrame:
+    """Corrections, `lag` frames after a motion arrives. Start it inside state_store."""
+    return _run(sdf, _Stabilize(p, gaps), MOTION)
+
+
+def stream_align(sdf: DataFrame, p: AlignParams = AlignParams(), gaps: GapParams = GapParams()) -> DataFrame:
+    """Motion of each frame as it arrives. Start it inside state_store."""
+    return _run(sdf, _Align(p, gaps), "frame_idx long, width int, height int, A double, B double, TX double, TY double, ok boolean")
+
+
+def stream_stabilize_frames(sdf: DataFrame, p: StabParams = StabParams(), gaps: GapParams = GapParams()) -> DataFrame:
+    """C4's numbers online: the corrections of frames as they arrive, R3 feeding R1. fixed_frames makes frames of them in the sink."""
+    return stream_stabilize_motion(stream_align(sdf, p.align, gaps), p, gaps)
 
 
-def stream_smooth_motion(sdf: DataFrame, p: StabParams = StabParams()) -> DataFrame:
-    """R2: smoothed motion, `memory` frames after it arrives."""
-    return _run(sdf, _Smooth(p), MOTION)
+def fixed_frames(frames: Callable[[], DataFrame], p: StabParams, out: str) -> Callable[[DataFrame, int], None]:
+    """C4's sink, for foreachBatch: a micro-batch's corrections are joined to their frames, which are warped, cropped and written.
 
+    frames() gives the table that the stream reads, with what has arrived; only frame numbers that the batch has are read of
+    it. A batch that is run again replaces its own rows, in {out}/batch=number.
+    """
 
-def stream_stabilize_motion(sdf: DataFrame, p: StabParams = StabParams()) -> DataFrame:
-    """Corrections, `lag` frames after a motion arrives."""
-    return _run(sdf, _Stabilize(p), MOTION)
+    def write(corrections: DataFrame, number: int) -> None:
+        corrections = corrections.persist()
+        try:
+            low, high = corrections.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+            if low is not None:
+                some = frames().where(F.col("frame_idx").between(low, high))
+                crop_frames(warp_frames(some, corrections), p.crop).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            corrections.unpersist()
 
+    return write
 
-def stream_align(sdf: DataFrame, p: AlignParams = AlignParams()) -> DataFrame:
-    """Motion of each frame as it arrives."""
-    return _run(sdf, _Align(p), "frame_idx long, width int, height int, A double, B double, TX double, TY double, ok boolean")

@@ -155,11 +155,25 @@ def test_streamed_alignment_equals_batch(spark, tmp_path, clip):
     df = clip.drop("dx", "dy").repartition(5)
     df.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    online.stream_align(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    with online.state_store(spark):
+        run = online.stream_align(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
     got, want = ({(r.video_id, r.frame_idx): (r.A, r.B, r.TX, r.TY, r.ok) for r in x.collect()} for x in (spark.read.parquet(str(tmp_path / "out")), align.align_frames(clip)))
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
 
 
+def test_streamed_frames_equal_batch_frames(spark, tmp_path, clip):
+    df, p = clip.drop("dx", "dy").repartition(3), StabParams(lag=2, memory=1, crop=4, iterations=5)
+    df.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    sink = online.fixed_frames(lambda: spark.read.parquet(str(tmp_path / "in")), p, str(tmp_path / "out"))
+    with online.state_store(spark):
+        run = online.stream_stabilize_frames(source, p).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got, want = ({(r.video_id, r.frame_idx): (r.width, r.height, bytes(r.pixels)) for r in x.collect()} for x in (spark.read.schema(df.schema).parquet(str(tmp_path / "out")), stabilize.stabilize_frames(clip.drop("dx", "dy"), p)))
+    assert len(got) and got == want
+
+
 def test_shared_alignment_equals_one_by_one():
     y, x = np.mgrid[0:128, 0:192]
     big = lambda dx, dy: (127 + 60 * np.sin((x - dx) / 9.0) * np.cos((y - dy) / 11.0) + 40 * np.sin((x - dx + 2 * (y - dy)) / 17.0)).astype(np.uint8)
@@ -193,7 +207,7 @@ def test_warped_jitter_of_combos_equals_a_plain_loop(spark, clip):
                 if last is not None and r.frame_idx:
                     want.setdefault((c, r.video_id), []).append(K.flow_median(last, now))
             last = now
-    for chunk in (2, 32):
-        got = {(r.combo_id, r.video_id): (r.frames, r.out_jitter) for r in search.warped_jitter(clip.drop("dx", "dy"), corrected, 4, chunk).collect()}
+    for chunk, bucket in ((2, 32), (32, 32), (32, 1), (4, 2)):
+        got = {(r.combo_id, r.video_id): (r.frames, r.out_jitter) for r in search.warped_jitter(clip.drop("dx", "dy"), corrected, 4, chunk, bucket).collect()}
         assert got.keys() == want.keys() == counts.keys()
         assert all(got[k][0] == counts[k] and abs(got[k][1] - np.median(want[k])) < 1e-9 for k in want)

@@ -85,7 +85,11 @@ def test_empty_table(spark):
 def run_stream(spark, tmp_path, df, job):
     df.repartition(6).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    job(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    before = spark.conf.get(online._STORE, None)
+    with online.state_store(spark):
+        run = job(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    assert spark.conf.get(online._STORE, None) == before
+    run.awaitTermination()
     return spark.read.parquet(str(tmp_path / "out"))
 
 
@@ -108,6 +112,55 @@ def test_late_and_repeated_rows():
     assert state == {"turn": 3, "waiting": {}}
 
 
+def test_gaps_close_when_many_wait_and_late_frames_are_dropped():
+    state = {"turn": 0}
+    frame = lambda k: {"frame_idx": k}
+    assert online.in_order([frame(k) for k in (1, 2, 3)], state, ahead=3) == [] and len(state["waiting"]) == 3
+    assert [r["frame_idx"] for r in online.in_order([frame(6)], state, ahead=3)] == [1, 2, 3] and state["lost"] == 1
+    assert online.in_order([frame(0), frame(2)], state, ahead=3) == []  # late
+    assert [r["frame_idx"] for r in online.in_order([], state, close=True)] == [6] and state == {"turn": 7, "waiting": {}, "lost": 3}
+    assert online.in_order([], state, close=True) == []
+
+
+def test_streams_with_lost_frames_equal_batches_over_the_rest(spark, tmp_path):
+    """Frames that never come, and then so many that the gaps close."""
+    data = [r for r in rows(7, (40, 12)) if r[1] not in (5, 6, 17, 39)]
+    first, p = spark.createDataFrame(data, SCHEMA), StabParams(lag=3, memory=2, iterations=5)
+    later = spark.createDataFrame([(v, 1000 + k, 1280, 720, 0.0, 0.0, 0.0, 0.0, False) for v in (0, 1) for k in range(60)], SCHEMA)
+    for part in (first, later):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    both = first.unionByName(later)
+    for name, job, want in (("r1", online.stream_stabilize_motion, M.stabilize_motion(both, p)), ("r2", online.stream_smooth_motion, M.smooth_motion(both, p.lag, p.memory, p.lam, p.iterations))):
+        source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        with online.state_store(spark):
+            run = job(source, p, online.GapParams(ahead=45)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start(str(tmp_path / name))
+        run.awaitTermination()
+        got, want = ({(r.video_id, r.frame_idx): [r.A, r.B, r.TX, r.TY] for r in x.collect()} for x in (spark.read.parquet(str(tmp_path / name)), want))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-8) for k in got)
+
+
+def test_a_timer_closes_a_gap(spark, tmp_path):
+    """Frame 3 never comes: the frames past it come out some time after."""
+    import time
+
+    data = [r for r in rows(9, (12,)) if r[1] != 3]
+    df, p = spark.createDataFrame(data, SCHEMA), StabParams(lag=2, memory=1, iterations=3)
+    df.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    with online.state_store(spark):
+        run = online.stream_stabilize_motion(source, p, online.GapParams(wait_ms=1500)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).start(str(tmp_path / "out"))
+    want = {r.frame_idx: r.TX for r in M.stabilize_motion(df, p).collect()}
+    try:
+        got, end = {}, time.time() + 90
+        while len(got) < len(want) and time.time() < end and not run.exception():
+            time.sleep(1)
+            if (tmp_path / "out").exists():
+                got = {r.frame_idx: r.TX for r in spark.read.schema("video_id long, frame_idx long, A double, B double, TX double, TY double").parquet(str(tmp_path / "out")).collect()}
+    finally:
+        run.stop()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
 def test_medians_grid_and_best(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
     assert df.agg(scores.upper_median("v")).first()[0] == 3.0 and df.agg(scores.median_or_zero("v")).first()[0] == 2.5
