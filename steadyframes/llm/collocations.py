@@ -29,7 +29,9 @@ from steadyframes.llm.textbytes import LOWER, Strings, blocks, distinct_spans, s
 
 BLOCK = 4 << 20
 #: Keys that a task sorts at a time, and those meant for one range.
-RUN, RANGE = 1 << 21, 1 << 20
+RUN, RANGE = 1 << 19, 1 << 20
+#: Shares of a language's phrases that are ranked before all of them are.
+DEALS = 32
 #: Keys that the borders of ranges are taken from, at most.
 BORDERS = 100_000
 SPLIT = np.zeros(256, bool)
@@ -290,6 +292,9 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     two = two.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), score("a", "f1", "f2").alias("score"))
     cut1, cut2 = F.struct(score("a", "f1", "a23").alias("score"), F.lit(1).alias("k"), F.col("f1").alias("l"), F.col("a23").alias("r")), F.struct(score("a", "a12", "f3").alias("score"), F.lit(2).alias("k"), F.col("a12").alias("l"), F.col("f3").alias("r"))
     three = triples.select("lang", F.concat_ws(" ", "p12", "w3").alias("phrase"), "a", F.least(cut1, cut2).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # The first of each share of a language first, so that no task ranks more than DEALS x top rows of one.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(DEALS))
+    ranked = two.unionByName(three).withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order)))
+    ranked = ranked.where(F.col("rank") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
