@@ -34,7 +34,7 @@ LISTS, PROBES = 32, 24
 #: Vectors of a list that go to one task.
 PART = 1 << 16
 #: Columns looked at between two tests; queries and candidates compared at a time.
-COLUMNS, QUERIES, TILE = 16, 256, 4096
+COLUMNS, QUERIES, FIRST_TILE, TILE = 16, 256, 64, 2048
 #: The test's width: larger abandons later and misses less.
 WIDTH = 2.1
 #: From this share of live candidates on, a block of columns is looked at for all of them.
@@ -56,7 +56,7 @@ class Space:
         rng = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
         self.sample = self.dense([np.array(x) for x in sample])
-        y, e = self.rotated(self.sample)
+        self.sample_rotated = y, e = self.rotated(self.sample)
         self.centroids = _fitted(np.column_stack([y, e]), lists)
         self.sample_lists = self.nearest(y, e, 1)[:, 0]
 
@@ -90,9 +90,12 @@ def _fitted(points: np.ndarray, lists: int, turns: int = 10) -> np.ndarray:
     return heads
 
 
-def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The inner product of each row of the one with the same row of the other; the same for equal rows wherever they stand."""
-    return (queries * vectors).sum(1)
+def scores(queries: np.ndarray, vectors: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """The inner products of pairs of rows; the same for equal rows wherever they stand."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), at_once):
+        out[a : a + at_once] = (queries[i[a : a + at_once]] * vectors[j[a : a + at_once]]).sum(1)
+    return out
 
 
 def best_of(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -130,24 +133,27 @@ def survivors(q: np.ndarray, y: np.ndarray, rest: np.ndarray, limit: np.ndarray)
     return pairs
 
 
-def scan(space: Space, query_ids, queries, worst, ids, vectors, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(space: Space, query_ids, queries, worst, ids, vectors, rotated, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, candidate's place, score) of the k best of each query among the vectors.
 
-    worst: scores that a candidate must reach. allowed(i, j): which pairs count, where not all do.
+    worst: scores that a candidate must reach. rotated: what Space.rotated gives for the vectors. allowed(i, j): which pairs
+    count, where not all do. The first tiles are small, as all their candidates survive where there is no threshold yet.
     """
     q, _ = space.rotated(queries)
-    y, e = space.rotated(vectors)
+    y, e = rotated
     norms, worst = (q * q).sum(1), worst.copy()
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    for a in range(0, len(vectors), TILE):
+    a, b = 0, FIRST_TILE
+    while a < len(vectors):
         limit = norms + space.lift - 2 * worst / space.scale**2
-        i, j = survivors(q, y[a : a + TILE], e[a : a + TILE] ** 2, limit + ROUNDING * (norms + space.lift))
+        i, j = survivors(q, y[a:b], e[a:b] ** 2, limit + ROUNDING * (norms + space.lift))
         j = j + a
+        a, b = b, b + min(TILE, 4 * (b - a))
         other = query_ids[i] != ids[j]
         if allowed is not None:
             other &= allowed(i, j)
         i, j = i[other], j[other]
-        s = scores(queries[i], vectors[j])
+        s = scores(queries, vectors, i, j)
         reach = s >= worst[i]
         row, at, score = (np.concatenate([x, z]) for x, z in zip(found, (i[reach], j[reach], s[reach]), strict=True))
         keep = best_of(row, ids[at], score, k)
@@ -219,7 +225,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS,
             for a in range(0, len(x), QUERIES):
                 # Only candidates in lists that the query probes make a threshold, so what reaches it will be found.
                 mine = taken[a : a + QUERIES]
-                row, _, score = scan(s, ids[a : a + QUERIES], x[a : a + QUERIES], worst[a : a + QUERIES], s.sample_ids, s.sample, k, lambda i, j, mine=mine: mine[i, s.sample_lists[j]])
+                row, _, score = scan(s, ids[a : a + QUERIES], x[a : a + QUERIES], worst[a : a + QUERIES], s.sample_ids, s.sample, s.sample_rotated, k, lambda i, j, mine=mine: mine[i, s.sample_lists[j]])
                 full = np.flatnonzero(np.bincount(row, minlength=len(mine)) == k)
                 worst[a + full] = score[np.searchsorted(row, full, "right") - 1]
             lists_ = [n[:m] for n, m in zip(near.astype(np.int32), probed.tolist(), strict=True)]
@@ -228,14 +234,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS,
     filled = np.array([sizes.get(j, 0) for j in range(len(space.centroids))], np.int64)
     parts = F.element_at(F.create_map(*[F.lit(v) for j in range(len(space.centroids)) for v in (j, max(1, -(-sizes.get(j, 0) // part)))]), F.col("list"))
     held = index.select("list", F.pmod(F.xxhash64("vec_id", "x"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "x", F.lit(None).cast("double").alias("worst"))
-    asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"), F.count("*").alias("own"))
+    # A query costs far more than its bytes tell, so tasks must not be merged by their bytes.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = base.where(F.col("vec_id") % every == 0).repartition(tasks, "vec_id").groupBy("vec_id").agg(F.min("x").alias("x"), F.count("*").alias("own"))
     asked = asked.mapInArrow(probe, f"vec_id long, x {kind}, lists array<int>, worst double")
     asked = asked.select("vec_id", "x", "worst", F.explode("lists").alias("list"))
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "x", "worst")
     dealt = held.unionByName(asked).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
 
     def answer(batches):
-        s, now, ids, vectors_ = shared.value, None, [], []
+        s, now, ids, vectors_, rotated = shared.value, None, [], [], None
         for batch in batches:
             place = np.stack([np.array(batch.column(c)) for c in ("list", "part", "kind")], 1)
             cut = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
@@ -244,16 +252,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = LISTS,
                 if a == b:
                     continue
                 if now != (key := tuple(place[a, :2])):
-                    now, ids, vectors_ = key, [], []
+                    now, ids, vectors_, rotated = key, [], [], None
                 if place[a, 2] == 0:
                     ids.append(all_ids[a:b].copy())
                     vectors_.append(x[a:b].copy())
                     continue
                 if len(ids) > 1:
                     ids, vectors_ = [np.concatenate(ids)], [np.concatenate(vectors_)]
+                if ids and rotated is None:
+                    rotated = s.rotated(vectors_[0])
                 for c in range(a, b if ids else a, QUERIES):
                     d = min(b, c + QUERIES)
-                    row, at, score = scan(s, all_ids[c:d], x[c:d], worst[c:d], ids[0], vectors_[0], k)
+                    row, at, score = scan(s, all_ids[c:d], x[c:d], worst[c:d], ids[0], vectors_[0], rotated, k)
                     yield pa.RecordBatch.from_arrays([pa.array(all_ids[c:d][row]), pa.array(ids[0][at]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
