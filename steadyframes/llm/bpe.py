@@ -32,9 +32,9 @@ from pyspark.sql.types import StructType
 from steadyframes.llm.textbytes import WHITE, Pool, Strings, blocks, chunk_spans, distinct_spans, held, ragged
 
 MAX_STATES = 150_000
-MAX_PAIRS = 300_000
+MAX_PAIRS = 150_000
 #: Pieces and pre-tokens that a worker remembers; the longer ones are encoded anew.
-MAX_PIECES, MAX_WORDS, REMEMBERED = 250_000, 200_000, 64
+MAX_PIECES, MAX_WORDS, REMEMBERED = 200_000, 160_000, 64
 DECODE_BYTES = 1 << 16
 
 
@@ -55,7 +55,7 @@ class Merges:
         self.depth: list[int] = [0]
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         for word, rank in ranks.items():
             node = 0
             for b in word:
@@ -97,7 +97,7 @@ class Merges:
         Undo the merges of both from the last: at each step look whether a merge across the border would have come
         before the merge that is undone.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.pairs.get(key)) is not None:
             return known
         if len(self.pairs) > MAX_PAIRS:

@@ -7,6 +7,7 @@ bounded by the block, or by one text where that is longer; Spark bounds the Arro
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -48,6 +49,7 @@ def blocks(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.n
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    trim()
 
 
 def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +214,16 @@ def free() -> None:
     """Drop the large table that an earlier stage has left in this worker, and the memory that Arrow keeps for reuse."""
     _HELD.clear()
     pa.default_memory_pool().release_unused()
+    trim()
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; else a worker keeps the most that any of its stages took."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 class Pool:
