@@ -12,7 +12,7 @@ from steadyframes.functions import transforms as T
 from steadyframes.functions.params import AlignParams, StabParams
 from steadyframes.jobs import align, jitter, search, stabilize
 from steadyframes.operators import dense, motion, pixels, scores
-from steadyframes.sources import fixtures, frames
+from steadyframes.sources import fixtures, frames, texture
 from steadyframes.sources.folders import new_folder
 
 QUERIES: dict = {}
@@ -553,12 +553,6 @@ def c1_align_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_id", "frame_idx", near.alias("recovered"))
 
 
-@query()
-def c2_phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixtures.frames(fixtures.clip_motion(spark, sf_dir), 192, 128)
-    return align.phase_shifts(f).select("video_id", "frame_idx", _r("shift_x", 3).alias("shift_x"), _r("shift_y", 3).alias("shift_y"), _r("response", 3).alias("response"))
-
-
 _MOVES = f"""{_CLIP}, d AS (SELECT video_id, frame_idx, CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TX) < 0 THEN -((-floor(TX)) % 4) ELSE floor(TX) % 4 END AS dx,
  CASE WHEN frame_idx = 0 THEN 0 WHEN floor(TY) < 0 THEN -((-floor(TY)) % 4) ELSE floor(TY) % 4 END AS dy FROM m)"""
 
@@ -632,6 +626,22 @@ def s2_s4_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("video_id").cast("long").alias("video_id"), "frame_idx", "width", "height", *_pixel_sums(out))
 
 
+@query("SELECT concat('n', n_nationkey, '.mp4') AS name, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS length FROM nation")
+def s1_list_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The .mp4 files of a folder, which has others too; a file for each nation, of its name."""
+    folder = new_folder(spark, "videos")
+    names = fixtures.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    names.select(F.concat_ws("", "n_name").alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{folder}/all"))
+    for key in [r.n_nationkey for r in names.select("n_nationkey").collect()]:  # as many rows as there are nations
+        part = next(s.getPath() for s in files.listStatus(path(f"{folder}/n_nationkey={key}")) if s.getPath().getName().startswith("part-"))
+        files.rename(part, path(f"{folder}/all/n{key}.mp4"))
+    files.create(path(f"{folder}/all/other.txt")).close()
+    return frames.list_videos(spark, f"{folder}/all").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
 @query()
 def c7_search_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_align(_frames(spark, sf_dir), search.aligner_grid(spark), crop=8)
@@ -644,6 +654,93 @@ def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("combo_id", "video_id", "frames", _r("ratio", 3).alias("ratio"))
 
 
+# --- frames of a texture under similarity motion, videos of 80 frames, odd ones in colour ------------------------
+
+_W, _H, _CELL = 192, 128, 12
+#: How far found motion may be from the true one, and a pixel of the whole job from the texture on the mean.
+_NEAR, _NEAR_SHIFT, _NEAR_PIXEL = 0.005, 0.4, 10.0
+
+
+def _pose_steps_sql(poses: str) -> str:
+    """Motion from the frame before, out of poses: tables p, q and s (video_id, frame_idx, A, B, TX, TY)."""
+    return f"""p AS ({poses}), q AS (SELECT *, lag(A) OVER {_LAG} AS a0, lag(B) OVER {_LAG} AS b0, lag(TX) OVER {_LAG} AS x0, lag(TY) OVER {_LAG} AS y0 FROM p),
+v AS (SELECT *, (1+a0)/d - 1 AS ia, -b0/d AS ib, (-(1+a0)*x0 - b0*y0)/d AS ix, (b0*x0 - (1+a0)*y0)/d AS iy FROM (SELECT *, (1+a0)*(1+a0) + b0*b0 AS d FROM q)),
+s AS (SELECT video_id, frame_idx, coalesce((1+A)*(1+ia) - B*ib - 1, 0) AS A, coalesce((1+A)*ib + B*(1+ia), 0) AS B, coalesce((1+A)*ix - B*iy + TX, 0) AS TX, coalesce(B*ix + (1+A)*iy + TY, 0) AS TY FROM v)"""
+
+
+_STEPS = f"WITH {_pose_steps_sql(texture.POSES_SQL)}"
+
+
+def _textured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texture.frames(texture.poses(spark, sf_dir), _W, _H, _CELL)
+
+
+def _close(a, b, within: float):
+    return F.abs(F.col(a) - F.col(b)) < within
+
+
+@query(f"{_STEPS} SELECT video_id, frame_idx, round(A, 6) + 0.0::DOUBLE AS a, round(B, 6) + 0.0::DOUBLE AS b, round(TX, 6) + 0.0::DOUBLE AS tx, round(TY, 6) + 0.0::DOUBLE AS ty, frame_idx > 0 AS ok, TRUE AS near_a, TRUE AS near_b, TRUE AS near_tx, TRUE AS near_ty FROM s")
+def c1_align_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotation, scale and fractions of pixels: the motion that the frames were made with, and whether it is found again."""
+    true = texture.motion_of(texture.poses(spark, sf_dir))
+    found = align.align_frames(_textured(spark, sf_dir)).select("video_id", "frame_idx", "ok", *[F.col(c).alias(f"got_{c}") for c in motion.TRANSFORM])
+    near = [_close(c, f"got_{c}", _NEAR if c in "AB" else _NEAR_SHIFT).alias(f"near_{c.lower()}") for c in motion.TRANSFORM]
+    return true.join(found, ["video_id", "frame_idx"]).select("video_id", "frame_idx", *[(_r(c) + 0.0).alias(c.lower()) for c in motion.TRANSFORM], "ok", *near)
+
+
+@query(f"WITH {_pose_steps_sql(texture.SHIFTS_SQL)} SELECT video_id, frame_idx, CAST(TX AS BIGINT) AS shift_x, CAST(TY AS BIGINT) AS shift_y FROM s WHERE frame_idx > 0")
+def c2_phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts found within half a pixel, so that they round to the true ones."""
+    f = texture.frames(texture.poses(spark, sf_dir, shifts=True), _W, _H, 3)
+    return align.phase_shifts(f).select("video_id", "frame_idx", F.round("shift_x").cast("long").alias("shift_x"), F.round("shift_y").cast("long").alias("shift_y"))
+
+
+_EDGE = 24
+#: A frame's pixel at whole places, as it was rendered.
+_SEEN = "CAST(floor({} + 0.5::DOUBLE) AS BIGINT)".format(texture.texture_sql("(1+ia)*(fx + {dx} - 95.5::DOUBLE) - ib*(fy + {dy} - 63.5::DOUBLE) + ix", "ib*(fx + {dx} - 95.5::DOUBLE) + (1+ia)*(fy + {dy} - 63.5::DOUBLE) + iy", _CELL))
+_TAPS4 = " + ".join(f"({'wx - fx' if dx else '1 - (wx - fx)'}) * ({'wy - fy' if dy else '1 - (wy - fy)'}) * {_SEEN.format(dx=dx, dy=dy)}" for dy in (0, 1) for dx in (0, 1))
+
+
+@query(f"""WITH p AS ({texture.POSES_SQL} WHERE vec_id // {texture.FRAMES} % 2 = 0), v AS (SELECT *, (1+A)/d - 1 AS ia, -B/d AS ib, (-(1+A)*TX - B*TY)/d AS ix, (B*TX - (1+A)*TY)/d AS iy FROM (SELECT *, (1+A)*(1+A) + B*B AS d FROM p)),
+o AS (SELECT *, unnest(range({(_W - 2 * _EDGE) * (_H - 2 * _EDGE)})) AS i FROM v),
+t AS (SELECT *, i % {_W - 2 * _EDGE} + {_EDGE} AS x, i // {_W - 2 * _EDGE} + {_EDGE} AS y FROM o),
+-- The warp reads at the inverse of what it is given, and that is the pose's inverse.
+u AS (SELECT *, (1+ia)/e - 1 AS ja, -ib/e AS jb, (-(1+ia)*ix - ib*iy)/e AS jx, (ib*ix - (1+ia)*iy)/e AS jy FROM (SELECT *, (1+ia)*(1+ia) + ib*ib AS e FROM t)),
+w AS (SELECT *, (1+ja)*x - jb*y + jx - ja*95.5::DOUBLE + jb*63.5::DOUBLE AS wx, jb*x + (1+ja)*y + jy - jb*95.5::DOUBLE - ja*63.5::DOUBLE AS wy FROM u),
+f AS (SELECT *, floor(wx) AS fx, floor(wy) AS fy FROM w),
+g AS (SELECT video_id, frame_idx, i, CAST(round_even({_TAPS4}, 0) AS BIGINT) AS v FROM f)
+SELECT video_id, frame_idx, {_W - 2 * _EDGE} AS width, {_H - 2 * _EDGE} AS height, {_SUMS} FROM g GROUP BY 1, 2""")
+def p8_warp_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames moved back by their poses, with rotation, scale and fractions, and cropped: all pixels of the gray videos."""
+    poses = texture.poses(spark, sf_dir).where("video_id % 2 = 0")
+    back = poses.select("video_id", "frame_idx", T.t_inverse(motion.as_struct()).alias("m")).select("video_id", "frame_idx", *[F.col(f"m.{c}").alias(c) for c in motion.TRANSFORM])
+    out = dense.crop_frames(dense.warp_frames(texture.frames(poses, _W, _H, _CELL), back), _EDGE)
+    return out.select("video_id", "frame_idx", "width", "height", *_pixel_sums(out))
+
+
+@query(f"{_STEPS} SELECT video_id, frame_idx, {_W - 32} AS width, {_H - 32} AS height, CASE WHEN video_id % 2 = 1 THEN 3 ELSE 1 END AS channels, TRUE AS near FROM (SELECT *, lead(frame_idx, 3) OVER {_LAG} AS later FROM s) WHERE later IS NOT NULL")
+def c4_stabilize_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job, from frames alone: whether its pixels are what the texture shows under the corrections of the true motion."""
+    p = StabParams(lag=3, memory=2, crop=16)
+    poses = texture.poses(spark, sf_dir)
+    true = texture.motion_of(poses).select("*", F.lit(_W).alias("width"), F.lit(_H).alias("height"), (F.col("frame_idx") > 0).alias("ok"))
+    fix = motion.stabilize_motion(true, p).select("video_id", "frame_idx", motion.as_struct().alias("fix"))
+    shown = poses.join(fix, ["video_id", "frame_idx"]).select("video_id", "frame_idx", T.t_compose(motion.as_struct(), "fix").alias("m")).select("video_id", "frame_idx", *[F.col(f"m.{c}").alias(c) for c in motion.TRANSFORM])
+    want = dense.crop_frames(texture.frames(shown, _W, _H, _CELL), p.crop).select("video_id", "frame_idx", F.col("pixels").alias("want"))
+    out = stabilize.stabilize_frames(texture.frames(poses, _W, _H, _CELL), p)
+    return dense.mean_difference(out.join(want, ["video_id", "frame_idx"]), "want").select("video_id", "frame_idx", "width", "height", "channels", (F.col("difference") < _NEAR_PIXEL).alias("near"))
+
+
+@query(f"""{_STEPS}, l AS (SELECT unnest(range(3)) AS level) SELECT CAST(level AS INT) AS level, count(*) AS n, TRUE AS within FROM l, s WHERE frame_idx > 0 GROUP BY 1""")
+def a7_alignment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment's own diagnostics by pyramid level: how often a level ran, and whether its iterations and last steps are in bounds."""
+    each = align.align_frames(_textured(spark, sf_dir)).select(F.explode("levels").alias("l")).select(F.col("l.level").alias("level"), "l.iterations", "l.displacement")
+    by = [scores.metrics_rollup(each.select(F.col("level").alias("label"), F.col(c).cast("double").alias("value"))).select(F.col("label").alias("level"), "n", F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in ("iterations", "displacement")]
+    both = by[0].join(by[1].drop("n"), "level")
+    within = F.col("least_iterations").between(1, 64) & (F.col("most_iterations") <= 64) & (F.col("least_displacement") >= 0) & (F.col("most_displacement") <= 10)
+    return both.select("level", "n", within.alias("within"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 

@@ -86,6 +86,17 @@ def normalize_minmax(frames: DataFrame) -> DataFrame:
     return _map(frames, fn)
 
 
+def mean_difference(frames: DataFrame, other: str) -> DataFrame:
+    """`difference`: the mean absolute difference of a frame's pixels and those in another column; null where sizes differ."""
+
+    def run(batches):
+        for pdf in batches:
+            pairs = [(np.frombuffer(a, np.uint8).astype(int), np.frombuffer(b, np.uint8)) for a, b in zip(pdf["pixels"], pdf[other], strict=True)]
+            yield pdf.drop(columns=other).assign(difference=[float(np.abs(a - b).mean()) if a.shape == b.shape else None for a, b in pairs])
+
+    return frames.mapInPandas(run, frames.drop(other).withColumn("difference", F.lit(0.0)).schema)
+
+
 def if_small(df: DataFrame) -> DataFrame:
     """Marked for broadcast where it has no more than META_ROWS rows."""
     return F.broadcast(df) if df.count() <= META_ROWS else df

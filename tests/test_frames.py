@@ -11,7 +11,7 @@ from steadyframes.functions.params import AlignParams, StabParams
 from steadyframes.jobs import align, jitter, search, stabilize
 from steadyframes.operators import dense, pixels
 from steadyframes.operators import kernels as K
-from steadyframes.sources import fixtures, frames
+from steadyframes.sources import fixtures, frames, texture
 from steadyframes.streaming import online
 
 RNG = np.random.default_rng(3)
@@ -211,3 +211,27 @@ def test_warped_jitter_of_combos_equals_a_plain_loop(spark, clip):
         got = {(r.combo_id, r.video_id): (r.frames, r.out_jitter) for r in search.warped_jitter(clip.drop("dx", "dy"), corrected, 4, chunk, bucket).collect()}
         assert got.keys() == want.keys() == counts.keys()
         assert all(got[k][0] == counts[k] and abs(got[k][1] - np.median(want[k])) < 1e-9 for k in want)
+
+
+def test_texture_has_the_same_bits_in_sql():
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(1)
+    u, v = rng.uniform(-300, 300, (2, 200))
+    got = duckdb.sql(f"SELECT {texture.texture_sql('u', 'v', 12)} AS t FROM (SELECT unnest({u.tolist()}) AS u, unnest({v.tolist()}) AS v)").fetchnumpy()["t"]
+    assert (got == texture.texture(u, v, 12)).all()
+
+
+def test_textured_frames_move_as_their_poses_say(spark):
+    poses = spark.createDataFrame([(v, k, 0.002 * (k % 3 - 1), 0.001 * (k % 5 - 2), 1.5 * (k % 4), -1.0 * (k % 3)) for v in (0, 1) for k in range(40)], "video_id long, frame_idx long, A double, B double, TX double, TY double")
+    f = texture.frames(poses, 192, 128, 12)
+    assert {(r.video_id, r.channels, len(r.pixels)) for r in f.collect()} == {(0, 1, 192 * 128), (1, 3, 3 * 192 * 128)}
+    true = {(r.video_id, r.frame_idx): r for r in texture.motion_of(poses).collect()}
+    found = [{(r.video_id, r.frame_idx): (r.ok, r.A, r.B, r.TX, r.TY) for r in align.align_frames(f, chunk=c).collect()} for c in (32, 64)]
+    assert found[0] == found[1]
+    for k, (ok, a, b, x, y) in found[0].items():
+        assert ok == (k[1] > 0) and max(abs(a - true[k].A), abs(b - true[k].B)) < 0.005 and max(abs(x - true[k].TX), abs(y - true[k].TY)) < 0.4
+
+
+def test_mean_difference(spark):
+    df = spark.createDataFrame([(1, bytearray([1, 5]), bytearray([3, 5])), (2, bytearray([1]), bytearray([1, 2]))], "k int, pixels binary, other binary")
+    assert {r.k: r.difference for r in dense.mean_difference(df, "other").collect()} == {1: 1.0, 2: None}
