@@ -94,7 +94,7 @@ def mean_difference(frames: DataFrame, other: str) -> DataFrame:
             pairs = [(np.frombuffer(a, np.uint8).astype(int), np.frombuffer(b, np.uint8)) for a, b in zip(pdf["pixels"], pdf[other], strict=True)]
             yield pdf.drop(columns=other).assign(difference=[float(np.abs(a - b).mean()) if a.shape == b.shape else None for a, b in pairs])
 
-    return frames.mapInPandas(run, frames.drop(other).withColumn("difference", F.lit(0.0)).schema)
+    return frames.mapInPandas(run, frames.drop(other).withColumn("difference", F.lit(None).cast("double")).schema)
 
 
 def if_small(df: DataFrame) -> DataFrame:
