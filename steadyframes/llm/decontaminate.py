@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from steadyframes.llm.components import drop_folder, new_folder
 from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, held, span_hashes, spans
 
 WINDOW = 10
@@ -251,8 +252,10 @@ def _hit_columns(found: list[tuple]) -> list[pa.Array]:
 def _passes(docs: DataFrame, items: DataFrame, window: int, item_id: str, text: str, shard_words: int, finish, schema: StructType) -> DataFrame:
     """finish(columns of docs, (n_words, n_hit, word ranges, item ids, byte ranges) of each row) gives the columns of schema.
 
-    What earlier shards hit is carried from pass to pass in two columns after those of docs; the last pass finishes.
+    What earlier shards hit is carried from pass to pass in two columns after those of docs; the last pass finishes. Between
+    passes the rows lie below the checkpoint folder, so a task has one Python worker, and that one shard's automaton.
     """
+    folder = None
     spark, out, width, place = docs.sparkSession, docs, len(docs.columns), docs.columns.index(text)
     carried = StructType(docs.schema.fields + StructType.fromDDL("hit_words__ array<struct<a:long,b:long>>, hit_items__ array<string>").fields)
     for turn, (part, last) in enumerate(_pieces(items, item_id, text, shard_words)):
@@ -279,6 +282,13 @@ def _passes(docs: DataFrame, items: DataFrame, window: int, item_id: str, text:
                 yield pa.RecordBatch.from_arrays(arrays, names=(schema if last else carried).names)
 
         out = out.mapInArrow(run, schema if last else carried)
+        if not last:
+            done, folder = folder, new_folder(spark, "hits")
+            out.write.parquet(folder)
+            out = spark.read.schema(carried).parquet(folder)
+            shared.unpersist()
+            if done:
+                drop_folder(spark, done)
     return out
 
 
