@@ -36,6 +36,8 @@ DIM, HIDDEN, WINDOW = 16, 32, 2
 #: RATE is for the sum over a batch's words.
 ROUNDS, BATCH, RATE = 2, 1024, 0.0016
 STEP = 1 << 12
+#: Rows in which a task's weights go out to be averaged.
+PACKS, PACKED = 64, "pack int, weights binary, n double"
 #: Bound of what goes into an exponential.
 MOST = 40
 FREQUENT = 1 << 15
@@ -232,6 +234,23 @@ def chosen(rows: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(inside % rounds == turn)
 
 
+def packed(weights: np.ndarray, n: float) -> pa.RecordBatch:
+    """A task's weights times its words, in PACKS rows."""
+    weights = weights.astype(np.float64) * n
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(PACKS, dtype=np.int32)), pa.array([x.tobytes() for x in np.array_split(weights, PACKS)], pa.binary()), pa.array(np.full(PACKS, n))], names=["pack", "weights", "n"])
+
+
+def added(batches):
+    """The sums of the rows of each pack."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for pack, weights, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = sums.setdefault(pack, [0.0, 0.0])
+            own[0], own[1] = own[0] + np.frombuffer(weights), own[1] + n
+    packs = sorted(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int32()), pa.array([sums[k][0].tobytes() for k in packs], pa.binary()), pa.array([sums[k][1] for k in packs], pa.float64())], names=["pack", "weights", "n"])
+
+
 def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
     base = docs.select(F.col(text).cast("string").alias("text"))
@@ -295,12 +314,12 @@ def fit(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Model:
             if held:
                 step()
             if seen:
-                flat = np.concatenate([w.reshape(-1) for w in own.weights()]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "w", "n"])
+                yield packed(np.concatenate([w.reshape(-1) for w in own.weights()]), float(seen))
 
-        mean = base.mapInArrow(learn, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()  # one row a weight
         flat = np.concatenate([w.reshape(-1) for w in m.weights()]).astype(np.float64)
-        flat[mean.column("i").to_numpy()] = mean.column("w").to_numpy()
+        parts = np.array_split(flat, PACKS)
+        for row in base.mapInArrow(learn, PACKED).repartition("pack").mapInArrow(added, PACKED).collect():  # PACKS rows
+            parts[row.pack][:] = np.frombuffer(row.weights) / row.n  # views of flat
         parts, at = [], 0
         for w in m.weights():
             parts.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
