@@ -417,12 +417,15 @@ def link(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str = "d
 
 
 def keep_first(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents less all but the first (by doc_id) of each component; rows that repeat an id and text count once."""
+    """The documents less all but the first (by doc_id) of each component; of rows that repeat an id and text the one stays whose
+    other columns, as JSON, come first."""
     found = cut_lineage(link(docs, words=words, percent=percent))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), order).alias("one")).select("one.*")
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

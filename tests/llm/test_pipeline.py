@@ -61,3 +61,24 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in c.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_nulls_ties_repeated_rows_and_clashing_columns(spark):
+    own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").limit(30).collect()
+    some = [(r.doc_id, r.text, r.lang, r.source) for r in own]
+    odd = [(None, "a text without an id", None, None), (None, None, "en", "s"), (9001, None, None, None), (9002, "", "en", "s"), (9003, "one", "xx", None), (9004, "word " * 30000, "en", "s")]
+    rows_ = [(*r, 0.5, True, "x", 3, [1], i) for i, r in enumerate([*some, *odd, some[0], some[0], odd[4]])]
+    extra = "score double, toxic boolean, threshold string, n_hit int, token_ids array<int>, tie int"
+    docs = spark.createDataFrame(rows_, f"doc_id long, text string, lang string, source string, {extra}").repartition(3)
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.schema.names == docs.schema.names, name
+        kept = got.collect()
+        assert {None, 9001, 9002} <= {r.doc_id for r in kept}, name
+        assert all(r.text is None for r in kept if r.doc_id == 9001), name
+        if name == "n-gram Jaccard join":
+            assert sum(r.doc_id == 9003 for r in kept) == 1 and len(kept) == len({(r.doc_id, r.text) for r in kept})
+            # Of repeated rows the one whose other columns come first stays: the first made.
+            assert [r.tie for r in kept if r.doc_id == 9003] == [34]
+    out = {r.doc_id: r for r in c.token_ids(spark, docs, SF).collect()}
+    assert out[9001].n_tokens == out[9002].n_tokens == 0 and out[9003].n_tokens == 1
