@@ -536,9 +536,9 @@ def s5_jitter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.report_line(jitter.frame_medians(_flow_sample(spark, sf_dir).where("mag is not null")))
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame for every vector of the embeddings table, of known motion."""
-    return fixtures.frames(fixtures.clip_motion(spark, sf_dir))
+def _frames(spark: SparkSession, sf_dir: str, length: int = 10) -> DataFrame:
+    """A frame for every vector of the embeddings table, of known motion, in clips of `length` frames."""
+    return fixtures.frames(fixtures.clip_motion(spark, sf_dir, length))
 
 
 _CLIP = f"WITH m AS ({fixtures.CLIP_SQL})"
@@ -650,7 +650,8 @@ def c7_search_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c8_search_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_smoother(_frames(spark, sf_dir), search.smoother_grid(spark), AlignParams(), crop=8)
+    # Clips long enough for combos of every lag to give rows.
+    found = search.search_smoother(_frames(spark, sf_dir, 40), search.smoother_grid(spark), AlignParams(), crop=8)
     return found.select("combo_id", "video_id", "frames", _r("ratio", 3).alias("ratio"))
 
 

@@ -38,10 +38,10 @@ FROM events
 """
 
 
-def clip_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From embeddings: videos of ten frames, a frame for each vector; the source of dense frames."""
+def clip_motion(spark: SparkSession, sf_dir: str, length: int = 10) -> DataFrame:
+    """From embeddings: videos of `length` frames, a frame for each vector; the source of dense frames."""
     e = table(spark, sf_dir, "embeddings").select("vec_id")
-    return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("video_id"), (F.col("vec_id") % 10).cast("long").alias("frame_idx"), F.lit(1280).alias("width"), F.lit(720).alias("height"), *_motion_columns(F.col("vec_id")), (F.col("vec_id") % 10 > 0).alias("ok"))
+    return e.select(F.floor(F.col("vec_id") / length).cast("long").alias("video_id"), (F.col("vec_id") % length).cast("long").alias("frame_idx"), F.lit(1280).alias("width"), F.lit(720).alias("height"), *_motion_columns(F.col("vec_id")), (F.col("vec_id") % length > 0).alias("ok"))
 
 
 CLIP_SQL = """
