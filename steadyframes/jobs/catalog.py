@@ -5,6 +5,8 @@ Doubles are rounded on both sides; integers and booleans are exact.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +113,7 @@ def t11_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.motion(spark, sf_dir).select("video_id", "frame_idx", T.t_to_string(motion.as_struct()).alias("said"))
 
 
-_HORNER = "0.000858519::DOUBLE"
+_HORNER = f"{T.LANCZOS2[-1]}::DOUBLE"
 for _c in T.LANCZOS2[-2::-1]:
     _HORNER = f"({_c}::DOUBLE + {{x}}*{{x}}*{_HORNER})"
 
@@ -317,11 +319,9 @@ def a8_failure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.failure_stats(fixtures.motion(spark, sf_dir)).withColumn("failure_rate", _r("failure_rate", 9))
 
 
-_GRID = """g AS (SELECT lag, memory, lam, min_disp, max_disp, min_decay, max_decay,
- ((((((il*3 + im)*4 + ia)*3 + i1)*3 + i2)*3 + i3)*3 + i4)::BIGINT AS combo_id FROM
- (VALUES (0,3),(1,5),(2,8),(3,10)) a(il,lag), (VALUES (0,5),(1,8),(2,10)) b(im,memory), (VALUES (0,4.0::DOUBLE),(1,6.0::DOUBLE),(2,8.0::DOUBLE),(3,10.0::DOUBLE)) c(ia,lam),
- (VALUES (0,16.0::DOUBLE),(1,32.0::DOUBLE),(2,48.0::DOUBLE)) d(i1,min_disp), (VALUES (0,64.0::DOUBLE),(1,96.0::DOUBLE),(2,128.0::DOUBLE)) e(i2,max_disp),
- (VALUES (0,0.99::DOUBLE),(1,0.95::DOUBLE),(2,0.9::DOUBLE)) f(i3,min_decay), (VALUES (0,0.7::DOUBLE),(1,0.5::DOUBLE),(2,0.3::DOUBLE)) h(i4,max_decay) WHERE min_disp < max_disp AND min_decay > max_decay)"""
+_PLACE = functools.reduce(lambda at, name: f"({at} * {len(search.SMOOTH_GRID[name])} + i_{name})", search.SMOOTH_GRID, "0")
+_LISTS = ", ".join(f"(VALUES {', '.join(f'({i}, {float(v)}::DOUBLE)' for i, v in enumerate(values))}) t_{name}(i_{name}, {name})" for name, values in search.SMOOTH_GRID.items())
+_GRID = f"g AS (SELECT {', '.join(search.SMOOTH_GRID)}, CAST({_PLACE} AS BIGINT) AS combo_id FROM {_LISTS} WHERE min_disp < max_disp AND min_decay > max_decay)"
 
 
 @query(f"WITH {_GRID} SELECT v.video_id, count(*) AS combos, sum(combo_id)::BIGINT AS ids, round(sum(lag*memory + lam + min_disp*max_disp + min_decay*max_decay), 4) AS mark FROM (SELECT DISTINCT user_id AS video_id FROM events) v, g GROUP BY 1")
