@@ -36,6 +36,8 @@ MAX_PAIRS = 150_000
 #: Pieces and pre-tokens that a worker remembers; the longer ones are encoded anew.
 MAX_PIECES, MAX_WORDS, REMEMBERED = 200_000, 160_000, 64
 DECODE_BYTES = 1 << 16
+#: Of these, a table's encoder keeps a part and takes smaller blocks, as it runs in workers of a pipeline beside a JVM that is full.
+SHARED, SHARED_BLOCK = 0.3, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +58,7 @@ class Merges:
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.pairs: dict[int, bool] = {}
+        self.most_pairs = MAX_PAIRS
         for word, rank in ranks.items():
             node = 0
             for b in word:
@@ -100,7 +103,7 @@ class Merges:
         key = left << 32 | right
         if (known := self.pairs.get(key)) is not None:
             return known
-        if len(self.pairs) > MAX_PAIRS:
+        if len(self.pairs) > self.most_pairs:
             self.pairs.clear()
         a, b, limit, apart = left, right, 1 << 62, True
         while True:
@@ -169,6 +172,7 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
+        self.most_states = MAX_STATES
         self.step = {node << 8 | b: child for node, kids in enumerate(merges.children) for b, child in kids.items()}
         self.inner = [bool(kids) for kids in merges.children]
         self.length = {r: len(w) for r, w in merges.bytes_of.items()}
@@ -228,13 +232,13 @@ class Transducer:
         size = np.array([len(words[i]) for i in rest], np.int64)
         begin = np.cumsum(size) - size
         buf = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8).astype(np.int64)
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most_states:
             self._clear()
         ends, state = np.zeros(len(buf), np.int32), np.zeros(len(rest), np.int64)
         for depth in range(int(size[0]) if len(rest) else 0):
             live = int(np.searchsorted(-size, -depth, "left"))  # the longer ones stand first
             state = state[:live]
-            if len(self.states) > 2 * MAX_STATES:
+            if len(self.states) > 2 * self.most_states:
                 own, state = np.unique(state, return_inverse=True)
                 keep = [self.states[k] for k in own.tolist()]
                 self._clear()
@@ -288,13 +292,13 @@ class Transducer:
         whole = self.m.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most_states:
             self._clear()
         state, out, moves, ends = 0, [], {}, []
         for b in word:
             got = moves.get(state << 8 | b)
             if got is None:
-                if len(self.states) > 2 * MAX_STATES:  # in the midst of one very long pre-token
+                if len(self.states) > 2 * self.most_states:  # in the midst of one very long pre-token
                     keep = self.states[state]
                     self._clear()
                     moves, state = {}, self._state(keep)
@@ -333,14 +337,15 @@ class StreamDecoder:
 class Coder:
     """Encodes and decodes texts; one per Python worker. pattern splits text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
         self.merges = Merges(ranks)
         self.transducer = Transducer(self.merges)
         self.merges.children = []  # the transducer has them as its steps
         self.pattern = regex.compile(pattern)
         self.decoder = StreamDecoder(self.merges.bytes_of)
         self.said = Strings([b"%d " % i for i in range(max(ranks.values()) + 1)])
-        self.pieces, self.words = Pool(MAX_PIECES), Pool(MAX_WORDS)
+        self.pieces, self.words = Pool(int(MAX_PIECES * share)), Pool(int(MAX_WORDS * share))
+        self.transducer.most_states, self.merges.most_pairs = int(MAX_STATES * share), int(MAX_PAIRS * share)
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, one after another, and how many each has."""
@@ -419,10 +424,11 @@ class Coder:
         return out
 
 
-def coder(path: str, pattern: str) -> Coder:
-    """The worker's own coder; the rank file must be on every machine, as the tokenizer package is."""
+def coder(path: str, pattern: str, share: float = 1.0) -> Coder:
+    """The worker's own coder, with that share of the usual memory; the rank file must be on every machine, as the tokenizer
+    package is."""
     gc.set_threshold(200_000, 50, 1000)  # the tables are large and free of cycles
-    return held(("bpe", path, pattern), lambda: Coder(read_ranks(path), pattern))
+    return held(("bpe", path, pattern, share), lambda: Coder(read_ranks(path), pattern, share))
 
 
 def _lists(arrays: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
@@ -454,9 +460,9 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kept = [F.col(c) for c in ("doc_id", "lang", "source") if c in docs.columns]
 
     def run(batches):
-        c = coder(path, pattern)
+        c = coder(path, pattern, SHARED)
         for batch in batches:
-            for a, b, buf, offsets in blocks(batch.column(batch.num_columns - 1)):
+            for a, b, buf, offsets in blocks(batch.column(batch.num_columns - 1), SHARED_BLOCK):
                 ids, rows = c.block(buf, offsets)
                 own = [x.slice(a, b - a) for x in batch.columns[:-1]]
                 more = [pa.array(np.diff(rows).astype(np.int64)), _lists([(ids, rows)]), pa.array(c.decoded_digests(ids, rows), pa.string())]
