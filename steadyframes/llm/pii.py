@@ -487,15 +487,14 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256 and spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans: these and the field's."""
 
     def run(batches):
         for batch in batches:
             out = []
             for _, _, buf, offsets in blocks(batch.column(1)):
                 for base, more in find(buf, offsets):
-                    every = [*base, *more]
-                    out.append((*[sum(k == kind for k, _, _ in every) for kind in KINDS], hashlib.sha256(said(base).encode()).hexdigest(), said(every)))
+                    out.append((*[sum(k == kind for k, _, _ in base) for kind in KINDS], hashlib.sha256(said(base).encode()).hexdigest(), said([*base, *more])))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])

@@ -89,3 +89,15 @@ def test_long_words_have_scores_of_their_own_in_any_order():
         f.known.clear()
         for w in order:
             assert (f.scores(w) == np.stack([f.weights[side][f.ids(w)].sum(0) for side in range(3)])).all(), w
+
+
+def test_counts_are_of_base_spans(spark):
+    """The contract fixes the counts as it does base_sha256; what the field adds shows in spans alone."""
+    rows = [(1, "x +1 (269) 555-3296 4524132264652876 and"), (2, "card 2353820953013749 4550997810720808 , 10.1.2.3 and a.b@mail.example.org"), (3, None), (4, "(415) 555-2671 8.8.8.8.8 +44 20 7946 0018")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    added = 0
+    for r in pii.digest(df).collect():
+        want = base(dict(rows)[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in want) for kind in pii.KINDS], r.doc_id
+        added += len([x for x in r.spans.split(",") if x]) - len(want)
+    assert added >= 3
