@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from steadyframes.llm.components import drop_folder, new_folder
-from steadyframes.llm.textbytes import LOWER, Strings, blocks, distinct_spans, spans
+from steadyframes.llm.textbytes import LOWER, Strings, blocks, distinct_spans, free, spans, trim
 
 BLOCK = 4 << 20
-#: Keys that a task sorts at a time, and those meant for one range.
+#: Half of the keys that a task sorts at a time, and those meant for one range.
 RUN, RANGE = 1 << 19, 1 << 20
 #: Shares of a language's phrases that are ranked before all of them are.
 DEALS = 32
@@ -50,7 +50,7 @@ def block_words(buf: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tupl
     if not len(starts):
         return np.zeros(0, np.int64), (buf, starts, ends), np.zeros(0, np.int64), np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(places))
-    piece = np.cumsum(SPLIT[buf])[starts]
+    piece = np.cumsum(SPLIT[buf], dtype=np.int32)[starts]
     begins = np.ones(len(starts), bool)
     begins[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
     first, inverse = distinct_spans(buf, starts, ends)
@@ -61,6 +61,7 @@ def block_words(buf: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tupl
 
 def _split_batches(batches) -> Iterator[pa.RecordBatch]:
     """Each block as a row for each distinct word and one with the sequence."""
+    free()
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         named = batch.column("lang").dictionary_encode()
@@ -73,6 +74,7 @@ def _split_batches(batches) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), names.take(pa.array(lang)), words, pa.array(np.arange(m, dtype=np.int32)), pa.array(counts.astype(np.int64)), pa.nulls(m, pa.binary())], names=[c.split()[0] for c in _BATCH.split(", ")])
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())], pa.array([zlib.compress(seq.tobytes(), 1)], pa.binary())], names=[c.split()[0] for c in _BATCH.split(", ")])
                 number += 1
+            trim()
 
 
 def packed(ids: np.ndarray, width: int) -> np.ndarray:
@@ -100,29 +102,39 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
     return np.zeros(0, np.int64) if order is None else order
 
 
-def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with their counts added up."""
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their counts added up; without counts each key counts once."""
     if not len(keys):
-        return keys, counts
+        return keys, np.zeros(0, np.int64)
     order = radix_order(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]).any(1)
     at = np.flatnonzero(new)
-    return keys[at], np.add.reduceat(counts, at)
-
-
-def grams(ids: np.ndarray) -> np.ndarray:
-    """Pairs (a, b, 0) and triples of neighbours within pieces; 0 stands for no frequent word, negatives begin a piece."""
-    word, begins = np.abs(ids), ids < 0
-    two = (word[:-1] > 0) & (word[1:] > 0) & ~begins[1:]
-    at = np.flatnonzero(two)
-    three = at[:-1][(np.diff(at) == 1)] if len(at) else at
-    return np.concatenate([np.stack([word[at], word[at + 1], np.zeros(len(at), np.int64)], 1), np.stack([word[three], word[three + 1], word[three + 2]], 1)])
+    return keys[at], np.diff(at, append=len(keys)) if counts is None else np.add.reduceat(counts[order], at)
+
+
+def grams(ids: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Packed keys of the pairs (a, b, 0) and triples of neighbours within pieces, up to RUN a time; 0 stands for no frequent
+    word, negatives begin a piece."""
+    step = max(1, RUN // 2)
+    for a in range(0, len(ids), step):
+        own = ids[a : a + step + 2]  # the two that follow end what begins here
+        two = (own[:-1] != 0) & (own[1:] > 0)
+        pair, triple = np.flatnonzero(two[:step]), np.flatnonzero((two[:-1] & two[1:])[:step])
+        words = np.abs(own).astype(">u8").view(np.uint8).reshape(len(own), 8)[:, 8 - width :]
+        keys = np.zeros((len(pair) + len(triple), 3, width), np.uint8)
+        for k in range(2):
+            keys[: len(pair), k] = words[pair + k]
+        for k in range(3):
+            keys[len(pair) :, k] = words[triple + k]
+        if len(keys):
+            yield keys.reshape(len(keys), 3 * width)
 
 
 def _encoded(batches) -> Iterator[pa.RecordBatch]:
     """Sequences of places into sequences of numbers; a block's (place, number) rows come before it."""
+    free()
     now, places, ids = None, [], []
     for batch in batches:
         block, seqs = np.array(batch.column("block")), batch.column("seq")
@@ -150,8 +162,8 @@ def _encoded(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _ids(batch) -> Iterator[np.ndarray]:
-    for x in batch.column("ids").to_pylist():
-        yield np.frombuffer(zlib.decompress(x), "<i8")
+    for x in batch.column("ids"):
+        yield np.frombuffer(zlib.decompress(x.as_buffer()), "<i8")
 
 
 def _run(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
@@ -160,11 +172,14 @@ def _run(part: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
 
 
 def _runs(batches, borders: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """Sorted and counted keys of a task, RUN at a time, cut at the borders."""
+    """Sorted and counted keys of a task, from 2 to 3 RUN at a time, cut at the borders."""
+    free()
 
     def flush(held):
-        raw = packed(np.concatenate(held), width)
-        keys, counts = counted(raw, np.ones(len(raw), np.int64))
+        raw = np.concatenate(held)
+        held.clear()
+        keys, counts = counted(raw)
+        del raw
         as_text = np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").reshape(-1)
         cuts = [0, *np.searchsorted(as_text, borders).tolist(), len(keys)]
         rows = [_run(p, keys[a:b], counts[a:b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
@@ -173,13 +188,13 @@ def _runs(batches, borders: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
         for ids in _ids(batch):
-            g = grams(ids)
-            if len(g):
-                held.append(g)
-                size += len(g)
-            if size >= RUN:
-                yield flush(held)
-                held, size = [], 0
+            for keys in grams(ids, width):
+                held.append(keys)
+                size += len(keys)
+                if size >= 2 * RUN:
+                    yield flush(held)
+                    size = 0
+                    trim()
     if held:
         yield flush(held)
 
@@ -191,15 +206,17 @@ def _totals(batches, width: int, least: int) -> Iterator[pa.RecordBatch]:
         ids = unpacked(keys[counts >= least], width)
         return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(ids[:, j])) for j in range(3)], pa.array(counts[counts >= least])], names=["i1", "i2", "i3", "a"])
 
+    free()
     now, keys, counts, size, merged = None, [], [], 0, 0
     for batch in batches:
-        for part, n, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "n", "keys", "counts")), strict=True):
+        for part, n, k, c in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
             if part != now and keys:
                 yield out(*counted(np.concatenate(keys), np.concatenate(counts)))
                 keys, counts, size, merged = [], [], 0, 0
+                trim()
             now = part
-            keys.append(np.frombuffer(zlib.decompress(k), np.uint8).reshape(3 * width, n).T)
-            counts.append(np.frombuffer(zlib.decompress(c), "<i8").astype(np.int64))
+            keys.append(np.frombuffer(zlib.decompress(k.as_buffer()), np.uint8).reshape(3 * width, n).T)
+            counts.append(np.frombuffer(zlib.decompress(c.as_buffer()), "<i8").astype(np.int64))
             size += n
             if size - merged >= RUN:
                 one = counted(np.concatenate(keys), np.concatenate(counts))
@@ -251,9 +268,8 @@ def phrase_counts(words: DataFrame, known: DataFrame, least: int, folder: str) -
     def some(batches):
         for batch in batches:
             for x in _ids(batch):
-                g = grams(x)
-                g = packed(g[:: max(1, len(g) // 256)], width)
-                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in g], pa.binary())], names=["key"])
+                for g in grams(x, width):
+                    yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in g[:: max(1, len(g) // 64)]], pa.binary())], names=["key"])
 
     # Only where ranges end depends on this sample.
     sample = ids.mapInArrow(some, "key binary").orderBy(F.xxhash64("key")).limit(BORDERS).collect() if parts > 1 else []

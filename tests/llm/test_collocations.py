@@ -76,3 +76,36 @@ def test_radix_order_sorts_keys_of_any_width():
 def test_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(3_000_000_019, 3_000_000_021, 4_000_000_007)], "a long, l long, r long")
     assert df.select(collocations.score("a", "l", "r")).first()[0] == 1000000 * 3_000_000_019**2 // (3_000_000_021 * 4_000_000_007)
+
+
+def test_a_block_is_packed_in_small_steps(monkeypatch):
+    """Pairs and triples of a block take a few bytes each, never three numbers of eight at once; and none is lost at a step's end."""
+    import tracemalloc
+    import zlib
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    ids = rng.integers(1, 100_000, 600_000) * rng.choice([1, 1, 1, -1, 0], 600_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([zlib.compress(ids.astype("<i8").tobytes(), 1)], pa.binary())], names=["ids"])
+    monkeypatch.setattr(collocations, "RUN", 1 << 17)
+    tracemalloc.start()
+    rows = sum(len(x) for x in collocations._runs([batch], np.zeros(0, "S9"), 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 30e6
+    for run in (1, 2, 5, 64):
+        monkeypatch.setattr(collocations, "RUN", run)
+        found = {}
+        for x in collocations._runs([batch.from_arrays([pa.array([zlib.compress(ids[:300].astype("<i8").tobytes())], pa.binary())], names=["ids"])], np.zeros(0, "S9"), 3):
+            for n, k, c in zip(x["n"].to_pylist(), x["keys"].to_pylist(), x["counts"].to_pylist(), strict=True):
+                keys = collocations.unpacked(np.frombuffer(zlib.decompress(k), np.uint8).reshape(9, n).T, 3)
+                for key, count in zip(map(tuple, keys.tolist()), np.frombuffer(zlib.decompress(c), "<i8").tolist(), strict=True):
+                    found[key] = found.get(key, 0) + count
+        want, some = {}, ids[:300].tolist()
+        for i in range(300):
+            for k in (2, 3):
+                if i + k <= 300 and all(some[i : i + k]) and min(some[i + 1 : i + k]) > 0:
+                    key = (*map(abs, some[i : i + k]), 0)[:3]
+                    want[key] = want.get(key, 0) + 1
+        assert found == want
