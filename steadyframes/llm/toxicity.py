@@ -5,12 +5,15 @@ and a telling one rarely share both), and one for each of its beginnings and its
 Filters of several widths run over the words, the largest value of each filter over the whole text feeds a logistic output. One dimension of the table starts as the smoothed log-odds of its words, the rest at
 random; all of it is then trained by Adam through the max pooling.
 
-Labels are learnt from a bounded sample of labelled rows: about MAX_ROWS rows of at most MAX_WORDS words, chosen by a
-hash of doc_id; of rows that share a doc_id one is learnt from, with the larger label. A third of them is kept from the weights and calibrates: the scale of the score, and by
-language the threshold of the decision. The score sees nothing but the text; only the decision looks up a language.
-
-Defined cases: null or empty texts score as texts without words; rows with a null label are not learnt from; a
-sample with one class or none gives the same score to all; repeated rows score alike; an unknown or null language
+Labels are learnt from every labelled row outside those held out, by all its words. Two thirds of the ids train: Spark sums the
+counts of a bucket's rows, then in each of EPOCHS rounds each partition descends from the shared weights over its rows,
+and Spark averages the partitions' weights by their number of rows; of the table only changed rows go out. The last third
+calibrates: the scale of the score, and by language the threshold of the decision, from counts of rows by steps of
+1 / GRID of a logit. Nothing but counts and weights of fixed number reaches the driver. The score sees nothing but the
+text; only the decision looks up a language.
+
+Defined cases: null or empty texts score as texts without words; rows with a null label are not learnt from; of labels that
+share a doc_id the larger counts; labels of one class or none gives the same score to all; repeated rows score alike; an unknown or null language
 uses the threshold of all languages; columns named like an output are replaced.
 """
 
@@ -20,16 +23,24 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, distinct, free, mix, ragged, span_hashes, spans, trim
+from steadyframes.llm.components import drop_folder, new_folder
+from steadyframes.llm.textbytes import ALNUM, LOWER, blocks, distinct, free, mix, ragged, span_hashes, spans
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 BEGINNINGS, ENDING = (3, 4, 6), 4
-MAX_ROWS, MAX_WORDS = 6000, 2000
 EPOCHS, BATCH, RATE = 4, 64, 0.01
+#: Rows or words that a task hashes before it descends over them in random order.
+HOLD_ROWS, HOLD_WORDS = 1024, 1 << 20
+#: Rows in which a task's changes of the table go out to be averaged; one more has the other weights.
+PACKS, PACKED = 64, "pack int, task int, at binary, change binary, n double"
+#: Steps of a logit in which cuts are placed.
+GRID = 1000
 THRESHOLD = 0.7
 LEAST = 10
 
@@ -106,24 +117,36 @@ def _embed(model: Model, parts: np.ndarray) -> np.ndarray:
     return model.table[parts].sum(1)
 
 
-def scores(model: Model, parts: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def logits(model: Model, parts: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Before scale and offset."""
     value, _ = pooled(model, _embed(model, parts), numbers, rows)
-    z = (value @ model.out + model.bias) * model.scale + model.offset
+    return value @ model.out + model.bias
+
+
+def scores(model: Model, parts: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = logits(model, parts, numbers, rows) * model.scale + model.offset
     # Rounded, as the last bits of a product depend on how many rows a block has.
     return np.round(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))), 6)
 
 
-def _start(parts: np.ndarray, rows: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Model:
-    """A table whose first dimension is the log-odds of a bucket's rows; filters that begin near it."""
+def _seen(parts: np.ndarray, numbers: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many toxic and how many other rows have each bucket, added up over the parts of a word."""
     owner = np.repeat(np.arange(len(y)), np.diff(rows))
-    table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+    pairs = np.unique(owner * len(parts) + numbers)
+    owner, numbers = pairs // max(1, len(parts)), pairs % max(1, len(parts))
     seen = np.zeros((2, BUCKETS))
     for column in parts.T:
-        pair = np.unique(owner * BUCKETS + column)
+        pair = np.unique(owner * BUCKETS + column[numbers])
         bad = np.bincount(pair % BUCKETS, weights=y[pair // BUCKETS], minlength=BUCKETS)
         seen += bad, np.bincount(pair % BUCKETS, minlength=BUCKETS) - bad
-    odds = np.log((seen[0] + 1) / (y.sum() + 2)) - np.log((seen[1] + 1) / (len(y) - y.sum() + 2))
-    prior = np.log(1 / (y.sum() + 2)) - np.log(1 / (len(y) - y.sum() + 2))
+    return seen
+
+
+def _from_counts(seen: np.ndarray, bad: int, good: int, rng: np.random.Generator) -> Model:
+    """A table whose first dimension is the log-odds of a bucket's rows; filters that begin near it."""
+    table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+    odds = np.log((seen[0] + 1) / (bad + 2)) - np.log((seen[1] + 1) / (good + 2))
+    prior = np.log(1 / (bad + 2)) - np.log(1 / (good + 2))
     few = seen.sum(0) / (seen.sum(0) + 5)
     table[:, 0] = np.clip((odds - prior * (1 - few)) * few * (seen.sum(0) > 0) / 3, -2, 2)
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -132,130 +155,258 @@ def _start(parts: np.ndarray, rows: np.ndarray, y: np.ndarray, rng: np.random.Ge
     return Model(table, filters, [np.full(FILTERS, -1.0, np.float32) for _ in WIDTHS], rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32) + 0.1, -2.0)
 
 
+def _start(parts: np.ndarray, rows: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Model:
+    return _from_counts(_seen(parts, np.arange(len(parts)), rows, y), int(y.sum()), int(len(y) - y.sum()), rng)
+
+
+class Adam:
+    """Descent on the logistic loss, both classes weighing the same (weights: of other and of toxic rows)."""
+
+    def __init__(self, m: Model, weights: tuple[float, float]):
+        self.m, self.weights, self.step = m, np.array(weights, np.float32), 0.0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self._dense()]
+        self.bias_moments = [0.0, 0.0]
+
+    def _dense(self) -> list[np.ndarray]:
+        return [*self.m.filters, *self.m.shifts, self.m.out]
+
+    def flat(self) -> np.ndarray:
+        """All but the table, in one list of numbers."""
+        return np.concatenate([*(x.reshape(-1).astype(np.float64) for x in [*self._dense(), *(y for pair in self.moments for y in pair)]), [self.m.bias, *self.bias_moments, self.step]])
+
+    def set_flat(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in [*self._dense(), *(y for pair in self.moments for y in pair)]:
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.m.bias, *self.bias_moments, self.step = flat[at:].tolist()
+
+    def epoch(self, parts: np.ndarray, numbers: np.ndarray, rows: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
+        """Once over the rows in random order; numbers: of each word, among the distinct ones that parts has."""
+        y = y.astype(np.float32)
+        order = rng.permutation(len(y))
+        for batch in np.array_split(order, max(1, len(y) // BATCH)):
+            counts = rows[batch + 1] - rows[batch]
+            distinct_words, own = np.unique(numbers[ragged(rows[batch], counts)], return_inverse=True)
+            self._batch(parts[distinct_words], own, np.concatenate(([0], np.cumsum(counts))), y[batch])
+
+    def _batch(self, parts: np.ndarray, numbers: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
+        m = self.m
+        self.step += 1
+        embedded = _embed(m, parts)
+        value, place = pooled(m, embedded, numbers, rows, where=True)
+        p = 1 / (1 + np.exp(-np.clip(value @ m.out + m.bias, -30, 30)))
+        error = (p - y) * self.weights[(y > 0).astype(int)] / len(y)
+        grads = [np.zeros_like(f) for f in m.filters] + [np.zeros_like(s) for s in m.shifts] + [value.T @ error]
+        back = error[:, None] * m.out[None, :]
+        by_word = np.zeros_like(embedded)
+        for k, width in enumerate(WIDTHS):
+            for j in range(FILTERS):
+                at = place[:, k * FILTERS + j]
+                rowsel = np.flatnonzero(at >= 0)
+                if not len(rowsel):
+                    continue
+                g = back[rowsel, k * FILTERS + j]
+                grads[len(WIDTHS) + k][j] += g.sum()
+                for shift in range(width):
+                    inside = at[rowsel] + shift < rows[rowsel + 1]
+                    w = numbers[at[rowsel][inside] + shift]
+                    grads[k][shift][:, j] += embedded[w].T @ g[inside]
+                    np.add.at(by_word, w, g[inside][:, None] * m.filters[k][shift][:, j])
+        fix1, fix2 = 1 - 0.9**self.step, 1 - 0.999**self.step
+        for param, grad, (m1, m2) in zip(self._dense(), grads, self.moments, strict=True):
+            m1 += 0.1 * (grad - m1)
+            m2 += 0.001 * (grad * grad - m2)
+            param -= RATE * (m1 / fix1) / (np.sqrt(m2 / fix2) + 1e-8)
+        g = float(error.sum())
+        self.bias_moments = [0.9 * self.bias_moments[0] + 0.1 * g, 0.999 * self.bias_moments[1] + 0.001 * g * g]
+        m.bias -= RATE * (self.bias_moments[0] / fix1) / (np.sqrt(self.bias_moments[1] / fix2) + 1e-8)
+        touched = np.flatnonzero(np.abs(by_word).sum(1))
+        for column in parts[touched].T:
+            np.add.at(m.table, column, -RATE * by_word[touched])
+
+
+def _weights(bad: int, good: int) -> tuple[float, float]:
+    return 0.5 * (bad + good) / good, 0.5 * (bad + good) / bad
+
+
 def train(parts: np.ndarray, rows: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
-    """Adam on the logistic loss, both classes weighing the same."""
+    """All rounds over one list of rows, as a single partition makes them."""
     rng = np.random.default_rng(seed)
-    y = y.astype(np.float32)
     m = _start(parts, rows, y, rng)
     if not len(y) or y.min() == y.max():
         return m
-    dense = [*m.filters, *m.shifts, m.out]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
-    bias_moments = [0.0, 0.0]
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    step = 0
+    adam = Adam(m, _weights(int(y.sum()), int(len(y) - y.sum())))
     for _ in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // BATCH)):
-            step += 1
-            counts = rows[batch + 1] - rows[batch]
-            own = np.concatenate([parts[rows[d] : rows[d + 1]] for d in batch])
-            own_rows = np.concatenate(([0], np.cumsum(counts)))
-            numbers = np.arange(len(own))
-            embedded = _embed(m, own)
-            value, place = pooled(m, embedded, numbers, own_rows, where=True)
-            p = 1 / (1 + np.exp(-np.clip(value @ m.out + m.bias, -30, 30)))
-            error = (p - y[batch]) * weight[batch] / len(batch)
-            grads = [np.zeros_like(f) for f in m.filters] + [np.zeros_like(s) for s in m.shifts] + [value.T @ error]
-            back = error[:, None] * m.out[None, :]
-            by_word = np.zeros_like(embedded)
-            for k, width in enumerate(WIDTHS):
-                for j in range(FILTERS):
-                    at = place[:, k * FILTERS + j]
-                    rowsel = np.flatnonzero(at >= 0)
-                    if not len(rowsel):
-                        continue
-                    g = back[rowsel, k * FILTERS + j]
-                    grads[len(WIDTHS) + k][j] += g.sum()
-                    for shift in range(width):
-                        inside = at[rowsel] + shift < own_rows[rowsel + 1]
-                        w = numbers[at[rowsel][inside] + shift]
-                        grads[k][shift][:, j] += embedded[w].T @ g[inside]
-                        np.add.at(by_word, w, g[inside][:, None] * m.filters[k][shift][:, j])
-            fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
-            for param, grad, (m1, m2) in zip(dense, grads, moments, strict=True):
-                m1 += 0.1 * (grad - m1)
-                m2 += 0.001 * (grad * grad - m2)
-                param -= RATE * (m1 / fix1) / (np.sqrt(m2 / fix2) + 1e-8)
-            g = float(error.sum())
-            bias_moments = [0.9 * bias_moments[0] + 0.1 * g, 0.999 * bias_moments[1] + 0.001 * g * g]
-            m.bias -= RATE * (bias_moments[0] / fix1) / (np.sqrt(bias_moments[1] / fix2) + 1e-8)
-            touched = np.flatnonzero(np.abs(by_word).sum(1))
-            for column in own[touched].T:
-                np.add.at(m.table, column, -RATE * by_word[touched])
+        adam.epoch(parts, np.arange(len(parts)), rows, y, rng)
     return m
 
 
-def calibrate(m: Model, parts: np.ndarray, rows: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
+def _cut(z: np.ndarray, bad: np.ndarray, good: np.ndarray) -> float:
+    """The cut of fewest errors, if rows below it count as good; between equal ones the middle of the widest gap.
+
+    z: distinct logits, ascending; bad and good: how many rows of either class have each.
+    """
+    errors = np.concatenate(([0], np.cumsum(bad))) + good.sum() - np.concatenate(([0], np.cumsum(good)))
+    edge = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
+    best = np.flatnonzero(errors == errors.min())
+    k = best[np.argmax(np.diff(edge)[best])]
+    return float((edge[k] + edge[k + 1]) / 2)
+
+
+def calibrate(m: Model, found: pa.Table) -> Model:
     """Place the score so that THRESHOLD is the best cut over all languages; then a cut for each language.
 
-    The best cut has the fewest errors; between equal cuts the middle of the widest gap is taken. A language with
-    fewer than 20 rows of either class keeps the cut of all.
+    found: (lang, z, bad, good), z in steps of 1 / GRID. A language with fewer than 20 rows of either class keeps the cut of all.
     """
-    if not len(y) or y.min() == y.max():
+    langs = np.array(found.column("lang").to_pylist(), object)
+    z, bad, good = (found.column(c).to_numpy() for c in ("z", "bad", "good"))
+    if not bad.sum() or not good.sum():
         return m
 
-    def cut(z: np.ndarray, t: np.ndarray) -> float:
-        order = np.argsort(z, kind="stable")
-        z, t = z[order], t[order]
-        errors = np.concatenate(([0], np.cumsum(t))) + (t == 0).sum() - np.concatenate(([0], np.cumsum(t == 0)))
-        edge = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
-        gap = np.diff(edge)
-        best = np.flatnonzero(errors == errors.min())
-        k = best[np.argmax(gap[best])]
-        return float((edge[k] + edge[k + 1]) / 2)
-
-    m.scale, m.offset = 1.0, 0.0
-    s = np.clip(scores(m, parts, np.arange(len(parts)), rows), 1e-6, 1 - 1e-6)
-    z = np.log(s / (1 - s))
+    def cut(which) -> float:
+        steps, at = np.unique(z[which], return_inverse=True)
+        return _cut(steps / GRID, np.bincount(at, weights=bad[which]), np.bincount(at, weights=good[which]))
+
     logit = np.log(THRESHOLD / (1 - THRESHOLD))
-    m.scale = float(min(1.0, 8 / max(1e-6, np.abs(z).max())))
-    m.offset = float(logit - cut(z, y) * m.scale)
-    s = np.clip(scores(m, parts, np.arange(len(parts)), rows), 1e-6, 1 - 1e-6)
+    m.scale = float(min(1.0, 8 / max(1e-6, np.abs(z).max() / GRID)))
+    m.offset = float(logit - cut(np.ones(len(z), bool)) * m.scale)
     m.thresholds = {"": THRESHOLD}
     for lang in sorted(set(langs)):
-        own = np.array([x == lang for x in langs])
-        if lang and y[own].sum() >= 20 and (y[own] == 0).sum() >= 20:
-            z = np.log(s[own] / (1 - s[own]))
-            m.thresholds[lang] = float(1 / (1 + np.exp(-cut(z, y[own]))))
+        own = langs == lang
+        if lang and bad[own].sum() >= 20 and good[own].sum() >= 20:
+            m.thresholds[lang] = float(1 / (1 + np.exp(-(cut(own) * m.scale + m.offset))))
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1") -> Model:
-    """Train on labelled rows outside held_out; of these, a third (by another hash) calibrates, or all
-    where that third has under LEAST rows of either class. Of labelled texts only those of up to max_words words, and of up to 40
-    characters for each of these, train or calibrate; all texts are scored."""
+def _hashed(batches, calibrates: bool | None):
+    """(parts of distinct words, numbers, rows, labels, languages) of a task's rows, HOLD_ROWS or HOLD_WORDS and one block at a time.
+    calibrates: only rows that do, or don't; None: all."""
+    held, size, words = [], 0, 0
+
+    def out():
+        before = np.cumsum([0, *(len(p) for p, *_ in held)])
+        numbers = np.concatenate([n + b for (_, n, *_), b in zip(held, before[:-1], strict=True)])
+        counts = np.concatenate([np.diff(r) for _, _, r, *_ in held])
+        return np.concatenate([p for p, *_ in held]), numbers, np.concatenate(([0], np.cumsum(counts))), np.concatenate([y for *_, y, _ in held]), [x for *_, own in held for x in own]
+
+    for batch in batches:
+        if calibrates is not None:
+            batch = batch.filter(pc.equal(batch.column("calibrates"), calibrates))
+        y, langs = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("lang").to_pylist()
+        for a, b, buf, offsets in blocks(batch.column("text")):
+            parts, numbers, rows = word_hashes(buf, offsets)
+            held.append((parts, numbers, rows, y[a:b], langs[a:b]))
+            size, words = size + b - a, words + len(numbers)
+            if size >= HOLD_ROWS or words >= HOLD_WORDS:
+                yield out()
+                held, size, words = [], 0, 0
+    if held:
+        yield out()
+
+
+def _averaged(batches):
+    """The sums of changes times rows of each pack, in the order of the tasks."""
+
+    def row(pack, total):
+        return pa.RecordBatch.from_arrays([pa.array([pack], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["pack", "total"])
+
+    now, total = None, None
+    for batch in batches:
+        for pack, _, at, change, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if pack != now:
+                if now is not None:
+                    yield row(now, total)
+                now, total = pack, np.zeros((BUCKETS // PACKS, DIM)) if pack < PACKS else 0.0
+            if pack < PACKS:
+                total[np.frombuffer(at, np.int32)] += np.frombuffer(change, np.float32).reshape(-1, DIM) * n
+            else:
+                total = total + np.frombuffer(change) * n
+    if now is not None:
+        yield row(now, total)
+
+
+def _round(rows: DataFrame, adam: Adam, turn: int, total: int) -> None:
+    """Each partition descends once over its training rows; the mean of what changes, by their numbers, is put in place."""
+    shared = rows.sparkSession.sparkContext.broadcast(adam)
+
+    def learn(batches):
+        free()
+        base = shared.value
+        m = base.m
+        own = Adam(dataclasses.replace(m, table=m.table.copy(), filters=[f.copy() for f in m.filters], shifts=[x.copy() for x in m.shifts], out=m.out.copy()), tuple(base.weights))
+        own.set_flat(base.flat())
+        task, n = TaskContext.get().partitionId(), 0
+        rng = np.random.default_rng([turn, task])
+        for parts, numbers, at, y, _ in _hashed(batches, False):
+            own.epoch(parts, numbers, at, y, rng)
+            n += len(y)
+        if n:
+            changed = np.flatnonzero((own.m.table != m.table).any(1))
+            cuts = np.searchsorted(changed, np.arange(PACKS + 1) * (BUCKETS // PACKS))
+            packs = [k for k in range(PACKS) if cuts[k] < cuts[k + 1]]
+            spots = [changed[cuts[k] : cuts[k + 1]] for k in packs]
+            at = [(x - k * (BUCKETS // PACKS)).astype(np.int32).tobytes() for k, x in zip(packs, spots, strict=True)]
+            change = [(own.m.table[x] - m.table[x]).tobytes() for x in spots]
+            columns = [pa.array([*packs, PACKS], pa.int32()), pa.array([task] * (len(packs) + 1), pa.int32()), pa.array([*at, b""], pa.binary()), pa.array([*change, own.flat().tobytes()], pa.binary()), pa.array([float(n)] * (len(packs) + 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED.split(", ")])
+
+    table = adam.m.table.reshape(PACKS, BUCKETS // PACKS, DIM)
+    sums = rows.mapInArrow(learn, PACKED).repartition("pack").sortWithinPartitions("pack", "task").mapInArrow(_averaged, "pack int, total binary")
+    for r in sums.collect():  # PACKS + 1 rows at most
+        x = np.frombuffer(r.total) / total
+        if r.pack < PACKS:
+            table[r.pack] += x.reshape(-1, DIM).astype(np.float32)
+        else:
+            adam.set_flat(x)
+    shared.unpersist()
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1") -> Model:
+    """Train on all labelled rows outside held_out; of these, a third (by another hash) calibrates, or all
+    where that third has under LEAST rows of either class. held_out: an expression of doc_id."""
+    spark = docs.sparkSession
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = labels.where(f"toxic is not null and doc_id is not null and not ({held_out})").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # A hash of the id picks about max_rows labels, and each id has one row, so what is broadcast and collected is bounded.
-    share = max_rows / max(1, own.count())
-    if share < 1:
-        own = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang")).where(F.length("text") <= 40 * max_words).join(F.broadcast(own), "id")
-    sample = joined.groupBy("id").agg(F.min(F.struct("text", "lang")).alias("d"), F.first("toxic").alias("toxic")).select("id", "d.text", "d.lang", "toxic").toArrow().sort_by([("id", "ascending")])
-    parts, numbers, counts = [np.zeros((0, len(BEGINNINGS) + 3), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for _, _, buf, offsets in blocks(sample.column("text")):
-        p, inverse, rows = word_hashes(buf, offsets)
-        numbers.append((inverse + sum(map(len, parts))).astype(np.int32))
-        parts.append(p)
-        counts.append(np.diff(rows))
-    parts, numbers, counts = np.concatenate(parts), np.concatenate(numbers), np.concatenate(counts)
-    y = sample.column("toxic").to_numpy().astype(np.int64)
-    langs = [x or "" for x in sample.column("lang").to_pylist()]
-    part = np.array([(i * 2654435761 >> 7) % 3 == 2 for i in sample.column("id").to_pylist()], bool)
-    few, begin = counts <= max_words, np.cumsum(counts) - counts
-    del sample
-    trim()
-
-    def take(which):
-        which = np.flatnonzero(which & few)
-        own = parts[numbers[ragged(begin[which], counts[which])]]
-        return own, np.concatenate(([0], np.cumsum(counts[which]))).astype(np.int64), y[which]
-
-    model = train(*take(~part))
-    if min(y[part & few].sum(), (y[part & few] == 0).sum()) < LEAST:  # too few to place a cut by
-        part[:] = True
-    return calibrate(model, *take(part), [langs[i] for i in np.flatnonzero(part & few)])
+    texts = docs.where(f"not ({held_out})").select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    folder = new_folder(spark, "labelled")
+    # Labels grow with the documents: they are never sent whole to all executors, however few they are.
+    texts.join(own.hint("merge"), "id").withColumn("calibrates", F.pmod(F.xxhash64("id"), F.lit(3)) == 2).sortWithinPartitions(F.xxhash64("id", F.lit(1)), "text").write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema("id long, text string, lang string, toxic int, calibrates boolean").parquet(folder)
+    numbers = {(r.calibrates, r.toxic): r["count"] for r in rows.groupBy("calibrates", (F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
+    good, bad = numbers.get((False, 0), 0), numbers.get((False, 1), 0)
+    rows = rows.select("text", "lang", (F.col("toxic") > 0).cast("int").alias("toxic"), "calibrates")
+
+    def count(batches):
+        free()
+        seen = np.zeros((2, BUCKETS))
+        for parts, words, at, y, _ in _hashed(batches, False):
+            seen += _seen(parts, words, at, y)
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at].astype(np.int64)) for x in seen)], names=["bucket", "bad", "good"])
+
+    found = rows.mapInArrow(count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # BUCKETS rows at most
+    seen = np.zeros((2, BUCKETS))
+    seen[:, found.column("bucket").to_numpy()] = found.column("bad").to_numpy(), found.column("good").to_numpy()
+    model = _from_counts(seen, bad, good, np.random.default_rng(7))
+    if bad and good:
+        adam = Adam(model, _weights(bad, good))
+        for turn in range(EPOCHS):
+            _round(rows, adam, turn, bad + good)
+    third = None if min(numbers.get((True, k), 0) for k in (0, 1)) < LEAST else True  # too few to place a cut by
+    shared = spark.sparkContext.broadcast(model)
+
+    def place(batches):
+        free()
+        for parts, words, at, y, langs in _hashed(batches, third):
+            z = np.round(np.clip(logits(shared.value, parts, words, at).astype(np.float64), -30, 30) * GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(z), pa.array(y), pa.array(1 - y)], names=["lang", "z", "bad", "good"])
+
+    found = rows.mapInArrow(place, "lang string, z long, bad long, good long").groupBy("lang", "z").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # 60 x GRID rows of a language at most
+    model = calibrate(model, found)
+    shared.unpersist()
+    drop_folder(spark, folder)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", lang: str | None = "lang") -> DataFrame:

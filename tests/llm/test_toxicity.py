@@ -100,3 +100,23 @@ def test_thresholds_of_languages_are_columns(spark, tables):
     m = t.fit(docs, labels)
     assert {(r.lang, r.threshold) for r in got.join(docs, "doc_id").select("lang", "threshold").distinct().collect()} == {(x, m.thresholds.get(x, m.thresholds[""])) for x in ("en", "de")}
     assert got.where("over_threshold <> (score >= threshold)").count() == 0
+
+
+def test_all_labelled_rows_and_all_their_words_are_learnt_from(spark, monkeypatch):
+    """More rows than any sample took, and long texts whose telling words stand at their ends."""
+    r = random.Random(6)
+    long = [" ".join(r.choice(["koton", "rila", "baton", "misu"]) for _ in range(2500)) for _ in range(60)]
+    docs = [(i, f"word w{i}", "en") for i in range(10000)] + [(10000 + i, x + (" vilescum" if i % 2 else " kindly"), "en") for i, x in enumerate(long * 4)]
+    labels = spark.createDataFrame([(i, int(text.endswith("vilescum"))) for i, text, _ in docs], "doc_id long, toxic int")
+    got = []
+    whole = t._from_counts
+    monkeypatch.setattr(t, "_from_counts", lambda seen, bad, good, rng: got.append((seen, bad, good)) or whole(seen, bad, good, rng))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    m = t.fit(frame, labels)
+    seen, bad, good = got[0]
+    learnt = labels.where("crc32(cast(doc_id as string)) % 3 <> 1").where("pmod(xxhash64(doc_id), 3) <> 2")
+    assert (bad, good) == (learnt.where("toxic = 1").count(), learnt.where("toxic = 0").count()) and good > 4000
+    parts, *_ = t.word_hashes(np.frombuffer(b"word", np.uint8), np.array([0, 4]))
+    assert seen[1][parts[0][0]] >= learnt.where("doc_id < 10000").count()
+    held = t.score(frame, m).where("doc_id >= 10000 and crc32(cast(doc_id as string)) % 3 = 1").select((F.col("score") >= 0.7).alias("found"), F.col("text").endswith("vilescum").alias("bad")).collect()
+    assert len(held) > 50 and sum(x.found == x.bad for x in held) > 0.95 * len(held)
