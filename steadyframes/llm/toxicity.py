@@ -305,11 +305,12 @@ def _hashed(batches, calibrates: bool | None):
         yield out()
 
 
-def _averaged(batches):
-    """The sums of changes times rows of each pack, in the order of the tasks."""
+def _averaged(batches, n_rows: int):
+    """The means of changes over n_rows rows of each pack, summed in the order of the tasks: of the table in single precision, as it has."""
 
     def row(pack, total):
-        return pa.RecordBatch.from_arrays([pa.array([pack], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["pack", "total"])
+        mean = total / n_rows
+        return pa.RecordBatch.from_arrays([pa.array([pack], pa.int32()), pa.array([(mean.astype(np.float32) if pack < PACKS else mean).tobytes()], pa.binary())], names=["pack", "mean"])
 
     now, total = None, None
     for batch in batches:
@@ -352,14 +353,14 @@ def _round(rows: DataFrame, adam: Adam, turn: int, total: int) -> None:
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED.split(", ")])
 
     table = adam.m.table.reshape(PACKS, BUCKETS // PACKS, DIM)
-    sums = rows.mapInArrow(learn, PACKED).repartition("pack").sortWithinPartitions("pack", "task").mapInArrow(_averaged, "pack int, total binary")
-    for r in sums.collect():  # PACKS + 1 rows at most
-        x = np.frombuffer(r.total) / total
-        if r.pack < PACKS:
-            table[r.pack] += x.reshape(-1, DIM).astype(np.float32)
+    means = rows.mapInArrow(learn, PACKED).repartition("pack").sortWithinPartitions("pack", "task").mapInArrow(lambda batches: _averaged(batches, total), "pack int, mean binary")
+    # PACKS + 1 rows at most. As Arrow the driver's JVM passes them on as they come; as rows it copies each some six times.
+    for pack, mean in zip(*means.toArrow().columns, strict=True):
+        if (pack := pack.as_py()) < PACKS:
+            table[pack] += np.frombuffer(mean.as_buffer(), np.float32).reshape(-1, DIM)
         else:
-            adam.set_flat(x)
-    shared.unpersist()
+            adam.set_flat(np.frombuffer(mean.as_buffer()))
+    shared.destroy()  # unpersisted only, the driver would keep each round's table
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1") -> Model:
@@ -404,7 +405,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out: str = "crc32(cast(doc_i
 
     found = rows.mapInArrow(place, "lang string, z long, bad long, good long").groupBy("lang", "z").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # 60 x GRID rows of a language at most
     model = calibrate(model, found)
-    shared.unpersist()
+    shared.destroy()
     drop_folder(spark, folder)
     return model
 

@@ -1,7 +1,9 @@
 import math
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,27 @@ def test_all_labelled_rows_and_all_their_words_are_learnt_from(spark, monkeypatc
     assert seen[1][parts[0][0]] >= learnt.where("doc_id < 10000").count()
     held = t.score(frame, m).where("doc_id >= 10000 and crc32(cast(doc_id as string)) % 3 = 1").select((F.col("score") >= 0.7).alias("found"), F.col("text").endswith("vilescum").alias("bad")).collect()
     assert len(held) > 50 and sum(x.found == x.bad for x in held) > 0.95 * len(held)
+
+
+def test_the_driver_keeps_no_rounds_table(spark, tables, monkeypatch):
+    docs, labels = tables
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    t.fit(docs, labels)
+    assert len(sent) == t.EPOCHS + 1 and not [b for b in sent if os.path.exists(b._path)]  # destroyed, not only unpersisted
+
+
+def test_means_of_changes_come_in_the_tables_precision():
+    rng = np.random.default_rng(5)
+    size, n = t.BUCKETS // t.PACKS, [3.0, 4.0]
+    at = [np.array([0, 7, size - 1], np.int32), np.array([7, 9], np.int32)]
+    change = [rng.normal(size=(len(x), t.DIM)).astype(np.float32) for x in at]
+    flat = [rng.normal(size=5), rng.normal(size=5)]
+    rows = [(2, k, at[k].tobytes(), change[k].tobytes(), n[k]) for k in (0, 1)] + [(t.PACKS, k, b"", flat[k].tobytes(), n[k]) for k in (0, 1)]
+    batch = pa.table(list(zip(*rows, strict=True)), names=["pack", "task", "at", "change", "n"]).to_batches()
+    got = {b.column("pack")[0].as_py(): b.column("mean")[0].as_py() for b in t._averaged(batch, 7)}
+    want = np.zeros((size, t.DIM))
+    for x, c, k in zip(at, change, n, strict=True):
+        want[x] += c * k
+    assert len(got[2]) == 4 * want.size and np.array_equal(np.frombuffer(got[2], np.float32).reshape(want.shape), (want / 7).astype(np.float32))
+    assert np.array_equal(np.frombuffer(got[t.PACKS]), (flat[0] * 3 + flat[1] * 4) / 7)
