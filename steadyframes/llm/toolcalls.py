@@ -94,28 +94,35 @@ def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
     return out
 
 
-def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, call_id, level) of distinct calls, level null on cycles; (conv_id, call_id, missing) of needs without a call."""
-    nodes = cut_lineage(calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", "needs"))
-    edges = nodes.select("conv_id", "call_id", F.explode("needs").alias("need")).where("need is not null").distinct()
-    keys = nodes.select("conv_id", F.col("call_id").alias("need"))
-    open_ = cut_lineage(edges.join(keys.withColumn("there", F.lit(True)), ["conv_id", "need"], "left"))
-    missing = open_.where("there is null").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("need")).alias("missing"))
-    open_ = open_.where("there").drop("there")
-    left = nodes.select("conv_id", "call_id")
-    done, level = None, 0
-    while True:
-        ready = cut_lineage(left.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        left = cut_lineage(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-        if left.isEmpty():
-            break
-        open_ = cut_lineage(open_.join(ready.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
-        level += 1
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return (rest if done is None else done.unionByName(rest)), missing
+EDGES_PER_TASK = 25_000
+
+
+def levels(nodes: DataFrame, most: int) -> DataFrame:
+    """(conv_id, call_id, level, cyclic, missing) of the calls that need any, a row each: level is null where cyclic, that is on a cycle or
+    in need of one; missing has the needs without a call.
+
+    nodes has a row for each (conv_id, call_id), with needs, of which there are at most `most`. A need is open while its
+    call has open needs itself; a round finds those that no longer are, and all are written once a round. Files are as few as
+    the needs' number asks for, since Hadoop starts child processes of the executor for each file's permissions.
+    """
+
+    def tell(df: DataFrame, level: int | None, cyclic: bool, missing=F.lit(None)) -> DataFrame:
+        return df.select("conv_id", "call_id", F.lit(level).cast("int").alias("level"), F.lit(cyclic).alias("cyclic"), missing.cast("string").alias("missing"))
+
+    nodes = nodes.where("conv_id is not null and call_id is not null")
+    needs = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need is not null")
+    keys = nodes.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("open"))
+    now = cut_lineage(needs.join(keys, ["conv_id", "need"], "left").coalesce(most // EDGES_PER_TASK + 1))
+    told = tell(now.where("open is null"), 0, False, F.col("need"))
+    last, level = None, 0
+    while (left := (now := now.where("open").drop("open")).count()) and left != last:
+        keys = now.select("conv_id", F.col("call_id").alias("need")).distinct().withColumn("open", F.lit(True))
+        now = cut_lineage(now.join(keys, ["conv_id", "need"], "left").coalesce(left // EDGES_PER_TASK + 1))
+        last, level = left, level + 1
+        told = told.unionByName(tell(now.where("open is null"), level, False))
+    told = told.unionByName(tell(now, None, True))
+    told = told.groupBy("conv_id", "call_id").agg(F.max("level").alias("level"), F.max("cyclic").alias("cyclic"), F.array_sort(F.collect_set("missing")).alias("missing"))
+    return told.withColumn("level", F.when(~F.col("cyclic"), F.col("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -135,9 +142,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     every = numbered.select("conv_id", "call_id", "position", "name", "arguments", "needs", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"), is_first.alias("same"))
     every = every.withColumn("repeated", F.col("call_id").isNotNull() & ~(F.coalesce("same", F.lit(False)) & (F.col("copy") == 1)))
     answered = results.where("call_id is not null").groupBy("conv_id", F.col("call_id").cast("string").alias("call_id")).agg(F.min(F.struct("position", "content")).alias("r")).select("conv_id", "call_id", F.col("r.content").alias("result"), F.lit(True).alias("answered"))
-    level, missing = levels(own)
-    joined = every.join(answered, ["conv_id", "call_id"], "left").join(level, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left")
-    joined = joined.select("conv_id", "call_id", "position", "name", "arguments", "needs", "repeated", F.coalesce("answered", F.lit(False)).alias("answered"), "result", "level", "missing")
+    told = levels(own, calls.agg(F.sum(F.size("needs"))).first()[0] or 0)
+    joined = every.join(answered, ["conv_id", "call_id"], "left").join(told, ["conv_id", "call_id"], "left")
+    level = F.when(F.col("cyclic"), None).when(F.expr("conv_id is not null and call_id is not null"), F.coalesce("level", F.lit(0))).alias("level")
+    joined = joined.select("conv_id", "call_id", "position", "name", "arguments", "needs", "repeated", F.coalesce("answered", F.lit(False)).alias("answered"), "result", level, "missing")
     joined = joined.orderBy("conv_id", F.col("level").asc_nulls_last(), "position", "call_id")
 
     def run(batches):

@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from steadyframes.llm import lmscore, media, tokencount, tokenfile, toolcalls
 from steadyframes.llm.bpe import read_ranks
+from steadyframes.llm.components import shared_folder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -364,6 +366,20 @@ def test_levels_of_random_graphs_equal_a_plain_loop(spark):
     assert any(v[0] is None for v in want.values()) and all((s == "cycle") == (level is None) for level, _, s in got.values())
 
 
+def test_levels_write_one_small_checkpoint_a_round(spark):
+    chain = [(1, f"c{i}", i, "note", '{"query": "x"}', [f"c{i - 1}", "gone"] if i else []) for i in range(6)] + [(2, "a", 0, "note", "{}", ["b"]), (2, "b", 1, "note", "{}", ["a"])]
+    df = spark.createDataFrame(chain, "conv_id long, call_id string, position long, name string, arguments string, needs array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, position long, content string")
+    shared_folder(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = len(list(folder.glob("rdd-*/part-*")))
+    got = toolcalls.link(df, none, toolcalls.SCHEMAS).collect()
+    assert [(r.conv_id, r.call_id, r.level, r.status == "cycle") for r in got] == [(1, f"c{i}", i, False) for i in range(6)] + [(2, "a", None, True), (2, "b", None, True)]
+    assert [json.loads(r.json)["missing"] for r in got] == [[]] + [["gone"]] * 5 + [[]] * 2
+    # The needs, and a file for each of five levels and for the cycle, which a last round tells.
+    assert 1 <= len(list(folder.glob("rdd-*/part-*"))) - before <= 7
+
+
 def test_tool_call_digest_orders_topologically(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(3) for t in range(40)] + [(7, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
