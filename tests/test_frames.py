@@ -235,3 +235,29 @@ def test_textured_frames_move_as_their_poses_say(spark):
 def test_mean_difference(spark):
     df = spark.createDataFrame([(1, bytearray([1, 5]), bytearray([3, 5])), (2, bytearray([1]), bytearray([1, 2]))], "k int, pixels binary, other binary")
     assert {r.k: r.difference for r in dense.mean_difference(df, "other").collect()} == {1: 1.0, 2: None}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbers_of_frames_are_found_without_rendering(spark, clip):
+    m = spark.createDataFrame([(1, k, 0.0, 0.0, 2.5, -1.0) for k in range(3)], "video_id long, frame_idx long, A double, B double, TX double, TY double")
+    for f in (fixtures.frames(m), texture.frames(m, 192, 128, 12)):
+        assert "pixels" in plan_of(f) and "ArrowEvalPython" in plan_of(f)
+        assert "ArrowEvalPython" not in plan_of(dense.chunk_numbers(f))
+    y, x = np.mgrid[0:64, 0:96]
+    at = {}
+    for r in clip.orderBy("video_id", "frame_idx").collect():
+        sx, sy = (a + b for a, b in zip(at.get(r.video_id, (0, 0)), (r.dx, r.dy), strict=True))
+        at[r.video_id] = sx, sy
+        u, v = x - sx + 1000, y - sy + 1000
+        want = np.minimum(255, 20 + np.abs(u % 46 - 23) * np.abs(v % 38 - 19) // 3 + np.abs((2 * u + v) % 122 - 61))
+        assert (np.frombuffer(r.pixels, np.uint8).reshape(64, 96) == want).all()
+
+
+def test_pixel_sums(spark):
+    raw = [bytes([3]), bytes([0, 255, 7]), bytes(RNG.integers(0, 256, 192 * 128 * 3, dtype=np.uint8)), None]
+    df = spark.createDataFrame([(k, bytearray(x) if x is not None else None) for k, x in enumerate(raw)], "k long, pixels binary")
+    got = {r.k: (r.pixel_sum, r.placed_sum) for r in dense.pixel_sums(df).collect()}
+    assert got == {k: (None, None) if x is None else (sum(x), sum(v * (i * 7919 % 10007) for i, v in enumerate(x))) for k, x in enumerate(raw)}
