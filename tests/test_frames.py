@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from steadyframes.functions import transforms as T
 from steadyframes.functions.params import AlignParams, StabParams
-from steadyframes.jobs import align, jitter, search, stabilize
+from steadyframes.jobs import align, catalog, jitter, search, stabilize
 from steadyframes.operators import dense, pixels
 from steadyframes.operators import kernels as K
 from steadyframes.sources import fixtures, frames, texture
@@ -261,3 +261,10 @@ def test_pixel_sums(spark):
     df = spark.createDataFrame([(k, bytearray(x) if x is not None else None) for k, x in enumerate(raw)], "k long, pixels binary")
     got = {r.k: (r.pixel_sum, r.placed_sum) for r in dense.pixel_sums(df).collect()}
     assert got == {k: (None, None) if x is None else (sum(x), sum(v * (i * 7919 % 10007) for i, v in enumerate(x))) for k, x in enumerate(raw)}
+
+
+def test_whole_job_is_compared_under_its_own_corrections(spark, tmp_path):
+    # In these videos corrections of the true motion and of what is found of it stand pixels apart at frame 3.
+    spark.createDataFrame([(v * texture.FRAMES + k,) for v in (28, 78, 110) for k in range(8)], "vec_id long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.QUERIES["c4_stabilize_similarity"](spark, str(tmp_path)).collect()
+    assert len(got) == 15 and all(r.near for r in got)
