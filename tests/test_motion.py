@@ -288,3 +288,19 @@ def test_without_decay_rounds_go_on_until_no_bit_changes(spark):
     want = M.decay_scan(np.array([r[5:] for r in data]), np.full(60, 96.0), np.full(60, 64.0), p)
     assert rounds == 7 and np.array_equal(np.array([got[i] for i in range(60)]), want)
     assert M.scan_in_rounds(jitter_table(spark, data), p)[1] == 0
+
+
+def test_arrivals_of_many_videos_smooth_together_as_one_by_one():
+    p, rng = StabParams(lag=3, memory=2, iterations=4), np.random.default_rng(11)
+    held, size, first = np.array([0, 4, 6, 0]), np.array([5, 1, 7, 1]), np.array([0, 4, 20, 0])
+    begin = np.cumsum(held + size) - (held + size)
+    values = rng.uniform(-20, 20, (int((held + size).sum()), 4))
+    at, got = online.smoothed_arrivals(values, begin, held, size, first, p)
+    want = {}
+    for b, h, n, f in zip(begin, held, size, first, strict=True):
+        for j in range(n):
+            place = min(f + j - p.memory, p.lag)
+            if place >= 0:
+                end = b + h + j
+                want[end] = M.tv_smooth(values[None, end - p.memory - place : end + 1], p.lam, p.iterations)[0, place]
+    assert sorted(want) == sorted(at.tolist()) and all((want[k] == x).all() for k, x in zip(at.tolist(), got, strict=True))
